@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import html, packing, quality, tokenfile
 from .common import table
+from .tokens import public_path
+
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +18,25 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs).select("doc_id", *counts, "base_failed", "kept")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return packing.pack(docs, public_path(TOKENIZER))
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html.extract(table(spark, sf_dir, "pages", ["page_id", "url", "html"]))
+    return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return tokenfile.read_tokens(tokenfile.write_tokens(docs, public_path(TOKENIZER))).drop("ids")
+
+
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_packing": op3_packing,
+    "op6_html_extraction": op6_html_extraction,
+    "op9_token_files": op9_token_files,
 }
 SQL: dict[str, str] = {}
