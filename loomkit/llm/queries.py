@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, packing, quality, tokenfile
+from . import html, neighbours, packing, quality, repeats, tokenfile
 from .common import table
 from .tokens import public_path
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    return found.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -28,15 +36,22 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
+    return neighbours.nearest(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
     return tokenfile.read_tokens(tokenfile.write_tokens(docs, public_path(TOKENIZER))).drop("ids")
 
 
 QUERIES = {
+    "op1_repeated_strings": op1_repeated_strings,
     "op2_quality_rules": op2_quality_rules,
     "op3_packing": op3_packing,
     "op6_html_extraction": op6_html_extraction,
+    "op8_nearest_vectors": op8_nearest_vectors,
     "op9_token_files": op9_token_files,
 }
 SQL: dict[str, str] = {}
