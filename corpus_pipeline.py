@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomkit.llm import quality
+from loomkit.llm import near, packing, quality, repeats
 from loomkit.llm.common import stored
+from loomkit.llm.tokens import public_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -15,7 +17,25 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.judge(docs.select(*COLUMNS)).filter("kept").select(*COLUMNS)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the smallest doc_id."""
+    kept = near.near_duplicates(docs).filter("kept").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the strings of 100 bytes that start earlier; characters cut in two go whole."""
+    whole = F.make_valid_utf8(F.col("kept").cast("string"))
+    out = repeats.remove_repeats(docs.select(*COLUMNS)).withColumn("text", F.replace(whole, F.lit("\ufffd"), F.lit("")))
+    return out.filter(F.length("kept") > 0).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 1024 ids, with their ids."""
+    return packing.pack(docs, public_path("byte_bpe_50k.json"), with_ids=True)
+
+
+STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("packing", pack_tokens)]
 #: A tokenizer and whole-corpus grouping are beyond SQL; tests/llm holds the run against a brute-force version.
 ORACLE_SQL = None
 

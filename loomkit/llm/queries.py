@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, neighbours, packing, quality, repeats, tokenfile
+from . import html, near, neighbours, packing, quality, repeats, tokenfile
 from .common import table
 from .tokens import public_path
 
@@ -31,6 +31,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_path(TOKENIZER))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = html.extract(table(spark, sf_dir, "pages", ["page_id", "url", "html"]))
     return pages.withColumn("n_chars", F.length("text").cast("long"))
@@ -50,6 +54,7 @@ QUERIES = {
     "op1_repeated_strings": op1_repeated_strings,
     "op2_quality_rules": op2_quality_rules,
     "op3_packing": op3_packing,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_html_extraction": op6_html_extraction,
     "op8_nearest_vectors": op8_nearest_vectors,
     "op9_token_files": op9_token_files,
