@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, near, neighbours, packing, quality, repeats, tokenfile
+from . import html, kneser, near, neighbours, packing, quality, repeats, tokenfile
 from .common import table
 from .tokens import public_path
 
@@ -50,6 +50,11 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_tokens(tokenfile.write_tokens(docs, public_path(TOKENIZER))).drop("ids")
 
 
+def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = kneser.held_out(table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    return kneser.score(docs, kneser.train(docs.filter("not held_out"))).drop("perplexity")
+
+
 QUERIES = {
     "op1_repeated_strings": op1_repeated_strings,
     "op2_quality_rules": op2_quality_rules,
@@ -58,5 +63,6 @@ QUERIES = {
     "op6_html_extraction": op6_html_extraction,
     "op8_nearest_vectors": op8_nearest_vectors,
     "op9_token_files": op9_token_files,
+    "op10_kneser_ney": op10_kneser_ney,
 }
 SQL: dict[str, str] = {}
