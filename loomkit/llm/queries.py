@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, kneser, near, neighbours, packing, quality, repeats, tokenfile
+from . import html, kneser, near, neighbours, packing, pieces, quality, repeats, tokenfile, urls
 from .common import table
 from .tokens import public_path
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +32,18 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_path(TOKENIZER))
 
 
+def op4_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures are the pages, with days drawn from page_id; every third page also yields a dated list entry."""
+    pages = table(spark, sf_dir, "pages", ["page_id", "url"])
+    captures = pages.select(F.col("page_id").alias("capture_id"), "url", (F.col("page_id") * 37 % 360).cast("int").alias("fetched"))
+    own, part = urls.host(F.col("url")), F.regexp_extract("url", urls.PATH, 1)
+    kind = F.col("page_id") % 4
+    key = F.when(kind == 0, own).when(kind == 1, F.concat_ws("/", own, part)).otherwise(F.regexp_replace(own, r"^[^.]*\.", ""))
+    action = F.element_at(F.array(F.lit(urls.BLOCK), F.lit(urls.ALLOW), F.lit(urls.WITHDRAW)), (F.col("page_id") * 7 % 11 % 3 + 1).cast("int"))
+    entries = pages.filter("page_id % 3 = 0").select(F.col("page_id").alias("entry_id"), key.alias("key"), (F.col("page_id") * 13 % 360).cast("int").alias("listed"), action.alias("action"))
+    return urls.judge(captures, entries).select(F.col("capture_id").alias("page_id"), "fetched", "key", "listed", "verdict")
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents", ["doc_id", "text"]))
 
@@ -40,6 +53,13 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"]).withColumn("own", F.sha2(F.coalesce("text", F.lit("")), 256))
+    ids = pieces.encode(docs, public_path(PIECES)).withColumns({"n_tokens": (F.length("ids") / 4).cast("long"), "ids_crc32": F.crc32("ids")})
+    back = pieces.decode(ids, public_path(PIECES))
+    return back.select("doc_id", "n_tokens", "ids_crc32", F.length("text").cast("long").alias("n_chars"), (F.sha2("text", 256) == F.col("own")).alias("round_trip"))
+
+
 def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
     return neighbours.nearest(vectors, vectors.filter("vec_id % 50 = 0"))
@@ -59,10 +79,40 @@ QUERIES = {
     "op1_repeated_strings": op1_repeated_strings,
     "op2_quality_rules": op2_quality_rules,
     "op3_packing": op3_packing,
+    "op4_url_lists": op4_url_lists,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_html_extraction": op6_html_extraction,
+    "op7_pieces": op7_pieces,
     "op8_nearest_vectors": op8_nearest_vectors,
     "op9_token_files": op9_token_files,
     "op10_kneser_ney": op10_kneser_ney,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_url_lists": """
+WITH p AS (
+  SELECT page_id, url, CAST(page_id * 37 % 360 AS int) AS fetched,
+    regexp_replace(regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)), '^.*@', ''), '\\.?(:[0-9]*)?$', '') AS host,
+    regexp_extract(coalesce(url, ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/([^/?#]+)', 1) AS part
+  FROM pages),
+e AS (
+  SELECT page_id AS entry_id, CAST(page_id * 13 % 360 AS int) AS listed,
+    CASE page_id % 4 WHEN 0 THEN host WHEN 1 THEN concat_ws('/', host, part) ELSE regexp_replace(host, '^[^.]*\\.', '') END AS key,
+    CASE page_id * 7 % 11 % 3 WHEN 0 THEN 'block' WHEN 1 THEN 'allow' ELSE 'withdraw' END AS action
+  FROM p WHERE page_id % 3 = 0),
+l AS (SELECT page_id, fetched, host, part, string_split(host, '.') AS labels FROM p WHERE host <> ''),
+k AS (
+  SELECT page_id, fetched, host || '/' || part AS key, 1000 AS rank FROM l WHERE part <> ''
+  UNION ALL
+  SELECT page_id, fetched, array_to_string(labels[i:len(labels)], '.') AS key, len(labels) - i + 1 AS rank
+  FROM (SELECT *, unnest(range(1, greatest(len(labels), 2))) AS i FROM l)),
+a AS (
+  SELECT k.page_id, k.rank, k.key, e.listed, e.action,
+    row_number() OVER (PARTITION BY k.page_id, k.key ORDER BY e.listed DESC, e.entry_id DESC) AS n
+  FROM k JOIN e ON k.key = e.key AND e.listed <= k.fetched),
+b AS (
+  SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY rank DESC, key DESC) AS m
+  FROM a WHERE n = 1 AND action <> 'withdraw')
+SELECT p.page_id, p.fetched, b.key, b.listed, coalesce(b.action, 'none') AS verdict
+FROM p LEFT JOIN b ON p.page_id = b.page_id AND b.m = 1
+""",
+}
