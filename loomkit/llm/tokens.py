@@ -9,8 +9,11 @@ import numpy as np
 import pyarrow as pa
 
 #: Words kept with their ids by a Python worker; beyond that they are forgotten and encoded anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
 _PIECE = re.compile(r" (?=\S)")
+#: Signs that end a token of letters and are never part of one with letters or digits.
+_SIGNS = ".,;:!?%#*$&|"
+_LATIN_END = "\u0250"
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -20,11 +23,48 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class WordEncoder(dict):
-    """Little-endian unsigned 32-bit ids of words, encoded when first met.
+def _byte_letters() -> dict[int, int]:
+    """The letters by which byte-level vocabularies write bytes: printable ones stand for themselves, others follow 255."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in plain)
+    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(others)}
 
-    A byte-level BPE file whose pre-tokenizer ends a token before each space that a non-space follows gives a
-    text the ids of its pieces, cut there; so a frequent word is encoded once by a worker.
+
+class _Words(dict):
+    """Ids of words that follow `before`, as bytes; encoded when first met."""
+
+    def __init__(self, tokenizer, before: str, cuts: bool):
+        super().__init__()
+        self.tokenizer, self.before, self.cuts, self.letters = tokenizer, before, cuts, _byte_letters()
+        self.signs: _Words = self
+
+    def __missing__(self, word: str) -> bytes:
+        stem = word.rstrip(_SIGNS)
+        if not self.cuts:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        elif stem.isalpha() and max(stem) < _LATIN_END:
+            if len(stem) < len(word):  # the letters and the signs after them are tokens apart
+                out = self[stem] + self.signs[word[len(stem) :]]
+                self._keep(word, out)
+                return out
+            raw = (self.before + word).encode().decode("latin-1").translate(self.letters)
+            ids = [t.id for t in self.tokenizer.model.tokenize(raw)]
+        else:
+            ids = self.tokenizer.encode(self.before + word, add_special_tokens=False).ids
+        out = np.asarray(ids, "<u4").tobytes()
+        self._keep(word, out)
+        return out
+
+    def _keep(self, word: str, ids: bytes) -> None:
+        if len(word) <= 64:
+            self[word] = ids
+
+
+class WordEncoder:
+    """Little-endian unsigned 32-bit ids of texts.
+
+    With a byte-level BPE file whose pre-tokenizer starts a token at each space that a non-space follows, a text has
+    the ids of its pieces, cut there; so a worker encodes a frequent word once. Other files encode whole texts.
     """
 
     def __init__(self, path: str):
@@ -33,30 +73,26 @@ class WordEncoder(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cuts = 'ByteLevel(add_prefix_space=False' in str(self.tokenizer.pre_tokenizer) and self.tokenizer.normalizer is None
-
-    def __missing__(self, piece: str) -> bytes:
-        out = np.asarray(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(piece) <= 64:
-            self[piece] = out
-        return out
+        self.cuts = str(self.tokenizer.pre_tokenizer).startswith("ByteLevel(add_prefix_space=False") and self.tokenizer.normalizer is None
+        self.first, self.after = _Words(self.tokenizer, "", self.cuts), _Words(self.tokenizer, " ", self.cuts)
+        self.after.signs = self.first
 
     def ids(self, text: str) -> bytes:
         """The ids of a whole text, as bytes."""
         if not text:
             return b""
         if not self.cuts:
-            return self.__missing__(text)
-        first, *rest = _PIECE.split(text) if "  " in text or " \n" in text or " \t" in text else text.split(" ")
-        if not all(rest) or any(x[0].isspace() for x in rest if not x[0].isalnum()):
+            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        first, *rest = text.split(" ")
+        if not all(rest) or (not text.isprintable() and any(not x[0].isalnum() and x[0].isspace() for x in rest)):
             first, *rest = _PIECE.split(text)
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        get = self.__getitem__
-        return b"".join([get(first), *map(get, map(" ".__add__, rest))])
+        if len(self.first) + len(self.after) > CACHE_WORDS:
+            self.first.clear()
+            self.after.clear()
+        head = self.first[first] if first else b""
+        return head + b"".join(map(self.after.__getitem__, rest))
 
 
 def encoder(path: str) -> WordEncoder:
