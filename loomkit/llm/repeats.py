@@ -11,8 +11,10 @@ with the least pointer; equal strings pick alike. A picked suffix owns the run o
 1. Initial buckets are those q-grams. A suffix alone in its bucket leaves; so do strings it owns.
 2. Suffixes of a bucket are refined by pointers at later offsets, over all the bytes that their strings cover. Of
    those still equal the first stays, the strings of others are repeats. A bucket that doesn't split is done.
-3. In buckets that split, each string becomes a suffix of its own, in a bucket of depth `length`; all but the first
-   of a bucket are repeats.
+3. In buckets that split, runs are cut into pieces of at most `BLOCK` strings, at places counted from the picked
+   q-gram. The bucket of such a suffix is named by the bytes common to all strings of a whole piece (depth length -
+   BLOCK + 1), and refined as before; a piece alone in its bucket leaves.
+4. In buckets that still split, each string is a suffix of its own at depth `length`; all but the first are repeats.
 """
 
 from __future__ import annotations
@@ -31,9 +33,12 @@ LENGTH, GRAM = 100, 32
 PIECE, HELD = 1 << 19, 1 << 20
 _PLACE = np.uint64((1 << 20) - 1)
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-#: Kinds of rows: a suffix alone or first of its equals here; a bucket that has split here; strings to sort one by one; repeats.
+#: Strings of a piece in the second round.
+BLOCK = 8
+#: Kinds of rows: a suffix alone or first of its equals here; a bucket that has split here; strings to sort anew; repeats.
 ALONE, SPLIT, STRINGS, REPEAT = 0, 1, 2, 3
-_DDL = "bucket long, refined long, kind int, doc long, ord int, start int, span int"
+_DDL = "bucket long, refined long, doc long, ord int, at long"
+_NAMES = ["bucket", "refined", "doc", "ord", "at"]
 _NULL_DOC = -(2**63)
 
 
@@ -59,13 +64,13 @@ def pointers(data: np.ndarray, depths: tuple[int, ...], seed: int = 1) -> list[n
 
 
 def picked(data: np.ndarray, ends: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(initial bucket, refined pointer, first string, strings after it) of each picked suffix of a piece.
+    """(initial bucket, refined pointer, first string, strings after it, place of the q-gram in it) of each picked suffix.
 
     The piece holds whole texts or parts of one, from starts to ends; strings don't cross them.
     """
     empty = np.zeros(0, np.int64)
     if len(data) < length:
-        return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty
+        return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty
     short, long = pointers(data, (GRAM, 2 * GRAM))
     grams, low = length - GRAM + 1, short & ~_PLACE
     low |= _PLACE - np.arange(len(short), dtype=np.uint64)
@@ -80,15 +85,49 @@ def picked(data: np.ndarray, ends: np.ndarray, starts: np.ndarray, length: int =
         valid[a:b] = False
     strings = np.flatnonzero(valid)
     if not len(strings):
-        return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty
+        return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty
     gram = (_PLACE - (low[strings] & _PLACE)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
     last = np.concatenate([first[1:], [len(gram)]]) - 1
     at, begin, stop = gram[first], strings[first], strings[last] + length
     size = stop - begin
-    refined = _refine(_refine(long[begin], long[begin + (size - 2 * GRAM) // 2]), long[stop - 2 * GRAM])
-    refined = mix(refined + (size.astype(np.uint64) << np.uint64(20)) + (at - begin).astype(np.uint64))
-    return short[at], refined, begin, strings[last] - begin
+    return short[at], _whole(long, begin, size, at - begin), begin, strings[last] - begin, at - begin
+
+
+def _whole(long: np.ndarray, begin: np.ndarray, size: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Pointers at depth `size` (2 * GRAM to 6 * GRAM), told apart by size and place."""
+    refined = _refine(_refine(long[begin], long[begin + (size - 2 * GRAM) // 2]), long[begin + size - 2 * GRAM])
+    return mix(refined + (size.astype(np.uint64) << np.uint64(20)) + place.astype(np.uint64))
+
+
+def _at(start: np.ndarray, span: np.ndarray, place: np.ndarray, kind: np.ndarray | int) -> np.ndarray:
+    """start (31 bits), span (20), place (7) and kind (2) in one number that ascends with start."""
+    return (start << 29) | (span << 9) | (place << 2) | kind
+
+
+def _batches(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(columns[0]), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000]) for c in columns], names=_NAMES)
+
+
+def _repeats(doc: np.ndarray, order: np.ndarray, start: np.ndarray, span: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of repeated strings; runs that touch or overlap become one."""
+    if not len(doc):
+        return
+    by = np.lexsort((start, order, doc))
+    doc, order, start, span = doc[by], order[by], start[by], span[by]
+    new_doc = np.concatenate([[True], (doc[1:] != doc[:-1]) | (order[1:] != order[:-1])])
+    stop = start + span
+    base = np.cumsum(new_doc) * (1 << 32)  # keeps the running maximum inside a document
+    reach = np.maximum.accumulate(stop + base) - base
+    first = np.flatnonzero(np.concatenate([[True], new_doc[1:] | (start[1:] > reach[:-1] + 1)]))
+    last = np.concatenate([first[1:], [len(doc)]]) - 1
+    doc, order, start, span = doc[first], order[first], start[first], reach[last] - start[first]
+    parts = span // (1 << 20) + 1
+    inside = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    doc, order, start, span = (np.repeat(x, parts) for x in (doc, order, start, span))
+    start, span = start + (inside << 20), np.minimum(span - (inside << 20), (1 << 20) - 1)
+    yield from _batches(mix(doc.view(np.uint64)).view(np.int64), np.zeros(len(doc), np.int64), doc, order.astype(np.int32), _at(start, span, np.zeros_like(start), REPEAT))
 
 
 def _pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -111,29 +150,23 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tupl
         yield int(offsets[held[0]]), int(offsets[held[-1] + 1]), np.asarray(held)
 
 
-def _sorted_rows(bucket, refined, doc, order, start, span) -> Iterator[pa.RecordBatch]:
-    """Rows of one task's suffixes: of each bucket one row, if it hasn't split here."""
+def _sorted_rows(bucket, refined, doc, order, start, span, place, last: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows of one task's suffixes: of each bucket one row, if it hasn't split here; in the last round of each class."""
     by = np.lexsort((start, order, doc, refined, bucket))
-    bucket, refined, doc, order, start, span = (x[by] for x in (bucket, refined, doc, order, start, span))
+    bucket, refined, doc, order, start, span, place = (x[by] for x in (bucket, refined, doc, order, start, span, place))
     new_bucket = np.concatenate([[True], bucket[1:] != bucket[:-1]])
     new_class = new_bucket | np.concatenate([[True], refined[1:] != refined[:-1]])
     same_place = ~new_class & np.concatenate([[False], (doc[1:] == doc[:-1]) & (order[1:] == order[:-1]) & (start[1:] == start[:-1])])
     group = np.cumsum(new_bucket) - 1
-    splits = (np.bincount(group, weights=new_class) > 1)[group]
-    kind = np.where(new_class, np.where(splits, STRINGS, ALONE), REPEAT).astype(np.int32)
-    keep = ~same_place
-    spread = mix(doc.view(np.uint64))
-    key = np.where(kind == ALONE, bucket, spread)
-    marks = np.flatnonzero(new_bucket & splits)
+    splits = (np.bincount(group, weights=new_class) > 1)[group] & (not last)
+    old = ~new_class & ~same_place
+    yield from _repeats(doc[old], order[old], start[old], span[old])
+    for keep, kind in ((new_class & ~splits, ALONE), (new_class & splits, STRINGS)):
+        key = bucket[keep] if kind == ALONE else mix(doc[keep].view(np.uint64))
+        yield from _batches(key.view(np.int64), refined[keep].view(np.int64) * (kind == ALONE), doc[keep], order[keep].astype(np.int32), _at(start[keep], span[keep], place[keep], kind))
+    marks = bucket[new_bucket & splits].view(np.int64)
     none = np.zeros(len(marks), np.int64)
-    columns = [
-        np.concatenate([key[keep], bucket[marks]]).view(np.int64), np.concatenate([np.where(kind == ALONE, refined, 0)[keep], none.view(np.uint64)]).view(np.int64),
-        np.concatenate([kind[keep], np.full(len(marks), SPLIT, np.int32)]), np.concatenate([doc[keep], none]), np.concatenate([order[keep], none]).astype(np.int32),
-        np.concatenate([start[keep], none]).astype(np.int32), np.concatenate([span[keep], none]).astype(np.int32),
-    ]
-    names = ["bucket", "refined", "kind", "doc", "ord", "start", "span"]
-    for a in range(0, len(columns[0]), 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000]) for c in columns], names=names)
+    yield from _batches(marks, none, none, none.astype(np.int32), none + SPLIT)
 
 
 def _sample(length: int):
@@ -144,9 +177,9 @@ def _sample(length: int):
             doc, order = (batch.column(c).to_numpy() for c in ("doc", "ord"))
             for a, b, texts in _pieces(data, offsets, length):
                 starts, ends = np.maximum(offsets[texts], a) - a, np.minimum(offsets[texts + 1], b) - a
-                bucket, refined, begin, span = picked(data[a:b], ends, starts, length)
+                bucket, refined, begin, span, place = picked(data[a:b], ends, starts, length)
                 own = texts[np.searchsorted(starts, begin, "right") - 1]
-                held.append((bucket, refined, doc[own], order[own].astype(np.int64), begin + a - offsets[own], span))
+                held.append((bucket, refined, doc[own], order[own].astype(np.int64), begin + a - offsets[own], span, place))
                 n += len(begin)
                 if n >= HELD:
                     yield from _sorted_rows(*map(np.concatenate, zip(*held, strict=True)))
@@ -157,48 +190,21 @@ def _sample(length: int):
     return run
 
 
-def _strings(length: int):
-    """Strings to sort one by one, with two independent pointers at full depth; repeats found so far go with them."""
-
-    def rows(first, second, kind, doc, order, start, span) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "refined", "kind", "doc", "ord", "start", "span"]
-        columns = [first.view(np.int64), second.view(np.int64), kind.astype(np.int32), doc, order.astype(np.int32), start.astype(np.int32), span.astype(np.int32)]
-        for a in range(0, len(doc), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000]) for c in columns], names=names)
-
-    def sort(held) -> Iterator[pa.RecordBatch]:
-        first, second, doc, order, start = map(np.concatenate, zip(*held, strict=True))
-        by = np.lexsort((start, order, doc, second, first))
-        first, second, doc, order, start = (x[by] for x in (first, second, doc, order, start))
-        new = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
-        same = ~new & np.concatenate([[False], (doc[1:] == doc[:-1]) & (order[1:] == order[:-1]) & (start[1:] == start[:-1])])
-        zero = np.zeros(new.sum(), np.int64)
-        yield from rows(first[new], second[new], zero + ALONE, doc[new], order[new], start[new], zero)
-        old = ~new & ~same
-        doc, order, start = doc[old], order[old], start[old]
-        if not len(doc):
-            return
-        by = np.lexsort((start, order, doc))
-        doc, order, start = doc[by], order[by], start[by]
-        cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (order[1:] != order[:-1]) | (start[1:] != start[:-1] + 1)]))
-        span = np.concatenate([cut[1:], [len(doc)]]) - 1 - cut
-        spread = mix(doc[cut].view(np.uint64))
-        yield from rows(spread, np.zeros(len(cut), np.uint64), np.full(len(cut), REPEAT), doc[cut], order[cut], start[cut], span)
+def _sort_again(length: int, block: int):
+    """Runs of strings as suffixes of at most `block` strings each; repeats found so far go with them."""
+    core = length - block + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            found = batch.column("found")
-            counts = np.diff(found.offsets.to_numpy()) if len(found) else np.zeros(0, np.int64)
-            flat = found.flatten()
-            kind, start, span = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+            counts = np.diff(batch.column("found").offsets.to_numpy()) if batch.num_rows else np.zeros(0, np.int64)
+            at = batch.column("found").flatten().to_numpy()
+            start, span, place, kind = at >> 29, (at >> 9) & ((1 << 20) - 1), (at >> 2) & 127, at & 3
             row = np.repeat(np.arange(batch.num_rows), counts)
-            doc, order = (batch.column(c).to_numpy().astype(np.int64) for c in ("doc", "ord"))
+            doc, order = (batch.column(c).to_numpy().astype(np.int64)[row] for c in ("doc", "ord"))
             old = kind == REPEAT
-            if old.any():
-                spread = mix(doc[row[old]].view(np.uint64))
-                yield from rows(spread, np.zeros(old.sum(), np.uint64), kind[old], doc[row[old]], order[row[old]], start[old], span[old])
+            yield from _repeats(doc[old], order[old], start[old], span[old])
             todo = np.flatnonzero(~old)
             sizes = span[todo] + length
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(np.cumsum(sizes) // PIECE)) + 1, [len(todo)]])
@@ -207,22 +213,34 @@ def _strings(length: int):
                 if not len(own):
                     continue
                 size = span[own] + length
-                place = np.cumsum(size) - size
-                inside = np.arange(size.sum()) - np.repeat(place, size)
-                piece = data[np.repeat(offsets[row[own]] + start[own], size) + inside]
-                at = np.flatnonzero(inside <= np.repeat(span[own], size))
-                which = np.repeat(own, span[own] + 1)
-                key = []
-                for seed in (1, 2):
-                    (half,) = pointers(piece, (2 * GRAM,), seed)
-                    key.append(mix(_refine(half[at], half[at + length - 2 * GRAM])))
-                held.append((*key, doc[row[which]], order[row[which]], start[which] + inside[at]))
-                n += len(at)
+                piece = np.cumsum(size) - size  # where each run's bytes begin among those of all
+                inside = np.arange(size.sum()) - np.repeat(piece, size)
+                raw = data[np.repeat(offsets[row[own]] + start[own], size) + inside]
+                # strings by their distance before the q-gram: those of one multiple of block are a suffix
+                gram = start[own] + place[own]
+                far, near = place[own] // block, (place[own] - span[own]) // block
+                parts = far - near + 1
+                which = np.repeat(np.arange(len(own)), parts)
+                k = np.repeat(far, parts) - (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+                first = np.maximum(gram[which] - (k + 1) * block + 1, start[own][which])
+                last = np.minimum(gram[which] - k * block, (start[own] + span[own])[which])
+                begin = first - start[own][which] + piece[which]
+                (long,) = pointers(raw, (2 * GRAM,))
+                head = gram[which] - k * block - start[own][which] + piece[which]
+                bucket = mix(_refine(long[head], long[head + core - 2 * GRAM]))
+                if block > 1:
+                    refined = _whole(long, begin, last - first + length, head - begin)
+                else:
+                    (long,) = pointers(raw, (2 * GRAM,), seed=2)
+                    refined = mix(_refine(long[head], long[head + core - 2 * GRAM]))
+                rows = own[which]
+                held.append((bucket, refined, doc[rows], order[rows], first, last - first, gram[which] - first))
+                n += len(first)
                 if n >= HELD:
-                    yield from sort(held)
+                    yield from _sorted_rows(*map(np.concatenate, zip(*held, strict=True)), last=block == 1)
                     held, n = [], 0
         if n:
-            yield from sort(held)
+            yield from _sorted_rows(*map(np.concatenate, zip(*held, strict=True)), last=block == 1)
 
     return run
 
@@ -238,8 +256,9 @@ def _cut(length: int, columns: list[str]):
                     spans.append([])
                     kept.append(raw)
                     continue
-                start = found.values.field("start").to_numpy().astype(np.int64)
-                stop = start + found.values.field("span").to_numpy() + length
+                at = found.values.to_numpy()
+                start = at >> 29
+                stop = start + ((at >> 9) & ((1 << 20) - 1)) + length
                 by = np.argsort(start, kind="stable")
                 start, stop = start[by], np.maximum.accumulate(stop[by])
                 new = np.concatenate([[True], start[1:] > stop[:-1]])
@@ -272,27 +291,30 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     twice = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count()
     order = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("text")) if twice else F.lit(0)
     texts = docs.select(doc, order.alias("ord"), *columns, "text")
-    sampled = texts.select("doc", "ord", "text").mapInArrow(_sample(length), _DDL)
-    found = _first(sampled).filter("kind in (2, 3) or place > 1 or low <> high or split")
-    kind = F.when((F.col("kind") == REPEAT) | ((F.col("kind") == ALONE) & (F.col("place") > 1)), REPEAT).otherwise(STRINGS)
-    found = found.filter(f"kind <> {SPLIT}").withColumn("kind", kind)
-    split = texts.join(_by_doc(found, "kind", "start", "span").hint("shuffle_hash"), ["doc", "ord"]).mapInArrow(_strings(length), _DDL)
-    place = F.rank().over(Window.partitionBy("bucket", "refined").orderBy("doc", "ord", "start"))
-    repeats = split.repartition("bucket").withColumn("place", place).filter(f"kind = {REPEAT} or place > 1")
-    out = texts.join(_by_doc(repeats, "start", "span").hint("shuffle_hash"), ["doc", "ord"], "left")
+    rows = texts.select("doc", "ord", "text").mapInArrow(_sample(length), _DDL)
+    for block in (BLOCK, 1):
+        found = texts.join(_by_doc(_settled(rows)).hint("shuffle_hash"), ["doc", "ord"])
+        rows = found.mapInArrow(_sort_again(length, block), _DDL)
+    place = F.rank().over(Window.partitionBy("bucket", "refined").orderBy("doc", "ord", "at"))
+    repeats = rows.repartition("bucket").withColumn("place", place).filter(f"at & 3 = {REPEAT} or place > 1")
+    out = texts.join(_by_doc(repeats).hint("shuffle_hash"), ["doc", "ord"], "left")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
     return out.mapInArrow(_cut(length, columns), f"{schema}, n_bytes long, spans array<struct<start:int,stop:int>>, kept binary")
 
 
-def _first(rows: DataFrame) -> DataFrame:
-    """rows with their place among equals and whether their bucket splits. A task sends one row of a bucket at most."""
-    equal = Window.partitionBy("bucket", "refined").orderBy("doc", "ord", "start")
+def _settled(rows: DataFrame) -> DataFrame:
+    """Rows that stay: repeats, and the first of equals where the bucket splits. A task sends one row of a bucket at most."""
+    equal = Window.partitionBy("bucket", "refined").orderBy("doc", "ord", "at")
     bucket = Window.partitionBy("bucket")
-    alone = F.when(F.col("kind") == ALONE, F.col("refined"))
-    return rows.repartition("bucket").withColumn("place", F.rank().over(equal)).withColumns({
-        "low": F.min(alone).over(bucket), "high": F.max(alone).over(bucket), "split": F.max(F.col("kind") == SPLIT).over(bucket),
+    kind = F.col("at").bitwiseAND(3)
+    alone = F.when(kind == ALONE, F.col("refined"))
+    placed = rows.repartition("bucket").withColumn("place", F.rank().over(equal)).withColumns({
+        "low": F.min(alone).over(bucket), "high": F.max(alone).over(bucket), "split": F.max(kind == SPLIT).over(bucket),
     })
+    again = placed.filter((kind == REPEAT) | (kind == STRINGS) | ((kind == ALONE) & ((F.col("place") > 1) | (F.col("low") != F.col("high")) | F.col("split"))))
+    new = F.when((kind == ALONE) & (F.col("place") > 1), REPEAT).when(kind == ALONE, STRINGS).otherwise(kind)
+    return again.withColumn("at", (F.col("at") - kind + new).cast("long"))
 
 
-def _by_doc(rows: DataFrame, *columns: str) -> DataFrame:
-    return rows.groupBy("doc", "ord").agg(F.collect_list(F.struct(*columns)).alias("found"))
+def _by_doc(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("doc", "ord").agg(F.collect_list("at").alias("found"))
