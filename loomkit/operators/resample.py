@@ -25,7 +25,7 @@ def oversample(samples: DataFrame, labels: LabelSet, rate: float, chance: Column
     wanted = F.when(F.col("label") != labels.default, _copies(rates, chance)).otherwise(0)
     out = samples.withColumn("copy", F.explode(F.sequence(F.lit(0), wanted)))
     number = F.row_number().over(Window.partitionBy("channel", F.col("copy") > 0).orderBy("sent_index", "copy")) - 1
-    out = out.withColumn("_k", number).withColumn("channel", F.when(F.col("copy") == 0, F.col("channel")).otherwise(F.concat(F.col("channel").cast("string"), F.lit("#aug"), F.col("_k")))).drop("_k")
+    out = out.withColumn("_k", number).withColumn("channel", F.when(F.col("copy") == 0, F.col("channel").cast("string")).otherwise(F.concat(F.col("channel").cast("string"), F.lit("#aug"), F.col("_k")))).drop("_k")
     if "rationales" in samples.columns:
         n = F.size("rationales")
         turned = F.when((F.col("copy") > 0) & (n > 1), F.pmod(F.col("copy"), n) + 1).otherwise(1)
