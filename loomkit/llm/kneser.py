@@ -63,6 +63,12 @@ def _summed(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
     return [keys[new], *(np.add.reduceat(v[by], new) for v in values)]
 
 
+def _runs(piece: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(from, to) of each run of one piece."""
+    edges = np.flatnonzero(piece[1:] != piece[:-1]) + 1
+    return zip([0, *edges.tolist()], [*edges.tolist(), len(piece)], strict=True) if len(piece) else iter(())
+
+
 def _write(folder: str, name: str, array: np.ndarray) -> str:
     """Writes an array as a file of its own name and gives its place."""
     fs, root = filesystem(folder)
@@ -131,8 +137,7 @@ class Arrays:
         distinct, back = np.unique(hashes, return_inverse=True)
         number, count = np.full(len(distinct), -1, np.int64), np.zeros(len(distinct), np.int64)
         piece = _dealt(distinct, self.model.pieces)
-        cuts = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]])) if len(piece) else []
-        for a, b in zip(cuts, [*cuts[1:], len(piece)], strict=True):
+        for a, b in _runs(piece):
             k = self.of_piece.get(int(piece[a]))
             if k is None:
                 continue
@@ -148,8 +153,7 @@ class Arrays:
         distinct, back = np.unique(numbers, return_inverse=True)
         out = [np.zeros(len(distinct)) for _ in names]
         piece = fact_piece(distinct, self.model)
-        cuts = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]])) if len(piece) else []
-        for a, b in zip(cuts, [*cuts[1:], len(piece)], strict=True):
+        for a, b in _runs(piece):
             held = self.facts.get(int(piece[a]))
             if distinct[a] < 0:
                 a = a + int(np.searchsorted(distinct[a:b], 0))
@@ -166,8 +170,7 @@ class Arrays:
         by = np.lexsort((key, piece))
         key, piece = key[by], piece[by]
         found = np.zeros(len(key), np.int64)
-        cuts = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]])) if len(piece) else []
-        for a, b in zip(cuts, [*cuts[1:], len(piece)], strict=True):
+        for a, b in _runs(piece):
             if (held := self.bigrams.get(int(piece[a]))) is None:
                 continue
             keys, counts, large = held
@@ -218,8 +221,7 @@ def _count_words(pieces: int):
     def deal(held) -> Iterator[pa.RecordBatch]:
         keys, counts = _summed(*map(np.concatenate, zip(*held, strict=True)))
         piece = _dealt(keys, pieces)
-        cuts = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]]))
-        rows = [(int(piece[a]), _packed(keys[a:b] >> _WIDE, keys[a:b] & np.uint64(2**32 - 1), np.minimum(counts[a:b], 2**32 - 1))) for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True)]
+        rows = [(int(piece[a]), _packed(keys[a:b] >> _WIDE, keys[a:b] & np.uint64(2**32 - 1), np.minimum(counts[a:b], 2**32 - 1))) for a, b in _runs(piece)]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["piece", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,9 +259,8 @@ def _count_bigrams(model: Model):
         piece = bigram_piece((keys >> _WIDE).astype(np.int64), keys, spread > 0, model.pieces)
         by = np.argsort(piece, kind="stable")
         keys, counts, piece = keys[by], counts[by], piece[by]
-        cuts = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]]))
         rows = []
-        for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True):
+        for a, b in _runs(piece):
             left = (keys[a:b] >> _WIDE).astype(np.int64)
             rows.append((int(piece[a]), _packed(np.diff(left, prepend=0), keys[a:b] & np.uint64(2**32 - 1), counts[a:b])))
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["piece", "data"])
@@ -305,8 +306,7 @@ def _keep_bigrams(folder: str, model: Model):
         ):
             own, *values = [facts[0], *(v.astype(np.int64) for v in facts[1:])]
             piece = fact_piece(own, model)
-            cuts = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]]))
-            for a, b in zip(cuts, [*cuts[1:], len(own)], strict=True):
+            for a, b in _runs(piece):
                 rows.append({"kind": kind, "piece": int(piece[a]), "data": _packed(own[a:b] - fact_first(int(piece[a]), model), *(v[a:b] for v in values))})
         return pa.Table.from_pylist(rows, schema=_BIGRAM_SCHEMA)
 

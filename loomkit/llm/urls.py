@@ -19,7 +19,7 @@ def host(url: Column) -> Column:
 
 
 def keys(url: Column) -> Column:
-    """The list keys that cover a URL, with their rank: its host and the domains above it (number of labels), host and first part of the path (1000)."""
+    """The list keys that cover a URL, with their rank: its host and the domains above it down to two labels (their number), host and first part of the path (1000)."""
     own = host(url)
     labels = F.split(own, r"\.")
     n = F.size(labels)
