@@ -30,7 +30,7 @@ def numbered_lines(texts: DataFrame, key: str, text: str) -> DataFrame:
     flagged = F.transform(lines, lambda x: x.rlike(r"(?i)^\s*FINAL\s*:"))
     last = F.array_position(flagged, True)
     body = F.when(last > 0, F.slice(lines, F.lit(1), (last - 1).cast("int")))
-    final = F.split(F.regexp_extract(F.element_at(lines, last.cast("int")), r":(.*)$", 1), r"\|\|\|")
+    final = F.split(F.regexp_extract(F.get(lines, (last - 1).cast("int")), r":(.*)$", 1), r"\|\|\|")
     rows = texts.filter(last > 0).select(key, body.alias("body"), final.alias("final"))
     start = F.struct(F.array().cast("array<struct<i:int,t:string>>").alias("done"), F.lit(None).cast("struct<i:int,t:string>").alias("now"))
 
@@ -51,7 +51,7 @@ def numbered_lines(texts: DataFrame, key: str, text: str) -> DataFrame:
     index = F.array_sort(F.transform("entries", lambda e: e["i"]))
     aligned = found.filter((F.size("final") > 1) & (F.size("entries") == F.size("final")) & (index == F.sequence(F.lit(1), F.size("final"))))
     out = aligned.select(key, "final", F.explode("entries").alias("e"))
-    return out.select(key, F.col("e.i").alias("index"), F.col("e.t").alias("entry"), F.trim(F.element_at("final", F.col("e.i"))).alias("final"))
+    return out.select(key, F.col("e.i").alias("index"), F.col("e.t").alias("entry"), F.trim(F.get("final", F.col("e.i") - 1)).alias("final"))
 
 
 def judged_entries(entries: DataFrame, labels, default_verdict: Column) -> DataFrame:

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from loomkit.config import LabelSet
 from loomkit.functions.labels import refers_to_figure
 
+#: Rows of a matching block.
+BLOCK = 4096
+
 
 def donors(sentences: DataFrame, classes: list[str]) -> DataFrame:
     """Sentences with one gold label, of the given classes, that don't refer to a figure or table."""
@@ -23,7 +26,7 @@ def anchors(sentences: DataFrame, labels: LabelSet, classes: list[str], least: i
     return by.filter((F.col("n") >= least) & (F.col("_m") == 1) & (F.col("_f") == 1)).select("id", "n")
 
 
-def match(donor: DataFrame, anchor: DataFrame, store, rounds: int = 12, seed: int = 0) -> DataFrame:
+def match(donor: DataFrame, anchor: DataFrame, store, rounds: int = 32, seed: int = 0) -> DataFrame:
     """(donor_id, anchor_id): a maximal one-to-one matching of other domain, disjoint nouns and other group.
 
     donor: donor_id, id, domain, nouns; anchor: id, domain, nouns. In each round every free donor meets one free
@@ -33,8 +36,9 @@ def match(donor: DataFrame, anchor: DataFrame, store, rounds: int = 12, seed: in
     """
     done, left, right = None, donor, anchor
     empty = 0
+    blocks = max(1, -(-min(donor.count(), anchor.count()) // BLOCK))
     for k in range(rounds):
-        deal = lambda df, key, salt: df.withColumn("_b", F.pmod(F.xxhash64(F.lit(salt), key), F.lit(64)).cast("int")).withColumn("_n", F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64(F.lit(salt), key), key)))
+        deal = lambda df, key, salt: df.withColumn("_b", F.pmod(F.xxhash64(F.lit(salt), key), F.lit(blocks)).cast("int")).withColumn("_n", F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64(F.lit(salt), key), key)))
         l = deal(left, F.col("donor_id"), seed + 2 * k)
         r = deal(right.select(F.col("id").alias("anchor_id"), F.col("domain").alias("_d"), F.col("nouns").alias("_p")), F.col("anchor_id"), seed + 2 * k + 1)
         met = l.join(r, ["_b", "_n"]).filter((F.col("domain") != F.col("_d")) & ~F.arrays_overlap("nouns", "_p") & (F.col("id") != F.col("anchor_id")))

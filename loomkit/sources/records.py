@@ -2,28 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomkit.operators.densify import keep_one
 
-CAPTION = "image_caption string, table_caption string, caption string"
-RECORD = T.StructType.fromDDL(
-    f"id string, claim_text string, evidence_bundle array<struct<type:string,img_path:string,{CAPTION.replace(' ', ':').replace(',:', ',')}>>, "
+#: Schemas as DDL. Captions may hold a string or a list of strings; they are read as text and parsed where used.
+RECORD = (
+    "id string, claim_text string, evidence_bundle array<struct<type:string,img_path:string,image_caption:string,table_caption:string,caption:string>>, "
     "sentence_label array<struct<sentence:string,types:array<string>>>"
 )
-PREDICTION = T.StructType.fromDDL("id string, sent_index int, label string, raw string, logprob double, min_logprob double, sum_logprob double, n_tokens int, parsed_ok boolean")
-SUBMISSION = T.StructType.fromDDL("id string, labels array<string>")
-ATTEMPT = T.StructType.fromDDL("record_id string, sent_idx int, k int, try int, attempt int, status string, raw string, ts double, dur_s double")
+PREDICTION = "id string, sent_index int, label string, raw string, logprob double, min_logprob double, sum_logprob double, n_tokens int, parsed_ok boolean"
+SUBMISSION = "id string, labels array<string>"
+ATTEMPT = "record_id string, sent_idx int, k int, try int, attempt int, status string, raw string, ts double, dur_s double"
 
 
-def scan(spark: SparkSession, path: str, schema: T.StructType, mode: str = "FAILFAST") -> DataFrame:
+def scan(spark: SparkSession, path: str, schema: str, mode: str = "FAILFAST") -> DataFrame:
     """JSON lines; blank lines are skipped, a broken line fails (FAILFAST) or goes (DROPMALFORMED)."""
     return spark.read.schema(schema).option("mode", mode).json(path)
 
 
-def scan_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def scan_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A log that may have broken lines or not exist yet."""
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -38,16 +38,15 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     Lines are numbered within each part of a file and the parts' offsets added, so no task holds a whole file.
     """
     raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("_m"), "value")
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy("file", "block").orderBy("_m")) - 1
     counts = raw.groupBy("file", "block").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return raw.withColumn("_p", place).join(counts.select("file", "block", before.alias("_b")), ["file", "block"]).select("file", (F.col("_b") + F.col("_p")).alias("line"), "value")
 
 
-def scan_strict(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+def scan_strict(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(rows with file and line, broken lines with file and line) of JSON lines."""
+    schema = T.StructType.fromDDL(schema)
     lines = numbered_lines(spark, path).filter(F.trim("value") != "")
     parsed = lines.withColumn("_r", F.from_json("value", T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
     good = parsed.filter(F.col("_r._corrupt").isNull()).select("file", "line", *[F.col(f"_r.{f.name}") for f in schema.fields])
@@ -68,7 +67,7 @@ def last_of(df: DataFrame, keys: list[str], order: str = "line") -> DataFrame:
     return keep_one(df, keys, [order], last=True)
 
 
-def members(spark: SparkSession, glob: str, schema: T.StructType, names: dict[str, str] | None = None) -> DataFrame:
+def members(spark: SparkSession, glob: str, schema: str, names: dict[str, str] | None = None) -> DataFrame:
     """Files of many members with the column member, the file's stem or the name that `names` gives it."""
     stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^./]*)?$", 1)
     named: Column = F.coalesce(*[F.when(stem == k, F.lit(v)) for k, v in (names or {}).items()], stem)
