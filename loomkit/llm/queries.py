@@ -87,7 +87,32 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_kneser_ney": op10_kneser_ney,
 }
+
+
+def _passes(rule: quality.Rule) -> str:
+    scale, unit = ("", "1") if rule.bottom is None else ("100 * ", rule.bottom)
+    parts = [f"{scale}{rule.top} >= {rule.low} * {unit}"] * (rule.low is not None) + [f"{scale}{rule.top} <= {rule.high} * {unit}"] * (rule.high is not None)
+    return " AND ".join(parts)
+
+
+_STOP = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
 SQL: dict[str, str] = {
+    "op2_quality_rules": rf"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')) AS ls FROM documents),
+g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+d AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM g) WHERE c > 1),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM d CROSS JOIN range(0, 3) t(k) GROUP BY doc_id),
+m AS (
+  SELECT w.doc_id, len(ws) AS n_words, len(ls) AS n_lines, length(array_to_string(ws, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(list_filter(ws, lambda x: lower(x) IN ({_STOP}))) AS n_stop_words,
+    len(list_filter(ws, lambda x: lower(x) <> x AND upper(x) = x AND length(x) > 1)) AS n_upper_words, len(list_filter(ws, lambda x: suffix(x, '!!'))) AS n_exclaimed,
+    len(list_filter(ls, lambda x: regexp_matches(x, '^\s*[-*•]'))) AS n_bullet_lines, len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) AS n_ellipsis_lines
+  FROM w LEFT JOIN r USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, NOT ({" AND ".join(map(_passes, quality.BASE_RULES))}) AS base_failed,
+  {" AND ".join(map(_passes, (*quality.BASE_RULES, *quality.RULES)))} AS kept FROM m
+""",
     "op4_url_lists": """
 WITH p AS (
   SELECT page_id, url, CAST(page_id * 37 % 360 AS int) AS fetched,
