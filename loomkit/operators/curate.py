@@ -113,3 +113,16 @@ def status_counts(log: DataFrame, keys: tuple[str, ...] = ("status",)) -> DataFr
 def last_terminal(log: DataFrame, keys: list[str], terminal: list[str], order: str) -> DataFrame:
     """The last terminal status of each task."""
     return log.filter(F.col("status").isin(*terminal)).groupBy(*keys).agg(F.max_by("status", order).alias("status"))
+
+
+def first_verdicts(audit: DataFrame, units: DataFrame) -> DataFrame:
+    """For each target label the units verified and the share that passed at the first try."""
+    first = audit.filter("phase = 'verify'").groupBy("unit_key").agg(F.min_by("verdict", "seq").alias("verdict"))
+    by = units.join(first, "unit_key").groupBy("target_label")
+    return by.agg(F.count("*").alias("verified"), F.avg((F.col("verdict") == "PASS").cast("double")).alias("passed"))
+
+
+def acceptance_by_class(judged: DataFrame) -> DataFrame:
+    """For each target label: entries, accepted ones, and those that hit the target or any gold label."""
+    counts = [F.count_if(F.col(c)).alias(c) for c in ("accepted", "hit_target", "hit_anyof")]
+    return judged.groupBy("target_label").agg(F.count("*").alias("entries"), *counts)

@@ -117,3 +117,13 @@ def attach_rationales(rows: DataFrame, units: DataFrame, side: str = "train") ->
     """rows (id, sent_index, split) with the array `rationales` of their units, on one side of the split only."""
     by = units.groupBy(F.col("record_id").alias("id"), F.col("sent_idx").alias("sent_index")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "rationale"))), lambda x: x["rationale"]).alias("_r"))
     return rows.join(by, ["id", "sent_index"], "left").withColumn("rationales", F.when(F.col("split") == side, F.col("_r"))).drop("_r")
+
+
+def gold_export(records: DataFrame, splits: DataFrame, side: str = "dev") -> DataFrame:
+    """Records of one side with their ids and gold labels."""
+    return records.join(splits.filter(F.col("split") == side).select("id"), "id", "left_semi").select("id", "claim_text", "evidence_bundle", "sentence_label")
+
+
+def few_images(corpus: DataFrame, most: int = 2) -> DataFrame:
+    """Samples with no more images than that."""
+    return corpus.filter(F.coalesce(F.size("images"), F.lit(0)) <= most)

@@ -112,3 +112,17 @@ def guaranteed_sample(groups: DataFrame, order: Column, n: int, floor: int) -> D
     needed = rich.filter((F.col("_before") < floor) & (F.col("minority") > 0)).select(*groups.columns)
     tagged = groups.join(needed.select("id", F.lit(0).alias("_tier")), "id", "left").withColumn("_tier", F.coalesce("_tier", F.lit(1)))
     return tagged.orderBy("_tier", order, "id").limit(n).select(*groups.columns)
+
+
+def hard_subset(gold: DataFrame, preds: DataFrame, default: str, least: int) -> tuple[DataFrame, DataFrame]:
+    """gold (id, types, ...) and preds of groups with `least` sentences and more and a minority label."""
+    minority = F.count_if(F.exists("types", lambda t: t != default))
+    chosen = gold.groupBy("id").agg(F.count("*").alias("_n"), minority.alias("_m")).filter((F.col("_n") >= least) & (F.col("_m") > 0)).select("id")
+    return gold.join(chosen, "id", "left_semi"), preds.join(chosen, "id", "left_semi")
+
+
+def split_summary(gold: DataFrame, splits: DataFrame, default: str) -> DataFrame:
+    """For each side: groups, sentences and hard groups (label null), and the sentences of each first label."""
+    rows = gold.join(splits, "id").select("split", "id", F.get("types", F.lit(0)).alias("label"))
+    hard = F.count_distinct(F.when(F.col("label") != default, F.col("id")))
+    return rows.groupingSets([["split"], ["split", "label"]], "split", "label").agg(F.count_distinct("id").alias("groups"), F.count("*").alias("sentences"), hard.alias("hard"))

@@ -673,3 +673,121 @@ def quality_scores(spark, d):
     two = LabelSet(("0", "1"), "0", ("1",), ("1",))
     rows = fx.read(spark, d, "labels").select(F.col("doc_id").alias("id"), F.lit(0).alias("sent_index"), F.array(F.col("toxic").cast("string")).alias("types"), F.col("quality").cast("string").alias("label"))
     return score.per_label(score.credited(rows.drop("label"), rows.drop("types"), two), two).select("label", "tp", "fp", "fn")
+
+
+_JOINT = _PRED + """, j AS (SELECT member, id, list(label ORDER BY sent_index) AS ls, count(*) AS n FROM pred GROUP BY member, id)"""
+
+
+def _joint(spark, d) -> DataFrame:
+    by = densify.to_submission(fx.predictions(spark, d), ("member",))
+    quoted = F.transform("labels", lambda x: F.concat(F.lit('"'), x, F.lit('"')))
+    shape = F.col("id") % 4
+    raw = (
+        F.when(shape == 0, F.concat(F.lit('{"labels": ['), F.array_join(quoted, ", "), F.lit("]}"))).when(shape == 1, F.concat(F.lit("I say "), F.array_join(quoted, " then ")))
+        .when(shape == 2, F.concat(F.lit("so\nFINAL: "), F.array_join("labels", " ||| "), F.lit("\nend"))).otherwise("no answer")
+    )
+    return by.select("member", "id", "labels", F.size("labels").alias("n"), raw.alias("raw"))
+
+
+@query("joint_labels", _JOINT + " SELECT member, id, CASE WHEN id % 4 < 2 THEN array_to_string(ls, '|') ELSE array_to_string(list_transform(ls, lambda x: 'Supported'), '|') END AS labels, id % 4 < 2 AS parsed_ok FROM j")
+def joint_labels(spark, d):
+    out = _joint(spark, d).withColumn("_p", N.label_list(F.col("raw"), F.col("n"), SENTENCES))
+    return out.select("member", "id", F.array_join("_p.labels", "|").alias("labels"), F.col("_p.parsed_ok").alias("parsed_ok"))
+
+
+@query("final_line_labels", _JOINT + " SELECT member, id, CASE WHEN id % 4 < 3 AND NOT (id % 4 = 2 AND n = 1) THEN array_to_string(ls, '|') WHEN id % 4 = 2 THEN ls[1] ELSE array_to_string(list_transform(ls, lambda x: 'Supported'), '|') END AS labels FROM j")
+def final_line_labels(spark, d):
+    return _joint(spark, d).select("member", "id", F.array_join(N.final_line(F.col("raw"), F.col("n"), SENTENCES), "|").alias("labels"))
+
+
+@query("token_confidences", _PRED + " SELECT member, id, sent_index, -2.0 AS first, least(-0.25, conf) AS least, round(-0.25 + coalesce(conf, 0), 6) AS sum, CAST(CASE WHEN conf IS NULL THEN 2 ELSE 3 END AS int) AS n FROM pred")
+def token_confidences(spark, d):
+    token = lambda t, p: F.struct(F.lit(t).alias("token"), p.cast("double").alias("logprob"))
+    rows = fx.predictions(spark, d).withColumn("c", N.confidences(F.array(token("why", F.lit(-2.0)), token('{"', F.lit(-0.25)), token("x", F.col("conf")))))
+    return rows.select("member", *CELL, F.col("c.first").alias("first"), F.col("c.least").alias("least"), _round("c.sum", "sum"), F.col("c.n").alias("n"))
+
+
+@query("enriched_captions", """e AS (SELECT DISTINCT l_orderkey AS id, l_suppkey FROM lineitem), c AS (SELECT s_suppkey FROM supplier WHERE s_suppkey % 3 = 0),
+x AS (SELECT id, l_suppkey, CASE WHEN l_suppkey % 2 = 0 THEN 'image' ELSE 'table' END AS kind, s_suppkey IS NOT NULL AS hit FROM e LEFT JOIN c ON s_suppkey = l_suppkey)
+SELECT id, count(*) FILTER (WHERE hit) AS changed, md5(string_agg(kind || ':' || 's' || l_suppkey || CASE WHEN hit THEN ' [OCR] seen ' || l_suppkey ELSE '' END, ';' ORDER BY l_suppkey)) AS digest FROM x GROUP BY id""")
+def enriched_captions(spark, d):
+    """Suppliers of an order as its evidence; every third supplier has a cached text."""
+    lines = fx.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), "l_suppkey").distinct()
+    own = F.array(F.concat(F.lit("s"), "l_suppkey"))
+    image = F.col("l_suppkey") % 2 == 0
+    item = F.struct(F.when(image, "image").otherwise("table").alias("type"), F.concat(F.lit("i/"), "l_suppkey").alias("img_path"), F.when(image, own).alias("image_caption"), F.when(~image, own).alias("table_caption"))
+    records = lines.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_suppkey", item.alias("e")))), lambda x: x["e"]).alias("evidence"))
+    cache = fx.read(spark, d, "supplier").filter("s_suppkey % 3 = 0").select(F.concat(F.lit("i/"), "s_suppkey").alias("img_path"), F.concat(F.lit("seen "), "s_suppkey").alias("text"))
+    out = render.enrich_captions(records, cache)
+    text = F.array_join(F.transform("evidence", lambda e: F.concat(e["type"], F.lit(":"), F.array_join(F.coalesce(e["image_caption"], e["table_caption"]), " "))), ";")
+    return out.select("id", "changed", F.md5(text).alias("digest"))
+
+
+_UNITS = _PRED + """, u AS (SELECT CAST(id AS varchar) AS record_id, sent_index AS sent_idx, label AS target_label, 'reason ' || id AS rationale, CAST(id AS varchar) || '-' || sent_index AS unit_key FROM pred WHERE member = 1 AND label <> 'Supported'),
+m AS (SELECT u.*, CASE sent_idx % 4 WHEN 0 THEN 'pass' WHEN 1 THEN 'rewritten' WHEN 2 THEN 'dropped' ELSE 'unverified' END AS outcome FROM u)"""
+
+
+def _merged(spark, d) -> DataFrame:
+    p = fx.predictions(spark, d).filter((F.col("member") == 1) & (F.col("label") != SENTENCES.default))
+    units = p.select(F.col("id").cast("string").alias("record_id"), F.col("sent_index").alias("sent_idx"), F.col("label").alias("target_label"), F.concat(F.lit("reason "), "id").alias("rationale"), F.concat_ws("-", F.col("id").cast("string"), F.col("sent_index").cast("string")).alias("unit_key"))
+    k = F.col("sent_idx") % 4
+    last = units.filter(k < 3).select("unit_key", F.lit(2).alias("seq"), F.lit("final").alias("phase"), F.when(k == 0, "pass").when(k == 1, "rewritten").otherwise("dropped").alias("outcome"), F.lit("bad").alias("note"), F.lit("new text").alias("new_rationale"))
+    early = units.filter(k < 3).select("unit_key", F.lit(1).alias("seq"), F.lit("final").alias("phase"), F.lit("dropped").alias("outcome"), F.lit("old").alias("note"), F.lit(None).cast("string").alias("new_rationale"))
+    return curate.merge_audit(units, last.unionByName(early))
+
+
+@query("merged_units", _UNITS + " SELECT record_id, sent_idx, outcome, CASE outcome WHEN 'rewritten' THEN 'new text' ELSE rationale END AS rationale, outcome IN ('pass', 'rewritten') AS verified FROM m")
+def merged_units(spark, d):
+    return _merged(spark, d).select("record_id", "sent_idx", "outcome", "rationale", "verified")
+
+
+@query("label_only_residue", _UNITS + """ SELECT CAST(s.id AS varchar) AS record_id, s.sent_index AS sent_idx, CASE WHEN m.outcome = 'dropped' THEN 'bad' ELSE 'no_unit' END AS reason FROM sent s LEFT JOIN m ON m.record_id = CAST(s.id AS varchar) AND m.sent_idx = s.sent_index
+WHERE s.types[1] <> 'Supported' AND (m.outcome IS NULL OR m.outcome = 'dropped')""")
+def label_only_residue(spark, d):
+    s = fx.sentences(spark, d).filter(F.get("types", F.lit(0)) != SENTENCES.default).select(F.col("id").cast("string").alias("record_id"), F.col("sent_index").alias("sent_idx"))
+    log = spark.createDataFrame([], "record_id string, sent_idx int, status string")
+    return curate.label_only(s, _merged(spark, d), log).select("record_id", "sent_idx", "reason")
+
+
+@query("unit_coverage", _UNITS + """, gold AS (SELECT CAST(id AS varchar) AS record_id, sent_index AS sent_idx, types[1] AS target_label FROM sent WHERE types[1] <> 'Supported')
+SELECT gold.target_label, count(*) AS sentences, count(m.outcome) AS covered FROM gold LEFT JOIN (SELECT * FROM m WHERE outcome <> 'dropped') m USING (record_id, sent_idx) GROUP BY gold.target_label""")
+def unit_coverage(spark, d):
+    s = fx.sentences(spark, d).filter(F.get("types", F.lit(0)) != SENTENCES.default).select(F.col("id").cast("string").alias("record_id"), F.col("sent_index").alias("sent_idx"), F.get("types", F.lit(0)).alias("target_label"))
+    return curate.coverage(_merged(spark, d).filter("outcome <> 'dropped'"), s).select("target_label", "sentences", "covered")
+
+
+@query("rolling_mix", "l AS (SELECT date_trunc('hour', ts) AS start, CAST(user_id % 3 AS int) AS member, event_type FROM events) SELECT CAST(epoch(start) AS bigint) AS start, member, count(*) AS n, count(*) FILTER (WHERE event_type <> 'view') AS minority FROM l GROUP BY ALL")
+def rolling_mix(spark, d):
+    """The windows that the streaming job keeps, over the whole table."""
+    from loomkit.streaming.attempts import rolling_mix as mix
+
+    kinds = LabelSet(("view", "click", "purchase", "signup", "error"), "view", ("click",), ("click",))
+    e = fx.read(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 3).cast("int").alias("member"), F.col("event_type").alias("label"))
+    return mix(e, kinds).select(F.unix_timestamp("start").alias("start"), "member", "n", "minority")
+
+
+@query("split_summary", _SENT + """, r AS (SELECT CASE WHEN id % 10 = 0 THEN 'dev' ELSE 'train' END AS split, id, types[1] AS label FROM sent)
+SELECT split, label, count(DISTINCT id) AS groups, count(*) AS sentences, count(DISTINCT CASE WHEN label <> 'Supported' THEN id END) AS hard FROM r GROUP BY GROUPING SETS ((split), (split, label))""")
+def split_summary(spark, d):
+    s = fx.sentences(spark, d)
+    splits = fx.sizes(spark, d).select("id", F.when(F.col("id") % 10 == 0, "dev").otherwise("train").alias("split"))
+    return split.split_summary(s, splits, SENTENCES.default)
+
+
+@query("hard_subset", _PRED + """, g AS (SELECT id FROM sent GROUP BY id HAVING count(*) >= 6 AND count(*) FILTER (WHERE types[1] <> 'Supported') > 0)
+SELECT p.member, count(*) AS cells, count(DISTINCT p.id) AS groups FROM pred p WHERE p.id IN (SELECT id FROM g) GROUP BY p.member""")
+def hard_subset(spark, d):
+    _, p = split.hard_subset(fx.sentences(spark, d), fx.predictions(spark, d), SENTENCES.default, 6)
+    return p.groupBy("member").agg(F.count("*").alias("cells"), F.count_distinct("id").alias("groups"))
+
+
+@query("injected_groups", _SENT + """, a AS (SELECT id, list('line ' || sent_index ORDER BY sent_index) AS ls, count(*) AS n FROM sent WHERE id % 10 = 3 GROUP BY id)
+SELECT id AS anchor_id, id + 1 AS donor_id, array_to_string(list_concat(list_concat(ls[1:p], ['donated ' || (id + 1)]), ls[p + 1:n]), ' ') AS claim_text FROM (SELECT *, greatest(1, least(id % 5, n)) AS p FROM a)""")
+def injected_groups(spark, d):
+    """Every tenth order takes a sentence after one to all of its own."""
+    s = fx.sentences(spark, d).filter("id % 10 = 3").withColumn("sentence", F.concat(F.lit("line "), "sent_index"))
+    ordered = F.array_sort(F.collect_list(F.struct("sent_index", F.struct("sentence", "types").alias("s"))))
+    anchors = s.groupBy("id").agg(F.transform(ordered, lambda x: x["s"]).alias("sentences")).withColumn("evidence", F.array(F.struct(F.lit("a").alias("img_path"))))
+    donors = anchors.select((F.col("id") + 1).alias("donor_id"), F.concat(F.lit("donated "), F.col("id") + 1).alias("sentence"), F.lit("Contradiction").alias("label"), "evidence")
+    pairs = anchors.select(F.col("id").alias("anchor_id"), (F.col("id") + 1).alias("donor_id"))
+    return synthesize.inject(anchors, donors, pairs, F.col("anchor_id") % 5).select("anchor_id", "donor_id", "claim_text")
