@@ -51,7 +51,7 @@ RULES = (
     Rule("symbols", "n_symbols", "n_words", high=10),
     Rule("stop_words", "n_stop_words", low=2),
     Rule("stop_word_share", "n_stop_words", "n_words", low=5),
-    Rule("duplicate_lines", "n_dup_lines", "n_lines", high=30),
+    Rule("duplicate_lines", "n_dup_lines", "n_lines", high=60),
     Rule("shouted_words", "n_upper_words", "n_words", high=30),
     Rule("exclaimed_words", "n_exclaimed", "n_words", high=30),
     Rule("bullet_lines", "n_bullet_lines", "n_lines", high=90),
