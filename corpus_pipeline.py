@@ -25,9 +25,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the strings of 100 bytes that start earlier; characters cut in two go whole."""
-    whole = F.make_valid_utf8(F.col("kept").cast("string"))
-    out = repeats.remove_repeats(docs.select(*COLUMNS)).withColumn("text", F.replace(whole, F.lit("\ufffd"), F.lit("")))
-    return out.filter(F.length("kept") > 0).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    out = repeats.remove_repeats(docs.select(*COLUMNS), with_text=True)
+    return out.filter(F.length("text") > 0).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -245,16 +245,17 @@ def _sort_again(length: int, block: int):
     return run
 
 
-def _cut(length: int, columns: list[str]):
+def _cut(length: int, columns: list[str], with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, kept, sizes = [], [], []
+            spans, kept, sizes, texts = [], [], [], []
             for text, found in zip(batch.column("text").to_pylist(), batch.column("found"), strict=True):
                 raw = (text or "").encode()
                 sizes.append(len(raw))
                 if not found.is_valid or not len(found.values):
                     spans.append([])
                     kept.append(raw)
+                    texts.append(text or "")
                     continue
                 at = found.values.to_numpy()
                 start = at >> 29
@@ -265,21 +266,25 @@ def _cut(length: int, columns: list[str]):
                 first, last = start[new], stop[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(stop) - 1]])]
                 spans.append([{"start": a, "stop": b} for a, b in zip(first.tolist(), last.tolist(), strict=True)])
                 edges = [0, *np.stack([first, last], 1).ravel().tolist(), len(raw)]
-                kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
+                parts = [raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
+                kept.append(b"".join(parts))
+                texts.append("".join(x.decode(errors="ignore") for x in parts))
+            more = [pa.array(texts, pa.string())] if with_text else []
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in columns), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), pa.array(kept, pa.binary())],
-                names=[*columns, "n_bytes", "spans", "kept"],
+                [*(batch.column(c) for c in columns), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), pa.array(kept, pa.binary()), *more],
+                names=[*columns, "n_bytes", "spans", "kept", *["text"] * with_text],
             )
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
     """docs (doc_id long, text string, others) without text, with n_bytes, spans (array of start, stop; bytes) and kept (binary).
 
     Removed is each byte of a string of `length` UTF-8 bytes that also starts earlier: in a smaller doc_id or in the
     same text before. Null text counts as empty, null doc_id as smallest. Rows that repeat a doc_id are ordered by
-    text; rows repeated whole count as one and share their result. length must be from 64 to 128.
+    text; rows repeated whole count as one and share their result. length must be from 64 to 128. With with_text
+    the column text comes back too, without what was removed and without the halves of characters cut in two.
     """
     if not 2 * GRAM <= length <= 4 * GRAM:
         raise ValueError("length must be from 64 to 128")
@@ -299,7 +304,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     repeats = rows.repartition("bucket").withColumn("place", place).filter(f"at & 3 = {REPEAT} or place > 1")
     out = texts.join(_by_doc(repeats).hint("shuffle_hash"), ["doc", "ord"], "left")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return out.mapInArrow(_cut(length, columns), f"{schema}, n_bytes long, spans array<struct<start:int,stop:int>>, kept binary")
+    schema += ", n_bytes long, spans array<struct<start:int,stop:int>>, kept binary" + ", text string" * with_text
+    return out.mapInArrow(_cut(length, columns, with_text), schema)
 
 
 def _settled(rows: DataFrame) -> DataFrame:
