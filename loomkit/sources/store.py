@@ -5,15 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, kind: str) -> DataFrame:
-    """The rows of df, written below spark.checkpoint.dir and read again; this bounds lineage and survives lost executors.
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder's URI below the one that the cluster names in spark.checkpoint.dir.
 
-    Where the setting is absent, as in tests on one machine, a temporary folder is named and kept for the session.
+    Where that setting is absent, as in tests on one machine, a temporary folder is named and kept for the session.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -21,6 +20,11 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = held.get()
-    path = f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, kind: str) -> DataFrame:
+    """The rows of df, written to the shared folder and read again: later steps neither recompute nor lose them."""
+    path = shared_folder(df.sparkSession, kind)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
