@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from loomkit.sources.store import shared_folder, stored
+
+__all__ = ["SEPARATORS", "filesystem", "local_path", "mix", "shared_folder", "stored", "table", "text_bytes"]
+
 #: A word is a run of anything but these six ASCII characters.
-WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SEPARATORS = b" \t\n\x0b\x0c\r"
 
 
@@ -19,29 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> Da
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-def shared_folder(spark: SparkSession, kind: str) -> str:
-    """A new folder below the one the cluster names in spark.checkpoint.dir, as a URI.
-
-    Where that setting is absent, as in tests on one machine, a temporary folder is named and set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        made = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = made.get() if made.isDefined() else tempfile.mkdtemp(prefix="spark-")
-        if not made.isDefined():
-            spark.sparkContext.setCheckpointDir(root)
-    elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, kind: str) -> DataFrame:
-    """The rows of df, written to the shared folder and read again: later steps neither recompute nor lose them."""
-    path = shared_folder(df.sparkSession, kind)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def local_path(uri: str) -> str | None:
     """The path of a file: URI or of a plain path; None for any other store."""
     if uri.startswith("file:"):
