@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomkit.config import LabelSet
+from loomkit.operators.split import running_total
 
 CELL = ["id", "sent_index"]
 
@@ -106,17 +107,13 @@ def suppress(preds: DataFrame, labels: LabelSet, tau: Column | float) -> DataFra
     return preds.withColumn("suppressed", weak).withColumn("label", F.when(F.col("suppressed"), labels.default).otherwise(F.col("label")))
 
 
-def confidence_percentiles(preds: DataFrame, labels: LabelSet, percents: tuple[int, ...] = (25, 50, 75)) -> DataFrame:
-    """(percent, tau): the minority confidences at those ranks, nearest rank with halves to even.
-
-    Ranks come from counts of distinct values, so that no task sorts all rows; n values of confidence, n rows.
-    """
+def confidence_percentiles(preds: DataFrame, labels: LabelSet, store, percents: tuple[int, ...] = (25, 50, 75)) -> DataFrame:
+    """(percent, tau): the minority confidences (logarithms, 0 at most) at those ranks, nearest rank, halves to even."""
     values = preds.filter((F.col("label") != labels.default) & F.col("conf").isNotNull()).groupBy("conf").agg(F.count("*").alias("n"))
-    running = values.withColumn("upto", F.sum("n").over(Window.orderBy("conf"))).withColumn("total", F.sum("n").over(Window.orderBy("conf").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    wanted = preds.sparkSession.createDataFrame([(p,) for p in percents], "percent int")
-    place = F.bround(F.col("percent") / F.lit(100.0).cast("double") * (F.col("total") - 1)).cast("long")
-    hit = (place < F.col("upto")) & (place >= F.col("upto") - F.col("n"))
-    return running.crossJoin(F.broadcast(wanted)).filter(hit).select("percent", F.col("conf").alias("tau"))
+    summed = running_total(values, F.least(F.exp("conf"), F.lit(0.9999999)), F.col("n"), store, ties=("conf",))
+    places = F.array(*[F.struct(F.lit(p).alias("percent"), F.bround(F.lit(p / 100.0).cast("double") * (F.col("total") - 1)).cast("long").alias("place")) for p in percents])
+    at = summed.select("conf", "n", "before", F.inline(places))
+    return at.filter((F.col("place") >= F.col("before")) & (F.col("place") < F.col("before") + F.col("n"))).select("percent", F.col("conf").alias("tau"))
 
 
 def threshold_sweep(preds: DataFrame, labels: LabelSet, taus: DataFrame) -> DataFrame:

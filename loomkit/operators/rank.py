@@ -11,10 +11,11 @@ def spearman(df: DataFrame, x: str, y: str, keys: tuple[str, ...] = ()) -> DataF
 
     Rows where x or y is null are left out.
     """
-    ranked = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    for name, c in (("_rx", x), ("_ry", y)):
-        over = Window.partitionBy(*keys).orderBy(c)
-        ranked = ranked.withColumn(name, (F.rank().over(over) + (F.count("*").over(Window.partitionBy(*keys, c)) - 1) / 2).cast("double"))
+    ranked = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
+    for name, c in (("_rx", x), ("_ry", y)):  # ranks of distinct values, then joined to the rows
+        values = ranked.groupBy(*keys, c).agg(F.count("*").alias("_n"))
+        before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        ranked = ranked.join(values.select(*keys, c, (before + (F.col("_n") + 1) / 2).cast("double").alias(name)), [*keys, c])
     sums = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.var_pop("_rx").alias("_vx"), F.var_pop("_ry").alias("_vy"), F.covar_pop("_rx", "_ry").alias("_c"))
     rho = F.when((F.col("n") < 2) | (F.col("_vx") == 0) | (F.col("_vy") == 0), F.lit(float("nan"))).otherwise(F.try_divide(F.col("_c"), F.sqrt("_vx") * F.sqrt("_vy")))
     return sums.select(*keys, "n", F.coalesce(rho, F.lit(float("nan"))).alias("rho"))

@@ -9,30 +9,31 @@ from pyspark.sql import functions as F
 BUCKETS = 1024
 
 
-def running_total(df: DataFrame, order: Column, size: Column, store) -> DataFrame:
-    """df with `before`, the sum of sizes of rows earlier in order (a number in [0, 1)), and `total`.
+def running_total(df: DataFrame, order: Column, size: Column, store, keys: tuple[str, ...] = (), ties: tuple[str, ...] = ("id",)) -> DataFrame:
+    """df with `before`, the sum of sizes of rows of its key that come earlier in order, and `total`, that of all.
 
-    Rows fall into buckets by order; totals of buckets, few numbers, are added up first, rows within each bucket after.
+    order is a number in [0, 1); ties go by columns. Rows fall into BUCKETS by order; the buckets' sums, few numbers,
+    are added up first, the rows of each bucket after, so no task holds all rows of a key.
     """
     keyed = store(df.withColumns({"_o": order, "_s": size.cast("long")}).withColumn("_b", F.floor(F.col("_o") * BUCKETS).cast("int")), "ordered")
-    buckets = keyed.groupBy("_b").agg(F.sum("_s").alias("_n"))
-    over = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = buckets.select("_b", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_off"), F.sum("_n").over(Window.partitionBy()).alias("total"))
-    inside = Window.partitionBy("_b").orderBy("_o", *[c for c in ("id", "component") if c in df.columns]).rowsBetween(Window.unboundedPreceding, -1)
-    out = keyed.join(F.broadcast(offsets), "_b")  # BUCKETS rows at most
-    return out.withColumn("before", F.col("_off") + F.coalesce(F.sum("_s").over(inside), F.lit(0))).drop("_b", "_o", "_s", "_off")
+    buckets = keyed.groupBy(*keys, "_b").agg(F.sum("_s").alias("_n"))
+    over = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = buckets.select(*keys, "_b", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_off"), F.sum("_n").over(Window.partitionBy(*keys)).alias("total"))
+    inside = Window.partitionBy(*keys, "_b").orderBy("_o", *ties).rowsBetween(Window.unboundedPreceding, -1)
+    out = keyed.join(offsets, [*keys, "_b"])
+    return out.withColumn("before", F.col("_off") + F.coalesce(F.sum("_s").over(inside), F.lit(0))).select(*df.columns, "before", "total")
 
 
-def quota_pick(df: DataFrame, stratum: str, order: Column, ratio: float, least: int = 1) -> DataFrame:
+def quota_pick(df: DataFrame, stratum: str, order: Column, ratio: float, store, least: int = 1) -> DataFrame:
     """df with `picked`: in each stratum the first max(least, ratio of its rows, halves to even) by order."""
-    place = F.row_number().over(Window.partitionBy(stratum).orderBy(order, "id"))
-    n = F.count("*").over(Window.partitionBy(stratum))
-    return df.withColumn("picked", place <= F.greatest(F.bround(n * F.lit(float(ratio))), F.lit(least)))
+    summed = running_total(df, order, F.lit(1), store, (stratum,))
+    quota = F.greatest(F.bround(F.col("total") * F.lit(float(ratio))), F.lit(least))
+    return summed.withColumn("picked", F.col("before") < quota).drop("before", "total")
 
 
-def stratified_split(groups: DataFrame, order: Column, ratio: float) -> DataFrame:
+def stratified_split(groups: DataFrame, order: Column, ratio: float, store) -> DataFrame:
     """(id, split): dev gets its share of groups with and without minority labels; groups: id, hard."""
-    return quota_pick(groups, "hard", order, ratio).select("id", F.when(F.col("picked"), "dev").otherwise("train").alias("split"))
+    return quota_pick(groups, "hard", order, ratio, store).select("id", F.when(F.col("picked"), "dev").otherwise("train").alias("split"))
 
 
 def component_split(members: DataFrame, order: Column, ratio: float, store) -> DataFrame:
@@ -41,7 +42,7 @@ def component_split(members: DataFrame, order: Column, ratio: float, store) -> D
     Components go to dev in order while dev is smaller than its share; the last may overshoot.
     """
     sizes = members.groupBy("component").agg(F.count("*").alias("size"))
-    summed = running_total(sizes, order, F.col("size"), store)
+    summed = running_total(sizes, order, F.col("size"), store, ties=("component",))
     dev = F.col("before") < F.bround(F.col("total") * F.lit(float(ratio)))
     side = summed.select("component", F.when(dev, "dev").otherwise("train").alias("split"))
     return members.join(side, "component").select("id", "split")
@@ -74,13 +75,13 @@ def holdout(ids: DataFrame, order: Column, share: float, store) -> DataFrame:
     return summed.select("id", F.when(F.col("before") < F.floor(F.col("total") * F.lit(float(share))), "validation").otherwise("train").alias("split"))
 
 
-def audit_selection(units: DataFrame, default: str, order: Column, share: float) -> DataFrame:
+def audit_selection(units: DataFrame, default: str, order: Column, share: float, store) -> DataFrame:
     """All units of minority classes, and a share of the default class's, one at least."""
-    picked = quota_pick(units.withColumn("_d", F.col("target_label") == default), "_d", order, share)
+    picked = quota_pick(units.withColumn("_d", F.col("target_label") == default), "_d", order, share, store)
     return picked.filter(~F.col("_d") | F.col("picked")).drop("_d", "picked")
 
 
-def densest(groups: DataFrame, share: float, order: Column, least: int = 0) -> DataFrame:
+def densest(groups: DataFrame, share: float, order: Column, store, least: int = 0) -> DataFrame:
     """All groups with minority labels and the longest others until the share of the former falls to `share`.
 
     groups: id, n, minority; `least` first drops shorter groups. At least one other group stays beside any.
@@ -98,7 +99,7 @@ def densest(groups: DataFrame, share: float, order: Column, least: int = 0) -> D
     above = by.select("n", "_c", F.coalesce(F.sum("_c").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_above"))
     easy = pool.filter("not hard").join(F.broadcast(above), "n").crossJoin(F.broadcast(hard)).withColumn("_k", keep).filter(F.col("_above") < F.col("_k"))
     whole, cut = easy.filter("_above + _c <= _k"), easy.filter("_above + _c > _k")
-    cut = cut.withColumn("_p", F.row_number().over(Window.partitionBy("n").orderBy(order, "id"))).filter(F.col("_p") <= F.col("_k") - F.col("_above"))
+    cut = running_total(cut, order, F.lit(1), store).filter(F.col("before") < F.col("_k") - F.col("_above"))
     return pool.filter("hard").unionByName(whole.select(pool.columns)).unionByName(cut.select(pool.columns))
 
 

@@ -237,14 +237,14 @@ t AS (SELECT p.percent, o.conf AS tau FROM (SELECT CAST(unnest([25, 50, 75]) AS
 
 @query("confidence_percentiles", _PCT + " SELECT percent, tau FROM t")
 def confidence_percentiles(spark, d):
-    return ensemble.confidence_percentiles(fx.predictions(spark, d), SENTENCES)
+    return ensemble.confidence_percentiles(fx.predictions(spark, d), SENTENCES, stored)
 
 
 @query("threshold_sweep", _PCT + """, w AS (SELECT 'base' AS variant, NULL AS tau UNION ALL SELECT 'p' || percent, tau FROM t)
 SELECT variant, CASE WHEN label <> 'Supported' AND conf < tau THEN 'Supported' ELSE label END AS label, count(*) AS n, count(*) FILTER (WHERE label <> 'Supported' AND conf < tau) AS suppressed FROM pred CROSS JOIN w GROUP BY ALL""")
 def threshold_sweep(spark, d):
     p = fx.predictions(spark, d)
-    taus = stored(ensemble.confidence_percentiles(p, SENTENCES), "taus").select(F.concat(F.lit("p"), "percent").alias("name"), "tau")
+    taus = stored(ensemble.confidence_percentiles(p, SENTENCES, stored), "taus").select(F.concat(F.lit("p"), "percent").alias("name"), "tau")
     swept = ensemble.threshold_sweep(p, SENTENCES, taus)
     return swept.groupBy("variant", "label").agg(F.count("*").alias("n"), F.count_if("suppressed").alias("suppressed"))
 
@@ -405,12 +405,12 @@ SELECT id, n, minority FROM w"""
 
 @query("density_matched", _GROUPS + _DENSEST.format(o=_ORD, and_=""))
 def density_matched(spark, d):
-    return split.densest(_groups(spark, d), 0.6, _order()).select("id", "n", "minority")
+    return split.densest(_groups(spark, d), 0.6, _order(), stored).select("id", "n", "minority")
 
 
 @query("density_reshaped", _GROUPS + _DENSEST.format(o=_ORD, and_=" AND n >= 6"))
 def density_reshaped(spark, d):
-    return split.densest(_groups(spark, d), 0.6, _order(), least=6).select("id", "n", "minority")
+    return split.densest(_groups(spark, d), 0.6, _order(), stored, least=6).select("id", "n", "minority")
 
 
 @query("rank_correlation", _SCORED + """, a AS (SELECT member, id, count(*) AS x, count(*) FILTER (WHERE hit) AS y FROM sc GROUP BY ALL),
@@ -529,7 +529,7 @@ def leaked_keys(spark, d):
 @query("stratified_split", _GROUPS + f""", r AS (SELECT id, minority > 0 AS hard, row_number() OVER (PARTITION BY minority > 0 ORDER BY {_ORD}, id) AS k, count(*) OVER (PARTITION BY minority > 0) AS n FROM g)
 SELECT id, CASE WHEN k <= greatest(round_even(n * 0.1, 0), 1) THEN 'dev' ELSE 'train' END AS split FROM r""")
 def stratified_split(spark, d):
-    return split.stratified_split(_groups(spark, d).select("id", (F.col("minority") > 0).alias("hard")), _order(), 0.1)
+    return split.stratified_split(_groups(spark, d).select("id", (F.col("minority") > 0).alias("hard")), _order(), 0.1, stored)
 
 
 @query("default_downsampled", _GROUPS + f" SELECT id FROM g WHERE minority > 0 OR {_ORD} < 0.3")
@@ -570,7 +570,7 @@ def id_holdout(spark, d):
 SELECT id, target_label FROM r WHERE target_label <> 'Supported' OR k <= greatest(round_even(n * 0.05, 0), 1)""")
 def audit_sample(spark, d):
     units = fx.sentences(spark, d).select((F.col("id") * 100 + F.col("sent_index")).alias("id"), F.get("types", F.lit(0)).alias("target_label"))
-    return split.audit_selection(units, SENTENCES.default, _order(), 0.05)
+    return split.audit_selection(units, SENTENCES.default, _order(), 0.05, stored)
 
 
 _LOG = "l AS (SELECT user_id AS task, event_id AS seq, ts, CASE event_type WHEN 'error' THEN 'api_error' WHEN 'view' THEN 'misaligned' WHEN 'click' THEN 'ok' WHEN 'purchase' THEN 'cannot_justify' ELSE 'gave_up' END AS status FROM events)"
@@ -657,14 +657,8 @@ def packed_groups(spark, d):
     """Orders with minority lines packed with others of their bucket; suppliers stand for figures."""
     s = fx.sentences(spark, d)
     g = s.groupBy("id").agg(F.count("*").cast("int").alias("n"), F.count_if(F.get("types", F.lit(0)) != SENTENCES.default).cast("int").alias("minority"), F.slice(F.array_sort(F.collect_set(F.col("l_suppkey").cast("string"))), 1, 2).alias("stems"))
-    buckets = F.greatest(F.lit(1), F.ceil(F.count("*").over(_everything()) / 2000)).cast("int")
-    return synthesize.pack_groups(g.withColumn("bucket", F.pmod(F.xxhash64("id"), buckets)), "bucket")
-
-
-def _everything():
-    from pyspark.sql import Window
-
-    return Window.partitionBy()
+    total = g.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / 2000)).cast("int").alias("buckets"))  # a row
+    return synthesize.pack_groups(g.crossJoin(F.broadcast(total)).withColumn("bucket", F.pmod(F.xxhash64("id"), "buckets")), "bucket")
 
 
 @query("quality_scores", "d AS (SELECT toxic AS gold, quality AS said FROM labels), lab AS (SELECT unnest([0, 1]) AS label), x AS (SELECT l.label, count(*) FILTER (WHERE gold = l.label AND said = l.label) AS tp, count(*) FILTER (WHERE gold <> l.label AND said = l.label) AS fp, count(*) FILTER (WHERE gold = l.label AND said <> l.label) AS fn FROM d CROSS JOIN lab l GROUP BY l.label) SELECT CAST(label AS varchar) AS label, tp, fp, fn FROM x")

@@ -68,7 +68,7 @@ def test_uncertainty_bias_needs_some_confidence(spark):
 
 def test_percentiles_round_halves_to_even(spark):
     p = preds(spark, *[[(UE, -float(i))] for i in range(1, 8)])  # places 1.5, 3 and 4.5
-    got = {r.percent: r.tau for r in ensemble.confidence_percentiles(p, SENTENCES).collect()}
+    got = {r.percent: r.tau for r in ensemble.confidence_percentiles(p, SENTENCES, stored).collect()}
     assert got == {25: -5.0, 50: -4.0, 75: -3.0}
 
 
@@ -140,12 +140,12 @@ def split_order(key):
 
 def test_quotas_and_density(spark):
     g = spark.createDataFrame([(i, 3 + i % 5, 1 if i < 6 else 0) for i in range(40)], "id long, n int, minority int")
-    s = split.stratified_split(g.select("id", (F.col("minority") > 0).alias("hard")), split_order("id"), 0.25)
+    s = split.stratified_split(g.select("id", (F.col("minority") > 0).alias("hard")), split_order("id"), 0.25, stored)
     assert s.filter("split = 'dev' and id < 6").count() == 2 and s.filter("split = 'dev' and id >= 6").count() == 8
-    out = split.densest(g, 0.6, split_order("id"))
+    out = split.densest(g, 0.6, split_order("id"), stored)
     assert out.filter("minority > 0").count() == 6 and [r.n for r in out.filter("minority = 0").collect()] == [7] * 4
-    assert split.densest(g, 1.0, split_order("id")).count() == 6 and split.densest(g, 0.0, split_order("id")).count() == 40
-    assert split.densest(g.filter("id in (0, 7)"), 0.99, split_order("id")).count() == 2
+    assert split.densest(g, 1.0, split_order("id"), stored).count() == 6 and split.densest(g, 0.0, split_order("id"), stored).count() == 40
+    assert split.densest(g.filter("id in (0, 7)"), 0.99, split_order("id"), stored).count() == 2
     assert split.guaranteed_sample(g, split_order("id"), 10, 4).agg(F.sum("minority")).first()[0] >= 4
     assert split.assert_empty(g.filter("id < 0"), "none").count() == 0
     with pytest.raises(Exception, match="rows are left"):
