@@ -450,10 +450,11 @@ def multi_targets(spark, d):
     return per_target(fx.sentences(spark, d), F.lit(SENTENCES.default)).groupBy("target").agg(F.count("*").alias("n"), F.sum("target_index").alias("places"))
 
 
-@query("text_marks", r"""d AS (SELECT doc_id, regexp_extract_all(text, '\b[A-Z][A-Za-z0-9\-]{2,}\b') AS nouns, regexp_matches(text, '(?i)\b(?:Table|Figure|Fig|Tab)\.?\s*\d') AS figure FROM documents WHERE lang = 'en')
+@query("text_marks", r"""a AS (SELECT doc_id, regexp_replace(text, '[À-ɏ]', '_', 'g') AS t FROM documents),
+d AS (SELECT doc_id, regexp_extract_all(t, '\b[A-Z][A-Za-z0-9\-]{2,}\b') AS nouns, regexp_matches(t, '(?i)\b(?:Table|Figure|Fig|Tab)\.?\s*\d') AS figure FROM a)
 SELECT doc_id, len(list_distinct(nouns)) AS nouns, figure FROM d""")
 def text_marks(spark, d):
-    docs = fx.read(spark, d, "documents").filter("lang = 'en'")
+    docs = fx.read(spark, d, "documents")
     return docs.select("doc_id", F.size(L.proper_nouns(F.col("text"))).cast("long").alias("nouns"), L.refers_to_figure(F.col("text")).alias("figure"))
 
 
