@@ -25,11 +25,15 @@ IMPLIED = {
     "option": (("option",), ("select",)), "body": (("head",), ()),
 }
 UNWANTED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|adbox|banner|sponsor|sponsored|promo|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|"
-    r"sidebar|side|rail|widget|related|recommended|more|share|sharing|social|comments?|disqus|replies|reply|cookie|cookies|consent|notice|gdpr|popup|modal|"
+    r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|adbox|sponsor|sponsored|promo|nav|navbar|navigation|menu|breadcrumbs?|footer|"
+    r"sidebar|widget|related|recommended|share|sharing|social|comments?|disqus|replies|reply|cookie|cookies|consent|notice|gdpr|popup|modal|"
     r"overlay|newsletter|subscribe|signup|login|search|pagination|pager|toolbar|skip|hidden)(?:$|[\s_-])",
     re.I,
 )
+#: Names that are a page's outside an article, and may be a title's or a picture's inside one.
+UNWANTED_OUTSIDE = re.compile(r"(?:^|[\s_-])(?:banner|header|masthead|side|rail|more)(?:$|[\s_-])", re.I)
+#: Names that tell what a page has beside an element, not what the element is.
+_BESIDE = re.compile(r"\b(?:has|with|no)-[\w-]+", re.I)
 WANTED = re.compile(r"(?:^|[\s_-])(?:article|post|entry|content|main|story|text|body)(?:$|[\s_-])", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
@@ -52,14 +56,15 @@ class _Block:
         self.node, self.text, self.linked = node, text, linked
 
 
-def _attributes(tag: str, body: str) -> tuple[bool, bool]:
+def _attributes(tag: str, body: str, inside: bool) -> tuple[bool, bool]:
     """(whether the element is to be dropped, whether its name speaks for content)."""
     if not body or body.isspace():
         return False, False
     found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(body)}
-    names = f"{found.get('class', '')} {found.get('id', '')}"
+    names = _BESIDE.sub("", f"{found.get('class', '')} {found.get('id', '')}")
+    unwanted = bool(UNWANTED.search(names)) or (not inside and bool(UNWANTED_OUTSIDE.search(names)))
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I)
-    bad = bool(hidden) or found.get("role", "").lower() in _ROLES or (tag not in ("html", "body", "main", "article") and bool(UNWANTED.search(names)))
+    bad = bool(hidden) or found.get("role", "").lower() in _ROLES or (tag not in ("html", "body", "main", "article") and unwanted)
     return bad, bool(WANTED.search(names))
 
 
@@ -141,15 +146,15 @@ def blocks(page: str) -> list[_Block]:
                         break
         if tag in BLOCK:
             flush()
-        bad, good = _attributes(tag, m[3])
         above = stack[-1]
-        inside = any(x.tag in ("article", "main") for x in stack)
+        inside = any(x.tag in ("article", "main") or x.good for x in stack)
+        bad, good = _attributes(tag, m[3], inside)
         drop = above.drop or bad or (tag in BOILERPLATE and not (tag == "header" and inside))
         if tag == "body":
             drop = False
         if m[3].endswith("/") and tag not in BLOCK:
             continue
-        stack.append(_Node(tag, above, drop, good))
+        stack.append(_Node(tag, above, drop, good and not drop))
         links += tag == "a"
     flush()
     return out
@@ -198,7 +203,7 @@ def main_text(page: str | None) -> str:
         if x.tag in ("article", "main"):
             best = x
             break
-    top, floor = value(best), max(10.0, 0.2 * value(best))
+    top, floor = value(best), 0.2 * value(best)
     chosen = {id(best)}
     if best.tag not in ("article", "main", "body"):
         chosen |= {k for k, x in scored.items() if x.parent is best.parent and x.tag not in ("li", "tr", "td") and value(x) >= floor and top > 0}
