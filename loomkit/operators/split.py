@@ -123,7 +123,7 @@ def hard_subset(gold: DataFrame, preds: DataFrame, default: str, least: int) ->
 
 
 def split_summary(gold: DataFrame, splits: DataFrame, default: str) -> DataFrame:
-    """For each side: groups, sentences and hard groups (label null), and the sentences of each first label."""
-    rows = gold.join(splits, "id").select("split", "id", F.get("types", F.lit(0)).alias("label"))
-    hard = F.count_distinct(F.when(F.col("label") != default, F.col("id")))
+    """For each side: groups, sentences and hard groups (label null), and those of each first label, or of none."""
+    rows = gold.join(splits, "id").select("split", "id", F.coalesce(F.get("types", F.lit(0)), F.lit("none")).alias("label"))
+    hard = F.count_distinct(F.when(~F.col("label").isin(default, "none"), F.col("id")))
     return rows.groupingSets([["split"], ["split", "label"]], "split", "label").agg(F.count_distinct("id").alias("groups"), F.count("*").alias("sentences"), hard.alias("hard"))
