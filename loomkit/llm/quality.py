@@ -122,3 +122,13 @@ def judge(docs: DataFrame, text: str = "text", base=BASE_RULES, rules=RULES) ->
     every = lambda some: F.forall(F.array(*[F.col(f"_{r.name}") for r in some]), lambda x: x)
     out = measure(docs, text).withColumns(verdicts)
     return out.withColumns({"base_failed": ~every(base), "kept": every((*base, *rules)), "failed_rules": failed}).drop(*verdicts)
+
+
+def passing(docs: DataFrame, text: str = "text", base=BASE_RULES, rules=RULES) -> DataFrame:
+    """The rows of docs that every rule passes, with their own columns.
+
+    The verdict drops rows by a generator that gives nothing for a failed one: a plain filter would be pushed below
+    the projections, with every count worked out anew for each rule that names it.
+    """
+    own = F.explode(F.when(F.col("kept"), F.array(F.lit(True))))
+    return judge(docs, text, base, rules).select(*docs.columns, own.alias("_passed")).drop("_passed")
