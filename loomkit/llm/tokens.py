@@ -10,6 +10,8 @@ import pyarrow as pa
 
 #: Words kept with their ids by a Python worker; beyond that they are forgotten and encoded anew.
 CACHE_WORDS = 1_000_000
+#: Rows whose ids a worker holds at a time.
+PART = 256
 _PIECE = re.compile(r" (?=\S)")
 #: Signs that end a token of letters and are never part of one with letters or digits.
 _SIGNS = ".,;:!?%#*$&|"
@@ -103,7 +105,9 @@ def encoder(path: str) -> WordEncoder:
 
 
 def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Each batch with the ids of its rows' texts (null: empty), each followed by the end id."""
+    """The batches in parts of PART rows, with the ids of their texts (null: empty), each followed by the end id."""
     words, end = encoder(path), np.asarray([end_id], "<u4").tobytes()
     for batch in batches:
-        yield batch, [words.ids(x or "") + end for x in batch.column(text).to_pylist()]
+        for a in range(0, batch.num_rows, PART):
+            part = batch.slice(a, PART)
+            yield part, [words.ids(x or "") + end for x in part.column(text).to_pylist()]
