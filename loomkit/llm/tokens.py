@@ -66,7 +66,8 @@ class WordEncoder:
     """Little-endian unsigned 32-bit ids of texts.
 
     With a byte-level BPE file whose pre-tokenizer starts a token at each space that a non-space follows, a text has
-    the ids of its pieces, cut there; so a worker encodes a frequent word once. Other files encode whole texts.
+    the ids of its pieces, cut there; so a worker encodes a frequent word once. Texts that hold an added token, such as
+    <|endoftext|>, and those of other files are encoded whole: the ids are always the library's own.
     """
 
     def __init__(self, path: str):
@@ -76,7 +77,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cuts = str(self.tokenizer.pre_tokenizer).startswith("ByteLevel(add_prefix_space=False") and self.tokenizer.normalizer is None
         self.first, self.after = _Words(self.tokenizer, "", self.cuts), _Words(self.tokenizer, " ", self.cuts)
         self.after.signs = self.first
@@ -85,7 +86,7 @@ class WordEncoder:
         """The ids of a whole text, as bytes."""
         if not text:
             return b""
-        if not self.cuts:
+        if not self.cuts or any(x in text for x in self.added):
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         first, *rest = text.split(" ")
         if not all(rest) or (not text.isprintable() and any(not x[0].isalnum() and x[0].isspace() for x in rest)):

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomkit.llm import html, neighbours, pieces, urls
+from loomkit.llm import html, neighbours, packing, pieces, tokenfile, urls
 from loomkit.llm.tokens import encoder, public_path
 
 MODEL = public_path("piece_bpe_32k.model")
@@ -59,6 +59,22 @@ def test_byte_pairs_by_words_are_those_of_whole_texts():
         assert own.ids(t) == np.asarray(own.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_ids_of_added_tokens_are_the_library_s(spark):
+    from tokenizers import Tokenizer
+
+    path = public_path("byte_bpe_50k.json")
+    fresh = Tokenizer.from_file(path)
+    texts = ["one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|><|endoftext|> b  c\n<|endoftext|>", "<|endoftext |> one <|endoftext|", "one two"]
+    want = [np.asarray(fresh.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert want[0] == np.asarray([505, 220, 50256, 734], "<u4").tobytes()
+    assert [encoder(path).ids(t) for t in texts] == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    end = np.asarray([0], "<u4").tobytes()
+    packed = {r.doc_id: bytes(r.ids) for r in packing.pack(docs, path, with_ids=True).collect()}
+    filed = {r.doc_id: bytes(r.ids) for r in tokenfile.read_tokens(tokenfile.write_tokens(docs, path)).collect()}
+    assert packed == filed == {i: x + end for i, x in enumerate(want)}
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     v = rng.standard_normal((1500, 16))
