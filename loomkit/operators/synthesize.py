@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,30 +28,70 @@ def anchors(sentences: DataFrame, labels: LabelSet, classes: list[str], least: i
     return by.filter((F.col("n") >= least) & (F.col("_m") == 1) & (F.col("_f") == 1)).select("id", "n")
 
 
-def match(donor: DataFrame, anchor: DataFrame, store, rounds: int = 32, seed: int = 0) -> DataFrame:
+def match(donor: DataFrame, anchor: DataFrame, store, seed: int = 0, block: int = BLOCK) -> DataFrame:
     """(donor_id, anchor_id): a maximal one-to-one matching of other domain, disjoint nouns and other group.
 
-    donor: donor_id, id, domain, nouns; anchor: id, domain, nouns. In each round every free donor meets one free
-    anchor, dealt by the hash order of both sides within blocks of bounded size, so no pair list is made; pairs that
-    fit are kept. Rounds turn the order; they end when no more pairs come, at `rounds` at the latest, and then the
-    matching may not be maximal, which is said by the caller's count of what is left.
+    donor: donor_id, id, domain, nouns; anchor: id, domain, nouns. Both sides are dealt by hash into as many blocks as
+    the larger side fills. In each turn a block of donors meets one of anchors in a task, where every donor takes the
+    first free anchor that fits; after all turns each pair of blocks has met, so no donor and anchor that fit are both
+    left. When those left would fill fewer blocks than there are turns to come, they are dealt anew. A null in id,
+    domain or nouns fits nothing.
     """
-    done, left, right = None, donor, anchor
-    empty = 0
-    blocks = max(1, -(-min(donor.count(), anchor.count()) // BLOCK))
-    for k in range(rounds):
-        deal = lambda df, key, salt: df.withColumn("_b", F.pmod(F.xxhash64(F.lit(salt), key), F.lit(blocks)).cast("int")).withColumn("_n", F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64(F.lit(salt), key), key)))
-        l = deal(left, F.col("donor_id"), seed + 2 * k)
-        r = deal(right.select(F.col("id").alias("anchor_id"), F.col("domain").alias("_d"), F.col("nouns").alias("_p")), F.col("anchor_id"), seed + 2 * k + 1)
-        met = l.join(r, ["_b", "_n"]).filter((F.col("domain") != F.col("_d")) & ~F.arrays_overlap("nouns", "_p") & (F.col("id") != F.col("anchor_id")))
-        pairs = store(met.select("donor_id", "anchor_id"), "pairs")
-        empty = empty + 1 if pairs.isEmpty() else 0
-        done = pairs if done is None else store(done.unionByName(pairs), "matched")
-        if empty == 3:
+    left = donor.select("donor_id", "id", "domain", "nouns").dropna()
+    right = anchor.select(F.col("id").alias("anchor_id"), "domain", "nouns").dropna()
+    kinds = (left.schema["donor_id"].dataType.simpleString(), right.schema["anchor_id"].dataType.simpleString())
+    done = []
+    while True:
+        left, right, found = store(left, "donors"), store(right, "anchors"), None
+        free = [left.count(), right.count()]
+        blocks = max(1, -(-max(free) // block))
+        salt, again = seed + 2 * len(done), False
+        for turn in range(blocks):
+            l, r = left, right
+            if found is not None:
+                l = left.join(found, "donor_id", "left_anti")
+                r = right.join(found, "anchor_id", "left_anti")
+            l = l.withColumn("_b", F.pmod(F.xxhash64(F.lit(salt), "donor_id"), F.lit(blocks)))
+            r = r.withColumn("_b", F.pmod(F.pmod(F.xxhash64(F.lit(salt + 1), "anchor_id"), F.lit(blocks)) + turn, F.lit(blocks)))
+            pairs = store(l.groupBy("_b").cogroup(r.groupBy("_b")).applyInPandas(_greedy, f"donor_id {kinds[0]}, anchor_id {kinds[1]}"), "pairs")
+            n = pairs.count()
+            if n:
+                found = pairs if found is None else store(found.unionByName(pairs), "matched")
+                free = [x - n for x in free]
+            if min(free) <= 0:
+                break
+            if -(-max(free) // block) < blocks - turn - 1:
+                again = True
+                break
+        done.append(pairs if found is None else found)
+        if not again:
             break
-        left = donor.join(done, "donor_id", "left_anti")
-        right = anchor.join(done.select(F.col("anchor_id").alias("id")), "id", "left_anti")
-    return done
+        left = left.join(done[-1], "donor_id", "left_anti")
+        right = right.join(done[-1], "anchor_id", "left_anti")
+    return reduce(DataFrame.unionByName, done)
+
+
+def _greedy(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Every donor of a block with the first free anchor of another that fits; sets of anchors are bits of a number."""
+    left, right = left.sort_values("donor_id"), right.sort_values("anchor_id")
+    asked = {x for nouns in left["nouns"] for x in nouns}
+    names, domains, groups, holders = right["anchor_id"].tolist(), {}, {}, {}
+    for k, (name, domain, nouns) in enumerate(zip(names, right["domain"].tolist(), right["nouns"], strict=True)):
+        domains[domain] = domains.get(domain, 0) | 1 << k
+        groups[name] = groups.get(name, 0) | 1 << k
+        for x in asked.intersection(nouns):
+            holders[x] = holders.get(x, 0) | 1 << k
+    out, free = {}, (1 << len(names)) - 1
+    for donor, own, domain, nouns in zip(left["donor_id"].tolist(), left["id"].tolist(), left["domain"].tolist(), left["nouns"], strict=True):
+        if donor in out or not free:
+            continue
+        bad = domains.get(domain, 0) | groups.get(own, 0)
+        for x in nouns:
+            bad |= holders.get(x, 0)
+        if fit := free & ~bad:
+            out[donor] = names[(fit & -fit).bit_length() - 1]
+            free &= ~groups[out[donor]]
+    return pd.DataFrame({"donor_id": list(out), "anchor_id": list(out.values())})
 
 
 def inject(anchor: DataFrame, donor: DataFrame, pairs: DataFrame, place: Column) -> DataFrame:

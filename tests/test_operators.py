@@ -187,6 +187,21 @@ def test_injection_matching_and_packing(spark):
     assert len({r.id for r in packs}) == len(packs) and all(2 <= len(v) <= 3 for v in by.values()) and not {98, 99} & {r.id for r in packs}
 
 
+def test_matching_is_maximal_where_few_pairs_fit(spark):
+    # a hot domain on both sides and a noun that nearly all share: each of a few donors fits a few anchors only
+    rows = [(i, "hot", ["All"]) for i in range(400)] + [(400 + i, "rare", ["All"]) for i in range(20)] + [(420 + i, "hot", [f"N{i}"]) for i in range(4)]
+    df = spark.createDataFrame([(2 * i + side, d, n) for side in (0, 1) for i, d, n in rows] + [(2000, None, ["X"]), (2001, "other", None)], "id long, domain string, nouns array<string>")
+    donor, anchor = df.filter("id % 2 = 1").withColumn("donor_id", F.col("id")), df.filter("id % 2 = 0")
+    info = {r.id: r for r in df.collect()}
+    fits = lambda a, b: a.domain is not None and b.domain is not None and a.nouns is not None and b.nouns is not None and a.domain != b.domain and not set(a.nouns) & set(b.nouns)
+    for options in ({}, {"block": 50}):
+        pairs = [(p.donor_id, p.anchor_id) for p in synthesize.match(donor, anchor, stored, **options).collect()]
+        used = {x for p in pairs for x in p}
+        assert pairs and len(used) == 2 * len(pairs) and all(fits(info[a], info[b]) for a, b in pairs)
+        assert not [(a, b) for a in info if a % 2 and a not in used for b in info if not b % 2 and b not in used and fits(info[a], info[b])]
+    assert synthesize.match(donor.limit(0), anchor, stored).count() == 0
+
+
 def test_corpora(spark):
     ev = "array<struct<type:string,img_path:string,image_caption:string,table_caption:string>>"
     rows = spark.createDataFrame([("p#1", 0, "claim", "sent", SUP, [("image", "a.jpg", '["c"]', None), ("table", "", None, "t")], "why {x}")], f"channel string, sent_index int, claim_text string, sentence string, label string, evidence {ev}, r string")
