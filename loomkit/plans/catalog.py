@@ -642,13 +642,13 @@ def injection_pools(spark, d):
 
 
 def _documents_with_marks(spark, d) -> DataFrame:
-    docs = fx.read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("domain"), F.substring_index("text", "\n", 1).alias("head"))
-    return docs.select("id", "domain", L.proper_nouns(F.col("head")).alias("nouns"))
+    docs = fx.read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("domain"), "text")
+    return docs.select("id", "domain", L.proper_nouns(F.col("text")).alias("nouns"))
 
 
 @query("donor_matches")
 def donor_matches(spark, d):
-    """Odd documents as donors, even ones as anchors: one-to-one, of other language, without a common noun."""
+    """Odd documents as donors, even ones as anchors: one-to-one, of other language, without a common noun in their whole texts (FIXTURES.md has the first line only)."""
     docs = _documents_with_marks(spark, d)
     return synthesize.match(docs.filter("id % 2 = 1").withColumn("donor_id", F.col("id")), docs.filter("id % 2 = 0"), stored)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomkit.config import SENTENCES
 from loomkit.operators import curate, densify, ensemble, rank, render, split, synthesize
+from loomkit.plans import catalog
 from loomkit.functions import labels as L
 from loomkit.sources.records import per_target
 
@@ -97,3 +98,10 @@ def test_hash_is_uniform_and_stable(spark):
     assert 0.47 < df.agg(F.avg("h")).first()[0] < 0.53 and df.filter("h < 0 or h >= 1").isEmpty()
     assert df.repartition(5).orderBy("id").collect() == df.orderBy("id").collect()
     assert densify.keep_one(df.withColumn("k", F.lit(1)), ["k"], ["id"], last=True).first().id == 3999
+
+
+def test_nouns_of_documents_are_those_of_whole_texts(spark, tmp_path):
+    rows = [(1, "en", "a head\nand then Berlin"), (2, "de", "ein Kopf\nund dann Berlin"), (3, "en", "a head\nand Paris"), (4, "en", None)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.id: r.nouns for r in catalog._documents_with_marks(spark, str(tmp_path)).collect()} == {1: ["Berlin"], 2: ["Kopf", "Berlin"], 3: ["Paris"], 4: None}
+    assert [tuple(r) for r in catalog.donor_matches(spark, str(tmp_path)).collect()] == [(3, 2)]
