@@ -121,34 +121,108 @@ def pack_groups(groups: DataFrame, bucket: str, minorities: int = 2, target: int
     """
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["minority", "id"], ascending=[False, True])
-        free = {r.id: (int(r.n), int(r.minority), set(r.stems)) for r in rows.itertuples()}
-        out, number = [], 0
-        for seed in list(free):
-            if seed not in free:
-                continue
-            n, m, stems = free[seed]
-            chosen, stems, own = [seed], set(stems), free[seed][2]
-            others = [x for x in free if x != seed]
-            for other in sorted(others, key=lambda x: not (free[x][2] & own)):  # stable: keeps the dense first
-                if m >= minorities and n >= target:
-                    break
-                a, b, c = free[other]
-                if n + a > most or len(stems | c) > figures:
-                    continue
-                chosen.append(other)
-                n, m, stems = n + a, m + b, stems | c
-            if len(chosen) > 1 and m >= minorities:
-                out += [(f"{key[0]}-{number}", i, x) for i, x in enumerate(chosen)]
-                number += 1
-                for x in chosen:
-                    del free[x]
+        out = [(f"{key[0]}-{k}", i, x) for k, pack in enumerate(_packs(rows, minorities, target, most, figures)) for i, x in enumerate(pack)]
         return pd.DataFrame(out, columns=["synthetic", "position", "id"])
 
     kind = groups.schema["id"].dataType.simpleString()
     return groups.filter("minority > 0").groupBy(bucket).applyInPandas(run, f"synthetic string, position int, id {kind}")
 
 
+def _packs(rows: pd.DataFrame, minorities: int, target: int, most: int, figures: int) -> list[list]:
+    """The packs of a bucket. Groups lie by shape (stems, sentences) and by stem, so a seed looks only at those that can fit."""
+    rows = rows.sort_values(["minority", "id"], ascending=[False, True])
+    free = {k: (r.id, int(r.n), int(r.minority), frozenset(r.stems)) for k, r in enumerate(rows.itertuples())}
+    shapes: dict[tuple, dict] = {}
+    holders: dict[str, dict] = {}
+    for k, (_, n, _, stems) in free.items():
+        shapes.setdefault((len(stems), n), {})[k] = None
+        for x in stems:
+            holders.setdefault(x, {})[k] = None
+    out = []
+    for seed in range(len(free)):
+        if seed not in free:
+            continue
+        _, n, m, own = free[seed]
+        chosen, stems = [seed], own
+
+        def take(k: int) -> None:
+            nonlocal n, m, stems
+            chosen.append(k)
+            n, m, stems = n + free[k][1], m + free[k][2], stems | free[k][3]
+
+        for k in sorted({k for x in own for k in holders[x]} - {seed}) if len(own) <= figures else []:
+            if m >= minorities and n >= target:
+                break
+            if n + free[k][1] <= most and len(stems | free[k][3]) <= figures:
+                take(k)
+        # the others in order of their place, each that fits when it comes
+        at = -1
+        while len(stems) <= figures and not (m >= minorities and n >= target):
+            fit = (next((k for k in ks if k > at and k != seed and not free[k][3] & own and len(stems | free[k][3]) <= figures), None) for (c, x), ks in shapes.items() if c + len(own) <= figures and n + x <= most)
+            at = min((k for k in fit if k is not None), default=None)
+            if at is None:
+                break
+            take(at)
+        if len(chosen) > 1 and m >= minorities:
+            out.append([free[k][0] for k in chosen])
+            for k in chosen:
+                _, x, _, held = free.pop(k)
+                del shapes[len(held), x][k]
+                for y in held:
+                    del holders[y][k]
+    return out
+
+
+def pack_all(groups: DataFrame, store, block: int = 2000, **limits) -> DataFrame:
+    """(synthetic, position, id) of the packs of all groups: by pack_groups in bounded buckets, until no two groups fit.
+
+    groups: id, n, minority, stems. First come buckets of groups that share a stem, in each round by another of their
+    stems, large ones in parts of about `block` groups, as long as a round packs a twentieth of those left. Then the rest
+    is dealt by hash, and every two blocks meet once in a task, so none that fit are both left; it is dealt anew when it
+    would fill fewer blocks than there are turns to come. A group with more than `figures` stems fits no pack. With more than two `minorities`
+    asked, packs of three and more that lie in three blocks may be missed.
+    """
+    able = groups.select("id", "n", "minority", F.coalesce("stems", F.array().cast("array<string>")).alias("stems")).filter("minority > 0")
+    left, done, number = store(able.filter(F.size("stems") <= limits.get("figures", 4)), "groups"), [], 0
+
+    def packed(dealt: DataFrame) -> int:
+        nonlocal left, number
+        name = F.concat(F.lit(f"{number}-"), "synthetic").alias("synthetic")
+        found = store(pack_groups(dealt, "bucket", **limits).select(name, "position", "id"), "packs")
+        number += 1
+        n = found.count()
+        if n:
+            done.append(found)
+            left = store(left.join(found, "id", "left_anti"), "groups")
+        return n
+
+    again = True
+    while again:
+        n = left.count()
+        by = F.array_min(F.transform("stems", lambda x: F.struct(F.xxhash64(F.lit(number), x).alias("h"), x.alias("x"))))["x"]
+        own = left.filter(F.size("stems") > 0).withColumn("stem", by)
+        parts = own.groupBy("stem").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+        cut = F.pmod(F.xxhash64(F.lit(number), "id"), "parts").cast("string")
+        gone = packed(own.join(parts, "stem").withColumn("bucket", F.concat_ws("/", "stem", cut)).drop("stem", "parts"))
+        again = gone > 0 and 20 * gone >= n
+    again = True
+    while again:
+        n, again = left.count(), False
+        blocks = max(2, -(-n // block))
+        blocks += blocks % 2
+        own, salt = F.pmod(F.xxhash64(F.lit(number), "id"), F.lit(blocks)), blocks - 1
+        for turn in range(salt):
+            # block b meets the one with which it adds up to 2 * turn, modulo blocks - 1; the last meets the one left alone
+            other = F.pmod(F.lit(2 * turn) - own, F.lit(salt))
+            mate = F.when(own == salt, F.lit(turn)).when(own == turn, F.lit(salt)).otherwise(other)
+            n -= packed(left.withColumn("bucket", F.least(own, mate).cast("string")))
+            if max(2, -(-n // block)) + 1 < salt - turn - 1:
+                again = True
+                break
+    kind = groups.schema["id"].dataType.simpleString()
+    return reduce(DataFrame.unionByName, done) if done else groups.sparkSession.createDataFrame([], f"synthetic string, position int, id {kind}")
+
+
 def joined_records(packed: DataFrame, records: DataFrame) -> DataFrame:
     """The packs as records: sentences in order, claims joined, evidence once for each path (the first)."""
     rows = packed.join(records, "id")

@@ -655,11 +655,10 @@ def donor_matches(spark, d):
 
 @query("packed_groups")
 def packed_groups(spark, d):
-    """Orders with minority lines packed with others of their bucket; suppliers stand for figures."""
+    """Orders with minority lines packed together until no two fit; their suppliers, all of them, stand for figures."""
     s = fx.sentences(spark, d)
-    g = s.groupBy("id").agg(F.count("*").cast("int").alias("n"), F.count_if(F.get("types", F.lit(0)) != SENTENCES.default).cast("int").alias("minority"), F.slice(F.array_sort(F.collect_set(F.col("l_suppkey").cast("string"))), 1, 2).alias("stems"))
-    total = g.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / 2000)).cast("int").alias("buckets"))  # a row
-    return synthesize.pack_groups(g.crossJoin(F.broadcast(total)).withColumn("bucket", F.pmod(F.xxhash64("id"), "buckets")), "bucket")
+    g = s.groupBy("id").agg(F.count("*").cast("int").alias("n"), F.count_if(F.get("types", F.lit(0)) != SENTENCES.default).cast("int").alias("minority"), F.array_sort(F.collect_set(F.col("l_suppkey").cast("string"))).alias("stems"))
+    return synthesize.pack_all(g, stored)
 
 
 @query("quality_scores", "d AS (SELECT toxic AS gold, quality AS said FROM labels), lab AS (SELECT unnest([0, 1]) AS label), x AS (SELECT l.label, count(*) FILTER (WHERE gold = l.label AND said = l.label) AS tp, count(*) FILTER (WHERE gold <> l.label AND said = l.label) AS fp, count(*) FILTER (WHERE gold = l.label AND said <> l.label) AS fn FROM d CROSS JOIN lab l GROUP BY l.label) SELECT CAST(label AS varchar) AS label, tp, fp, fn FROM x")

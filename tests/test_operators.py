@@ -1,6 +1,7 @@
 """Ensembles, scores, splits and tables on small literal cases."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -202,6 +203,39 @@ def test_matching_is_maximal_where_few_pairs_fit(spark):
     assert synthesize.match(donor.limit(0), anchor, stored).count() == 0
 
 
+def compatible(a, b):
+    return a.n + b.n <= 16 and len({*a.stems} | {*b.stems}) <= 4
+
+
+def test_packing_goes_on_until_no_two_groups_fit(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.randint(1, 16), rng.randint(0, 2), sorted(rng.sample([f"s{k}" for k in range(40)], rng.randint(0, 6))) + ["hot"] * (i % 3 == 0)) for i in range(600)]
+    g = spark.createDataFrame(rows, "id long, n int, minority int, stems array<string>")
+    info = {r.id: r for r in g.collect()}
+    for block in (2000, 30):
+        by = {}
+        for r in synthesize.pack_all(g, stored, block).orderBy("position").collect():
+            by.setdefault(r.synthetic, []).append(info[r.id])
+        used = [r.id for p in by.values() for r in p]
+        assert by and len(set(used)) == len(used)
+        assert all(len(p) > 1 and sum(r.n for r in p) <= 16 and sum(r.minority for r in p) >= 2 and len({x for r in p for x in r.stems}) <= 4 for p in by.values())
+        rest = [r for r in info.values() if r.minority and r.id not in used]
+        assert not [(a.id, b.id) for k, a in enumerate(rest) for b in rest[:k] if compatible(a, b)]
+    assert synthesize.pack_all(g.limit(0), stored).count() == 0
+
+
+def test_packed_orders_count_all_their_suppliers(spark):
+    from loomkit.plans import catalog, fixtures
+
+    held = {}
+    for r in fixtures.sentences(spark, "/root/testdata/sf0.001").select("id", "l_suppkey").collect():
+        held.setdefault(r.id, set()).add(r.l_suppkey)
+    packs = {}
+    for r in catalog.packed_groups(spark, "/root/testdata/sf0.001").collect():
+        packs.setdefault(r.synthetic, set()).update(held[r.id])
+    assert packs and all(len(x) <= 4 for x in packs.values())
+
+
 def test_corpora(spark):
     ev = "array<struct<type:string,img_path:string,image_caption:string,table_caption:string>>"
     rows = spark.createDataFrame([("p#1", 0, "claim", "sent", SUP, [("image", "a.jpg", '["c"]', None), ("table", "", None, "t")], "why {x}")], f"channel string, sent_index int, claim_text string, sentence string, label string, evidence {ev}, r string")
