@@ -38,6 +38,7 @@ WANTED = re.compile(r"(?:^|[\s_-])(?:article|post|entry|content|main|story|text|
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.S)
+_HEADING = re.compile(r"h[1-6]")
 _SPACE = re.compile(r"\s+")
 
 
@@ -173,7 +174,9 @@ def _above(node: _Node) -> Iterator[_Node]:
 
 
 def main_text(page: str | None) -> str:
-    """The main text of a page: blocks of the best container and of its siblings that are like it.
+    """The main text of a page: blocks of the best container, of its siblings that are like it, and what lies beside them.
+
+    Beside them, in their parent, every heading and every block with few links is kept, however short.
 
     A block gives its container 1 point, 1 for each comma and 1 for each 100 characters (3 at most), the container's
     parent half of that and those above a third, a quarter and so on; links discount a block by their share of its
@@ -183,6 +186,7 @@ def main_text(page: str | None) -> str:
     if not found:
         return ""
     scored: dict[int, _Node] = {}
+    headings = {id(b) for b in found if any(_HEADING.fullmatch(x.tag) for x in _above(b.node))}
     for b in found:
         b.node = _container(b.node)
         length = len(b.text)
@@ -207,11 +211,17 @@ def main_text(page: str | None) -> str:
     chosen = {id(best)}
     if best.tag not in ("article", "main", "body"):
         chosen |= {k for k, x in scored.items() if x.parent is best.parent and x.tag not in ("li", "tr", "td") and value(x) >= floor and top > 0}
+    whole = [any(id(x) in chosen for x in _above(b.node)) for b in found]
+    if best.parent is None or best.tag in ("article", "main", "body"):
+        return "\n".join(b.text for b, w in zip(found, whole, strict=True) if w)
+    # the ancestor that holds all kept siblings, above wrappers of the best container alone
+    frame = best.parent
+    while frame.total == best.total and frame.parent is not None and frame.parent.tag not in ("", "html", "body"):
+        frame = frame.parent
     kept = []
-    for b in found:
-        whole = any(id(x) in chosen for x in _above(b.node))
-        beside = b.node is best.parent and best.tag not in ("article", "main", "body") and len(b.text) >= 80 and b.linked < 0.25 * len(b.text)
-        if whole or beside:
+    for b, w in zip(found, whole, strict=True):
+        beside = any(x is frame for x in _above(b.node)) and (id(b) in headings or b.linked < 0.25 * len(b.text))
+        if w or beside:
             kept.append(b.text)
     return "\n".join(kept)
 

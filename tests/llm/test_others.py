@@ -114,6 +114,19 @@ def test_pages(spark):
     assert {r.text for r in out[4:]} == {"A\nA\nB", "x"}
 
 
+def test_short_parts_of_pages_without_article_stay():
+    text = "Four paragraphs without a comma " * 9
+    four = f"<div>{f'<p>{text}</p>' * 4}</div>"
+    want = "\n".join(["Short title", *[text.strip()] * 4, "A short closing section of forty letters."])
+    close = "<div><p>A short closing section of forty letters.</p></div>"
+    menu = '<div><a href="/a">Some other page</a> <a href="/b">And one more page</a></div>'
+    assert html.main_text(f"<body><div><h1>Short title</h1>{four}{close}</div></body>") == want
+    assert html.main_text(f"<body>{menu}<div>{menu}<h1>Short title</h1>{four}{close}</div></body>") == want
+    assert html.main_text(f"<body><div><h1>Short title</h1><div>{four}</div>{close}</div></body>") == want
+    assert html.main_text(f"<body><h1>Short title</h1>{four}{close}<nav>Menu</nav></body>") == want
+    assert html.main_text(f'<body><div><h1><a href="/t">Short title</a></h1>{four}{close}{menu}</div></body>') == want
+
+
 def test_url_lists(spark):
     entries = spark.createDataFrame(
         [("bad.example", 10, "block", 1), ("bad.example", 20, "withdraw", 2), ("bad.example", 30, "block", 3), ("bad.example", 30, "allow", 4), ("example", 5, "block", 5), ("ok.example/free", 0, "allow", 6), (None, 1, "block", 7), ("x", None, "block", 8)],
