@@ -503,7 +503,7 @@ c AS (SELECT node AS id, min(seen) AS component FROM w GROUP BY node)"""
 def _members(spark, d) -> DataFrame:
     links = stored(fx.links(spark, d), "links")
     edges = split.shared_key_edges(links)
-    found = components.connected_components(edges, stored)
+    found = components.connected_components(edges)
     return links.select("id").distinct().join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 

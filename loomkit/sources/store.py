@@ -11,14 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession, kind: str) -> str:
     """A new folder's URI below the one that the cluster names in spark.checkpoint.dir.
 
-    Where that setting is absent, as in tests on one machine, a temporary folder is named and kept for the session.
+    Where that setting is absent a temporary folder is named and kept for the session, on one machine only: with
+    executors elsewhere a folder of the driver's would lose rows, so that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        context = spark.sparkContext
+        held = context._jsc.sc().getCheckpointDir()
         if not held.isDefined():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-            held = spark.sparkContext._jsc.sc().getCheckpointDir()
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+            held = context._jsc.sc().getCheckpointDir()
         root = held.get()
     return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
@@ -27,4 +31,14 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
     """The rows of df, written to the shared folder and read again: later steps neither recompute nor lose them."""
     path = shared_folder(df.sparkSession, kind)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes stored tables; for those whose successors are written and that nothing reads any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -120,14 +120,14 @@ def test_components_do_not_depend_on_order_or_partitions(spark):
     want = {**{i: i - i % 20 for i in range(60)}, 60: 40, **{k: 100 for k in range(100, 140)}}
     want[60] = 40 if (59, 60) in edges else 60
     for n in (1, 5):
-        got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges[::-1], "a long, b long").repartition(n), stored).collect()}
+        got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges[::-1], "a long, b long").repartition(n)).collect()}
         assert got == {k: v for k, v in want.items() if k in got} and len(got) >= 99
-    assert components.connected_components(spark.createDataFrame([], "a long, b long"), stored).count() == 0
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_splits_keep_components_apart(spark):
     links = spark.createDataFrame([(i, f"k{i // 3}") for i in range(60)] + [(0, "k9")], "id long, key string")
-    found = components.connected_components(split.shared_key_edges(links), stored)
+    found = components.connected_components(split.shared_key_edges(links))
     members = links.select("id").distinct().join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     sides = split.component_split(members, split_order("component"), 0.3, stored)
     assert split.leaks(links, sides).count() == 0 and 18 <= sides.filter("split = 'dev'").count() <= 24
