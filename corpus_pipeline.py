@@ -18,9 +18,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest doc_id."""
-    kept = near.near_duplicates(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """One document of each group of near-duplicates, the one with the smallest doc_id; rows without doc_id as near.py says."""
+    kept = near.near_duplicates(docs, with_own=True).filter("kept").select(F.col("doc_id").alias("_id"), F.col("own").alias("_own"))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (near.row_key() == F.col("_own")), "left_semi").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
