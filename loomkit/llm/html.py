@@ -36,50 +36,101 @@ UNWANTED_OUTSIDE = re.compile(r"(?:^|[\s_-])(?:banner|header|masthead|side|rail|
 _BESIDE = re.compile(r"\b(?:has|with|no)-[\w-]+", re.I)
 WANTED = re.compile(r"(?:^|[\s_-])(?:article|post|entry|content|main|story|text|body)(?:$|[\s_-])", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.S)
-_HEADING = re.compile(r"h[1-6]")
+_COMMENT_END = re.compile(r"--!?>")
+_NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+#: A whole tag as most are written; all others are scanned attribute by attribute.
+_SIMPLE = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:\s++[a-zA-Z_:-]++(?:=(?:\"[^\"<>]*+\"|'[^'<>]*+'|[^\s\"'<>=`/]++))?+)*+)\s*+(/?)>")
+_GAP = re.compile(r"[\s/]*")
+_KEY = re.compile(r"[^\s/>][^\s/>=]*")
+_EQUALS = re.compile(r"\s*=\s*")
+_BARE = re.compile(r"[^\s>]*")
+_ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)(?:=(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+_NO_CONTAINER = _HEADING | frozenset("p pre dt dd summary legend caption figcaption".split())
+_P_LIMITS = ("article", "table", "td", "th", "body", "button")
+_INLINE_LIMITS = ("table", "td", "article", "body")
 _SPACE = re.compile(r"\s+")
+_STYLE_HIDDEN = re.compile(r"display\s*:\s*none", re.I)
+#: Ancestors that a block gives points to.
+LEVELS = 12
 
 
 class _Node:
-    __slots__ = ("drop", "good", "parent", "score", "tag", "text", "total", "linked")
+    __slots__ = ("container", "doubtful", "drop", "good", "heading", "kept", "linked", "parent", "score", "tag", "total")
 
-    def __init__(self, tag: str, parent: _Node | None, drop: bool, good: bool):
-        self.tag, self.parent, self.drop, self.good = tag, parent, drop, good
-        self.score, self.total, self.linked, self.text = 0.0, 0, 0, 0
+    def __init__(self, tag: str, parent: _Node | None, drop: bool, doubtful: bool, good: bool):
+        self.tag, self.parent, self.drop, self.doubtful, self.good = tag, parent, drop, doubtful, good
+        self.score, self.total, self.linked, self.kept = 0.0, 0, 0, False
+        self.heading = tag in _HEADING or (parent is not None and parent.heading)
+        self.container = parent.container if parent is not None and (tag not in BLOCK or tag in _NO_CONTAINER) else self
 
 
 class _Block:
-    __slots__ = ("linked", "node", "text")
+    __slots__ = ("heading", "linked", "node", "text")
 
     def __init__(self, node: _Node, text: str, linked: int):
-        self.node, self.text, self.linked = node, text, linked
+        self.node, self.heading, self.text, self.linked = node.container, node.heading, text, linked
 
 
-def _attributes(tag: str, body: str, inside: bool) -> tuple[bool, bool]:
-    """(whether the element is to be dropped, whether its name speaks for content)."""
-    if not body or body.isspace():
-        return False, False
-    found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(body)}
+def _judged(tag: str, found: dict[str, str], inside: bool) -> tuple[bool, bool, bool]:
+    """(whether the element goes, whether its name alone says so, whether its name speaks for content)."""
     names = _BESIDE.sub("", f"{found.get('class', '')} {found.get('id', '')}")
     unwanted = bool(UNWANTED.search(names)) or (not inside and bool(UNWANTED_OUTSIDE.search(names)))
-    hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I)
-    bad = bool(hidden) or found.get("role", "").lower() in _ROLES or (tag not in ("html", "body", "main", "article") and unwanted)
-    return bad, bool(WANTED.search(names))
+    hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(_STYLE_HIDDEN.search(found.get("style", "")))
+    return hidden or found.get("role", "").lower() in _ROLES, unwanted and tag not in ("html", "body", "main", "article"), bool(WANTED.search(names))
 
 
-def blocks(page: str) -> list[_Block]:
-    """The page's blocks of text in order, each with its container; dropped parts are left out."""
-    root = _Node("", None, False, False)
-    stack, parts, linked, links, out = [root], [], 0, 0, []
+class _Page:
+    """The tags of a page; every character is looked at a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+
+    def tag(self, at: int) -> tuple[int, bool, str, dict[str, str], bool] | None:
+        """(end, whether it closes, name, attributes, whether it ends in a slash) of the tag after the < before `at`."""
+        page = self.page
+        if at > self.last[">"]:
+            return None
+        if m := _SIMPLE.match(page, at):
+            found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(m[3])} if m[3] else {}
+            return m.end(), bool(m[1]), m[2].lower(), found, bool(m[4])
+        if not (m := _NAME.match(page, at)):
+            return None
+        found, k, size = {}, m.end(), len(page)
+        while True:
+            k, before = _GAP.match(page, k).end(), k
+            if k >= size or page[k] == ">":
+                return min(k + 1, size), bool(m[1]), m[2].lower(), found, page[before:k].endswith("/")
+            key = _KEY.match(page, k)
+            k, value = key.end(), ""
+            if equals := _EQUALS.match(page, k):
+                k = equals.end()
+                quote = page[k : k + 1]
+                if quote in ("'", '"') and self.last[quote] > k:
+                    end = page.index(quote, k + 1)
+                    value, k = page[k + 1 : end], end + 1
+                else:
+                    value = _BARE.match(page, k)[0]
+                    k += len(value)
+            found.setdefault(key[0].lower(), value)
+
+
+def blocks(text: str) -> tuple[list[_Block], list[_Node]]:
+    """The page's blocks of text in order, each with its container, and its elements in order; dropped parts are left out.
+
+    An element whose name alone speaks against it stays if it holds the page's main element or an article's first heading.
+    """
+    root = _Node("", None, False, False, False)
+    stack, nodes, parts, linked, links, insides, out = [root], [root], [], 0, 0, 0, []
+    places: dict[str, list[int]] = {}
+    nearest = lambda names: max((places[n][-1] for n in names if places.get(n)), default=0)
 
     def flush() -> None:
         nonlocal linked
         if parts:
-            text = _SPACE.sub(" ", "".join(parts)).strip()
-            if text:
-                out.append(_Block(stack[-1], text, linked))
+            if own := _SPACE.sub(" ", "".join(parts)).strip():
+                out.append(_Block(stack[-1], own, linked))
             parts.clear()
         linked = 0
 
@@ -87,42 +138,54 @@ def blocks(page: str) -> list[_Block]:
         nonlocal linked
         if stack[-1].drop or not raw:
             return
-        text = entities.unescape(raw) if "&" in raw else raw
-        parts.append(text)
+        own = entities.unescape(raw) if "&" in raw else raw
+        parts.append(own)
         if links:
-            linked += len(text.strip())
+            linked += len(own.strip())
 
     def close_to(k: int) -> None:
-        nonlocal links
-        for x in stack[k:]:
-            links -= x.tag == "a"
+        nonlocal links, insides
         if any(x.tag in BLOCK for x in stack[k:]):
             flush()
+        for x in stack[k:]:
+            places[x.tag].pop()
+            links -= x.tag == "a"
+            insides -= x.good or x.tag in ("article", "main")
         del stack[k:]
 
-    at, end = 0, len(page)
-    while at < end:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            add(page[at:])
+    page = _Page(text)
+    at, size = 0, len(text)
+    while at < size:
+        start = text.find("<", at)
+        if start < 0:
+            add(text[at:])
             break
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        add(text[at:start])
+        if text.startswith("<!--", start):
+            done = _COMMENT_END.search(text, start + 4)
+            at = done.end() if done else size
+            continue
+        if text[start + 1 : start + 2] in ("!", "?"):
+            done = text.find(">", start)
+            at = done + 1 if done >= 0 else size
             continue
-        tag = m[2].lower()
-        if m[1]:
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
+        read = page.tag(start + 1)
+        if read is None:
+            add("<")
+            at = start + 1
+            continue
+        at, closes, tag, found, slash = read
+        if closes:
+            k = nearest((tag,))
             if tag == "p" and not k:
                 flush()
-            if k and not (tag not in BLOCK and any(x.tag in ("table", "td", "article", "body") for x in stack[k + 1 :])):
+            if k and (tag in BLOCK or nearest(_INLINE_LIMITS) <= k):
                 close_to(k)
             continue
         if tag in RAW:
-            if not m[3].endswith("/"):
-                done = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = done.end() if done else end
+            if not slash:
+                done = re.compile(rf"</{tag}\s*>", re.I).search(text, at)
+                at = done.end() if done else size
             continue
         if tag == "br":
             if not stack[-1].drop:
@@ -132,39 +195,37 @@ def blocks(page: str) -> list[_Block]:
             if tag == "hr":
                 flush()
             continue
-        if tag in CLOSES_P:
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p" or stack[i].tag in ("article", "table", "td", "th", "body", "button")), 0)
-            if k and stack[k].tag == "p":
-                close_to(k)
+        if tag in CLOSES_P and (k := nearest(("p",))) > nearest(_P_LIMITS):
+            close_to(k)
         if tag in IMPLIED:
             names, limits = IMPLIED[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in limits:
+            while (k := nearest(names)) > nearest(limits):
+                close_to(k)
+                if tag != "tr":
                     break
-                if stack[k].tag in names:
-                    close_to(k)
-                    if tag != "tr":
-                        break
         if tag in BLOCK:
             flush()
-        above = stack[-1]
-        inside = any(x.tag in ("article", "main") or x.good for x in stack)
-        bad, good = _attributes(tag, m[3], inside)
-        drop = above.drop or bad or (tag in BOILERPLATE and not (tag == "header" and inside))
-        if tag == "body":
-            drop = False
-        if m[3].endswith("/") and tag not in BLOCK:
+        above, inside = stack[-1], insides > 0
+        gone, doubtful, good = _judged(tag, found, inside) if found else (False, False, False)
+        gone = (above.drop or gone or (tag in BOILERPLATE and not (tag == "header" and inside))) and tag != "body"
+        if slash and tag not in BLOCK:
             continue
-        stack.append(_Node(tag, above, drop, good and not drop))
+        if tag == "main" or (tag == "h1" and nearest(("article", "main"))):
+            for x in reversed(stack):  # names above are overruled, once each
+                if x.kept:
+                    break
+                x.doubtful, x.kept = False, True
+        node = _Node(tag, above, gone, doubtful, good and not gone and not doubtful)
+        places.setdefault(tag, []).append(len(stack))
+        stack.append(node)
+        nodes.append(node)
         links += tag == "a"
+        insides += node.good or tag in ("article", "main")
     flush()
-    return out
-
-
-def _container(node: _Node) -> _Node:
-    while node.parent is not None and (node.tag not in BLOCK or re.fullmatch(r"p|h\d|pre|dt|dd|summary|legend|caption|figcaption", node.tag)):
-        node = node.parent
-    return node
+    for x in nodes:
+        x.kept = False
+        x.doubtful = x.doubtful or (x.parent is not None and x.parent.doubtful)
+    return [b for b in out if not b.node.doubtful], nodes
 
 
 def _above(node: _Node) -> Iterator[_Node]:
@@ -179,51 +240,56 @@ def main_text(page: str | None) -> str:
     Beside them, in their parent, every heading and every block with few links is kept, however short.
 
     A block gives its container 1 point, 1 for each comma and 1 for each 100 characters (3 at most), the container's
-    parent half of that and those above a third, a quarter and so on; links discount a block by their share of its
-    characters, and a container's points by the share of links in all its text. A page without a block gives "".
+    parent half of that and those above a third, a quarter and so on, LEVELS in all; links discount a block by their
+    share of its characters, and a container's points by the share of links in all its text. A page without a block
+    gives "". The work is linear in the page's length.
     """
-    found = blocks(page or "")
+    found, nodes = blocks(page or "")
     if not found:
         return ""
     scored: dict[int, _Node] = {}
-    headings = {id(b) for b in found if any(_HEADING.fullmatch(x.tag) for x in _above(b.node))}
     for b in found:
-        b.node = _container(b.node)
         length = len(b.text)
-        for depth, x in enumerate(_above(b.node)):
-            x.total += length
-            x.linked += b.linked
-            if length >= 25:
+        b.node.total += length
+        b.node.linked += b.linked
+        if length >= 25:
+            commas = b.text.count(",") + b.text.count("，") + b.text.count("、")
+            points = (1 - min(1, b.linked / length)) * (1 + commas + min(length / 100, 3))
+            for depth, x in zip(range(LEVELS), _above(b.node)):
                 scored[id(x)] = x
-                commas = b.text.count(",") + b.text.count("，") + b.text.count("、")
-                x.score += (1 - min(1, b.linked / length)) * (1 + commas + min(length / 100, 3)) / (depth + 1)
+                x.score += points / (depth + 1)
+    for x in reversed(nodes):
+        if x.parent is not None:
+            x.parent.total += x.total
+            x.parent.linked += x.linked
     if not scored:
         best = next((x for b in found for x in _above(b.node) if x.tag in ("article", "main")), None)
-        kept = [b for b in found if best is None or any(x is best for x in _above(b.node))]
-        return "\n".join(b.text for b in kept if b.linked * 2 <= len(b.text))
+        if best is not None:
+            _mark(nodes, {id(best)})
+        return "\n".join(b.text for b in found if (best is None or b.node.kept) and b.linked * 2 <= len(b.text))
     value = lambda x: (x.score + (25 if x.tag in ("article", "main") else 0) + (5 if x.good else 0)) * (1 - x.linked / max(1, x.total)) if x.tag not in ("", "html") else -1.0
     best = max(scored.values(), key=value)
-    for x in _above(best):
-        if x.tag in ("article", "main"):
-            best = x
-            break
+    best = next((x for x in _above(best) if x.tag in ("article", "main")), best)
     top, floor = value(best), 0.2 * value(best)
     chosen = {id(best)}
     if best.tag not in ("article", "main", "body"):
         chosen |= {k for k, x in scored.items() if x.parent is best.parent and x.tag not in ("li", "tr", "td") and value(x) >= floor and top > 0}
-    whole = [any(id(x) in chosen for x in _above(b.node)) for b in found]
+    _mark(nodes, chosen)
+    whole = [b.node.kept for b in found]
     if best.parent is None or best.tag in ("article", "main", "body"):
         return "\n".join(b.text for b, w in zip(found, whole, strict=True) if w)
     # the ancestor that holds all kept siblings, above wrappers of the best container alone
     frame = best.parent
     while frame.total == best.total and frame.parent is not None and frame.parent.tag not in ("", "html", "body"):
         frame = frame.parent
-    kept = []
-    for b, w in zip(found, whole, strict=True):
-        beside = any(x is frame for x in _above(b.node)) and (id(b) in headings or b.linked < 0.25 * len(b.text))
-        if w or beside:
-            kept.append(b.text)
-    return "\n".join(kept)
+    _mark(nodes, {id(frame)})
+    return "\n".join(b.text for b, w in zip(found, whole, strict=True) if w or (b.node.kept and (b.heading or b.linked < 0.25 * len(b.text))))
+
+
+def _mark(nodes: list[_Node], chosen: set[int]) -> None:
+    """kept: whether a node or one above it is among the chosen."""
+    for x in nodes:
+        x.kept = id(x) in chosen or (x.parent is not None and x.parent.kept)
 
 
 def extract(pages: DataFrame, html: str = "html", into: str = "text") -> DataFrame:
