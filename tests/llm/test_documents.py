@@ -229,38 +229,65 @@ def test_packing_of_an_empty_table(docs):
     assert packing.pack(docs.limit(0), BPE).count() == 0
 
 
-def test_kneser_ney(spark, docs, rows):
-    model = kneser.train(docs)
-    got = {r["extra"]: r for r in kneser.score(docs, model).collect()}
-    texts = [[lower(w) for w in WORD.findall(t or "")] + [None] for _, t, _ in rows]
-    count, pair = collections.Counter(), collections.Counter()
-    for w in texts:
-        count.update(w)
-        pair.update(zip(["<s>", *w[:-1]], w))
-    n, v = sum(count.values()), len(count)
-    assert (model.tokens, model.vocabulary) == (n, v)
-    tally = lambda c: kneser.discounts([sum(1 for x in c if x == k) for k in (1, 2, 3, 4)])
-    high, follows = tally(pair.values()), collections.Counter(w for _, w in pair)
-    low, total = tally(follows.values()), collections.Counter()
-    some = collections.defaultdict(lambda: [0, 0, 0])
-    for (a, _), k in pair.items():
-        total[a] += k
-        some[a][min(k, 3) - 1] += 1
+def plain_model(texts):
+    """p(a, b, w) of an interpolated modified Kneser-Ney model of order three, from plain counts."""
+    triple = collections.Counter(x for w in texts for x in zip(["<s>", "<s>", *w], ["<s>", *w], w))
+    pair, follows = collections.Counter(), collections.Counter()
+    for (_, b, w), k in triple.items():
+        pair[b, w] += k if b == "<s>" else 1
+    for _, w in pair:
+        follows[w] += 1
+    vocabulary = len(follows)
     cut = lambda k, d: 0 if not k else d[min(k, 3) - 1]
+    tally = lambda c: kneser.discounts([sum(1 for x in c.values() if x == k) for k in (1, 2, 3, 4)])
+    levels = []
+    for counts in (pair, triple):
+        total, some, d = collections.Counter(), collections.defaultdict(lambda: [0, 0, 0]), tally(counts)
+        for key, k in counts.items():
+            total[key[:-1]] += k
+            some[key[:-1]][min(k, 3) - 1] += 1
+        levels.append((counts, total, some, d))
+    low = tally(follows)
     rest = sum(cut(k, low) for k in follows.values()) / len(pair)
 
-    def p(a, w):
-        lower_ = max(follows[w] - cut(follows[w], low), 0) / len(pair) + rest / (v + 1)
-        k = pair[a, w]
-        return lower_ if not total[a] else max(k - cut(k, high), 0) / total[a] + sum(x * y for x, y in zip(high, some[a])) / total[a] * lower_
+    def p(a, b, w):
+        out = max(follows[w] - cut(follows[w], low), 0) / len(pair) + rest / (vocabulary + 1)
+        for context, (counts, total, some, d) in zip(((b,), (a, b)), levels):
+            k = counts[(*context, w)]
+            if total[context]:
+                out = max(k - cut(k, d), 0) / total[context] + sum(x * y for x, y in zip(d, some[context])) / total[context] * out
+        return out
+
+    return p
+
 
+@pytest.mark.parametrize("times", [1, 4])
+def test_kneser_ney(spark, docs, rows, times, monkeypatch):
+    """Also where every text comes four times, so that counts of one never occur; and with words frequent enough to be spread."""
+    monkeypatch.setattr(kneser, "LEAST_PIECES", 16)
+    monkeypatch.setattr(kneser, "HELD", 3000)
+    monkeypatch.setattr(kneser, "AT_A_TIME", 4000)
+    model = kneser.train(docs.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(times)))))
+    got = {r["extra"]: r for r in kneser.score(docs, model).collect()}
+    texts = [[lower(w) for w in WORD.findall(t or "")] + [None] for _, t, _ in rows]
+    p = plain_model(texts * times)
+    count = collections.Counter(w for t in texts * times for w in t)
+    n, v = sum(count.values()), len(count)
+    assert (model.tokens, model.vocabulary) == (n, v) and max(count.values()) > model.spread()
     for (_, _, e), w in zip(rows, texts):
-        assert got[e].score == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip(["<s>", *w[:-1]], w)))
+        assert got[e].score == pytest.approx(sum(math.log10(p(*x)) for x in zip(["<s>", "<s>", *w], ["<s>", *w], w)))
         assert got[e].base_score == pytest.approx(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w))
-    for a in ("<s>", "the", "never seen"):
-        assert sum(p(a, w) for w in count) + p(a, "another") == pytest.approx(1)
+    for a, b in (("<s>", "<s>"), ("<s>", "one"), ("one", "two"), ("the", "the"), ("never seen", "the"), ("the", "never seen")):
+        assert sum(p(a, b, w) for w in count) + p(a, b, "another") == pytest.approx(1)
     new = kneser.score(spark.createDataFrame([(1, "unheard of words"), (2, None)], "doc_id long, text string"), model).orderBy("doc_id").collect()
     assert (new[0].n_tokens, new[0].n_known, new[1].n_tokens) == (4, 2, 1)
+    unseen = ["unheard", "of", "words", None]
+    assert new[0].score == pytest.approx(sum(math.log10(p(*x)) for x in zip(["<s>", "<s>", *unseen], ["<s>", *unseen], unseen)))
+    assert all(math.isfinite(r.score) for r in (*got.values(), *new))
+
+
+def test_discounts_leave_something_to_every_word():
+    assert all(0 < x <= k + 1 for counts in ([1, 1, 1, 1], [5, 100, 3, 9], [100, 1, 1, 50], [3, 2, 1, 0], [0, 9, 9, 9]) for k, x in enumerate(kneser.discounts(counts)))
 
 
 def test_kneser_ney_without_texts(docs):
