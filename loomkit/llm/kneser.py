@@ -1,4 +1,4 @@
-"""Interpolated modified Kneser-Ney trigram model: counted in Spark, kept as sorted arrays, mapped by workers.
+"""Interpolated modified Kneser-Ney model of order two or three: counted in Spark, kept as sorted arrays, mapped by workers.
 
 The model lies in a folder that all executors share, in pieces whose number follows the texts' size:
 
@@ -6,7 +6,7 @@ The model lies in a folder that all executors share, in pieces whose number foll
   number its continuation count, the total and the back-off weight of what follows it.
 - bigrams: sorted 64-bit keys, the first word's number in the high half; beside them adjusted counts, one byte each,
   those of 255 and more in a list of their own.
-- trigrams: sorted 64-bit keys of contexts (the two words before), with the total and the back-off weight of what
+- trigrams (order three): sorted 64-bit keys of contexts (the two words before), with the total and the back-off weight of what
   follows; sorted 64-bit keys of a context's place and the third word, with counts like those of bigrams.
 
 Workers map the arrays where the folder is a mounted one and read them otherwise. Words that are frequent have their
@@ -34,7 +34,7 @@ END = np.uint64(0x5DEECE66D1234567)
 #: Distinct keys that a task holds before it deals them out, and bytes of text that it looks up at a time.
 HELD, AT_A_TIME = 1 << 21, 6 << 20
 #: Bytes of text for each piece of the model.
-PIECE_BYTES, LEAST_PIECES = 48 << 20, 12
+PIECE_BYTES, LEAST_PIECES = 16 << 20, 12
 #: The least share of a count that a discount takes, so that no context leaves nothing to words unseen after it.
 LEAST_DISCOUNT = 0.1
 _WIDE, _LOW = np.uint64(32), np.uint64(2**32 - 1)
@@ -101,6 +101,7 @@ class Model:
     """What the driver knows of a model: places of pieces and a few totals; the arrays stay in the folder."""
 
     pieces: int
+    order: int = 2
     words: list[dict] = field(default_factory=list)
     bigrams: list[dict] = field(default_factory=list)
     trigrams: list[dict] = field(default_factory=list)
@@ -307,6 +308,39 @@ def _keep_words(folder: str):
     return run
 
 
+def _count_bigrams(model: Model):
+    def deal(held) -> Iterator[pa.RecordBatch]:
+        keys, counts, spread = _summed(*map(np.concatenate, zip(*held, strict=True)))
+        rows = _bigram_rows(keys, counts, spread > 0, model)
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["piece", "data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrays, held, n = Arrays(model), [], 0
+        for batch in batches:
+            for _, _, tokens, sizes in _tokens(batch):
+                numbers, counts = arrays.numbers(tokens)
+                left = _pairs(numbers, sizes, model.vocabulary)
+                often = _pairs((counts > model.spread()).astype(np.int64), sizes, 1)
+                keys = (left.astype(np.uint64) << _WIDE) | numbers.astype(np.uint64)
+                held.append(_summed(keys, np.ones(len(keys), np.int64), often))
+                n += len(held[-1][0])
+                if n >= HELD:
+                    yield from deal(held)
+                    held, n = [], 0
+        if n:
+            yield from deal(held)
+
+    return run
+
+
+def _bigram_rows(keys: np.ndarray, counts: np.ndarray, spread: np.ndarray, model: Model) -> list[tuple[int, bytes]]:
+    """(piece, packed bigrams) of ascending keys with their counts."""
+    piece = bigram_piece((keys >> _WIDE).astype(np.int64), keys, spread, model.pieces)
+    by = np.argsort(piece, kind="stable")
+    keys, counts, piece = keys[by], counts[by], piece[by]
+    return [(int(piece[a]), _packed(np.diff((keys[a:b] >> _WIDE).astype(np.int64), prepend=0), keys[a:b] & _LOW, counts[a:b])) for a, b in _runs(piece)]
+
+
 def _folded(context: np.ndarray, third: np.ndarray, counts: np.ndarray, *more: np.ndarray) -> list[np.ndarray]:
     """Distinct pairs of context and third word, ascending, with their summed counts; more: one value of each pair."""
     if not len(context):
@@ -385,12 +419,8 @@ def _keep_trigrams(folder: str, model: Model):
         # a bigram counts once for each word before it; that after a text's start as often as it is
         second = context & _LOW
         keys, counts = _summed((second << _WIDE) | third.astype(np.uint64), np.where(second == model.vocabulary, counts, 1))
-        left = (keys >> _WIDE).astype(np.int64)
-        piece = bigram_piece(left, keys, Arrays(model).count_of(left) > model.spread(), model.pieces)
-        by = np.argsort(piece, kind="stable")
-        keys, counts, piece = keys[by], counts[by], piece[by]
-        for a, b in _runs(piece):
-            rows.append({"kind": 1, "piece": int(piece[a]), "data": _packed(np.diff((keys[a:b] >> _WIDE).astype(np.int64), prepend=0), keys[a:b] & _LOW, counts[a:b])})
+        often = Arrays(model).count_of((keys >> _WIDE).astype(np.int64)) > model.spread()
+        rows += [{"kind": 1, "piece": p, "data": data} for p, data in _bigram_rows(keys, counts, often, model)]
         return pa.Table.from_pylist(rows, schema=_TRIGRAM_SCHEMA)
 
     return run
@@ -450,18 +480,20 @@ def _keep_facts(folder: str, model: Model):
     return run
 
 
-def train(texts: DataFrame, folder: str | None = None) -> Model:
-    """A trigram model of the texts (column text; null: empty), kept in folder, by default a new shared one.
+def train(texts: DataFrame, folder: str | None = None, order: int = 2) -> Model:
+    """A model of order two or three of the texts (column text; null: empty), kept in folder, by default a new shared one.
 
-    Tokens are words by white space, A-Z taken as a-z, and an end after each text; two starts stand before it. The
-    counts of the highest order are those of the texts; a lower one counts the words before it, but after a start as
-    the texts do. Only one row for each piece comes to the driver. No texts give an empty model.
+    Tokens are words by white space, A-Z taken as a-z, and an end after each text; starts stand before it. The counts
+    of the highest order are those of the texts; a lower one counts the words before it, but after a start as the texts
+    do. Only one row for each piece comes to the driver. No texts give an empty model.
     """
+    if order not in (2, 3):
+        raise ValueError("order must be 2 or 3")
     spark = texts.sparkSession
     folder = folder or shared_folder(spark, "model")
     texts = texts.select("text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    model = Model(max(LEAST_PIECES, -(-size // PIECE_BYTES)))
+    model = Model(max(LEAST_PIECES, -(-size // PIECE_BYTES)), order)
     counted = texts.mapInArrow(_count_words(model.pieces), "piece int, data binary").groupBy("piece")
     rows = stored(counted.applyInArrow(_keep_words(folder), "piece int, hashes string, counts string, size long, tokens long"), "words")
     for row in sorted(rows.collect()):
@@ -473,19 +505,23 @@ def train(texts: DataFrame, folder: str | None = None) -> Model:
         return model
     if model.vocabulary >= 2**32 - 1:
         raise ValueError("more than 2 ** 32 words need wider keys")
-    counted = texts.mapInArrow(_count_trigrams(model), "piece int, contexts binary, data binary").groupBy("piece")
-    triples = stored(counted.applyInArrow(_keep_trigrams(folder, model), _TRIGRAM_DDL), "trigrams")
-    model.trigrams = [r.asDict() for r in triples.filter("kind = 0").drop("kind", "data").collect()]
-    model.highest = discounts([sum(r[f"n{k}"] for r in model.trigrams) for k in range(1, 5)])
-    pairs = triples.filter("kind = 1").select("piece", "data").groupBy("piece")
-    rows = stored(pairs.applyInArrow(_keep_bigrams(folder, model), _BIGRAM_DDL), "bigrams")
-    forget(triples)
+    if order == 3:
+        counted = texts.mapInArrow(_count_trigrams(model), "piece int, contexts binary, data binary").groupBy("piece")
+        triples = stored(counted.applyInArrow(_keep_trigrams(folder, model), _TRIGRAM_DDL), "trigrams")
+        model.trigrams = [r.asDict() for r in triples.filter("kind = 0").drop("kind", "data").collect()]
+        model.highest = discounts([sum(r[f"n{k}"] for r in model.trigrams) for k in range(1, 5)])
+        pairs = triples.filter("kind = 1").select("piece", "data")
+    else:
+        pairs = texts.mapInArrow(_count_bigrams(model), "piece int, data binary")
+    rows = stored(pairs.groupBy("piece").applyInArrow(_keep_bigrams(folder, model), _BIGRAM_DDL), "bigrams")
+    if order == 3:
+        forget(triples)
     model.bigrams = [r.asDict() for r in rows.filter("kind = 0").drop("kind", "data").collect()]
     model.discounts = discounts([sum(r[f"n{k}"] for r in model.bigrams) for k in range(1, 5)])
     facts = rows.filter("kind > 0").select("kind", "piece", "data").groupBy("piece").applyInArrow(_keep_facts(folder, model), _FACT_DDL)
-    facts, pairs = stored(facts, "facts"), rows
+    facts = stored(facts, "facts")
     model.facts = [r.asDict() for r in facts.collect()]
-    forget(facts, pairs)
+    forget(facts, rows)
     model.lower = discounts([sum(r[f"n{k}"] for r in model.facts) for k in range(1, 5)])
     model.continuations = sum(r["sum"] for r in model.facts)
     model.lower_weight = sum(d * sum(r[k] for r in model.facts) for d, k in zip(model.lower, ("some", "two", "more"), strict=True)) / model.continuations
@@ -499,7 +535,7 @@ def _mixed(times: np.ndarray, total: np.ndarray, weight: np.ndarray, discount: t
 
 
 def probabilities(arrays: Arrays, tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(probability of each token after the two before it, its count in the training texts)."""
+    """(probability of each token after the one or two before it, its count in the training texts)."""
     model = arrays.model
     if not model.words:
         return np.ones(len(tokens)), np.zeros(len(tokens), np.int64)
@@ -513,6 +549,8 @@ def probabilities(arrays: Arrays, tokens: np.ndarray, sizes: np.ndarray) -> tupl
     times = np.zeros(len(tokens))
     times[known] = arrays.bigram_counts(left[known], numbers[known], often[known])
     chance = _mixed(times, total, weight, model.discounts, chance)
+    if model.order == 2:
+        return chance, counts
     times, total, weight = arrays.after(_pairs(left, sizes, model.vocabulary), left, numbers, often)
     return _mixed(times, total, weight, model.highest, chance), counts
 

@@ -8,57 +8,66 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Vectors of a block of the index, and queries that meet it in one task.
-BLOCK, QUERY_BLOCK = 8192, 1024
-#: Projections; share of them in which a vector must collide; share of a block to verify at least, and how many.
-PROJECTIONS, THRESHOLD, SHARE, LEAST = 64, 0.75, 0.2, 256
-#: Half width of the first window on unit vectors, and its growth from round to round.
-WIDTH, GROWTH = 0.08, 1.1
+BLOCK, QUERY_BLOCK = 8192, 4096
+#: Projections, in sets of orthogonal lines; how many of them must collide.
+PROJECTIONS, COLLISIONS = 128, 109
+#: Half width of a window for radius 1 on unit vectors, over the root of their length; first radius, and its growth from round to round.
+WIDTH, RADIUS, GROWTH = 1.5, 0.75, 1.07
 #: Distance between the sorted arrays of neighbouring projections, above the reach of any window.
 GAP = 1e3
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Every row times a power of two, so that its largest component is near 1 and no square over- or underflows."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+
+
 class CollisionIndex:
     """Sorted projections of the unit vectors of one block."""
 
     def __init__(self, vectors: np.ndarray, seed: int = 7):
-        self.vectors = vectors
-        self.norms = np.sqrt((vectors * vectors).sum(axis=1))
-        rng = np.random.default_rng(seed)
-        self.lines = rng.standard_normal((vectors.shape[1], PROJECTIONS)) / np.sqrt(vectors.shape[1])
-        places = (vectors / self.norms[:, None]) @ self.lines
+        self.vectors = scaled(vectors)
+        self.norms = np.sqrt((self.vectors * self.vectors).sum(axis=1))
+        size, rng = vectors.shape[1], np.random.default_rng(seed)
+        turns = [np.linalg.qr(rng.standard_normal((size, min(size, PROJECTIONS))))[0] for _ in range(-(-PROJECTIONS // size))]
+        self.lines = np.concatenate(turns, axis=1)[:, :PROJECTIONS]
+        places = (self.vectors / self.norms[:, None]) @ self.lines
         order = np.argsort(places, axis=0, kind="stable")
-        self.order = order.T.astype(np.int32).ravel()
         #: All sorted arrays in one: those of line j lie between `GAP` * j - 1 and `GAP` * j + 1 or so.
         self.values = (np.take_along_axis(places, order, axis=0) + GAP * np.arange(PROJECTIONS)).T.ravel()
+        #: The place of every vector in each sorted array.
+        self.ranks = np.empty((PROJECTIONS, len(vectors)), np.uint16)
+        np.put_along_axis(self.ranks, order.T, np.arange(len(vectors), dtype=np.uint16)[None], axis=1)
 
     def search(self, query: np.ndarray, k: int, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rows, cosines) of the vectors verified for a query; rows of skip take no part.
 
-        Windows around the query grow on every projection until enough vectors collide in `THRESHOLD` of them:
-        SHARE of the block, LEAST at least, and k besides those skipped; or until they hold the block.
+        Windows around the query grow with a radius on every projection; a vector that collides in COLLISIONS of them
+        is verified. The search ends when k vectors verified lie within the radius, or when the windows hold the block.
         """
         n = len(self.vectors)
+        query = scaled(query[None])[0]
         norm = np.sqrt((query * query).sum())
-        at = (query / norm) @ self.lines
-        need = min(n, max(LEAST, int(SHARE * n)) + len(skip))
-        counts = np.zeros(n, np.int32)
-        wide, bar = WIDTH, int(THRESHOLD * PROJECTIONS)
-        centre = at + GAP * np.arange(PROJECTIONS)
+        centre = (query / norm) @ self.lines + GAP * np.arange(PROJECTIONS)
         first = n * np.arange(PROJECTIONS)
-        low = high = np.clip(np.searchsorted(self.values, centre), first, first + n)
+        radius, seen = RADIUS, np.zeros(n, bool)
+        seen[skip] = True
+        rows, cosines = [np.zeros(0, np.int64)], [np.zeros(0)]
         while True:
-            lo = np.clip(np.searchsorted(self.values, centre - wide), first, low)
-            hi = np.clip(np.searchsorted(self.values, centre + wide), high, first + n)
-            new = [self.order[a:b] for a, b in (*zip(lo, low, strict=True), *zip(high, hi, strict=True)) if a < b]
-            low, high = lo, hi
-            if new:
-                counts += np.bincount(np.concatenate(new), minlength=n).astype(np.int32)
-            if (counts >= bar).sum() >= need or (high - low == n).all():
-                break
-            wide *= GROWTH
-        rows = np.flatnonzero(counts >= bar)
-        rows = rows[~np.isin(rows, skip)]
-        return rows, (self.vectors[rows] * query).sum(axis=1) / (self.norms[rows] * norm)
+            wide = radius * WIDTH / np.sqrt(len(query))
+            low, high = (np.clip(np.searchsorted(self.values, centre + x) - first, 0, n) for x in (-wide, wide))
+            # a vector collides where its place lies in the window; below its start the difference wraps round to a large number
+            inside = self.ranks - low.astype(np.uint16)[:, None] < (high - low).astype(np.uint16)[:, None]
+            whole = (high - low == n).all()
+            fresh = np.flatnonzero((whole | (inside.view(np.uint8).sum(axis=0, dtype=np.uint8) >= COLLISIONS)) & ~seen)
+            if len(fresh):
+                seen[fresh] = True
+                rows.append(fresh)
+                cosines.append((self.vectors[fresh] * query).sum(axis=1) / (self.norms[fresh] * norm))
+            near = sum(int((c >= 1 - radius * radius / 2).sum()) for c in cosines)
+            if near >= k or whole:
+                return np.concatenate(rows), np.concatenate(cosines)
+            radius *= GROWTH
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -76,7 +85,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     vectors and queries: vec_id long, embedding array of numbers. Null, zero or not finite vectors take no part;
     of rows with one vec_id one is used; a query never finds its own vec_id; ties go to smaller vec_ids; vectors
     meet queries of their own length only. Blocks of the index and blocks of queries meet in tasks of bounded
-    size, each row of the index in one block.
+    size, each row of the index in one block: the queries are held against all rows, so the work is that of both.
     """
     base, asked = usable(vectors), usable(queries)
     blocks = max(1, -(-vectors.count() // BLOCK))

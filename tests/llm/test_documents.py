@@ -229,19 +229,19 @@ def test_packing_of_an_empty_table(docs):
     assert packing.pack(docs.limit(0), BPE).count() == 0
 
 
-def plain_model(texts):
-    """p(a, b, w) of an interpolated modified Kneser-Ney model of order three, from plain counts."""
+def plain_model(texts, order):
+    """p(a, b, w) of an interpolated modified Kneser-Ney model, from plain counts."""
     triple = collections.Counter(x for w in texts for x in zip(["<s>", "<s>", *w], ["<s>", *w], w))
     pair, follows = collections.Counter(), collections.Counter()
     for (_, b, w), k in triple.items():
-        pair[b, w] += k if b == "<s>" else 1
+        pair[b, w] += k if b == "<s>" or order == 2 else 1
     for _, w in pair:
         follows[w] += 1
     vocabulary = len(follows)
     cut = lambda k, d: 0 if not k else d[min(k, 3) - 1]
     tally = lambda c: kneser.discounts([sum(1 for x in c.values() if x == k) for k in (1, 2, 3, 4)])
     levels = []
-    for counts in (pair, triple):
+    for counts in (pair, triple)[: order - 1]:
         total, some, d = collections.Counter(), collections.defaultdict(lambda: [0, 0, 0]), tally(counts)
         for key, k in counts.items():
             total[key[:-1]] += k
@@ -261,16 +261,16 @@ def plain_model(texts):
     return p
 
 
-@pytest.mark.parametrize("times", [1, 4])
-def test_kneser_ney(spark, docs, rows, times, monkeypatch):
+@pytest.mark.parametrize(("times", "order"), [(1, 2), (4, 2), (1, 3), (4, 3)])
+def test_kneser_ney(spark, docs, rows, times, order, monkeypatch):
     """Also where every text comes four times, so that counts of one never occur; and with words frequent enough to be spread."""
     monkeypatch.setattr(kneser, "LEAST_PIECES", 16)
     monkeypatch.setattr(kneser, "HELD", 3000)
     monkeypatch.setattr(kneser, "AT_A_TIME", 4000)
-    model = kneser.train(docs.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(times)))))
+    model = kneser.train(docs.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(times)))), order=order)
     got = {r["extra"]: r for r in kneser.score(docs, model).collect()}
     texts = [[lower(w) for w in WORD.findall(t or "")] + [None] for _, t, _ in rows]
-    p = plain_model(texts * times)
+    p = plain_model(texts * times, order)
     count = collections.Counter(w for t in texts * times for w in t)
     n, v = sum(count.values()), len(count)
     assert (model.tokens, model.vocabulary) == (n, v) and max(count.values()) > model.spread()

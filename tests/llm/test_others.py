@@ -143,3 +143,27 @@ def test_url_lists(spark):
     }
     assert urls.judge(captures.limit(0), entries).count() == 0
     assert {r.verdict for r in urls.judge(captures, entries.limit(0)).collect()} == {"none"}
+
+
+def test_neighbours_in_several_blocks_and_at_any_magnitude(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 100)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 3)
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((400, 24))
+    size = np.where(np.arange(400) % 3 == 0, 1e-200, np.where(np.arange(400) % 3 == 1, 1e200, 1.0))
+    tiny = [float(x) for x in np.full(24, 5e-324)]
+    df = spark.createDataFrame([(i, [float(y) for y in x * size[i]]) for i, x in enumerate(v)] + [(1000, tiny)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, df.filter("vec_id % 50 = 0")).collect()
+    v = np.concatenate([v, np.ones((1, 24))])
+    ids = [*range(400), 1000]
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    hits = 0
+    for q in (*range(0, 400, 50), 1000):
+        s = unit @ unit[ids.index(q)]
+        s[ids.index(q)] = -9
+        own = [r for r in got if r.query_id == q]
+        assert len(own) == 5 and all(abs(r.score - s[ids.index(r.vec_id)]) < 1e-12 for r in own)
+        hits += len({r.vec_id for r in own} & {ids[i] for i in np.argsort(-s)[:5]})
+    assert hits >= 0.9 * 45
+    few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0])], "vec_id long, embedding array<double>")
+    assert [(r.query_id, r.vec_id, r.score) for r in neighbours.nearest(few, few.filter("vec_id = 0")).collect()] == [(0, 1, 0.0)]
