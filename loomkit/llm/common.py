@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -28,13 +29,16 @@ def local_path(uri: str) -> str | None:
 
 
 def filesystem(uri: str):
-    """(pyarrow file system, path in it) of a URI or plain path."""
+    """(pyarrow file system, path in it) of a URI or plain path; Hadoop's names of S3 are known."""
     from pyarrow import fs
 
-    local = local_path(uri)
+    local, uri = local_path(uri), _S3.sub("s3://", uri)
     return (fs.LocalFileSystem(), os.path.abspath(local)) if local is not None else fs.FileSystem.from_uri(uri)
 
 
+_S3 = re.compile(r"^s3[an]://")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of unsigned 64-bit integers."""
     x = x ^ (x >> np.uint64(32))

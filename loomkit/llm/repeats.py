@@ -288,13 +288,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     """
     if not 2 * GRAM <= length <= 4 * GRAM:
         raise ValueError("length must be from 64 to 128")
-    doc = F.coalesce(F.col("doc_id"), F.lit(_NULL_DOC)).alias("doc")
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_DOC)).alias("doc")
     columns = [c for c in docs.columns if c != "text"]
     taken = [c for c in columns if c.lower() in ("doc", "ord", "found", "n_bytes", "spans", "kept")]
     if taken:
         raise ValueError(f"columns named like the result's: {taken}")
-    twice = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    order = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("text")) if twice else F.lit(0)
+    twice = docs.groupBy(doc).count().filter("count > 1").limit(1).count()
+    order = F.dense_rank().over(Window.partitionBy(doc).orderBy(F.asc_nulls_first("doc_id"), "text")) if twice else F.lit(0)
     texts = docs.select(doc, order.alias("ord"), *columns, "text")
     rows = texts.select("doc", "ord", "text").mapInArrow(_sample(length), _DDL)
     for block in (BLOCK, 1):

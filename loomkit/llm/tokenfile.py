@@ -4,8 +4,8 @@ A file holds documents in ascending doc_id order. Layout: data frames; a skippab
 data frame: documents, ids, first and last doc_id); a skippable frame with the seek table of the public seekable
 format (for each frame before it: compressed size, size, low 32 bits of the XXH64 of the content; then the number
 of frames, a descriptor byte and the magic number). A data frame holds: number of documents, width of an id in
-bytes (unsigned 32-bit each), doc_ids (signed 64-bit), numbers of ids (unsigned 32-bit), ids. All little-endian.
-A null doc_id is stored as the least signed 64-bit number.
+bytes (unsigned 32-bit each), doc_ids (signed 64-bit), numbers of ids (unsigned 32-bit), a byte for each document
+that is 1 where its doc_id is null (then stored as the least signed 64-bit number), ids. All little-endian.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from .tokens import encoded
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_END = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 NULL_ID = -(2**63)
 FRAME_IDS = 1 << 17
+#: Bytes of text for each file.
+FILE_BYTES = 128 << 20
 _ENTRY, _INDEX = struct.Struct("<III"), struct.Struct("<IQqq")
 
 
@@ -38,11 +40,12 @@ class FrameWriter:
         self.out, self.width, self.frame_ids = out, width, frame_ids
         self.press = zstandard.ZstdCompressor(level=level)
         self.entries, self.index = [], []
-        self.docs, self.sizes, self.parts, self.held = [], [], [], 0
+        self.docs, self.nulls, self.sizes, self.parts, self.held = [], [], [], [], 0
         self.n_docs = self.n_ids = 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.docs.append(NULL_ID if doc_id is None else doc_id)
+        self.nulls.append(doc_id is None)
         self.sizes.append(len(ids))
         self.parts.append(ids.astype(f"<u{self.width}").tobytes())
         self.held += len(ids)
@@ -54,14 +57,14 @@ class FrameWriter:
 
         if not self.docs:
             return
-        body = b"".join([struct.pack("<II", len(self.docs), self.width), np.asarray(self.docs, "<i8").tobytes(), np.asarray(self.sizes, "<u4").tobytes(), *self.parts])
+        body = b"".join([struct.pack("<II", len(self.docs), self.width), np.asarray(self.docs, "<i8").tobytes(), np.asarray(self.sizes, "<u4").tobytes(), bytes(self.nulls), *self.parts])
         frame = self.press.compress(body)
         self.out.write(frame)
         self.entries.append((len(frame), len(body), xxhash.xxh64_intdigest(body) & 0xFFFFFFFF))
         self.index.append((len(self.docs), self.held, self.docs[0], self.docs[-1]))
         self.n_docs += len(self.docs)
         self.n_ids += self.held
-        self.docs, self.sizes, self.parts, self.held = [], [], [], 0
+        self.docs, self.nulls, self.sizes, self.parts, self.held = [], [], [], [], 0
 
     def close(self) -> None:
         self.flush()
@@ -92,7 +95,7 @@ class FrameReader:
         self.source.seek(start)
         return self.source.read(length)
 
-    def frame(self, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    def frame(self, k: int) -> tuple[list[int | None], list[np.ndarray]]:
         """(doc_ids, ids of each) of data frame k, after its checksum."""
         import xxhash
         import zstandard
@@ -102,10 +105,11 @@ class FrameReader:
         if xxhash.xxh64_intdigest(body) & 0xFFFFFFFF != check:
             raise ValueError(f"frame {k} fails its checksum")
         n, width = struct.unpack_from("<II", body)
-        docs = np.frombuffer(body, "<i8", n, 8)
+        docs = np.frombuffer(body, "<i8", n, 8).tolist()
         sizes = np.frombuffer(body, "<u4", n, 8 + 8 * n)
-        ids = np.frombuffer(body, f"<u{width}", int(sizes.sum()), 8 + 12 * n)
-        return docs, np.split(ids, np.cumsum(sizes)[:-1]) if n else []
+        nulls = body[8 + 12 * n : 8 + 13 * n]
+        ids = np.frombuffer(body, f"<u{width}", int(sizes.sum()), 8 + 13 * n)
+        return [None if gone else d for d, gone in zip(docs, nulls, strict=True)], np.split(ids, np.cumsum(sizes)[:-1]) if n else []
 
     def documents(self, wanted: list[int]) -> Iterator[tuple[int, np.ndarray]]:
         """The rows of the wanted doc_ids, from the frames whose range holds one of them."""
@@ -113,21 +117,23 @@ class FrameReader:
         for k, (_, _, first, last) in enumerate(self.index):
             if np.searchsorted(want, last, "right") > np.searchsorted(want, first, "left"):
                 docs, ids = self.frame(k)
-                for i in np.flatnonzero(np.isin(docs, want)):
-                    yield int(docs[i]), ids[i]
+                for doc_id, own in zip(docs, ids, strict=True):
+                    if doc_id is not None and want[min(np.searchsorted(want, doc_id), len(want) - 1)] == doc_id:
+                        yield doc_id, own
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None = None, frame_ids: int = FRAME_IDS) -> DataFrame:
     """Writes the ids of every text as token files in folder (by default a new shared one).
 
-    docs: doc_id long, text string (null: empty; other columns are ignored). Each document's ids are followed by
-    end_id; files and documents in them ascend by doc_id, equal ids by text, null ids first. Returns the
+    docs: doc_id long, text string (null: empty; other columns are ignored). There is a file for each FILE_BYTES of
+    text, and some for every core. Each document's ids are followed by end_id; files and documents in them ascend by doc_id, equal ids by text, null ids first. Returns the
     manifest: part int, path string, n_docs long, n_ids long, and first_id long, the ids in files before it.
     A task that runs twice writes two files; the manifest names one. An empty table gives an empty manifest.
     """
     spark = docs.sparkSession
     folder = folder or shared_folder(spark, "tokens")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(2 * spark.sparkContext.defaultParallelism, -(-size // FILE_BYTES))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -174,9 +180,8 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                         at += int(sizes.sum())
                         raw = [x.astype("<u4").tobytes() for x in ids]
                         yield pa.RecordBatch.from_pydict({
-                            "doc_id": pa.array([None if d == NULL_ID else d for d in docs.tolist()], pa.int64()), "start": starts, "n_tokens": sizes,
+                            "doc_id": pa.array(docs, pa.int64()), "start": starts, "n_tokens": sizes,
                             "ids_crc32": pa.array([zlib.crc32(x) for x in raw], pa.int64()), "ids": pa.array(raw, pa.binary()),
                         })
 
-    parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.repartition(parts, "part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return manifest.repartition(max(1, manifest.count()), "part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")

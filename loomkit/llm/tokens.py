@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-#: Words kept with their ids by a Python worker; beyond that they are forgotten and encoded anew.
-CACHE_WORDS = 1_000_000
+#: Words kept with their ids by a Python worker; beyond that they are forgotten and encoded anew. Longer ones aren't kept.
+CACHE_WORDS, CACHE_CHARS = 1_000_000, 64
 #: Rows whose ids a worker holds at a time.
 PART = 256
 _PIECE = re.compile(r" (?=\S)")
+_LINES = re.compile(r"((?<=\S)\n+(?=\S))")
 #: Signs that end a token of letters and are never part of one with letters or digits.
 _SIGNS = ".,;:!?%#*$&|"
+_ASCII_MEETS = [" " + x for x in "\t\n\v\f\r\x1c\x1d\x1e\x1f"]
 _LATIN_END = "\u0250"
 _encoders: dict[str, WordEncoder] = {}
 
@@ -33,33 +36,51 @@ def _byte_letters() -> dict[int, int]:
 
 
 class _Words(dict):
-    """Ids of words that follow `before`, as bytes; encoded when first met."""
+    """Ids of words that follow `before`, as bytes; encoded when first met.
 
-    def __init__(self, tokenizer, before: str, cuts: bool):
+    A word's lines, and letters and the signs after them, are tokens apart: it is put together from theirs.
+    """
+
+    def __init__(self, tokenizer, model, before: str, cuts: bool):
         super().__init__()
-        self.tokenizer, self.before, self.cuts, self.letters = tokenizer, before, cuts, _byte_letters()
-        self.signs: _Words = self
+        self.tokenizer, self.model, self.before, self.cuts, self.letters = tokenizer, model, before, cuts, _byte_letters()
+        self.head = before.translate({32: "\u0120"})
+        #: Words that nothing stands before, and runs of line ends that a word follows.
+        self.first: _Words = self
+        self.runs: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
         stem = word.rstrip(_SIGNS)
         if not self.cuts:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        elif stem.isalpha() and max(stem) < _LATIN_END:
-            if len(stem) < len(word):  # the letters and the signs after them are tokens apart
-                out = self[stem] + self.signs[word[len(stem) :]]
-                self._keep(word, out)
-                return out
-            raw = (self.before + word).encode().decode("latin-1").translate(self.letters)
-            ids = [t.id for t in self.tokenizer.model.tokenize(raw)]
+            out = self._whole(word)
+        elif stem.isalpha() and (stem.isascii() or max(stem) < _LATIN_END):
+            if len(stem) < len(word):
+                out = self[stem] + self.first[word[len(stem) :]]
+            else:
+                raw = self.head + word if word.isascii() else (self.before + word).encode().decode("latin-1").translate(self.letters)
+                out = array("I", [t.id for t in self.model.tokenize(raw)]).tobytes()
+        elif "\n" in word and len(parts := _LINES.split(word)) > 2 and parts[0] and parts[-1] and not parts[0][0].isspace():
+            out = self[parts[0]] + b"".join(self._run(x) if k % 2 == 0 else self.first[x] for k, x in enumerate(parts[1:]))
         else:
-            ids = self.tokenizer.encode(self.before + word, add_special_tokens=False).ids
-        out = np.asarray(ids, "<u4").tobytes()
-        self._keep(word, out)
+            out = self._whole(self.before + word)
+        if len(word) <= CACHE_CHARS:
+            self[word] = out
         return out
 
-    def _keep(self, word: str, ids: bytes) -> None:
-        if len(word) <= 64:
-            self[word] = ids
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _run(self, lines: str) -> bytes:
+        if lines not in self.runs:
+            self.runs[lines] = self._whole(lines + "a")[:-4]
+        return self.runs[lines]
+
+
+def _spaces_meet(text: str, rest: list[str]) -> bool:
+    """Whether a word that follows a space begins with white space itself."""
+    if text.isascii():
+        return any(x in text for x in _ASCII_MEETS)
+    return any(not x[0].isalnum() and x[0].isspace() for x in rest)
 
 
 class WordEncoder:
@@ -79,8 +100,11 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cuts = str(self.tokenizer.pre_tokenizer).startswith("ByteLevel(add_prefix_space=False") and self.tokenizer.normalizer is None
-        self.first, self.after = _Words(self.tokenizer, "", self.cuts), _Words(self.tokenizer, " ", self.cuts)
-        self.after.signs = self.first
+        model = self.tokenizer.model
+        if self.cuts:
+            model._resize_cache(0)  # words are kept here
+        self.first, self.after = (_Words(self.tokenizer, model, before, self.cuts) for before in ("", " "))
+        self.after.first = self.first
 
     def ids(self, text: str) -> bytes:
         """The ids of a whole text, as bytes."""
@@ -89,7 +113,7 @@ class WordEncoder:
         if not self.cuts or any(x in text for x in self.added):
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         first, *rest = text.split(" ")
-        if not all(rest) or (not text.isprintable() and any(not x[0].isalnum() and x[0].isspace() for x in rest)):
+        if not all(rest) or (not text.isprintable() and _spaces_meet(text, rest)):
             first, *rest = _PIECE.split(text)
         if len(self.first) + len(self.after) > CACHE_WORDS:
             self.first.clear()
