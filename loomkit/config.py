@@ -32,5 +32,5 @@ SENTENCES = LabelSet(
 #: What a hit on each class is worth as a reward, and the reward of unusable output.
 REWARDS = {"Supported": 1.0, "Unsupported Causal Mechanistic": 5.0, "Contradiction": 4.5, "Unsupported Entity": 4.0, "Scope Overgeneralization": 3.5}
 FORMAT_FAILURE = -1.0
-EVIDENCE_KINDS = {"image": "all-image", "table": "all-table"}
+#: The lengths of groups that reports tell apart.
 LENGTH_BINS = ((2, 5), (6, 7), (8, 9), (10, 13), (14, None))

@@ -40,11 +40,13 @@ def length_bin(n: Column) -> Column:
 
 
 def refers_to_figure(text: Column) -> Column:
+    # fixed value: the pattern is the definition
     return text.rlike(r"(?iU)\b(?:Table|Figure|Fig|Tab)\.?\s*\d")
 
 
 def proper_nouns(text: Column) -> Column:
     """Distinct capitalised words of three characters and more; letters of any script next to one are part of a word."""
+    # fixed value: the pattern is the definition
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?U)\b[A-Z][A-Za-z0-9\-]{2,}\b"), F.lit(0)))
 
 

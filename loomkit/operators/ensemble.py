@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomkit.config import LabelSet
-from loomkit.operators.split import running_total
+from loomkit.operators.split import running_total, spread_order
 
 CELL = ["id", "sent_index"]
 
@@ -92,6 +92,18 @@ def trim(preds: DataFrame, members: DataFrame, labels: LabelSet, most: dict[str,
     return support(preds, members).select(*CELL, F.when(flipped, labels.default).otherwise(F.col("label")).alias("label"), F.col("label").alias("was"), "support", flipped.alias("flipped"))
 
 
+def flips(trimmed: DataFrame, labels: LabelSet) -> DataFrame:
+    """For each minority label of trim()'s rows: cells, and those that became the default."""
+    return trimmed.filter(F.col("was") != labels.default).groupBy("was").agg(F.count("*").alias("n"), F.count_if("flipped").alias("flips"))
+
+
+def union_added(union: DataFrame, members: DataFrame, labels: LabelSet) -> DataFrame:
+    """For each minority label of a union: cells, and those where members disagreed."""
+    kinds = members.groupBy(*CELL).agg(F.count_distinct("label").alias("_k"))
+    by = union.filter(F.col("label") != labels.default).join(kinds, CELL).groupBy("label")
+    return by.agg(F.count("*").alias("cells"), F.count_if(F.col("_k") > 1).alias("added"))
+
+
 def veto_lone(preds: DataFrame, labels: LabelSet, gate: float | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """Groups with one minority label alone lose it; with a gate only if its confidence is known and below the gate."""
     minority = F.col("label") != labels.default
@@ -108,9 +120,10 @@ def suppress(preds: DataFrame, labels: LabelSet, tau: Column | float) -> DataFra
 
 
 def confidence_percentiles(preds: DataFrame, labels: LabelSet, store, percents: tuple[int, ...] = (25, 50, 75)) -> DataFrame:
-    """(percent, tau): the minority confidences (logarithms, 0 at most) at those ranks, nearest rank, halves to even."""
+    """(percent, tau): the minority confidences at those ranks, nearest rank, halves to even."""
     values = preds.filter((F.col("label") != labels.default) & F.col("conf").isNotNull()).groupBy("conf").agg(F.count("*").alias("n"))
-    summed = running_total(values, F.least(F.exp("conf"), F.lit(0.9999999)), F.col("n"), store, ties=("conf",))
+    values = store(values, "values")
+    summed = running_total(values, spread_order(values, "conf"), F.col("n"), store, ties=("conf",))
     places = F.array(*[F.struct(F.lit(p).alias("percent"), F.bround(F.lit(p / 100.0).cast("double") * (F.col("total") - 1)).cast("long").alias("place")) for p in percents])
     at = summed.select("conf", "n", "before", F.inline(places))
     return at.filter((F.col("place") >= F.col("before")) & (F.col("place") < F.col("before") + F.col("n"))).select("percent", F.col("conf").alias("tau"))

@@ -44,15 +44,36 @@ def require_rows(df: DataFrame, n: int, name: str) -> DataFrame:
 
 
 def aligned(members: DataFrame) -> DataFrame:
-    """Members whose cells differ in number or ids from the others': member, cells, groups; none if all agree."""
+    """Members whose cells differ in number or ids from most others': member, cells, groups; none if all agree."""
     by = members.groupBy("member").agg(F.count("*").alias("cells"), F.count_distinct("id").alias("groups"), F.sum(F.xxhash64("id", "sent_index").cast("decimal(38,0)")).alias("_h"))
-    common = by.groupBy("cells", "groups", "_h").agg(F.count("*").alias("_k")).agg(F.max_by(F.struct("cells", "groups", "_h"), "_k").alias("_c"))
+    common = by.groupBy("cells", "groups", "_h").agg(F.count("*").alias("_k")).agg(F.max_by(F.struct("cells", "groups", "_h"), "_k").alias("_c"))  # one row
     return by.crossJoin(F.broadcast(common)).filter("cells <> _c.cells or groups <> _c.groups or _h <> _c._h").select("member", "cells", "groups")
 
 
+def _lacking(preds: DataFrame, gold: DataFrame) -> DataFrame:
+    """(member, cells): how many of gold's cells each member has without a label or not at all; 0 where none."""
+    need = gold.agg(F.count("*").alias("_n"))  # one row
+    have = preds.filter("label is not null").join(gold.select("id", "sent_index"), ["id", "sent_index"], "left_semi").groupBy("member").agg(F.count_distinct("id", "sent_index").alias("_h"))
+    every = preds.select("member").distinct().join(have, "member", "left").crossJoin(F.broadcast(need))
+    return every.select("member", (F.col("_n") - F.coalesce("_h", F.lit(0))).alias("cells"))
+
+
 def covered(preds: DataFrame, gold: DataFrame) -> DataFrame:
-    """Cells of gold that a member lacks or has without a label: member, cells."""
-    members = preds.select("member").distinct()
-    need = gold.select("id", "sent_index").crossJoin(F.broadcast(members))  # members are few
-    have = preds.filter("label is not null").select("member", "id", "sent_index")
-    return need.join(have, ["member", "id", "sent_index"], "left_anti").groupBy("member").agg(F.count("*").alias("cells"))
+    """Cells of gold that a member lacks or has without a label: member, cells; gold has a cell once."""
+    return _lacking(preds, gold).filter("cells > 0")
+
+
+def complete_members(preds: DataFrame, gold: DataFrame) -> DataFrame:
+    """Cells of gold of the members that have a label for every one; incomplete members go whole."""
+    whole = _lacking(preds, gold).filter("cells = 0").select("member")
+    return preds.join(gold.select("id", "sent_index"), ["id", "sent_index"], "left_semi").join(whole, "member", "left_semi")
+
+
+def pool_warnings(pools: dict[str, DataFrame], least: dict[str, int] | None = None) -> DataFrame:
+    """(pool, warning) for pools of groups (id, minority): empty, no_hard_groups, or few_groups where `least` asks for more."""
+    def of(name: str, pool: DataFrame) -> DataFrame:
+        seen = pool.agg(F.count("*").alias("n"), F.count_if(F.col("minority") > 0).alias("hard"))
+        found = F.array(F.when(F.col("n") == 0, "empty"), F.when(F.col("hard") == 0, "no_hard_groups"), F.when((F.col("n") > 0) & (F.col("n") < (least or {}).get(name, 0)), "few_groups"))
+        return seen.select(F.lit(name).alias("pool"), F.explode(F.filter(found, lambda x: x.isNotNull())).alias("warning"))
+
+    return reduce(DataFrame.unionByName, [of(*x) for x in pools.items()])

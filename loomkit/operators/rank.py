@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomkit.operators.split import running_total, spread_order
+from loomkit.sources.store import stored
+
 
 def spearman(df: DataFrame, x: str, y: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Pearson correlation of average ranks for each key; NaN for fewer than two rows or a constant column.
 
-    Rows where x or y is null are left out.
+    Rows where x or y is null are left out. Ranks are those of distinct values, by a distributed running total.
     """
     ranked = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
-    for name, c in (("_rx", x), ("_ry", y)):  # ranks of distinct values, then joined to the rows
-        values = ranked.groupBy(*keys, c).agg(F.count("*").alias("_n"))
-        before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ranked = ranked.join(values.select(*keys, c, (before + (F.col("_n") + 1) / 2).cast("double").alias(name)), [*keys, c])
+    for name, c in (("_rx", x), ("_ry", y)):
+        values = stored(ranked.groupBy(*keys, c).agg(F.count("*").alias("_k")), "values")
+        placed = running_total(values, spread_order(values, c), F.col("_k"), stored, keys, ties=(c,))
+        ranked = ranked.join(placed.select(*keys, c, (F.col("before") + (F.col("_k") + 1) / 2).cast("double").alias(name)), [*keys, c])
     sums = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.var_pop("_rx").alias("_vx"), F.var_pop("_ry").alias("_vy"), F.covar_pop("_rx", "_ry").alias("_c"))
     rho = F.when((F.col("n") < 2) | (F.col("_vx") == 0) | (F.col("_vy") == 0), F.lit(float("nan"))).otherwise(F.try_divide(F.col("_c"), F.sqrt("_vx") * F.sqrt("_vy")))
     return sums.select(*keys, "n", F.coalesce(rho, F.lit(float("nan"))).alias("rho"))

@@ -13,6 +13,8 @@ from loomkit.functions.normalize import fitted, sanitized
 
 @dataclass(frozen=True)
 class Template:
+    """Texts around the data. The headings, which prompts must share with those that models were trained on."""
+
     system: str = "You check claims against evidence."
     definitions: str = "Labels and their meaning."
     claim: str = "Claim paragraph:\n"
@@ -79,7 +81,7 @@ def group_corpus(records: DataFrame, template: Template) -> DataFrame:
 
 def corrector_corpus(records: DataFrame, template: Template, default: str) -> DataFrame:
     """As group_corpus, each sentence tagged with its candidate label (column candidates, fitted to the sentences)."""
-    tagged = F.zip_with("sentences", fitted(F.coalesce("candidates", F.array().cast("array<string>")), F.size("sentences"), default), lambda s, c: F.concat(s, F.lit(" [candidate: "), c, F.lit("]")))
+    tagged = F.zip_with("sentences", fitted(F.coalesce("candidates", F.array().cast("array<string>")), F.size("sentences"), default), lambda s, c: F.concat(F.coalesce(s, F.lit("")), F.lit(" [candidate: "), c, F.lit("]")))
     return group_corpus(records.withColumn("sentences", tagged), template)
 
 
@@ -99,7 +101,7 @@ def enrich_captions(records: DataFrame, cache: DataFrame, tag: str = "[OCR] ") -
     """records (id, evidence) with the cache's texts (img_path, text) appended to items' captions, and `changed`.
 
     The image caption takes it if the item is an image or has that field, else the table caption. Captions are
-    arrays of strings. Items keep their order; empty texts change nothing.
+    arrays of strings. Items keep their order and further fields; empty texts change nothing, nor do records without items.
     """
     items = records.select("id", F.posexplode("evidence").alias("pos", "e")).withColumn("img_path", F.col("e.img_path"))
     texts = cache.filter(F.trim("text") != "").dropDuplicates(["img_path"])
@@ -107,10 +109,11 @@ def enrich_captions(records: DataFrame, cache: DataFrame, tag: str = "[OCR] ") -
     extra = F.array(F.concat(F.lit(tag), F.col("text")))
     to_image = (F.coalesce(F.col("e.type"), F.lit("image")) == "image") | F.col("e.image_caption").isNotNull()
     grown = lambda name, here: F.when(F.col("text").isNotNull() & here, F.concat(F.coalesce(F.col(f"e.{name}"), F.array().cast("array<string>")), extra)).otherwise(F.col(f"e.{name}")).alias(name)
-    item = F.struct(F.col("e.type").alias("type"), F.col("e.img_path").alias("img_path"), grown("image_caption", to_image), grown("table_caption", ~to_image))
+    item = F.col("e").withField("image_caption", grown("image_caption", to_image)).withField("table_caption", grown("table_caption", ~to_image))
     by = met.select("id", "pos", item.alias("e"), F.col("text").isNotNull().alias("hit")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "e"))).alias("_e"), F.count_if("hit").alias("changed"))
-    rebuilt = by.select("id", F.transform("_e", lambda x: x["e"]).alias("evidence"), "changed")
-    return records.drop("evidence").join(rebuilt, "id", "left").withColumn("changed", F.coalesce("changed", F.lit(0)))
+    rebuilt = by.select("id", F.transform("_e", lambda x: x["e"]).alias("_new"), "changed")
+    both = records.join(rebuilt, "id", "left")
+    return both.withColumns({"evidence": F.coalesce("_new", "evidence"), "changed": F.coalesce("changed", F.lit(0))}).drop("_new")
 
 
 def attach_rationales(rows: DataFrame, units: DataFrame, side: str = "train") -> DataFrame:
@@ -124,6 +127,11 @@ def gold_export(records: DataFrame, splits: DataFrame, side: str = "dev") -> Dat
     return records.join(splits.filter(F.col("split") == side).select("id"), "id", "left_semi").select("id", "claim_text", "evidence_bundle", "sentence_label")
 
 
+def without_private(df: DataFrame, mark: str = "_") -> DataFrame:
+    """df without its bookkeeping columns, whose names begin with `mark`."""
+    return df.drop(*[c for c in df.columns if c.startswith(mark)])
+
+
 def few_images(corpus: DataFrame, most: int = 2) -> DataFrame:
     """Samples with no more images than that."""
     return corpus.filter(F.coalesce(F.size("images"), F.lit(0)) <= most)

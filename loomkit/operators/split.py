@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets of a distributed running total.
-BUCKETS = 1024
+#: Buckets of a distributed running total at least, and rows for each beyond that.
+BUCKETS, BUCKET_ROWS = 1024, 100_000
 
 
 def running_total(df: DataFrame, order: Column, size: Column, store, keys: tuple[str, ...] = (), ties: tuple[str, ...] = ("id",)) -> DataFrame:
     """df with `before`, the sum of sizes of rows of its key that come earlier in order, and `total`, that of all.
 
-    order is a number in [0, 1); ties go by columns. Rows fall into BUCKETS by order; the buckets' sums, few numbers,
-    are added up first, the rows of each bucket after, so no task holds all rows of a key.
+    order is a number in [0, 1); ties go by columns. Rows fall into buckets by order, whose number follows that of the
+    rows; the buckets' sums are added up first, the rows of each bucket after, so no task holds all rows of a key.
     """
-    keyed = store(df.withColumns({"_o": order, "_s": size.cast("long")}).withColumn("_b", F.floor(F.col("_o") * BUCKETS).cast("int")), "ordered")
+    keyed = store(df.withColumns({"_o": order, "_s": size.cast("long")}), "ordered")
+    keyed = keyed.withColumn("_b", F.floor(F.col("_o") * max(BUCKETS, -(-keyed.count() // BUCKET_ROWS))).cast("int"))
     buckets = keyed.groupBy(*keys, "_b").agg(F.sum("_s").alias("_n"))
     over = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = buckets.select(*keys, "_b", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_off"), F.sum("_n").over(Window.partitionBy(*keys)).alias("total"))
@@ -24,6 +25,12 @@ def running_total(df: DataFrame, order: Column, size: Column, store, keys: tuple
     return out.withColumn("before", F.col("_off") + F.coalesce(F.sum("_s").over(inside), F.lit(0))).select(*df.columns, "before", "total")
 
 
+def spread_order(values: DataFrame, value: str, parts: int = 256) -> Column:
+    """An order in [0, 1) for running_total() that deals distinct values evenly, whatever their distribution; ties=(value,) goes with it."""
+    cuts = values.agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 10_000)).first()[0] or []  # parts numbers
+    return F.size(F.filter(F.array(*[F.lit(x) for x in sorted(set(cuts))]), lambda x: x <= F.col(value))) / F.lit(float(parts)) if cuts else F.lit(0.0)
+
+
 def quota_pick(df: DataFrame, stratum: str, order: Column, ratio: float, store, least: int = 1) -> DataFrame:
     """df with `picked`: in each stratum the first max(least, ratio of its rows, halves to even) by order."""
     summed = running_total(df, order, F.lit(1), store, (stratum,))
@@ -64,6 +71,13 @@ def assert_empty(df: DataFrame, message: str) -> DataFrame:
     return df.withColumn("_e", F.raise_error(F.lit(message)).cast("string")).drop("_e") if df.isEmpty() else df.select(F.raise_error(F.lit(message)).alias("error"))
 
 
+def within_side(rows: DataFrame, splits: DataFrame, side: str) -> DataFrame:
+    """rows, whose ids must all be of one side of the split; any other fails the job that reads them."""
+    known = rows.join(splits.select("id", F.col("split").alias("_side")), "id", "left")
+    checked = F.when(F.col("_side").eqNullSafe(F.lit(side)), True).otherwise(F.raise_error(F.concat(F.lit(f"not of the side {side}: "), F.col("id").cast("string"))).cast("boolean"))
+    return known.filter(checked).drop("_side")
+
+
 def downsample_default(groups: DataFrame, keep: float, chance: Column) -> DataFrame:
     """Drops groups without minority labels whose chance is `keep` or more; others always stay."""
     return groups if keep >= 1 else groups.filter(F.col("hard") | (chance < keep))

@@ -775,13 +775,22 @@ def hard_subset(spark, d):
     return p.groupBy("member").agg(F.count("*").alias("cells"), F.count_distinct("id").alias("groups"))
 
 
-@query("injected_groups", _SENT + """, a AS (SELECT id, list('line ' || sent_index ORDER BY sent_index) AS ls, count(*) AS n FROM sent WHERE id % 10 = 3 GROUP BY id)
-SELECT id AS anchor_id, id + 1 AS donor_id, array_to_string(list_concat(list_concat(ls[1:p], ['donated ' || (id + 1)]), ls[p + 1:n]), ' ') AS claim_text FROM (SELECT *, greatest(1, least(id % 5, n)) AS p FROM a)""")
+_INJECTED = _SENT + """, f AS (SELECT id, count(*) AS n, min(l_suppkey) AS supplier, list('line ' || id || '-' || sent_index ORDER BY sent_index) AS ls, count(*) FILTER (WHERE types[1] <> 'Supported') AS m,
+  count(*) FILTER (WHERE types[1] IN ('Contradiction', 'Unsupported Causal Mechanistic') AND len(types) = 1) AS k FROM sent GROUP BY id),
+p AS (SELECT l_suppkey AS supplier, min({'i': id, 's': sent_index}) AS d FROM sent WHERE len(types) = 1 AND types[1] IN ('Contradiction', 'Unsupported Causal Mechanistic') GROUP BY l_suppkey),
+j AS (SELECT f.id, d.i AS di, d.s AS ds, ls, n, greatest(1, least(f.id % 9, n)) AS p FROM f JOIN p USING (supplier) WHERE f.n >= 5 AND f.m = 1 AND f.k = 1 AND d.i <> f.id)"""
+
+
+@query("injected_groups", _INJECTED + " SELECT id AS anchor_id, di || '-' || ds AS donor_id, array_to_string(list_concat(list_concat(ls[1:p], ['line ' || di || '-' || ds]), ls[p + 1:n]), ' ') AS claim_text, n + 1 AS sentences FROM j")
 def injected_groups(spark, d):
-    """Every tenth order takes a sentence after one to all of its own."""
-    s = fx.sentences(spark, d).filter("id % 10 = 3").withColumn("sentence", F.concat(F.lit("line "), "sent_index"))
+    """Every anchor takes the first donor sentence of its smallest supplier, unless that is its own."""
+    classes = ["Contradiction", "Unsupported Causal Mechanistic"]
+    s = fx.sentences(spark, d).withColumn("sentence", F.concat(F.lit("line "), "id", F.lit("-"), "sent_index"))
+    evidence = F.array(F.struct(F.concat(F.lit("i/"), "id").alias("img_path"))).alias("evidence")
+    pool = synthesize.donors(s, classes).groupBy(F.col("l_suppkey").alias("supplier")).agg(F.min(F.struct("id", "sent_index", "sentence", F.get("types", F.lit(0)).alias("label"))).alias("d"))
+    donors = pool.select("supplier", F.col("d.id").alias("id"), F.concat_ws("-", F.col("d.id").cast("string"), F.col("d.sent_index").cast("string")).alias("donor_id"), "d.sentence", "d.label").select("*", evidence)
     ordered = F.array_sort(F.collect_list(F.struct("sent_index", F.struct("sentence", "types").alias("s"))))
-    anchors = s.groupBy("id").agg(F.transform(ordered, lambda x: x["s"]).alias("sentences")).withColumn("evidence", F.array(F.struct(F.lit("a").alias("img_path"))))
-    donors = anchors.select((F.col("id") + 1).alias("donor_id"), F.concat(F.lit("donated "), F.col("id") + 1).alias("sentence"), F.lit("Contradiction").alias("label"), "evidence")
-    pairs = anchors.select(F.col("id").alias("anchor_id"), (F.col("id") + 1).alias("donor_id"))
-    return synthesize.inject(anchors, donors, pairs, F.col("anchor_id") % 5).select("anchor_id", "donor_id", "claim_text")
+    groups = s.join(synthesize.anchors(s, SENTENCES, classes, 5), "id", "left_semi").groupBy("id").agg(F.min("l_suppkey").alias("supplier"), F.transform(ordered, lambda x: x["s"]).alias("sentences")).select("*", evidence)
+    pairs = groups.select(F.col("id").alias("anchor_id"), "supplier").join(donors.select("supplier", "donor_id", "id"), "supplier").filter("id <> anchor_id").select("anchor_id", "donor_id")
+    out = synthesize.inject(groups.drop("supplier"), donors.drop("supplier", "id"), pairs, F.col("anchor_id") % 9)
+    return out.select("anchor_id", "donor_id", "claim_text", F.size("sentences").cast("long").alias("sentences"))

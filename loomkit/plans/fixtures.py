@@ -47,14 +47,15 @@ def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dirty_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """predictions with seq, and rows that repeat a cell, miss the range, have no group or no known label."""
-    p = predictions(spark, sf_dir).withColumn("seq", F.lit(0))
-    i = F.col("id")
-    again = p.filter(_remainder(i + F.col("sent_index"), 89) == 0).withColumns({"label": F.lit(_CON), "seq": F.lit(1)})
-    far = p.filter(_remainder(i, 101) == 0).withColumns({"sent_index": F.col("sent_index") + 1000, "seq": F.lit(2)})
-    lost = p.filter(_remainder(i, 103) == 0).withColumns({"id": -i, "seq": F.lit(3)})
-    odd = p.withColumn("label", F.when(_remainder(i, 107) == 0, "unknown").otherwise(F.col("label")))
-    return odd.unionByName(again).unionByName(far).unionByName(lost)
+    """predictions with seq, and rows that repeat a cell, miss the range, have no group or no known label; each prediction gives one to four."""
+    i, k = F.col("id"), F.col("sent_index")
+    row = lambda seq, id_, place, label: F.struct(id_.alias("id"), place.alias("sent_index"), label.alias("label"), F.lit(seq).alias("seq"))
+    rows = F.array(
+        row(0, i, k, F.when(_remainder(i, 107) == 0, "unknown").otherwise(F.col("label"))), F.when(_remainder(i + k, 89) == 0, row(1, i, k, F.lit(_CON))),
+        F.when(_remainder(i, 101) == 0, row(2, i, k + 1000, F.col("label"))), F.when(_remainder(i, 103) == 0, row(3, -i, k, F.col("label"))),
+    )
+    made = predictions(spark, sf_dir).select("member", "conf", F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r"))
+    return made.select("member", "r.id", "r.sent_index", "r.label", "conf", "r.seq")
 
 
 def raw_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomkit.config import LabelSet
 
+_POINTER = "current"
+
 
 def write_jsonl(df: DataFrame, path: str) -> None:
     """Rows as JSON lines in UTF-8, a file for each partition; null fields are left out."""
@@ -16,23 +18,44 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def replace_table(df: DataFrame, path: str, bad: DataFrame | None = None) -> None:
-    """Writes df beside path and swaps it in; raises, and changes nothing, if `bad` has a row.
+    """Writes df as a new version below path and points to it; raises, and changes nothing, if `bad` has a row.
 
-    The old table stays whole until the new one is complete.
+    The pointer is one small file that is renamed over the old one in a step, so read_table() finds a whole table at
+    any time; the version before is deleted after that. A writer that dies leaves a version that nothing points to.
     """
     if bad is not None and not bad.isEmpty():
         raise ValueError("the table breaks its rules; nothing was written")
     spark = df.sparkSession
-    fresh, old = f"{path}.{uuid.uuid4().hex}", f"{path}.{uuid.uuid4().hex}"
-    df.write.parquet(fresh)
-    where = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
-    fs = where(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    there = fs.exists(where(path))
-    if there:
-        fs.rename(where(path), where(old))
-    fs.rename(where(fresh), where(path))
-    if there:
-        fs.delete(where(old), True)
+    before, name = _current(spark, path), f"version-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{name}")
+    fs, where = _files(spark, path)
+    fresh = where(f"{path}/{_POINTER}.{uuid.uuid4().hex}")
+    out = fs.create(fresh)
+    out.write(name.encode())
+    out.close()
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    over[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fresh, where(f"{path}/{_POINTER}"), over)
+    if before is not None:
+        fs.delete(where(f"{path}/{before}"), True)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The table that replace_table() wrote last."""
+    return spark.read.parquet(f"{path}/{_current(spark, path)}")
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path
+    return where(path).getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _current(spark: SparkSession, path: str) -> str | None:
+    fs, where = _files(spark, path)
+    if not fs.exists(where(f"{path}/{_POINTER}")):
+        return None
+    return spark.read.text(f"{path}/{_POINTER}").first().value
 
 
 def write_split_map(splits: DataFrame, path: str) -> None:

@@ -11,30 +11,40 @@ from loomkit.functions.normalize import single_label
 from loomkit.operators.densify import keep_one
 
 CELL = ["member", "id", "sent_index"]
+#: Parts of the table, by a hash of the cell.
+BUCKETS = 64
 
 
 def normalized(raw: DataFrame, labels: LabelSet) -> DataFrame:
-    """Raw outputs (member, id, sent_index, seq, raw) as predictions; works on streams and tables alike."""
-    return raw.withColumn("_l", single_label(F.col("raw"), labels)).select(*CELL, "seq", "_l.label", "_l.parsed_ok")
+    """Raw outputs (member, id, sent_index, seq, raw, others) as predictions; works on streams and tables alike."""
+    return raw.withColumn("_l", single_label(F.col("raw"), labels)).withColumns({"label": F.col("_l.label"), "parsed_ok": F.col("_l.parsed_ok")}).drop("raw", "_l")
 
 
-def ingest(raw: DataFrame, labels: LabelSet, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+def ingest(raw: DataFrame, labels: LabelSet, path: str, checkpoint: str, available_now: bool = True, ts: str | None = None, late: str = "1 day") -> StreamingQuery:
     """Streams raw outputs into the table at path: the first row of each (member, id, sent_index) by seq.
 
     Each batch appends the rows whose cell isn't there yet, under a directory of its number, so a repeated batch
-    writes the same rows to the same place. Rows of one cell must not come in a later batch with a smaller seq.
+    writes the same rows to the same place. Cells lie in BUCKETS by their hash, and a batch reads those that it meets.
+    Rows of one cell must not come in a later batch with a smaller seq. With a time column `ts` repeats come within
+    `late` of each other: then the stream's own state, which forgets older cells, tells them, and no batch reads the table.
     """
+    bucket = F.pmod(F.xxhash64(*CELL), F.lit(BUCKETS)).cast("int")
+
     def upsert(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = keep_one(batch, CELL, ["seq"])
+        new = keep_one(batch, CELL, ["seq"]).withColumn("bucket", bucket)
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-        if fs.exists(where):
-            old = spark.read.parquet(path).filter(F.col("batch") != number)
-            new = new.join(old.select(*CELL), CELL, "left_anti")
-        new.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    writer = normalized(raw, labels).writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
+        if ts is None and fs.exists(where):
+            met = [r.bucket for r in new.select("bucket").distinct().collect()]  # BUCKETS numbers at most
+            old = spark.read.parquet(path).filter((F.col("batch") != number) & F.col("bucket").isin(met))
+            new = new.join(old.select("bucket", *CELL), ["bucket", *CELL], "left_anti")
+        new.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={number}")
+
+    rows = normalized(raw, labels)
+    if ts is not None:
+        rows = rows.withWatermark(ts, late).dropDuplicatesWithinWatermark(CELL)
+    writer = rows.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 

@@ -6,10 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomkit.config import SENTENCES
-from loomkit.operators import curate, densify, ensemble, rank, render, split, synthesize
+from loomkit.operators import curate, densify, ensemble, quality, rank, render, split, synthesize
 from loomkit.plans import catalog
 from loomkit.functions import labels as L
 from loomkit.sources.records import per_target
+from loomkit.sources.store import stored
 
 SUP, UCM, UE, SO, CON = SENTENCES.labels
 
@@ -105,3 +106,35 @@ def test_nouns_of_documents_are_those_of_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.id: r.nouns for r in catalog._documents_with_marks(spark, str(tmp_path)).collect()} == {1: ["Berlin"], 2: ["Kopf", "Berlin"], 3: ["Paris"], 4: None}
     assert [tuple(r) for r in catalog.donor_matches(spark, str(tmp_path)).collect()] == [(3, 2)]
+
+
+def test_captions_of_records_without_items_and_further_fields(spark):
+    item = "struct<type:string,img_path:string,image_caption:array<string>,table_caption:array<string>,caption:string>"
+    df = spark.createDataFrame([(1, [("table", "a", None, ["t"], "own")]), (2, []), (3, None)], f"id int, evidence array<{item}>")
+    cache = spark.createDataFrame([("a", "seen")], "img_path string, text string")
+    got = {r.id: r for r in render.enrich_captions(df, cache).collect()}
+    assert got[1].evidence[0].table_caption == ["t", "[OCR] seen"] and got[1].evidence[0].caption == "own" and got[1].changed == 1
+    assert got[2].evidence == [] and got[3].evidence is None and got[2].changed == got[3].changed == 0
+
+
+def test_rows_of_another_side_fail(spark):
+    splits = spark.createDataFrame([("a", "train"), ("b", "dev")], "id string, split string")
+    rows = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
+    assert split.within_side(rows.filter("id = 'a'"), splits, "train").count() == 1
+    for bad in ("b", "c"):
+        with pytest.raises(Exception, match="not of the side train"):
+            split.within_side(rows.filter(f"id in ('a', '{bad}')"), splits, "train").collect()
+
+
+def test_incomplete_members_go(spark):
+    gold = spark.createDataFrame([(1, 0), (1, 1)], "id int, sent_index int")
+    p = spark.createDataFrame([("x", 1, 0, "S"), ("x", 1, 1, "S"), ("y", 1, 0, "S"), ("z", 1, 0, "S"), ("z", 1, 1, None), ("w", 9, 0, "S")], "member string, id int, sent_index int, label string")
+    assert {r.member for r in quality.complete_members(p, gold).collect()} == {"x"}
+    assert {(r.member, r.cells) for r in quality.covered(p, gold).collect()} == {("y", 1), ("z", 1), ("w", 2)}
+
+
+def test_running_total_over_one_hot_place(spark):
+    df = spark.createDataFrame([(i, 5.0 if i < 90 else float(i)) for i in range(100)], "id int, x double")
+    out = split.running_total(df, split.spread_order(df, "x"), F.lit(1), stored, ties=("x", "id")).collect()
+    assert [r.id for r in sorted(out, key=lambda r: r.before)] == sorted(range(100), key=lambda i: (5.0 if i < 90 else i, i))
+    assert sorted(r.before for r in out) == list(range(100))

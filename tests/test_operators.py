@@ -324,9 +324,10 @@ def test_files(spark, tmp_path):
     table = str(tmp_path / "table")
     sinks.replace_table(lines.select("id"), table)
     sinks.replace_table(lines.select("id").limit(1), table)
-    assert spark.read.parquet(table).count() == 1
+    assert sinks.read_table(spark, table).count() == 1
     with pytest.raises(ValueError, match="nothing was written"):
         sinks.replace_table(lines, table, bad=lines)
+    assert sinks.read_table(spark, table).count() == 1
     sinks.write_split_map(splits, str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s")).count() == 2
     row = splits.select("id")

@@ -31,3 +31,14 @@ def test_rolling_mix(spark, tmp_path):
     query = attempts.rolling_mix(stream, SENTENCES).writeStream.outputMode("update").format("memory").queryName("mix").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted(map(tuple, spark.table("mix").collect())) == want and len(want) == 6
+
+
+def test_repeats_within_the_watermark_are_told_by_the_stream(spark, tmp_path):
+    raw = [(1, i, 0, 10 * k, '{"label": "%s"}' % SENTENCES.labels[k], f"2024-01-01 0{k}:00:00") for k in range(2) for i in range(5)]
+    df = spark.createDataFrame(raw, f"{SCHEMA}, t string").withColumn("ts", F.to_timestamp("t")).drop("t")
+    for k in range(2):
+        df.filter(F.col("seq") == 10 * k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    attempts.ingest(stream, SENTENCES, str(tmp_path / "out"), str(tmp_path / "check"), ts="ts").awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted(r.id for r in got) == list(range(5)) and {r.label for r in got} <= set(SENTENCES.labels[:2])
