@@ -27,7 +27,7 @@ SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_END = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 NULL_ID = -(2**63)
 FRAME_IDS = 1 << 17
 #: Bytes of text for each file.
-FILE_BYTES = 128 << 20
+FILE_BYTES = 32 << 20
 _ENTRY, _INDEX = struct.Struct("<III"), struct.Struct("<IQqq")
 
 
