@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomkit.sources.store import shared_folder, stored
 
-__all__ = ["SEPARATORS", "filesystem", "local_path", "mix", "shared_folder", "stored", "table", "text_bytes"]
+__all__ = ["SEPARATORS", "filesystem", "local_path", "mix", "others", "shared_folder", "stored", "table", "text_bytes"]
 
 #: A word is a run of anything but these six ASCII characters.
 SEPARATORS = b" \t\n\x0b\x0c\r"
@@ -39,6 +39,12 @@ def filesystem(uri: str):
 _S3 = re.compile(r"^s3[an]://")
 
 
+def others(df: DataFrame, *taken: str) -> list[str]:
+    """Columns of df, but for those named like the given ones, in any case."""
+    names = {t.lower() for t in taken}
+    return [c for c in df.columns if c.lower() not in names]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of unsigned 64-bit integers."""
     x = x ^ (x >> np.uint64(32))

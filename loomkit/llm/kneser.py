@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from loomkit.sources.store import forget
 
-from .common import filesystem, local_path, mix, shared_folder, stored, text_bytes
+from .common import filesystem, local_path, mix, others, shared_folder, stored, text_bytes
 from .words import texts_at_a_time, word_hashes
 
 #: The token that ends each text, as a hash.
@@ -559,10 +559,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs (doc_id, text, others) without text, with n_tokens, n_known, train_tokens, base_score, score and perplexity.
 
     score is the log10 probability of the whole text, base_score that of counts plus one; null text is its end
-    alone. Every row is scored by itself.
+    alone. Every row is scored by itself. Columns of docs named like the result's are replaced.
     """
-    columns = [c for c in docs.columns if c != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
+    columns = others(docs, "text", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*columns).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = Arrays(model)
@@ -576,9 +576,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 out = [pa.array(sizes, pa.int64()), pa.array(known), pa.array(np.full(b - a, model.tokens, np.int64)), pa.array(base), pa.array(own), pa.array(10 ** (-own / sizes))]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in columns), *out], names=[*columns, "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
-    return docs.select(*columns, "text").mapInArrow(run, f"{schema}, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    return docs.select(*columns, "text").mapInArrow(run, f"{schema}n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
 def held_out(docs: DataFrame) -> DataFrame:
-    """docs with held_out: whether the crc32 of doc_id as text leaves 2 when divided by 7; a null doc_id doesn't."""
+    """docs with held_out: whether the crc32 of doc_id as text leaves 2 when divided by 7; a null doc_id doesn't. A column of that name is replaced."""
     return docs.withColumn("held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2)

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import others
+
 # Frequent words of the languages in the corpus.
 STOP_WORDS = (
     "the of and to in a is that for it as was with be by on not are this at from or have an "
@@ -59,6 +62,11 @@ RULES = (
 )
 
 
+COUNTS = (
+    "n_words", "n_lines", "n_dup_lines", "n_stop_words", "n_upper_words", "n_exclaimed", "n_bullet_lines", "n_ellipsis_lines", "word_chars", "n_symbols", "n_repeat_words",
+)
+
+
 def _covered(words: Column, n: Column) -> tuple[Column, Column]:
     """(hash and place of each window of three words, sorted; what counts the words in windows found twice)."""
     m = F.greatest(n - 2, F.lit(0))
@@ -80,10 +88,10 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Null text has no words and no lines with a word. n_repeat_words compares windows of three words by a
     64-bit hash within one document (chance of a false match below 1e-10 for 50,000 words). Columns of docs
-    with a count's name are replaced.
+    with a count's name are replaced, all others kept, whatever their names.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    split = docs.withColumns({
+    body = F.coalesce(F.col("_row").getField(text), F.lit(""))
+    split = docs.select(F.struct(*docs.columns).alias("_row")).withColumns({
         "_words": F.filter(F.split(body, "[ \\t-\\r]+"), lambda w: w != ""),
         "_lines": F.filter(F.split(body, "\n"), lambda x: x.rlike("[^ \\t-\\r]")),
     })
@@ -105,23 +113,24 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     start = F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last"))
     step = lambda acc, i: F.struct((acc["n"] + F.least(F.lit(3), i - acc["last"])).alias("n"), i.alias("last"))
     joined = F.col("_joined")
-    return placed.withColumns({
+    measured = placed.withColumns({
         "word_chars": F.length(joined).cast("long"),
         "n_symbols": (F.length(joined) - F.length(F.translate(joined, "#*$%&|<>", ""))).cast("long"),
         "n_repeat_words": F.aggregate("_places", start, step, lambda acc: acc["n"]).cast("long"),
-    }).drop("_words", "_lines", "_windows", "_joined", "_places")
+    })
+    return measured.select(*[F.col("_row").getField(c).alias(c) for c in others(docs, *COUNTS)], *COUNTS)
 
 
 def judge(docs: DataFrame, text: str = "text", base=BASE_RULES, rules=RULES) -> DataFrame:
     """docs with counts, base_failed, kept and failed_rules (names, in the tables' order).
 
-    Nulls and empty texts have no words and fail the base; repeated rows get the same verdict each.
+    Nulls and empty texts have no words and fail the base; repeated rows get the same verdict each. Columns of docs
+    named like a count or a verdict are replaced.
     """
-    verdicts = {f"_{r.name}": r.passes() for r in (*base, *rules)}
-    failed = F.filter(F.array(*[F.when(~F.col(f"_{r.name}"), F.lit(r.name)) for r in (*base, *rules)]), lambda x: x.isNotNull())
-    every = lambda some: F.forall(F.array(*[F.col(f"_{r.name}") for r in some]), lambda x: x)
-    out = measure(docs, text).withColumns(verdicts)
-    return out.withColumns({"base_failed": ~every(base), "kept": every((*base, *rules)), "failed_rules": failed}).drop(*verdicts)
+    every = lambda some: reduce(Column.__and__, [r.passes() for r in some], F.lit(True))
+    failed = F.filter(F.array(*[F.when(~r.passes(), F.lit(r.name)) for r in (*base, *rules)]), lambda x: x.isNotNull())
+    out = measure(docs.select(*others(docs, "base_failed", "kept", "failed_rules")), text)
+    return out.withColumns({"base_failed": ~every(base), "kept": every((*base, *rules)), "failed_rules": failed})
 
 
 def passing(docs: DataFrame, text: str = "text", base=BASE_RULES, rules=RULES) -> DataFrame:
@@ -130,5 +139,7 @@ def passing(docs: DataFrame, text: str = "text", base=BASE_RULES, rules=RULES) -
     The verdict drops rows by a generator that gives nothing for a failed one: a plain filter would be pushed below
     the projections, with every count worked out anew for each rule that names it.
     """
-    own = F.explode(F.when(F.col("kept"), F.array(F.lit(True))))
-    return judge(docs, text, base, rules).select(*docs.columns, own.alias("_passed")).drop("_passed")
+    row = F.struct(*docs.columns)
+    judged = judge(docs.select(row.alias("_whole"), F.col(text).alias("_text")), "_text", base, rules)
+    kept = judged.select(F.explode(F.when(F.col("kept"), F.array("_whole"))).alias("_whole"))
+    return kept.select(*[F.col("_whole").getField(c).alias(c) for c in docs.columns])

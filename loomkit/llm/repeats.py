@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, text_bytes
+from .common import mix, others, text_bytes
 
 LENGTH, GRAM = 100, 32
 #: Bytes that are refined at a time, and picked suffixes that a task holds before it emits them.
@@ -283,16 +283,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
 
     Removed is each byte of a string of `length` UTF-8 bytes that also starts earlier: in a smaller doc_id or in the
     same text before. Null text counts as empty, null doc_id as smallest. Rows that repeat a doc_id are ordered by
-    text; rows repeated whole count as one and share their result. length must be from 64 to 128. With with_text
+    text; rows repeated whole count as one and share their result. Columns named like the result's, doc, ord or found go.
+    length must be from 64 to 128. With with_text
     the column text comes back too, without what was removed and without the halves of characters cut in two.
     """
     if not 2 * GRAM <= length <= 4 * GRAM:
         raise ValueError("length must be from 64 to 128")
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_DOC)).alias("doc")
-    columns = [c for c in docs.columns if c != "text"]
-    taken = [c for c in columns if c.lower() in ("doc", "ord", "found", "n_bytes", "spans", "kept")]
-    if taken:
-        raise ValueError(f"columns named like the result's: {taken}")
+    columns = others(docs, "text", "doc", "ord", "found", "n_bytes", "spans", "kept")
     twice = docs.groupBy(doc).count().filter("count > 1").limit(1).count()
     order = F.dense_rank().over(Window.partitionBy(doc).orderBy(F.asc_nulls_first("doc_id"), "text")) if twice else F.lit(0)
     texts = docs.select(doc, order.alias("ord"), *columns, "text")
@@ -303,7 +301,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     place = F.rank().over(Window.partitionBy("bucket", "refined").orderBy("doc", "ord", "at"))
     repeats = rows.repartition("bucket").withColumn("place", place).filter(f"at & 3 = {REPEAT} or place > 1")
     out = texts.join(_by_doc(repeats).hint("shuffle_hash"), ["doc", "ord"], "left")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
     schema += ", n_bytes long, spans array<struct<start:int,stop:int>>, kept binary" + ", text string" * with_text
     return out.mapInArrow(_cut(length, columns, with_text), schema)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import others, stored
 
 AUTHORITY = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)"
 PATH = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/([^/?#]+)"
@@ -18,8 +18,11 @@ def host(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r"\.?(:[0-9]*)?$", "")
 
 
+_NUMERIC_HOST = r"^(\d+(\.\d+)*|\[.*\]?)$"
+
+
 def keys(url: Column) -> Column:
-    """The list keys that cover a URL, with their rank: its host and the domains above it down to two labels (their number), host and first part of the path (1000)."""
+    """The list keys that cover a URL, with their rank: its host and the domains above it down to two labels (their number), host and first part of the path (1000). An address of numbers has no domains above it."""
     own = host(url)
     labels = F.split(own, r"\.")
     n = F.size(labels)
@@ -29,6 +32,7 @@ def keys(url: Column) -> Column:
         lambda i: F.struct(F.array_join(F.slice(labels, i, n), ".").alias("key"), (n - i + 1).alias("rank")),
     )
     path = F.array(F.struct(F.concat_ws("/", own, part).alias("key"), F.lit(1000).alias("rank")))
+    domains = F.when(own.rlike(_NUMERIC_HOST), F.array(F.struct(own.alias("key"), n.alias("rank")))).otherwise(domains)
     return F.when(own == "", F.array().cast("array<struct<key:string,rank:int>>")).when(part == "", domains).otherwise(F.concat(path, domains))
 
 
@@ -52,9 +56,10 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
 
     captures: capture_id, url string, fetched int (a day), others. Of the keys that cover a URL and have an entry
     active on the day of the fetch that isn't withdrawn, the one of highest rank decides. Null or broken URLs and
-    captures without a date get none. Rows that repeat a capture_id must repeat its url and day, or get one verdict.
+    captures without a date or capture_id get none. Columns named like the result's are replaced. Rows that repeat a capture_id must repeat its url and day, or get one verdict.
     The keys' side has one row for each key; a frequent host meets it in a join that Spark may split.
     """
+    captures = captures.select(*others(captures, "key", "listed", "verdict"))
     lists = stored(intervals(entries), "lists")
     asked = captures.select("capture_id", "fetched", F.explode(keys(F.col("url"))).alias("k")).select("capture_id", "fetched", "k.key", "k.rank")
     active = F.filter("spans", lambda s: (s["since"] <= F.col("fetched")) & (s["until"].isNull() | (F.col("fetched") < s["until"])))

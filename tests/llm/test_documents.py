@@ -67,10 +67,8 @@ def test_repeats(docs, rows):
     assert {r[0]: tuple(r)[2:] for r in got} == want
 
 
-def test_repeats_of_an_empty_table_and_clashing_names(spark, docs):
+def test_repeats_of_an_empty_table(docs):
     assert repeats.remove_repeats(docs.limit(0)).count() == 0
-    with pytest.raises(ValueError, match="named like"):
-        repeats.remove_repeats(docs.withColumn("spans", F.lit(1)))
 
 
 def test_repeats_does_not_depend_on_partitions(docs):
@@ -206,7 +204,10 @@ def test_a_broken_frame_is_noticed(tmp_path):
         tokenfile.FrameReader(fs.LocalFileSystem().open_input_file(path)).frame(0)
 
 
-def test_packing(docs, rows):
+@pytest.mark.parametrize("merge", [4096, 5])
+def test_packing(docs, rows, merge, monkeypatch):
+    """With `merge` 5 leftover windows are merged in several tasks."""
+    monkeypatch.setattr(packing, "MERGE", merge)
     got = packing.pack(docs, BPE, size=256, windows=4, with_ids=True).collect()
     by = collections.defaultdict(list)
     for r in got:
@@ -217,6 +218,11 @@ def test_packing(docs, rows):
         assert [r.offset for r in pieces] == np.cumsum([0, *[r.length for r in pieces[:-1]]]).tolist()
         assert sum(r.length for r in pieces) <= 256
     want = collections.Counter(plain_ids(t).tobytes() for _, t, _ in rows)
+    sizes = collections.Counter((i, len(plain_ids(t))) for i, t, _ in rows)
+    tiles = collections.Counter((r.doc_id, r.doc_tokens, r.start, r.length) for r in got)
+    assert tiles == collections.Counter({(i, n, a, min(256, n - a)): k for (i, n), k in sizes.items() for a in range(0, n, 256)})
+    pieces_of = collections.Counter((i, plain_ids(t)[a : a + 256].tobytes()) for i, t, _ in rows for a in range(0, len(plain_ids(t)), 256))
+    assert collections.Counter((r.doc_id, bytes(r.ids)) for r in got) == pieces_of
     texts = collections.defaultdict(list)
     for r in sorted(got, key=lambda r: r.start):
         texts[r.doc_id].append(bytes(r.ids))
@@ -293,3 +299,98 @@ def test_discounts_leave_something_to_every_word():
 def test_kneser_ney_without_texts(docs):
     out = kneser.score(docs, kneser.train(docs.limit(0))).first()
     assert out.train_tokens == 0 and out.n_known == 0
+
+
+CLASHING = ["doc", "ord", "found", "spans", "kept", "n_words", "base_failed", "_words", "_row", "_whole", "_text", "score", "n_tokens", "Perplexity", "component_id", "own", "node", "sequence_id", "ids", "open", "start", "held_out", "part"]
+
+
+def test_columns_with_clashing_names(spark):
+    """Columns named like a result's are replaced, others of any name stay where the operator keeps columns."""
+    texts = [(1, "the one of two and three " * 20), (2, "the one of two and three " * 20), (3, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    odd = df.withColumns({c: F.lit("x") for c in CLASHING})
+    rows = lambda out: sorted(map(repr, out.collect()))
+    model = kneser.train(odd.select("text"))
+    for run, kept in (
+        (repeats.remove_repeats, {"_words", "score"}), (quality.judge, {"_words", "_row", "spans"}), (quality.passing, {"kept", "_row", "_whole", "n_words"}), (near.near_duplicates, set()),
+        (lambda x: packing.pack(x, BPE), set()), (lambda x: tokenfile.read_tokens(tokenfile.write_tokens(x, BPE)), set()), (lambda x: kneser.score(x, model), {"kept", "_row"}),
+    ):
+        plain, out = run(df), run(odd)
+        assert rows(out.select(*plain.columns)) == rows(plain) and kept <= set(out.columns)
+        assert len({c.lower() for c in out.columns}) == len(out.columns)
+    assert {r.held_out for r in kneser.held_out(odd).collect()} <= {True, False}
+
+
+def test_least_and_null_doc_ids_are_told_apart(spark):
+    texts = [(None, "some words that come twice here " * 10), (-(2**63), "some words that come twice here " * 10), (-(2**63), "b"), (5, "c")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {(r.doc_id, r.n_bytes): len(r.kept) for r in repeats.remove_repeats(df).collect()}
+    size = len(texts[0][1])
+    assert len(got) == 4 and got[(None, size)] > 0 and got[(-(2**63), size)] == 0
+    filed = tokenfile.read_tokens(tokenfile.write_tokens(df, BPE)).collect()
+    assert sorted(((r.doc_id is not None, r.doc_id or 0) for r in filed)) == [(False, 0), (True, -(2**63)), (True, -(2**63)), (True, 5)]
+    assert all(bytes(r.ids) in {plain_ids(t).tobytes() for i, t in texts if i == r.doc_id} for r in filed)
+
+
+def test_very_long_texts(spark):
+    """Texts beyond what a task looks at together: parts of 512 KB in op1, 2 MB in op5, 6 MB in op10."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(30000)]
+    long = " ".join(rng.choice(words) for _ in range(1_100_000))
+    other = long[:3_000_000] + " changed " + long[3_000_000:]
+    df = spark.createDataFrame([(1, long), (2, other), (3, long[100_000:800_000]), (4, "short words here")], "doc_id long, text string")
+    got = {r.doc_id: r for r in near.near_duplicates(df).collect()}
+    assert {i: r.component_id for i, r in got.items()} == {1: 1, 2: 1, 3: 3, 4: 4} and got[1].n_shingles == len(plain_shingles(long))
+    out = {r.doc_id: bytes(r.kept) for r in repeats.remove_repeats(df).collect()}
+    assert out[1] == long.encode() and out[3] == b"" and out[4] == b"short words here"
+    assert out[2] and out[2] in b" changed "
+    model = kneser.train(df)
+    scored = {r.doc_id: r for r in kneser.score(df, model).collect()}
+    counts = collections.Counter(w for _, t in [(1, long), (2, other), (3, long[100_000:800_000]), (4, "short words here")] for w in [*t.split(), None])
+    assert model.tokens == sum(counts.values()) and model.vocabulary == len(counts)
+    base = sum(math.log10((counts[w] + 1) / (model.tokens + len(counts) + 1)) for w in [*long.split(), None])
+    assert scored[1].n_tokens == 1_100_001 and scored[1].base_score == pytest.approx(base) and all(math.isfinite(r.score) for r in scored.values())
+
+
+def test_crowds_of_near_copies_and_of_unlike_texts(spark, monkeypatch):
+    """Regions with more rows than meet at a time are deepened; all links of a brute-force search are found."""
+    monkeypatch.setattr(near, "CROWD", 24)
+    monkeypatch.setattr(near, "HELD", 150)
+    monkeypatch.setattr(near, "deepened", lambda prefix, n, own=near.deepened: own(prefix, n, 24))
+    rng = random.Random(2)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base, passage = [word() for _ in range(120)], [word() for _ in range(100)]
+    made = []
+    for i in range(260):
+        words = list(base)
+        for _ in range(rng.randint(0, 5)):
+            words[rng.randrange(120)] = word()
+        made.append(words)
+    for i in range(120):  # one passage in all of them, then pairs of near copies
+        words = passage + [word() for _ in range(60)]
+        made += [words, [*words[:130], word(), *words[131:]]]
+    made = [(i, " ".join(w)) for i, w in enumerate(made)]
+    sets = [plain_shingles(t) for _, t in made]
+    parent = list(range(len(made)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(made)):
+        for b in range(a):
+            common = len(sets[a] & sets[b])
+            if 100 * common >= 75 * (len(sets[a]) + len(sets[b]) - common):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    got = {r.doc_id: r.component_id for r in near.near_duplicates(spark.createDataFrame(made, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i: root(i) for i in range(len(made))}
+
+
+def test_groups_of_a_deepened_region():
+    prefix = np.asarray([0, 3, 3, 5, 5, 4, 0, 60, 60, 60])
+    n = np.ones(10, np.int64)
+    assert near.deepened(prefix, n, crowd=10).tolist() == [0, 6]
+    assert near.deepened(prefix, n, crowd=3).tolist() == [0, 1, 2, 5, 6, 8]
+    assert near.deepened(prefix, n * 10, crowd=10, shingles=30).tolist() == [0, 1, 2, 5, 6, 8]
