@@ -167,3 +167,166 @@ def test_neighbours_in_several_blocks_and_at_any_magnitude(spark, monkeypatch):
     assert hits >= 0.9 * 45
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r.vec_id, r.score) for r in neighbours.nearest(few, few.filter("vec_id = 0")).collect()] == [(0, 1, 0.0)]
+
+
+def unigram_model(path, pieces):
+    """A model file of the unigram kind with the given (piece, score) besides the special ones and all bytes."""
+    import struct
+
+    def number(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    field = lambda k, raw: number(k << 3 | 2) + number(len(raw)) + raw
+    flag = lambda k, n: number(k << 3) + number(n)
+    entry = lambda text, score, kind: field(1, field(1, text.encode()) + number(2 << 3 | 5) + struct.pack("<f", score) + flag(3, kind))
+    special = [("<unk>", 2), ("<s>", 3), ("</s>", 3), *((f"<0x{b:02X}>", 6) for b in range(256))]
+    body = b"".join([*(entry(t, 0.0, k) for t, k in special), *(entry(t, s, 1) for t, s in pieces)])
+    trainer, normalizer = flag(3, 1) + flag(35, 1), field(1, b"identity") + flag(3, 1) + flag(4, 0) + flag(5, 1)
+    path.write_bytes(body + field(2, trainer) + field(3, normalizer))
+    return str(path)
+
+
+def test_ids_of_a_unigram_model_are_the_library_s(tmp_path):
+    """With scores that are log probabilities, as the method is for, the search gives the ids that the library gives."""
+    import random
+
+    import sentencepiece
+
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choice("abcdé") for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(1, 40))) for _ in range(60)] + ["abc" * 400, "日本 語 x", "a  b   c ", " a", "🙂", "ab\ncd\te"]
+    found = {"▁", *"abcdé"}
+    while len(found) < 400:
+        t = "▁" + rng.choice(texts).replace(" ", "▁")
+        a = rng.randrange(len(t))
+        found.add(t[a : a + rng.randint(2, 7)])
+    model = unigram_model(tmp_path / "own.model", [(p, -rng.uniform(2, 12)) for p in sorted(found)])
+    library, own = sentencepiece.SentencePieceProcessor(model_file=model), pieces.Pieces(model)
+    for t in texts:
+        ids = np.frombuffer(own.ids(t), "<u4").tolist()
+        assert ids == library.encode(t) and own.text(own.ids(t)) == t
+        assert [i for run in own.search("▁" + t.replace(" ", "▁")) for i in run] == ids
+
+
+def plain_main_text(page):
+    """The scoring rule over a parsed tree of a well-formed page, ancestor by ancestor."""
+    from html.parser import HTMLParser
+
+    class Tree(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.root = self.now = {"tag": "", "up": None, "kids": [], "names": ""}
+
+        def handle_starttag(self, tag, attrs):
+            self.now = {"tag": tag, "up": self.now, "kids": [], "names": dict(attrs).get("class", "")}
+            self.now["up"]["kids"].append(self.now)
+
+        def handle_endtag(self, tag):
+            self.now = self.now["up"]
+
+        def handle_data(self, data):
+            self.now["kids"].append(data)
+
+    tree = Tree()
+    tree.feed(page)
+    above = lambda x: [x, *above(x["up"])] if x is not None else []
+    found, run = [], []
+
+    def flush(x):
+        text = " ".join("".join(t for t, _ in run).split())
+        if text:
+            chain = above(x)
+            home = next(y for y in chain if y["tag"] == "" or (y["tag"] in html.BLOCK and y["tag"] not in ("p", "h2", "li-")))
+            found.append({"text": text, "linked": sum(len(t.strip()) for t, l in run if l), "home": home, "heading": any(y["tag"] == "h2" for y in chain)})
+        run.clear()
+
+    def walk(x):
+        chain = above(x)
+        inside = any(y["tag"] in ("article", "main") or html.WANTED.search(y["names"]) for y in chain[1:])
+        if x["tag"] in html.BOILERPLATE or (x["tag"] not in ("html", "body", "main", "article") and (html.UNWANTED.search(x["names"]) or (not inside and html.UNWANTED_OUTSIDE.search(x["names"])))):
+            return
+        for k in x["kids"]:
+            if isinstance(k, str):
+                run.append((k, any(y["tag"] == "a" for y in chain)))
+            elif k["tag"] in html.BLOCK:
+                flush(x)
+                walk(k)
+                flush(k)
+            else:
+                walk(k)
+
+    walk(tree.root)
+    flush(tree.root)
+    score, total, linked, nodes = {}, {}, {}, {}
+    for b in found:
+        for depth, x in enumerate(above(b["home"])):
+            nodes[id(x)] = x
+            total[id(x)], linked[id(x)] = total.get(id(x), 0) + len(b["text"]), linked.get(id(x), 0) + b["linked"]
+            if len(b["text"]) >= 25 and depth < html.LEVELS:
+                own = (1 - min(1, b["linked"] / len(b["text"]))) * (1 + b["text"].count(",") + min(len(b["text"]) / 100, 3)) / (depth + 1)
+                score[id(x)] = score.get(id(x), 0) + own
+    if not score:
+        return None
+    good = lambda x: 5 if html.WANTED.search(x["names"]) else 0
+    value = lambda k: -1 if nodes[k]["tag"] in ("", "html") else (score[k] + (25 if nodes[k]["tag"] in ("article", "main") else 0) + good(nodes[k])) * (1 - linked[k] / max(1, total[k]))
+    best = nodes[max(score, key=value)]
+    best = next((x for x in above(best) if x["tag"] in ("article", "main")), best)
+    top = value(id(best))
+    if best["tag"] in ("article", "main", "body", ""):
+        return "\n".join(b["text"] for b in found if any(x is best for x in above(b["home"])))
+    chosen = [best] + [nodes[k] for k in score if nodes[k]["up"] is best["up"] and nodes[k]["tag"] != "li" and value(k) >= 0.2 * top and top > 0]
+    frame = best["up"]
+    while total[id(frame)] == total[id(best)] and frame["up"] is not None and frame["up"]["tag"] not in ("", "html", "body"):
+        frame = frame["up"]
+    within = lambda b, x: any(y is x for y in above(b["home"]))
+    return "\n".join(b["text"] for b in found if any(within(b, x) for x in chosen) or (within(b, frame) and (b["heading"] or b["linked"] < 0.25 * len(b["text"]))))
+
+
+def test_main_text_against_a_parsed_tree():
+    import random
+
+    rng = random.Random(8)
+    words = ["one", "word,", "more", "commas, here,", "and", "there", "it's", "a &amp; b"]
+    text = lambda: " ".join(rng.choice(words) for _ in range(rng.choice([2, 5, 12, 40])))
+
+    def inline():
+        return text() if rng.random() < 0.7 else f"{text()} <a href='x'>{text()}</a> <b>{text()}</b>"
+
+    def block(depth):
+        kind = rng.random()
+        if depth == 0 or kind < 0.4:
+            return f"<p>{inline()}</p>"
+        if kind < 0.5:
+            return f"<h2>{text()}</h2>"
+        if kind < 0.6:
+            return "<ul>" + "".join(f"<li>{inline()}</li>" for _ in range(rng.randint(1, 4))) + "</ul>"
+        tag = rng.choice(["div", "div", "section", "aside", "nav", "article" if rng.random() < 0.2 else "div"])
+        name = rng.choice(["", "", " class='content'", " class='sidebar'", " class='box'", " class='more'", " class='notice-bar'"])
+        return f"<{tag}{name}>" + "".join(block(depth - 1) for _ in range(rng.randint(1, 5))) + (inline() if rng.random() < 0.2 else "") + f"</{tag}>"
+
+    checked = 0
+    for _ in range(400):
+        page = "<html><body>" + "".join(block(4) for _ in range(rng.randint(1, 4))) + "</body></html>"
+        want = plain_main_text(page)
+        if want is not None:
+            checked += 1
+            assert html.main_text(page) == want
+    assert checked > 300
+
+
+def test_broken_and_very_long_pages():
+    import time
+
+    lost = "<article><p>one is here, it's fine</p><p title=it's>two is here</p><p>three, ok</p><p class='x'>four's here</p></article>"
+    assert html.main_text(lost) == "one is here, it's fine\ntwo is here\nthree, ok\nfour's here"
+    assert html.main_text('<article><p title="a > b" data-x=\'<p>\'>one</p><p title="unclosed>two</p></article>') == "one\ntwo"
+    assert html.main_text("<main><p>1 < 2 and <3, but 4 > 3 <") == "1 < 2 and <3, but 4 > 3 <"
+    prose = "words, and some more of them, so that this block counts"
+    assert html.main_text(f"<div class='page-with-sidebar hidden-menu'><article><h1>T</h1><p>{prose}</p></article></div>") == f"T\n{prose}"
+    assert html.main_text(f"<article><p>{prose}</p><div class='notice'>{prose}</div></article>") == prose
+    for page in ("<a " * 350_000, '<a x="' * 170_000, "<div>" * 200_000, f"<div>{prose}" * 20_000, "<b>" * 100_000 + "</i>" * 200_000, "<" * 1_000_000, f"<p>{prose}" * 20_000, "<a" + " " * 1_000_000, "<ul><li>" * 100_000, "<i>x" * 200_000):
+        began = time.process_time()
+        html.main_text(page)
+        assert time.process_time() - began < 15  # a second or two; quadratic work would take hours
