@@ -1,8 +1,16 @@
-"""SentencePiece encoding by a streaming Viterbi search, and decoding."""
+"""SentencePiece encoding by a streaming Viterbi search, and decoding.
+
+Both kinds of model files are searched as a lattice of pieces with a backpointer for each end that is reached. In a
+unigram model a path's worth is the sum of its scores. In a byte-pair model a path holds while each piece may follow
+the one before it: two pieces may if merging the text of both, the best score first, gives these two. Merging a whole
+text gives the only sequence of which every two neighbours do, so every end has one path, and its ids are the library's.
+"""
 
 from __future__ import annotations
 
+import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,10 +22,46 @@ SPACE = "▁"
 UNKNOWN_LOSS = 10.0
 #: Characters after which a search that hasn't committed looks for a boundary that all its paths share.
 LOOK = 64
-CACHE_WORDS = 600_000
+CACHE_WORDS, CACHE_PAIRS = 600_000, 2_000_000
+#: Stands for a text's beginning where the piece before one is asked for.
+NOTHING = -1
 _loaded: dict[str, Pieces] = {}
 
 
+def _numbers(raw: bytes, wanted: int) -> Iterator[bytes | int]:
+    """The values of one field of a protocol buffer message."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            byte = raw[at]
+            at, out, shift = at + 1, out | (byte & 127) << shift, shift + 7
+            if byte < 128:
+                return out
+
+    while at < len(raw):
+        tag = number()
+        if tag & 7 == 0:
+            value: bytes | int = number()
+        else:
+            size = {1: 8, 5: 4}.get(tag & 7) or number()
+            value, at = raw[at : at + size], at + size
+        if tag >> 3 == wanted:
+            yield value
+
+
+def by_merging(path: str) -> bool:
+    """Whether a model file is of the byte-pair kind; raises for kinds other than that and unigram."""
+    with open(path, "rb") as file:
+        trainer = next(_numbers(file.read(), 2), b"")
+    kind = next(_numbers(trainer, 3), 1)
+    if kind not in (1, 2):
+        raise ValueError(f"{path} is neither a unigram nor a byte-pair model")
+    return kind == 2
+
+
 class Pieces:
     """The vocabulary of a model file: a tree of its pieces, their scores, and bytes for decoding."""
 
@@ -25,13 +69,21 @@ class Pieces:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.root: dict = {}
+        #: A node: the nodes of further characters, and the id (-1 for none) and score of the piece that ends here.
+        self.root: list = [{}, -1, 0.0]
         self.bytes_of: list[bytes] = []
         self.byte_ids = [-1] * 256
         self.unknown = model.unk_id()
+        self.merges = by_merging(path)
+        self.id_of: dict[str, int] = {}
+        self.pieces: dict[int, str] = {}
+        self.scores: list[float] = []
+        self.fits: dict[int, dict[int, bool]] = {}
+        self.pairs = 0
         least, self.longest, self.cuts = 0.0, 1, True
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
+            self.scores.append(model.get_score(i))
             if model.is_byte(i):
                 self.byte_ids[int(piece[3:5], 16)] = i
                 self.bytes_of.append(bytes([int(piece[3:5], 16)]))
@@ -40,32 +92,53 @@ class Pieces:
                 self.bytes_of.append(" ⁇ ".encode() if model.is_unknown(i) else b"")
                 continue
             self.bytes_of.append(piece.replace(SPACE, " ").encode())
-            node = self.root
+            node, self.id_of[piece], self.pieces[i] = self.root, i, piece
             for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = (i, model.get_score(i))
+                node = node[0].setdefault(c, [{}, -1, 0.0])
+            node[1], node[2] = i, model.get_score(i)
             least, self.longest = min(least, model.get_score(i)), max(self.longest, len(piece))
             self.cuts &= re.search(f"[^{SPACE}]{SPACE}", piece) is None
         self.unknown_score = least - UNKNOWN_LOSS
         self.after = _Words(self, SPACE)
 
+    def merged(self, text: str) -> list[str]:
+        """A short text's pieces by merging: of all neighbours that make a piece the best one first, the leftmost of equals."""
+        parts = list(text)
+        while True:
+            found = [(-self.scores[i], k) for k, x in enumerate(zip(parts, parts[1:])) if (i := self.id_of.get(x[0] + x[1])) is not None]
+            if not found:
+                return parts
+            k = min(found)[1]
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
+    def _fit(self, before: int, piece: int) -> bool:
+        """Whether a piece may follow another one in a byte-pair model."""
+        held = self.fits.setdefault(before, {})
+        known = held.get(piece)
+        if known is None:
+            own = [self.pieces[x] for x in (before, piece) if x in self.pieces]
+            known = held[piece] = self.merged("".join(own)) == own
+            self.pairs += 1
+        return known
+
     def search(self, text: str) -> Iterator[list[int]]:
         """The ids of the best segmentation of text (spaces written as SPACE), in runs, as soon as they are sure.
 
         best holds, for each end that is reached and lies after the last commit, (score, start, id); of equal scores
-        the earlier start wins. When no piece reaches beyond the current place, or when the paths of all reached ends
+        the earlier start wins. In a byte-pair model only pieces that may follow the one before them count. When no piece reaches beyond the current place, or when the paths of all reached ends
         run through one boundary, ids before it are given out and forgotten. Between commits the window holds the
         pieces of at most `longest` characters that are still open and the undecided part before them.
         """
         best: dict[int, tuple[float, int, int]] = {}
-        done, score, ahead = 0, 0.0, 0
+        done, score, ahead, last = 0, 0.0, 0, NOTHING
+        merges, fit = self.merges, self._fit
         unknown, unknown_score = self.unknown, self.unknown_score
         for at in range(len(text)):
             if at > done:
                 here = best.get(at)
                 if here is None:
                     continue
-                score = here[0]
+                score, last = here[0], here[2]
                 if ahead == at:
                     yield self._path(text, best, done, at)
                     best.clear()
@@ -75,18 +148,18 @@ class Pieces:
                     for end in [e for e in best if e <= sure]:
                         del best[end]
                     done = sure
-            node, alone = self.root.get(text[at]), False
+            node, alone = self.root[0].get(text[at]), False
             end = at
             while node is not None:
                 end += 1
-                hit = node.get("")
-                if hit is not None:
+                further, i, worth = node
+                if i >= 0:
                     alone = alone or end == at + 1
-                    total, old = score + hit[1], best.get(end)
-                    if old is None or total > old[0]:
-                        best[end] = (total, at, hit[0])
+                    total, old = score + worth, best.get(end)
+                    if old is None and fit(last, i) if merges else old is None or total > old[0]:
+                        best[end] = (total, at, i)
                         ahead = max(ahead, end)
-                node = node.get(text[end]) if end < len(text) else None
+                node = further.get(text[end]) if end < len(text) else None
             if not alone:
                 total, old = score + unknown_score, best.get(at + 1)
                 if old is None or total > old[0]:
@@ -95,6 +168,60 @@ class Pieces:
         if len(text) > done:
             yield self._path(text, best, done, len(text))
 
+    def _short(self, text: str) -> list[int]:
+        """What search gives, for a text that isn't longer than its window."""
+        size, root = len(text), self.root[0]
+        if self.merges:
+            return self._short_merged(text)
+        scores, back = [-math.inf] * (size + 1), [(0, 0)] * (size + 1)
+        scores[0] = 0.0
+        for at in range(size):
+            score = scores[at]
+            if score == -math.inf:
+                continue
+            node, end, alone = root.get(text[at]), at, False
+            while node is not None:
+                end += 1
+                further, i, worth = node
+                if i >= 0:
+                    if end == at + 1:
+                        alone = True
+                    if score + worth > scores[end]:
+                        scores[end], back[end] = score + worth, (at, i)
+                if end == size:
+                    break
+                node = further.get(text[end])
+            if not alone and score + self.unknown_score > scores[at + 1]:
+                scores[at + 1], back[at + 1] = score + self.unknown_score, (at, self.unknown)
+        return self._path(text, [(0.0, *b) for b in back], 0, size)
+
+    def _short_merged(self, text: str) -> list[int]:
+        """The same in a byte-pair model: the one piece that ends at each place after a path that it may follow."""
+        size, root, fits = len(text), self.root[0], self.fits
+        back: list = [None] * (size + 1)
+        back[0] = (0.0, 0, NOTHING)
+        for at in range(size):
+            here = back[at]
+            if here is None:
+                continue
+            node, end, alone, known = root.get(text[at]), at, False, fits.setdefault(here[2], {})
+            while node is not None:
+                end += 1
+                further, i, _ = node
+                if i >= 0:
+                    if end == at + 1:
+                        alone = True
+                    if back[end] is None:
+                        fit = known.get(i)
+                        if self._fit(here[2], i) if fit is None else fit:
+                            back[end] = (0.0, at, i)
+                if end == size:
+                    break
+                node = further.get(text[end])
+            if not alone and back[at + 1] is None:
+                back[at + 1] = (0.0, at, self.unknown)
+        return self._path(text, back, 0, size)
+
     @staticmethod
     def _shared(best: dict, at: int, done: int) -> int:
         """The last boundary that the paths of all ends from `at` on share; `done` if there is none."""
@@ -105,7 +232,7 @@ class Pieces:
             open_.add(best[last][1] if last > done else done)
         return open_.pop()
 
-    def _path(self, text: str, best: dict, start: int, end: int) -> list[int]:
+    def _path(self, text: str, best: dict | list, start: int, end: int) -> list[int]:
         out: list[int] = []
         while end > start:
             _, begin, i = best[end]
@@ -128,6 +255,9 @@ class Pieces:
             words = _runs(text)
         if len(self.after) > CACHE_WORDS:
             self.after.clear()
+        if self.pairs > CACHE_PAIRS:
+            self.fits.clear()
+            self.pairs = 0
         return b"".join(map(self.after.__getitem__, words))
 
     def text(self, ids: bytes) -> str:
@@ -144,7 +274,8 @@ class _Words(dict):
         self.pieces, self.before = pieces, before
 
     def __missing__(self, word: str) -> bytes:
-        out = _joined(self.pieces.search(self.before + word.replace(" ", SPACE)))
+        text = self.before + word.replace(" ", SPACE)
+        out = array("I", self.pieces._short(text)).tobytes() if len(text) <= LOOK else _joined(self.pieces.search(text))
         if len(word) <= 64:
             self[word] = out
         return out
@@ -184,8 +315,9 @@ def _mapped(df: DataFrame, source: str, into: str, kind: pa.DataType, ddl: str,
 def encode(docs: DataFrame, model: str, text: str = "text", into: str = "ids") -> DataFrame:
     """docs with `into`, the ids of each text (binary, little-endian unsigned 32-bit), instead of the text.
 
-    The segmentation has the largest sum of the model file's scores; characters without a piece become their bytes.
-    Null and empty texts have no ids; each row is encoded whole and by itself. U+2581 counts as a space.
+    The ids are those that the library gives for a unigram or byte-pair model file that leaves texts as they are (its
+    own normaliser isn't applied, so texts come back whole); characters without a piece become their bytes. Null and
+    empty texts have no ids; each row is encoded whole and by itself. U+2581 counts as a space.
     """
     return _mapped(docs, text, into, pa.binary(), "binary", lambda: lambda x, own=pieces(model): own.ids(x or ""))
 

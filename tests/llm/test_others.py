@@ -11,33 +11,28 @@ MODEL = public_path("piece_bpe_32k.model")
 TEXTS = ["", " ", "  a", "a  b", "Hello  world é\n\tx", "日本語 ok", "🙂 ok", "a" * 300, "the the  the\n\n  and", "under takings, naïve.", "x1 2y 3 " * 30]
 
 
-def plain_pieces(text):
-    """The whole lattice at once."""
-    own = pieces.pieces(MODEL)
-    if not text:
-        return []
-    s = pieces.SPACE + text.replace(" ", pieces.SPACE)
-    best = [(0.0, 0, 0)] + [None] * len(s)
-    for a in range(len(s)):
-        options = [(a + 1, own.unknown_score, own.unknown)] if "" not in own.root.get(s[a], {}) else []
-        node = own.root
-        for b in range(a, len(s)):
-            node = node.get(s[b])
-            if node is None:
-                break
-            if "" in node:
-                options.append((b + 1, node[""][1], node[""][0]))
-        for end, loss, i in sorted(options):
-            if best[end] is None or best[a][0] + loss > best[end][0]:
-                best[end] = (best[a][0] + loss, a, i)
-    return own._path(s, dict(enumerate(best)), 0, len(s))
-
-
-@pytest.mark.parametrize("text", [*TEXTS, "▁ x"])
-def test_streaming_search_finds_what_the_whole_lattice_holds(text):
+def library():
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=MODEL)
+
+
+@pytest.mark.parametrize("text", [*TEXTS, "▁ x", "aaa aaaa aaaaa", "ab" * 500, "\u2028 x\ty"])
+def test_streaming_search_gives_the_ids_of_the_library(text):
     own = pieces.pieces(MODEL)
-    assert np.frombuffer(own.ids(text), "<u4").tolist() == plain_pieces(text)
-    assert [i for run in own.search(pieces.SPACE + text.replace(" ", pieces.SPACE)) for i in run] == (plain_pieces(text) if text else [i for run in own.search(pieces.SPACE) for i in run])
+    assert np.frombuffer(own.ids(text), "<u4").tolist() == library().encode(text)
+    if text:
+        assert [i for run in own.search(pieces.SPACE + text.replace(" ", pieces.SPACE)) for i in run] == library().encode(text)
+
+
+def test_ids_of_random_texts_are_the_library_s():
+    import random
+
+    rng, own, lib = random.Random(4), pieces.pieces(MODEL), library()
+    parts = ["a", "th", "ing", "é", "ü", "日", "🙂", " ", "  ", "\n", ".", "1", "zq", "tion", "A", "'s", "▁", "aa", "-"]
+    for _ in range(3000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(1, 25)))
+        assert np.frombuffer(own.ids(t), "<u4").tolist() == lib.encode(t)
 
 
 def test_search_commits_early():
