@@ -10,7 +10,7 @@ from loomkit.functions import labels as L
 from loomkit.functions import normalize as N
 from loomkit.operators import curate, densify, ensemble, quality, rank, render, resample, score, split, synthesize
 from loomkit.plans import fixtures as fx
-from loomkit.plans.catalog import _DENSE_SCORED, _GROUPS, _LINKS, _ORD, _PRED, _SCORED, _SENT, CELL, MEMBERS, _cells, _documents_with_marks, _groups, _order, _round, _scored, query
+from loomkit.plans.catalog import _DENSE_SCORED, _GROUPS, _LABELS, _ORD, _PRED, _SCORED, _SENT, CELL, MEMBERS, _cells, _documents_with_marks, _groups, _order, _round, _scored, query
 from loomkit.plans.catalog import QUERIES, SQL  # noqa: F401 - filled below
 from loomkit.sources import records, sinks
 from loomkit.sources.store import shared_folder, stored
@@ -326,6 +326,20 @@ def unlike_members(spark, d):
     return quality.aligned(cells.filter("(member <> 3 or id % 7 <> 0) and (member <> 5 or sent_index > 0)").select("member", *CELL))
 
 
+@query("checked_rows", _GROUPS + " SELECT id, n FROM g")
+def checked_rows(spark, d):
+    """A table that is used only if it has as many rows as orders have lines."""
+    lines = fx.read(spark, d, "lineitem").agg(F.count_distinct("l_orderkey")).first()[0]
+    return quality.require_rows(fx.sizes(spark, d).withColumn("n", F.col("n").cast("long")), lines, "orders with lines")
+
+
+@query("first_label_confusion", f"""{_SCORED}, {_LABELS} SELECT l.label AS gold, count(*) FILTER (WHERE sc.label = 'Supported') AS "Supported", count(*) FILTER (WHERE sc.label = 'Unsupported Causal Mechanistic') AS "Unsupported Causal Mechanistic",
+ count(*) FILTER (WHERE sc.label = 'Unsupported Entity') AS "Unsupported Entity", count(*) FILTER (WHERE sc.label = 'Scope Overgeneralization') AS "Scope Overgeneralization", count(*) FILTER (WHERE sc.label = 'Contradiction') AS "Contradiction"
+ FROM lab l LEFT JOIN sc ON l.label = types[1] GROUP BY l.label""")
+def first_label_confusion(spark, d):
+    return score.confusion(_scored(spark, d), SENTENCES, _first())
+
+
 @query("trim_flips", _PRED + """, a AS (SELECT id, sent_index, label, count(*) AS support FROM pred WHERE member > 1 GROUP BY ALL) SELECT p.label AS was, count(*) AS n, count(*) FILTER (WHERE coalesce(support, 0) <= CASE p.label WHEN 'Unsupported Entity' THEN 1 WHEN 'Contradiction' THEN 2 ELSE -1 END) AS flips
 FROM (SELECT * FROM pred WHERE member = 1) p LEFT JOIN a USING (id, sent_index, label) WHERE p.label <> 'Supported' GROUP BY p.label""")
 def trim_flips(spark, d):
