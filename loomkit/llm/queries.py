@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, kneser, near, neighbours, packing, pieces, quality, repeats, tokenfile, urls
+from . import html, kneser, near, neighbours, packing, phrases, pieces, quality, repeats, search, spots, tokenfile, urls
 from .common import table
 from .tokens import public_path
 
@@ -75,6 +75,18 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser.score(docs, kneser.train(docs.filter("not held_out"))).drop("perplexity")
 
 
+def op11_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spots.edited(table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank(table(spark, sf_dir, "documents", ["doc_id", "text"]), table(spark, sf_dir, "benchmark", ["item_id", "text"]))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents", ["lang", "text"]))
+
+
 QUERIES = {
     "op1_repeated_strings": op1_repeated_strings,
     "op2_quality_rules": op2_quality_rules,
@@ -86,6 +98,9 @@ QUERIES = {
     "op8_nearest_vectors": op8_nearest_vectors,
     "op9_token_files": op9_token_files,
     "op10_kneser_ney": op10_kneser_ney,
+    "op11_spot_signatures": op11_spot_signatures,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_collocations": op13_collocations,
 }
 
 
@@ -96,6 +111,17 @@ def _passes(rule: quality.Rule) -> str:
 
 
 _STOP = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
+_ALPHABET = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _lower(column: str) -> str:
+    return f"translate(coalesce({column}, ''), '{_ALPHABET.upper()}', '{_ALPHABET}')"
+
+
+def _terms(column: str) -> str:
+    return rf"regexp_extract_all({_lower(column)}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
 SQL: dict[str, str] = {
     "op2_quality_rules": rf"""
 WITH w AS (
@@ -139,5 +165,66 @@ b AS (
   FROM a WHERE n = 1 AND action <> 'withdraw')
 SELECT p.page_id, p.fetched, b.key, b.listed, coalesce(b.action, 'none') AS verdict
 FROM p LEFT JOIN b ON p.page_id = b.page_id AND b.m = 1
+""",
+    "op11_spot_signatures": rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n_chars FROM documents),
+o AS (SELECT *, coalesce(lead(doc_id) OVER (ORDER BY doc_id DESC), max(doc_id) OVER ()) AS next_id FROM d),
+e AS (SELECT o.*, substr(o.text, 1, o.n_chars - o.n_chars // 2) || substr(x.text, 1, o.n_chars // 2) AS edited FROM o JOIN d x ON x.doc_id = o.next_id),
+t AS (
+  SELECT doc_id, side, list_filter(regexp_split_to_array(lower(body), '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda x: x <> '') AS ws
+  FROM (SELECT doc_id, 'own' AS side, text AS body FROM e UNION ALL SELECT doc_id, 'edited', edited FROM e)),
+w AS (SELECT doc_id, side, word, i, word IN ({_STOP}) AS anchor FROM (SELECT doc_id, side, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM t)),
+m AS (SELECT *, sum(CASE WHEN anchor THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, side ORDER BY i) AS c FROM w),
+s AS (
+  SELECT DISTINCT a.doc_id, a.side, substr(md5(a.word || ' ' || x.word || ' ' || y.word), 1, 8) AS spot
+  FROM m a JOIN m x ON x.doc_id = a.doc_id AND x.side = a.side AND NOT x.anchor AND x.c = a.c + 1 JOIN m y ON y.doc_id = a.doc_id AND y.side = a.side AND NOT y.anchor AND y.c = a.c + 2
+  WHERE a.anchor),
+l AS (SELECT doc_id, side, list(spot ORDER BY spot) AS spots FROM s GROUP BY doc_id, side),
+f AS (
+  SELECT t.doc_id, t.side, coalesce(l.spots, CASE WHEN len(ws) > 0 THEN [substr(md5(array_to_string(ws, ' ')), 1, 8)] ELSE [] END) AS spots
+  FROM t LEFT JOIN l ON l.doc_id = t.doc_id AND l.side = t.side),
+p AS (
+  SELECT e.doc_id, e.n_chars, e.edited, a.spots AS own, b.spots AS other, c.spots AS next,
+    len(list_intersect(a.spots, b.spots)) AS with_edited, len(list_intersect(a.spots, c.spots)) AS with_next
+  FROM e JOIN f a ON a.doc_id = e.doc_id AND a.side = 'own' JOIN f b ON b.doc_id = e.doc_id AND b.side = 'edited' JOIN f c ON c.doc_id = e.next_id AND c.side = 'own')
+SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, array_to_string(own, '') AS fingerprint, array_to_string(other, '') AS edited_fingerprint,
+  CASE WHEN len(own) + len(other) = 0 THEN 1.0::double ELSE with_edited / (len(own) + len(other) - with_edited)::double END AS near_edited,
+  CASE WHEN len(own) + len(next) = 0 THEN 1.0::double ELSE with_next / (len(own) + len(next) - with_next)::double END AS near_next,
+  len(own) AS n_spots, CASE WHEN len(own) = 0 THEN 0 ELSE floor(ln(len(own)) / ln(100.0 / {spots.PER_CENT}) + 1e-9)::int + 1 END AS length_partition
+FROM p
+""",
+    "op12_ranked_search": rf"""
+WITH d AS (SELECT doc_id, {_terms("text")} AS ts FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM d) GROUP BY doc_id, term),
+s AS (SELECT count(*) AS docs, sum(len(ts))::bigint AS total FROM d WHERE len(ts) > 0),
+q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_terms("text")}) AS term FROM benchmark)),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::bigint AS w FROM (SELECT term, count(*) AS df FROM tf WHERE term IN (SELECT term FROM q) GROUP BY term) CROSS JOIN s),
+m AS (SELECT doc_id, 100 - 50 + ((50 * len(ts) * docs) // total) AS m FROM d CROSS JOIN s),
+r AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::bigint AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+o AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM r WHERE score > 0)
+SELECT item_id, rank::int AS rank, doc_id, score FROM o WHERE rank <= {search.TOP}
+""",
+    "op13_collocations": rf"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang, regexp_split_to_array({_lower("text")}, '[.,;:!?
+-]') AS ps FROM documents),
+p AS (SELECT id, lang, unnest(ps) AS piece, generate_subscripts(ps, 1) AS k FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS ws FROM p),
+n AS (SELECT lang, sum(len(ws))::bigint AS n FROM w GROUP BY lang),
+g AS (SELECT lang, ws[i:i + size - 1] AS g FROM (SELECT lang, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM w CROSS JOIN (SELECT unnest(range(1, {phrases.LONGEST + 1})) AS size) WHERE len(ws) >= size)),
+f AS (SELECT lang, g, count(*) AS f FROM g GROUP BY lang, g HAVING count(*) >= {phrases.LEAST}),
+c AS (SELECT lang, g, f AS a FROM f WHERE len(g) > 1),
+x AS (
+  SELECT DISTINCT lang, g[i:i + size - 1] AS g, a
+  FROM (SELECT lang, g, a, size, unnest(range(1, len(g) - size + 2)) AS i FROM c CROSS JOIN (SELECT unnest(range(2, {phrases.LONGEST})) AS size) WHERE size < len(g))),
+kept AS (SELECT c.* FROM c WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.lang = c.lang AND x.g = c.g AND 100 * x.a >= 100 * c.a)),
+u AS (SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM kept),
+v AS (
+  SELECT u.lang, u.g, u.a, u.k, l.f AS l, r.f AS r, n.n, ((1000::hugeint * u.a * n.n) // (l.f::hugeint * r.f))::bigint AS score
+  FROM u JOIN f l ON l.lang = u.lang AND l.g = u.g[1:u.k] JOIN f r ON r.lang = u.lang AND r.g = u.g[u.k + 1:] JOIN n ON n.lang = u.lang),
+b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+o AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank, array_to_string(g, ' ') AS phrase, a, l, r, n, score FROM b)
+SELECT lang, rank::int AS rank, phrase, a, l, r, n, score FROM o WHERE rank <= {phrases.TOP}
 """,
 }
