@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,8 +15,8 @@ from .quality import STOP_WORDS
 CHAIN, PER_CENT = 2, 75
 #: Rows whose neighbours in the order of doc_id meet in a window, and the windows at the most.
 RUN, RUNS = 256, 1 << 16
-#: Ends of an anchor and of a content word within a joined text.
-_ANCHOR, _CONTENT = "\x01", "\x02"
+#: What joins an anchor to the word after it.
+_ANCHOR = "\x01"
 _WORD_BREAK = r"[^\p{L}\p{M}\p{N}]+"
 
 
@@ -26,22 +27,30 @@ def spots(text: Column, anchors: tuple[str, ...] = tuple(STOP_WORDS), chain: int
     anchors. Words are runs of letters, marks and digits in lower case. A text with words but without a whole chain has one signature,
     of all its words; a null or blank text has none.
     """
-    # the text as units of one content word each with the anchors before it, so that no step looks back over the text
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _WORD_BREAK), lambda w: w != "")
-    joined = F.array_join(F.transform(words, lambda w: F.concat(w, F.when(w.isin(*anchors), F.lit(_ANCHOR)).otherwise(F.lit(_CONTENT)))), "")
-    units = F.transform(F.split(joined, _CONTENT), lambda u: F.split(u, _ANCHOR))
-
-    def signed(units: Column) -> Column:
-        n = F.greatest(F.size(units) - chain, F.lit(0))  # the last unit has no content word
-        content = F.transform(units, lambda u: F.element_at(u, -1))
-        chains = F.slice(content, 1, n)
-        for k in range(1, chain):
-            chains = F.zip_with(chains, F.slice(content, k + 1, n), lambda a, b: F.concat_ws(" ", a, b))
-        return F.flatten(F.zip_with(F.slice(units, 1, n), chains, lambda u, c: F.transform(F.slice(u, 1, F.size(u) - 1), lambda a: _signature(F.concat_ws(" ", a, c)))))
-
-    found = _let(units, signed)
-    whole = F.when(F.size(words) > 0, F.array(_signature(F.array_join(words, " ")))).otherwise(F.array().cast("array<string>"))
-    return _let(found, lambda x: F.when(F.size(x) > 0, F.sort_array(F.array_distinct(x))).otherwise(whole))
+    # "the end of a long day": anchors are joined to the content word after them, so that each stretch that begins with
+    # anchors and runs to the chain's end is found by one search, in which no word is read more than chain + 2 times
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _WORD_BREAK, " "))
+    unit = f"(?:[^ {_ANCHOR}]++{_ANCHOR})"
+    stretch = f"(?:^| )(?=({unit}++[^ {_ANCHOR}]++(?: {unit}*+[^ {_ANCHOR}]++){{{chain - 1}}}))"
+
+    def signed(stretch: Column) -> Column:
+        units = F.split(stretch, " ")
+        content = F.array_join(F.transform(units, lambda u: F.substring_index(u, _ANCHOR, -1)), " ")
+        before = F.split(F.get(units, F.lit(0)), _ANCHOR)
+        return F.transform(F.slice(before, 1, F.size(before) - 1), lambda a: _signature(F.concat_ws(" ", a, content)))
+
+    def found(plain: Column) -> Column:
+        joined = F.regexp_replace(plain, f"(?<![^ ])({_any_of(anchors)})(?: |$)", f"$1{_ANCHOR}")
+        own = F.flatten(F.transform(F.regexp_extract_all(joined, F.lit(stretch), F.lit(1)), signed))
+        whole = F.when(plain != "", F.array(_signature(plain))).otherwise(F.array().cast("array<string>"))
+        return _let(own, lambda x: F.when(F.size(x) > 0, F.sort_array(F.array_distinct(x))).otherwise(whole))
+
+    return _let(plain, found)
+
+
+def _any_of(words: tuple[str, ...]) -> str:
+    """A pattern of the words, those that begin with the same letter together."""
+    return "|".join(f"{c}(?:{'|'.join(w[1:] for w in group)})" for c, group in groupby(sorted(words), key=lambda w: w[0]))
 
 
 def _signature(words: Column) -> Column:
