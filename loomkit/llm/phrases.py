@@ -19,8 +19,8 @@ from .terms import places, span_bytes, span_hashes, spans
 from .words import texts_at_a_time
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-#: Bytes of text whose words are counted together.
-PART = 1 << 24
+#: Bytes of text, or of ranks, that are counted together: arrays of some 20 times that are held meanwhile.
+PART = 1 << 23
 #: Ranks of a tile's side, and the pairs from which a tile is counted in a dense array.
 SIDE, DENSE = 1024, 1 << 16
 _BREAKS = list(b".,;:!?\n\x0b\x0c\r")
@@ -103,7 +103,8 @@ def _ranked(batches: Iterator[pa.RecordBatch], words_at: str) -> Iterator[pa.Rec
         if lang not in known or not len(starts):
             continue
         ranks = known[lang].ranks(span_hashes(data, starts, stops))
-        marks = np.concatenate([[0], np.cumsum(_BREAK[data])])
+        marks = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(_BREAK[data], out=marks[1:])
         text = np.searchsorted(offsets, starts, "right")
         together = (ranks[1:] >= 0) & (ranks[:-1] >= 0) & (marks[starts[1:]] == marks[stops[:-1]]) & (text[1:] == text[:-1])
         before, after = np.concatenate([[False], together]), np.concatenate([together, [False]])
