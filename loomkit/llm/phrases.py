@@ -19,8 +19,8 @@ from .terms import places, span_bytes, span_hashes, spans
 from .words import texts_at_a_time
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-#: Bytes of text, or of ranks, that are counted together: arrays of some 20 times that are held meanwhile.
-PART = 1 << 23
+#: Bytes of text, or of ranks, that are counted together; arrays of some 20 times that are held meanwhile.
+PART = 1 << 22
 #: Ranks of a tile's side, and the pairs from which a tile is counted in a dense array.
 SIDE, DENSE = 1024, 1 << 16
 _BREAKS = list(b".,;:!?\n\x0b\x0c\r")
@@ -50,7 +50,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         joined, ends = span_bytes(data, starts[first[order]], stops[first[order]])
         words = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(joined)).cast(pa.string())
         words, counts = pa.concat_arrays([words, pa.nulls(1, pa.string())]), np.append(counts[order], len(starts))
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words)), words, pa.array(counts)], names=["lang", "word", "f"])
+        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(words)), words, pa.array(counts)], names=["lang", "word", "f"])
 
 
 class Words:
@@ -153,13 +153,14 @@ def _pair_counts(batches: Iterator[pa.RecordBatch], levels: list[str]) -> Iterat
         else:
             ok = (words[:-1] >= 0) & (words[1:] >= 0)
         codes, counts = tiled(phrase[:-1][ok], last[1:][ok])
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(counts)], names=["lang", "code", "f"])
+        return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(codes)), pa.array(codes), pa.array(counts)], names=["lang", "code", "f"])
 
     held: dict[str, list[np.ndarray]] = {}
     for batch in batches:
-        for lang, blob in zip(batch.column("lang").to_pylist(), batch.column("ranks").to_pylist(), strict=True):
-            held.setdefault(lang, []).append(np.frombuffer(blob, np.int32))
-            if sum(map(len, held[lang])) * 4 >= PART:
+        for k in range(batch.num_rows):
+            lang, ranks = batch.column("lang")[k].as_py(), np.frombuffer(batch.column("ranks")[k].as_buffer(), np.int32)
+            held.setdefault(lang, []).append(ranks.copy())
+            if 4 * sum(map(len, held[lang])) >= PART:
                 yield counted(lang, held.pop(lang))
     for lang, parts in held.items():
         yield counted(lang, parts)
