@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loomkit.operators.components import connected_components
 from loomkit.sources.store import forget
 
+from . import crowds as crowds_
 from .common import mix, stored, text_bytes
 from .words import shingle_sets, texts_at_a_time
 
@@ -313,6 +314,45 @@ def _in_order(placed: DataFrame) -> DataFrame:
     return dealt.sortWithinPartitions("region", "turn", "place", "node").drop("crowd")
 
 
+def _full_sets(docs: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """(node, shingles) of the nodes asked for, from their texts; stored."""
+    asked = nodes.join(asked.hint("merge"), "node", "left_semi").select("node", "own")
+    texts = docs.join(asked.hint("merge"), "own").groupBy("own", "node").agg(F.any_value("text").alias("text"))  # dealt by own already
+    return stored(texts.mapInArrow(_sets, "node long, shingles binary"), "sets")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that are links, by their full sets."""
+    left, right = (sets.select(F.col("node").alias(end), F.col("shingles").alias(side)).hint("merge") for end, side in (("a", "left"), ("b", "right")))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_confirm, "a long, b long")
+
+
+def _crowds_linked(docs: DataFrame, nodes: DataFrame, placed: DataFrame, links: DataFrame, components: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """links and components with those that deepened regions may have torn apart, found by rare shingles.
+
+    Only regions with a crowd in which components differ are looked at. Of each node's pairs with another component the
+    likeliest is confirmed first; then all pairs whose ends still differ.
+    """
+    of = placed.filter("turn = 0").select("region", "node").join(components.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    crowds = placed.filter("crowd").select("region").distinct()
+    torn = of.join(crowds.hint("merge"), "region", "left_semi").groupBy("region").agg((F.min("component") != F.max("component")).alias("torn")).filter("torn").select("region")
+    inside = stored(of.join(torn.hint("merge"), "region", "left_semi").select("node", "component").distinct(), "crowds")
+    if not inside.isEmpty():
+        sets = _full_sets(docs, nodes, inside.select("node"))
+        pairs = stored(crowds_.cross_pairs(sets.join(inside.hint("merge"), "node"), PER_CENT), "pairs")
+        for asked in (crowds_.likeliest(pairs), None):
+            if asked is None:
+                ends = [components.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")).hint("merge") for end in ("a", "b")]
+                apart = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left")
+                asked = apart.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+            more = stored(links.unionByName(_linked(asked, sets)), "links")
+            forget(links, components)
+            links, components = more, connected_components(more)
+        forget(sets, pairs)
+    forget(inside)
+    return links, components
+
+
 def row_key() -> Column:
     """A hash of a row's doc_id and text."""
     return F.xxhash64("doc_id", "text")
@@ -329,11 +369,11 @@ def near_duplicates(docs: DataFrame, with_own: bool = False) -> DataFrame:
     1. A region with more than CROWD rows is deepened, one more value at a time, until what is left together is small;
        it is so in TURNS orders of the values, for pairs that one order tears apart. In what is left all rows meet by
        their signatures, and each has its best candidate confirmed on full sets.
-    2. Rows with a candidate in another component meet again in the same groups, now all by their full sets.
+    2. Rows of the other regions with a candidate in another component meet there again, now all by their full sets.
+    3. A pair can be torn apart in all orders of a crowd that is nearly as alike as the pair. So the rows of crowds whose
+       components differ are joined on the shingles that are rarest among them (crowds.cross_pairs), which misses no link.
 
-    So the work grows with rows, whatever their likeness. Two documents at exactly 0.75 miss each other in all trees
-    with a chance of 2e-5. In a crowd of unlike documents around them, deepened to depth d, an order keeps them
-    together with a chance of 0.75 ** d; 20 trees of 4 turns stand against that.
+    Two documents at exactly 0.75 miss each other in all trees with a chance of 2e-5.
 
     Rows repeated whole are one node, and all kept or none; a null doc_id is no candidate for component_id, and rows
     of a component without any other are all kept. Other columns are not returned; with_own gives `own`, the row_key().
@@ -352,19 +392,18 @@ def near_duplicates(docs: DataFrame, with_own: bool = False) -> DataFrame:
     best = _in_order(placed).mapInArrow(_best, "node long, other long, same int").groupBy("node").agg(F.max_by("other", F.struct("same", "other")).alias("other"))
     pairs = stored(best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "pairs")
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    asked = nodes.join(asked.hint("merge"), "node", "left_semi").select("node", "own")
-    texts = docs.join(asked.hint("merge"), "own").groupBy("own", "node").agg(F.any_value("text").alias("text"))  # dealt by own already
-    sets = stored(texts.mapInArrow(_sets, "node long, shingles binary"), "sets")
-    left, right = (sets.select(F.col("node").alias(end), F.col("shingles").alias(side)).hint("merge") for end, side in (("a", "left"), ("b", "right")))
-    links = stored(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_confirm, "a long, b long"), "links")
+    sets = _full_sets(docs, nodes, asked)
+    links = stored(_linked(pairs, sets), "links")
     components = connected_components(links)
-    again = placed.join(components.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    again = placed.filter("not crowd").join(components.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     opened = stored(_in_order(again).mapInArrow(_open, "meeting long, node long, component long"), "open")
-    forget(placed, pairs, components)
+    forget(pairs, components)
     across = opened.join(sets.hint("merge"), "node").groupBy("meeting").applyInArrow(_across, "a long, b long")
     every = stored(links.unionByName(across), "links")
     forget(opened, sets, links)
     components = connected_components(every)
+    every, components = _crowds_linked(docs, nodes, placed, every, components)
+    forget(placed)
     of = nodes.select("node", "key2", "doc_id").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of = stored(of.join(least, "component").select(F.col("node").alias("key1"), "key2", "component_id"), "members")
