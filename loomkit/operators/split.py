@@ -117,16 +117,38 @@ def densest(groups: DataFrame, share: float, order: Column, store, least: int =
     return pool.filter("hard").unionByName(whole.select(pool.columns)).unionByName(cut.select(pool.columns))
 
 
-def guaranteed_sample(groups: DataFrame, order: Column, n: int, floor: int) -> DataFrame:
-    """n groups in order, except that the richest in minority labels come first until `floor` labels are reached.
-
-    groups: id, minority. Differs from a sampler that swaps after drawing: the floor is met with the fewest groups.
+def guaranteed_sample(groups: DataFrame, order: Column, n: int, floor: int, store) -> DataFrame:
+    """The first n groups in order, of which the poorest in minority labels give way to richer ones further on until `floor` labels are reached.
+
+    groups: id, minority, others; order is a number in [0, 1), ties go by id. Groups beyond the first n come up in order;
+    one that has more labels than the poorest sampled takes its place (of equal ones the first place's), as long as
+    labels are missing. `met` tells whether the floor was reached; if it wasn't, no group left has more labels than one
+    sampled. While the poorest sampled have v labels the rule is a prefix: of the groups with more than v as many as there are such
+    poorest, or as the missing labels need. So there is a distributed running total for each v, and no walk over rows.
     """
-    rich = groups.orderBy(F.desc("minority"), order, "id").limit(n)
-    rich = rich.withColumn("_before", F.coalesce(F.sum("minority").over(Window.orderBy(F.desc("minority"), order, "id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    needed = rich.filter((F.col("_before") < floor) & (F.col("minority") > 0)).select(*groups.columns)
-    tagged = groups.join(needed.select("id", F.lit(0).alias("_tier")), "id", "left").withColumn("_tier", F.coalesce("_tier", F.lit(1)))
-    return tagged.orderBy("_tier", order, "id").limit(n).select(*groups.columns)
+    ranked = store(running_total(groups, order, F.lit(1), store).withColumnsRenamed({"before": "_place", "total": "_all"}), "ranked")
+    chosen, rest = ranked.filter(F.col("_place") < n), ranked.filter((F.col("_place") >= n) & (F.col("minority") > 0))
+    many = {r["minority"]: r["count"] for r in chosen.groupBy("minority").count().collect()}  # a row for each number of labels
+    total, after = sum(v * k for v, k in many.items()), -1
+    along = lambda df, size: running_total(df, F.col("_place") / F.col("_all"), size, store, ties=("_place",)).drop("total")
+    while many and total < floor:
+        least = min(many)
+        richer = along(rest.filter((F.col("_place") > after) & (F.col("minority") > least)), F.lit(1)).withColumnRenamed("before", "_k")
+        richer = along(richer, F.col("minority") - least).withColumnRenamed("before", "_gain")
+        taken = store(richer.filter((F.col("_k") < many[least]) & (F.col("_gain") < floor - total)).drop("_gain"), "taken")
+        gained = {r["minority"]: (r["count"], r["last"]) for r in taken.groupBy("minority").agg(F.count("*").alias("count"), F.max("_place").alias("last")).collect()}
+        k = sum(c for c, _ in gained.values())
+        if not k:
+            break
+        poorest = along(chosen.filter(F.col("minority") == least), F.lit(1)).filter(F.col("before") < k).select(F.col("before").alias("_k"), F.col("_place").alias("_to"))
+        moved = taken.join(poorest, "_k").withColumn("_place", F.col("_to")).select(ranked.columns)
+        chosen = store(chosen.join(poorest.select(F.col("_to").alias("_place")), "_place", "left_anti").select(ranked.columns).unionByName(moved), "chosen")
+        after, total = max(last for _, last in gained.values()), total + sum((v - least) * c for v, (c, _) in gained.items())
+        spent, many = many[least] - k, {**many, **{v: many.get(v, 0) + c for v, (c, _) in gained.items()}}
+        if spent:
+            break
+        del many[least]
+    return chosen.select(*groups.columns, F.lit(total >= floor).alias("met"))
 
 
 def hard_subset(gold: DataFrame, preds: DataFrame, default: str, least: int) -> tuple[DataFrame, DataFrame]:

@@ -653,12 +653,16 @@ def donor_matches(spark, d):
     return synthesize.match(docs.filter("id % 2 = 1").withColumn("donor_id", F.col("id")), docs.filter("id % 2 = 0"), stored)
 
 
+def packable(spark, d) -> DataFrame:
+    """(id, n, minority, stems): orders with their lines, minority lines and suppliers, all of them, which stand for figures."""
+    s = fx.sentences(spark, d)
+    return s.groupBy("id").agg(F.count("*").cast("int").alias("n"), F.count_if(F.get("types", F.lit(0)) != SENTENCES.default).cast("int").alias("minority"), F.array_sort(F.collect_set(F.col("l_suppkey").cast("string"))).alias("stems"))
+
+
 @query("packed_groups")
 def packed_groups(spark, d):
-    """Orders with minority lines packed together until no two fit; their suppliers, all of them, stand for figures."""
-    s = fx.sentences(spark, d)
-    g = s.groupBy("id").agg(F.count("*").cast("int").alias("n"), F.count_if(F.get("types", F.lit(0)) != SENTENCES.default).cast("int").alias("minority"), F.array_sort(F.collect_set(F.col("l_suppkey").cast("string"))).alias("stems"))
-    return synthesize.pack_all(g, stored)
+    """Orders with minority lines packed together until no two fit."""
+    return synthesize.pack_all(packable(spark, d), stored)
 
 
 @query("quality_scores", "d AS (SELECT toxic AS gold, quality AS said FROM labels), lab AS (SELECT unnest([0, 1]) AS label), x AS (SELECT l.label, count(*) FILTER (WHERE gold = l.label AND said = l.label) AS tp, count(*) FILTER (WHERE gold <> l.label AND said = l.label) AS fp, count(*) FILTER (WHERE gold = l.label AND said <> l.label) AS fn FROM d CROSS JOIN lab l GROUP BY l.label) SELECT CAST(label AS varchar) AS label, tp, fp, fn FROM x")

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomkit.config import SENTENCES
+from loomkit.config import SENTENCES, LabelSet
 from loomkit.functions import labels as L
 from loomkit.functions import normalize as N
 from loomkit.operators import curate, densify, ensemble, quality, rank, render, resample, score, split, synthesize
 from loomkit.plans import fixtures as fx
-from loomkit.plans.catalog import _DENSE_SCORED, _GROUPS, _LABELS, _ORD, _PRED, _SCORED, _SENT, CELL, MEMBERS, _cells, _documents_with_marks, _groups, _order, _round, _scored, query
+from loomkit.plans.catalog import _DENSE_SCORED, _GROUPS, _LABELS, _ORD, _PRED, _SCORED, _SENT, CELL, MEMBERS, _cells, _documents_with_marks, _groups, _order, _round, _scored, packable, query
 from loomkit.plans.catalog import QUERIES, SQL  # noqa: F401 - filled below
 from loomkit.sources import records, sinks
 from loomkit.sources.store import shared_folder, stored
@@ -399,14 +399,22 @@ def masked_losses(spark, d):
     return fx.predictions(spark, d).filter("member = 1").select(*CELL, _round(score.masked_mean(tokens), "loss"))
 
 
-_QUOTA = _GROUPS + f""", o AS (SELECT id, minority, {_ORD} AS o FROM g), t AS (SELECT *, coalesce(sum(minority) OVER (ORDER BY minority DESC, o, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o),
-q AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN before < 60 AND minority > 0 THEN 0 ELSE 1 END, o, id) AS k FROM t) SELECT id, minority FROM q WHERE k <= 100"""
+_SWAPS = "RECURSIVE " + _GROUPS + f""", ranked AS (SELECT id, minority, row_number() OVER (ORDER BY {_ORD}, id) AS k FROM g),
+richer AS (SELECT id, minority, row_number() OVER (ORDER BY k) AS p FROM ranked WHERE k > 100 AND minority > 0),
+swaps AS (
+  SELECT 0::bigint AS p, list({{'m': minority, 'k': k, 'id': id}}) AS chosen, sum(minority)::bigint AS total FROM ranked WHERE k <= 100
+  UNION ALL
+  SELECT richer.p, CASE WHEN list_min(chosen).m < minority THEN list_append(list_filter(chosen, lambda x: x.k <> list_min(chosen).k), {{'m': minority, 'k': list_min(chosen).k, 'id': richer.id}}) ELSE chosen END,
+    (total + greatest(0, minority - list_min(chosen).m))::bigint
+  FROM swaps JOIN richer ON richer.p = swaps.p + 1 WHERE total < 160),
+last AS (SELECT unnest(chosen) AS x, total FROM swaps ORDER BY p DESC LIMIT 100)
+SELECT x.id AS id, x.m AS minority, total >= 160 AS met FROM last"""
 
 
-@query("guaranteed_sample", _QUOTA)
+@query("guaranteed_sample", _SWAPS)
 def guaranteed_sample(spark, d):
-    """A sample of 100 orders that holds 60 minority labels."""
-    return split.guaranteed_sample(_groups(spark, d).select("id", "minority"), _order(), 100, 60)
+    """A sample of 100 orders whose poorest give way until it holds 160 minority labels."""
+    return split.guaranteed_sample(_groups(spark, d).select("id", "minority"), _order(), 100, 160, stored)
 
 
 @query("pool_warnings", _GROUPS + """ SELECT * FROM (VALUES ('easy', 'no_hard_groups'), ('none', 'empty'), ('none', 'no_hard_groups'), ('short', 'few_groups')) w(pool, warning)
@@ -419,32 +427,57 @@ def pool_warnings(spark, d):
     return quality.pool_warnings(pools, least={"short": 100})
 
 
-@query("one_to_one_matches", """n AS (SELECT doc_id, lang FROM documents) SELECT 'pairs' AS fact, true AS holds UNION ALL SELECT 'one_to_one', true UNION ALL SELECT 'other_domain', true UNION ALL SELECT 'no_common_noun', true UNION ALL SELECT 'sides', true""")
+def _facts(facts: DataFrame) -> DataFrame:
+    return facts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("fact"), F.col(c).alias("holds")) for c in facts.columns])))
+
+
+def _holds(*facts: str) -> str:
+    return "n AS (SELECT 1) " + " UNION ALL ".join(f"SELECT '{f}' AS fact, true AS holds" for f in facts)
+
+
+@query("one_to_one_matches", _holds("pairs", "one_to_one", "other_domain", "no_common_noun", "sides", "none_left"))
 def one_to_one_matches(spark, d):
-    """What every matching of donor_matches holds, over all its pairs; tests hold it against an exhaustive search for a pair that is left."""
+    """What every matching of donor_matches holds, over all its pairs, and that no pair that fits is left, counted from an index of what the rest holds."""
     docs = _documents_with_marks(spark, d)
-    pairs = stored(synthesize.match(docs.filter("id % 2 = 1").withColumn("donor_id", F.col("id")), docs.filter("id % 2 = 0"), stored), "matches")
+    donor, anchor = docs.filter("id % 2 = 1").withColumn("donor_id", F.col("id")), docs.filter("id % 2 = 0")
+    pairs = stored(synthesize.match(donor, anchor, stored), "matches")
     side = lambda key: docs.select(F.col("id").alias(f"{key}_id"), F.col("domain").alias(f"{key}_domain"), F.col("nouns").alias(f"{key}_nouns"))
     both = pairs.join(side("donor"), "donor_id").join(side("anchor"), "anchor_id")
-    facts = both.agg(
+    left = synthesize.fitting_donors(donor, anchor, pairs, stored).agg((F.count("*") == 0).alias("none_left"))
+    return _facts(both.agg(
         (F.count("*") > 0).alias("pairs"), ((F.count("*") == F.count_distinct("donor_id")) & (F.count("*") == F.count_distinct("anchor_id"))).alias("one_to_one"),
         F.bool_and(F.col("donor_domain") != F.col("anchor_domain")).alias("other_domain"), F.bool_and(~F.arrays_overlap("donor_nouns", "anchor_nouns")).alias("no_common_noun"),
         F.bool_and((F.col("donor_id") % 2 == 1) & (F.col("anchor_id") % 2 == 0)).alias("sides"),
-    )
-    return facts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("fact"), F.col(c).alias("holds")) for c in facts.columns])))
+    ).crossJoin(left))
 
 
-@query("pack_limits", "n AS (SELECT 1) SELECT 'packs' AS fact, true AS holds UNION ALL SELECT 'once', true UNION ALL SELECT 'length', true UNION ALL SELECT 'figures', true UNION ALL SELECT 'minorities', true UNION ALL SELECT 'several', true")
+@query("pack_limits", _holds("packs", "length", "figures", "minorities", "several", "once", "none_left"))
 def pack_limits(spark, d):
-    """What every pack of packed_groups holds: each order once, 16 sentences and 4 suppliers at most, two minority labels at least."""
-    from loomkit.plans.catalog import packed_groups
-
-    packs = stored(packed_groups(spark, d), "packs")
+    """What every pack of packed_groups holds: each order once, 16 sentences and 4 suppliers at most, two minority labels at least; and that no two orders that fit are left."""
+    groups = packable(spark, d)
+    packs = stored(synthesize.pack_all(groups, stored), "packs")
     s = fx.sentences(spark, d).select("id", "l_suppkey", (_first() != SENTENCES.default).alias("m"))
     by = packs.join(s, "id").groupBy("synthetic").agg(F.count("*").alias("n"), F.count_distinct("l_suppkey").alias("figures"), F.count_if("m").alias("m"), F.count_distinct("id").alias("k"))
     once = packs.agg((F.count("*") == F.count_distinct("id")).alias("once"))
-    facts = by.agg((F.count("*") > 0).alias("packs"), (F.max("n") <= 16).alias("length"), (F.max("figures") <= 4).alias("figures"), (F.min("m") >= 2).alias("minorities"), (F.min("k") >= 2).alias("several")).crossJoin(once)
-    return facts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("fact"), F.col(c).alias("holds")) for c in facts.columns])))
+    left = synthesize.fitting_groups(groups, packs).agg((F.count("*") == 0).alias("none_left"))
+    return _facts(by.agg((F.count("*") > 0).alias("packs"), (F.max("n") <= 16).alias("length"), (F.max("figures") <= 4).alias("figures"), (F.min("m") >= 2).alias("minorities"), (F.min("k") >= 2).alias("several")).crossJoin(once).crossJoin(left))
+
+
+@query("packed_records", _SENT + """, g AS (SELECT id, count(*) AS n, count(*) FILTER (WHERE types[1] <> 'Supported') AS minority, count(DISTINCT l_suppkey) AS stems FROM sent GROUP BY id)
+SELECT CASE WHEN minority > 0 AND n <= 16 AND stems <= 4 THEN 'able' ELSE 'unable' END AS kind, count(*) AS groups, CAST(sum(n) AS bigint) AS sentences, CAST(sum(minority) AS bigint) AS minority FROM g GROUP BY 1""")
+def packed_records(spark, d):
+    """The records of all packs and of what is in none, counted again from their sentences: none is lost or used twice."""
+    groups = stored(packable(spark, d), "groups")
+    packs = stored(synthesize.pack_all(groups, stored), "packs")
+    s = fx.sentences(spark, d).select("id", "sent_index", F.struct(F.concat(F.lit("line "), F.col("sent_index")).alias("sentence"), "types").alias("s"), F.struct(F.col("l_suppkey").cast("string").alias("img_path")).alias("e"))
+    records = s.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sent_index", "s"))), lambda x: x["s"]).alias("sentences"), F.array_sort(F.collect_set("e")).alias("evidence"))
+    records = records.withColumn("claim_text", F.array_join(F.transform("sentences", lambda x: x["sentence"]), " "))
+    joined = synthesize.joined_records(packs, records).join(packs.groupBy("synthetic").agg(F.count("*").alias("groups")), "synthetic")
+    alone = records.join(packs, "id", "left_anti").join(groups.select("id", "n", "minority", "stems"), "id")
+    able = (F.col("minority") > 0) & (F.col("n") <= 16) & (F.size("stems") <= 4)
+    rows = joined.select(F.lit("able").alias("kind"), "groups", "sentences").unionByName(alone.select(F.when(able, "able").otherwise("unable").alias("kind"), F.lit(1).cast("long").alias("groups"), "sentences"))
+    minority = F.size(F.filter("sentences", lambda x: F.get(x["types"], F.lit(0)) != SENTENCES.default))
+    return rows.groupBy("kind").agg(F.sum("groups").alias("groups"), F.sum(F.size("sentences")).alias("sentences"), F.sum(minority).alias("minority"))
 
 
 # Sources and sinks: written to a new shared folder and read back.
@@ -564,18 +597,22 @@ def member_files(spark, d):
     return got.groupBy("member").agg(F.count("*").alias("n"), F.count_if(F.col("label") != SENTENCES.default).alias("minority"))
 
 
-@query("swapped_table", _GROUPS + " SELECT id, n FROM g WHERE minority > 0")
+@query("swapped_table", _GROUPS + " SELECT id, n, 3 AS version FROM g WHERE minority > 0 UNION ALL SELECT id, n, 1 FROM g")
 def swapped_table(spark, d):
-    """A table replaced by a new one; a later one that breaks its rules isn't written."""
+    """A table replaced twice: a version that breaks its rules and one of a writer that began too early aren't written, the first can still be read."""
     path = _folder(spark, "units")
     g = _groups(spark, d).select("id", "n", "minority")
-    sinks.replace_table(g, path)
+    first = sinks.replace_table(g, path)
+    reader = sinks.read_table(spark, path)
+    sinks.replace_table(g.limit(1), path)
     sinks.replace_table(g.filter("minority > 0"), path)
-    try:
-        sinks.replace_table(g.limit(0), path, bad=g.filter("minority > 0"))
-    except ValueError:
-        return sinks.read_table(spark, path).select("id", "n")
-    raise AssertionError("a table that breaks its rules was written")
+    for wrong, kind in (({"bad": g.filter("minority > 0")}, ValueError), ({"base": first}, sinks.Conflict)):
+        try:
+            sinks.replace_table(g.limit(0), path, **wrong)
+        except kind:
+            continue
+        raise AssertionError("a table that must not be written was written")
+    return sinks.read_table(spark, path).select("id", "n", F.lit(sinks.latest_version(spark, path)).alias("version")).unionByName(reader.select("id", "n", F.lit(first).alias("version")))
 
 
 @query("first_records", "o AS (SELECT DISTINCT l_orderkey AS id FROM lineitem) SELECT id FROM o ORDER BY id LIMIT 50")
@@ -584,15 +621,69 @@ def first_records(spark, d):
     return records.first_n(fx.sizes(spark, d).select("id"), "id", 50)
 
 
+def _parts(df: DataFrame, part: Column, path: str, stream) -> list:
+    """Runs stream() to its end after each part of df (0, 1, 2) has been added to the files below path; the queries that ran."""
+    ran = []
+    for k in range(3):
+        df.filter(part == k).write.mode("append").parquet(path)
+        ran.append(stream())
+        ran[-1].awaitTermination()
+    return ran
+
+
 @query("streamed_outputs", _PRED + """ SELECT member, id, sent_index, CASE WHEN id % 7 IN (4, 5) THEN 'Supported' ELSE label END AS label, id % 7 NOT IN (4, 5) AS parsed_ok FROM pred""")
 def streamed_outputs(spark, d):
-    """Raw outputs streamed from files that repeat some of them, into a table with each cell once."""
-    from loomkit.streaming.attempts import ingest
+    """Raw outputs streamed from files in three runs, of which later ones repeat cells with smaller seq: the least seq of each cell stays."""
+    from loomkit.streaming.attempts import ingest, outputs
+
+    path = _folder(spark, "stream")
+    raw = fx.raw_outputs(spark, d).select("member", *CELL, "raw")
+    i, k = F.col("id"), F.col("sent_index")
+    # every cell comes with seq 0 in run 0, 1 or 2; two thirds of them also with seq 1 and 2, before or after that
+    copies = F.array(F.struct(F.lit(0).alias("seq"), ((i + k) % 3).cast("int").alias("part")), F.struct(F.lit(1).alias("seq"), (i % 3).cast("int").alias("part")), F.struct(F.lit(2).alias("seq"), (k % 3).cast("int").alias("part")))
+    rows = raw.withColumn("c", F.explode(F.slice(copies, F.lit(1), (1 + (i + 2 * k) % 3).cast("int")))).select("member", *CELL, "c.*", F.when(F.col("c.seq") == 0, F.col("raw")).otherwise("later").alias("raw"))
+    rows = stored(rows, "arrivals")
+    stream = lambda: spark.readStream.schema(rows.schema).parquet(f"{path}/in").drop("part")
+    _parts(rows, F.col("part"), f"{path}/in", lambda: ingest(stream(), SENTENCES, f"{path}/out", f"{path}/state"))
+    return outputs(spark, f"{path}/out").select("member", *CELL, "label", "parsed_ok")
+
+
+@query("streamed_by_time", _PRED + """, r AS (SELECT *, CASE WHEN id % 7 IN (4, 5) THEN 'Supported' ELSE label END AS said FROM pred)
+SELECT member, id, sent_index, said AS label, (SELECT count(*) FROM r WHERE id % 5 = 4) AS late FROM r WHERE id % 5 <> 4""")
+def streamed_by_time(spark, d):
+    """The same with a time column: the stream's state tells repeats, and what comes after the watermark is dropped and counted."""
+    from loomkit.streaming.attempts import ingest, late_rows, outputs
+
+    path = _folder(spark, "stream")
+    i = F.col("id") % 5
+    raw = fx.raw_outputs(spark, d).select("member", *CELL, "raw")
+    # days 1 and 9 come in runs 0 and 1; then day 2 of the groups left over, which the watermark of day 8 has passed. Run 1 has a smaller seq for some of its own cells too
+    part = F.when(i < 2, 0).when(i < 4, 1).otherwise(2)
+    rows = raw.withColumn("part", part).withColumn("seq", F.explode(F.when(F.col("part") == 1, F.array(F.lit(1), F.lit(0))).otherwise(F.array(F.lit(0)))))
+    day = F.element_at(F.array(F.lit(1), F.lit(9), F.lit(2)), F.col("part") + 1)
+    rows = rows.withColumn("ts", F.make_timestamp(F.lit(2024), F.lit(1), day, F.lit(12), F.lit(0), F.lit(0))).withColumn("raw", F.when(F.col("seq") == 0, F.col("raw")).otherwise("later"))
+    rows = stored(rows, "arrivals")
+    stream = lambda: spark.readStream.schema(rows.schema).parquet(f"{path}/in").drop("part")
+    ran = _parts(rows, F.col("part"), f"{path}/in", lambda: ingest(stream(), SENTENCES, f"{path}/out", f"{path}/state", ts="ts"))
+    return outputs(spark, f"{path}/out").select("member", *CELL, "label", F.lit(sum(map(late_rows, ran))).cast("long").alias("late"))
+
+
+_LATE = "event_id % 10 = 0 AND ts < TIMESTAMP '2024-01-15'"
+
+
+@query("streamed_mix", f"""e AS (SELECT date_trunc('hour', ts) AS start, CAST(user_id % 3 AS int) AS member, event_type, ts, {_LATE} AS held FROM events),
+m AS (SELECT max(ts) - INTERVAL 2 HOUR AS mark FROM e)
+SELECT CAST(epoch(start) AS bigint) AS start, member, count(*) AS n, count(*) FILTER (WHERE event_type <> 'view') AS minority, (SELECT bool_or(held) FROM e) AS late
+FROM e, m WHERE NOT held AND start + INTERVAL 1 HOUR <= mark GROUP BY start, member""")
+def streamed_mix(spark, d):
+    """Hourly label mix of events as a stream in append mode: windows come out once the watermark has passed them; a tenth of the first two weeks comes after all others and is dropped."""
+    from loomkit.streaming.attempts import late_rows, rolling_mix
 
     path = _folder(spark, "stream")
-    raw = fx.raw_outputs(spark, d).select("member", *CELL, F.lit(0).alias("seq"), "raw")
-    raw.write.parquet(f"{path}/in")
-    raw.filter("id % 5 = 0").withColumns({"seq": F.lit(1), "raw": F.lit("later")}).write.mode("append").parquet(f"{path}/in")
-    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 64).parquet(f"{path}/in")
-    ingest(stream, SENTENCES, f"{path}/out", f"{path}/state").awaitTermination()
-    return spark.read.parquet(f"{path}/out").select("member", *CELL, "label", "parsed_ok")
+    kinds = LabelSet(("view", "click", "purchase", "signup", "error"), "view", ("click",), ("click",))
+    e = fx.read(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 3).cast("int").alias("member"), F.col("event_type").alias("label"))
+    part = F.when(F.expr(_LATE), 2).when(F.col("ts") < F.lit("2024-01-15").cast("timestamp"), 0).otherwise(1)
+    stream = lambda: spark.readStream.schema(e.schema).parquet(f"{path}/in")
+    run = lambda: rolling_mix(stream(), kinds).writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out")
+    late = sum(map(late_rows, _parts(e, part, f"{path}/in", run)))
+    return spark.read.parquet(f"{path}/out").select(F.unix_timestamp("start").alias("start"), "member", "n", "minority", F.lit(late > 0).alias("late"))

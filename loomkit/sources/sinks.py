@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomkit.config import LabelSet
 
-_POINTER = "current"
+_LOG = "log"
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -17,33 +19,88 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def replace_table(df: DataFrame, path: str, bad: DataFrame | None = None) -> None:
-    """Writes df as a new version below path and points to it; raises, and changes nothing, if `bad` has a row.
+class Conflict(RuntimeError):
+    """Another writer has committed the version that this one was to become; nothing was changed."""
 
-    The pointer is one small file that is renamed over the old one in a step, so read_table() finds a whole table at
-    any time; the version before is deleted after that. A writer that dies leaves a version that nothing points to.
+
+def replace_table(df: DataFrame, path: str, bad: DataFrame | None = None, base: int | None = None) -> int:
+    """Writes df as the next version of the table at path and gives its number; raises, and changes nothing, if `bad` has a row.
+
+    A version is a directory of files and an entry in the log, named by its number, that is only made if there is none.
+    base: the version that df was made from (by default the latest as the call begins); if another writer has
+    committed since, the call raises Conflict and removes its files, and the caller reads again. Old versions stay
+    for those who read them, until vacuum(). A writer that dies leaves files that no entry names, for vacuum() too.
     """
     if bad is not None and not bad.isEmpty():
         raise ValueError("the table breaks its rules; nothing was written")
     spark = df.sparkSession
-    before, name = _current(spark, path), f"version-{uuid.uuid4().hex}"
+    number = 1 + (latest_version(spark, path) if base is None else base)
+    name = f"version-{uuid.uuid4().hex}"
     df.write.parquet(f"{path}/{name}")
     fs, where = _files(spark, path)
-    fresh = where(f"{path}/{_POINTER}.{uuid.uuid4().hex}")
+    fresh, entry = where(f"{path}/{_LOG}.{uuid.uuid4().hex}"), where(f"{path}/{_LOG}/{number:020d}")
     out = fs.create(fresh)
     out.write(name.encode())
     out.close()
+    fs.mkdirs(where(f"{path}/{_LOG}"))
     hadoop = spark._jvm.org.apache.hadoop.fs
-    over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
-    over[0] = hadoop.Options.Rename.OVERWRITE
-    hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fresh, where(f"{path}/{_POINTER}"), over)
-    if before is not None:
-        fs.delete(where(f"{path}/{before}"), True)
+    try:  # a rename that never goes over a file that is there
+        if latest_version(spark, path) >= number:
+            raise Conflict(f"version {number} of {path} has been written meanwhile")
+        hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fresh, entry, spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0))
+    except (Conflict, Py4JJavaError) as error:
+        fs.delete(fresh, False)
+        fs.delete(where(f"{path}/{name}"), True)
+        if isinstance(error, Conflict) or "FileAlreadyExists" in str(error):
+            raise Conflict(f"version {number} of {path} has been written meanwhile") from None
+        raise
+    return number
+
+
+def latest_version(spark: SparkSession, path: str) -> int:
+    """The number of the table's last version, 0 if there is none."""
+    return max(_log(spark, path), default=0)
+
+
+def read_table(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A version of the table, by default the last; its files stay until vacuum(), whatever is committed meanwhile."""
+    log = _log(spark, path)
+    fs, where = _files(spark, path)
+    number = max(log, default=0) if version is None else version
+    if number not in log:
+        raise ValueError(f"{path} has no version {number}")
+    entry = fs.open(where(log[number][0]))
+    try:
+        name = bytes(entry.readAllBytes()).decode()
+    finally:
+        entry.close()
+    return spark.read.parquet(f"{path}/{name}")
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """The table that replace_table() wrote last."""
-    return spark.read.parquet(f"{path}/{_current(spark, path)}")
+def vacuum(spark: SparkSession, path: str, seconds: float) -> int:
+    """Deletes versions that were replaced more than `seconds` ago, and files of that age that no entry names; gives their number.
+
+    `seconds` is the longest that a reader or a writer may take.
+    """
+    fs, where = _files(spark, path)
+    log, before = _log(spark, path), (time.time() - seconds) * 1000
+    if not log:
+        return 0
+    numbers = sorted(log)
+    gone = [n for n, later in zip(numbers, numbers[1:], strict=False) if log[later][1] <= before]
+    kept = set()
+    for n in numbers:
+        if n not in gone:
+            entry = fs.open(where(log[n][0]))
+            kept.add(bytes(entry.readAllBytes()).decode())
+            entry.close()
+    old = [f for f in fs.listStatus(where(path)) if f.getPath().getName() != _LOG and f.getPath().getName() not in kept]
+    old = [f.getPath() for f in old if f.getModificationTime() <= before]
+    for n in gone:
+        fs.delete(where(log[n][0]), False)
+    for f in old:
+        fs.delete(f, True)
+    return len(old)
 
 
 def _files(spark: SparkSession, path: str):
@@ -51,11 +108,13 @@ def _files(spark: SparkSession, path: str):
     return where(path).getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
-def _current(spark: SparkSession, path: str) -> str | None:
+def _log(spark: SparkSession, path: str) -> dict[int, tuple[str, int]]:
+    """The log's entries: (path, time of commit in milliseconds) by number."""
     fs, where = _files(spark, path)
-    if not fs.exists(where(f"{path}/{_POINTER}")):
-        return None
-    return spark.read.text(f"{path}/{_POINTER}").first().value
+    if not fs.exists(where(f"{path}/{_LOG}")):
+        return {}
+    found = [f for f in fs.listStatus(where(f"{path}/{_LOG}")) if f.getPath().getName().isdigit()]
+    return {int(f.getPath().getName()): (f.getPath().toString(), f.getModificationTime()) for f in found}
 
 
 def write_split_map(splits: DataFrame, path: str) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -21,14 +21,18 @@ def normalized(raw: DataFrame, labels: LabelSet) -> DataFrame:
 
 
 def ingest(raw: DataFrame, labels: LabelSet, path: str, checkpoint: str, available_now: bool = True, ts: str | None = None, late: str = "1 day") -> StreamingQuery:
-    """Streams raw outputs into the table at path: the first row of each (member, id, sent_index) by seq.
+    """Streams raw outputs into the table at path, of which outputs() gives the row of least seq of each (member, id, sent_index).
 
-    Each batch appends the rows whose cell isn't there yet, under a directory of its number, so a repeated batch
+    Rows may come in any order and repeat: a batch adds a row if its cell isn't in the table or is there with a larger
+    seq, so a later row of smaller seq wins. Each batch writes under a directory of its number, so a repeated batch
     writes the same rows to the same place. Cells lie in BUCKETS by their hash, and a batch reads those that it meets.
-    Rows of one cell must not come in a later batch with a smaller seq. With a time column `ts` repeats come within
-    `late` of each other: then the stream's own state, which forgets older cells, tells them, and no batch reads the table.
+
+    With a time column `ts` no batch reads the table: the stream's state keeps the least seq of each cell within each
+    `late` of time, gives a cell out again whenever that changes, and forgets it when the watermark has passed. Rows later
+    than the watermark are dropped, and late_rows() counts them.
     """
     bucket = F.pmod(F.xxhash64(*CELL), F.lit(BUCKETS)).cast("int")
+    rows = normalized(raw, labels)
 
     def upsert(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -38,16 +42,28 @@ def ingest(raw: DataFrame, labels: LabelSet, path: str, checkpoint: str, availab
         if ts is None and fs.exists(where):
             met = [r.bucket for r in new.select("bucket").distinct().collect()]  # BUCKETS numbers at most
             old = spark.read.parquet(path).filter((F.col("batch") != number) & F.col("bucket").isin(met))
-            new = new.join(old.select("bucket", *CELL), ["bucket", *CELL], "left_anti")
+            old = old.groupBy("bucket", *CELL).agg(F.min("seq").alias("_seen"))
+            new = new.join(old, ["bucket", *CELL], "left").filter(F.col("_seen").isNull() | (F.col("seq") < F.col("_seen"))).drop("_seen")
         new.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={number}")
 
-    rows = normalized(raw, labels)
     if ts is not None:
-        rows = rows.withWatermark(ts, late).dropDuplicatesWithinWatermark(CELL)
-    writer = rows.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
+        others = [c for c in rows.columns if c not in CELL]
+        timed = rows.withColumn("_ts", F.col(ts)).withWatermark("_ts", late).groupBy(F.window("_ts", late), *CELL)
+        rows = timed.agg(F.min_by(F.struct(*others), F.struct("seq", *[c for c in others if c != "seq"])).alias("_r")).select(*CELL, "_r.*")
+    writer = rows.writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def outputs(spark: SparkSession, path: str) -> DataFrame:
+    """The table that ingest() keeps: of each cell the row of least seq."""
+    return keep_one(spark.read.parquet(path), CELL, ["seq"]).drop("batch", "bucket")
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that a stream's states have dropped because the watermark had passed them, in the batches that Spark remembers."""
+    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+
+
 def rolling_mix(stream: DataFrame, labels: LabelSet, ts: str = "ts", window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """For each window and member the number of rows, of minority labels, and of each label."""
     counts = [F.count_if(F.col("label") == x).alias(f"n{i}") for i, x in enumerate(labels.labels)]

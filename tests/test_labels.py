@@ -68,7 +68,7 @@ def test_verdicts_and_rationales(spark):
     assert clean("so -> Contradiction (→ Supported) label: Unsupported Entity. => [(") == "so"
     assert clean("a (b) is so -> of no label") == "a (b) is so -> of no label"
     assert clean("(" * 20000 + "x") == "(" * 20000 + "x"
-    assert clean("so" + " -> Supported" * 100) == "so" and len(clean("so" + " -> Supported" * 5000)) > 2
+    assert clean("so" + " -> Supported" * 5000) == "so"
     assert one(spark, "<Analysis>a {b}\n c</analysis>", N.sanitized) == "a (b) c"
     assert tuple(one(spark, "cannot_justify this", lambda x: N.conditioned_output(x, SENTENCES))) == ("cannot_justify", "")
     assert tuple(one(spark, "too few", lambda x: N.conditioned_output(x, SENTENCES))) == ("bad_output", "too_short(2w)")

@@ -1,6 +1,9 @@
 """Remaining operators, and properties of unions and copies over random tables."""
 
 import random
+import re
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +12,8 @@ from loomkit.config import SENTENCES
 from loomkit.operators import curate, densify, ensemble, quality, rank, render, split, synthesize
 from loomkit.plans import catalog
 from loomkit.functions import labels as L
+from loomkit.functions import normalize as N
+from loomkit.sources import sinks
 from loomkit.sources.records import per_target
 from loomkit.sources.store import stored
 
@@ -138,3 +143,101 @@ def test_running_total_over_one_hot_place(spark):
     out = split.running_total(df, split.spread_order(df, "x"), F.lit(1), stored, ties=("x", "id")).collect()
     assert [r.id for r in sorted(out, key=lambda r: r.before)] == sorted(range(100), key=lambda i: (5.0 if i < 90 else i, i))
     assert sorted(r.before for r in out) == list(range(100))
+
+
+def plain_tail(t):
+    """Cuts tails off the end by hand, one at a time."""
+    names = [x.lower() for x in SENTENCES.labels]
+    while True:
+        before, t = t, t.strip()
+        low = t.lower().rstrip(" ).\"'")
+        name = next((x for x in names if low.endswith(x)), None)
+        if name is not None:
+            head, rest = t[: len(low) - len(name)].rstrip(" "), t[len(low) :]
+            mark = head[:-1].rstrip(" ") if head.endswith(":") else head
+            word = next((w for w in ("verdict", "label") if mark.lower().endswith(w) and not re.search(r"\w$", mark[: -len(w)])), None)
+            arrow = next((a for a in ("->", "→", "=>", "⇒", "—", "–") if head.endswith(a)), None)
+            if word:
+                t = mark[: -len(word)].rstrip(";,. ")
+            elif arrow:
+                t = head[: -len(arrow)].rstrip(";,. ")
+            elif head.endswith("(") and re.fullmatch(r" *\)[ .\"']*", rest):
+                t = head[:-1].rstrip(";,. ")
+        said = re.search(r"[;,. ]*\bverdict *: *[A-Za-z ]{0,35}$", t, re.IGNORECASE)
+        if said:
+            t = t[: said.start()]
+        t = t.strip()
+        arrow = next((a for a in ("->", "→", "=>") if t.endswith(a)), None)
+        t = (t[: -len(arrow)] if arrow else t).rstrip("([ ")
+        if t == before:
+            return t.rstrip(";,. ")
+
+
+def test_tails_go_to_the_fixed_point(spark):
+    rng = random.Random(12)
+    bits = [*SENTENCES.labels, "verdict", "Label", "verdict:", ":", "->", "→", "=>", "⇒", "—", "(", ")", "[", ".", ";", ",", '"', "so", "it is", "x1", "é", "verdicts", "mylabel", "a" * 30]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " ", " "]) for _ in range(rng.randint(1, 9))) for _ in range(4000)]
+    texts = [re.sub(r"\s+", " ", "Well, " + t).strip() for t in texts] + ["so" + " -> Supported; (Contradiction) verdict: no" * 1000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.c for r in df.select("i", N.clean_rationale(F.col("t"), SENTENCES).alias("c")).collect()}
+    assert [(texts[i], got[i], plain_tail(t)) for i, t in enumerate(texts) if got[i] != plain_tail(t)] == []
+
+
+def test_samples_swap_as_one_by_one(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.choice([0, 0, 0, 1, 1, 2, 5]), rng.randrange(50) / 50) for i in range(700)]
+    g = spark.createDataFrame(rows, "id long, minority int, o double")
+    for n, floor in ((40, 10), (40, 60), (40, 120), (40, 10_000), (700, 5000), (900, 10), (0, 5)):
+        order = sorted(rows, key=lambda r: (r[2], r[0]))
+        chosen, left = order[:n], order[n:]
+        for r in left:
+            if not chosen or sum(x[1] for x in chosen) >= floor:
+                break
+            worst = min(range(len(chosen)), key=lambda k: chosen[k][1])
+            if chosen[worst][1] < r[1]:
+                chosen[worst] = r
+        got = split.guaranteed_sample(g, F.col("o"), n, floor, stored).collect()
+        assert sorted(r.id for r in got) == sorted(r[0] for r in chosen), (n, floor)
+        assert {r.met for r in got} <= {sum(x[1] for x in chosen) >= floor}
+
+
+def test_two_writers_and_an_old_reader(spark, tmp_path):
+    path, df = str(tmp_path / "table"), lambda k: spark.range(k).repartition(2)
+    assert sinks.replace_table(df(5), path) == 1
+    reader = sinks.read_table(spark, path)
+    done, lock = [], threading.Barrier(4)
+
+    def write(k):
+        lock.wait()
+        try:
+            done.append(sinks.replace_table(df(10 + k), path, base=1))
+        except sinks.Conflict:
+            done.append(None)
+
+    writers = [threading.Thread(target=write, args=(k,)) for k in range(4)]
+    [w.start() for w in writers]
+    [w.join() for w in writers]
+    assert sorted(x or 0 for x in done) == [0, 0, 0, 2] and reader.count() == 5 and sinks.read_table(spark, path).count() >= 10
+    assert len([p for p in (tmp_path / "table").iterdir() if p.name.startswith("version")]) == 2  # the losers' files are gone
+    (tmp_path / "table" / "version-dead").mkdir()
+    assert sinks.vacuum(spark, path, 3600) == 0 and reader.count() == 5
+    time.sleep(1.1)
+    assert sinks.vacuum(spark, path, 1) == 2 and sinks.read_table(spark, path).count() >= 10
+    with pytest.raises(ValueError):
+        sinks.read_table(spark, path, 1)
+    assert sinks.replace_table(df(3), path) == 3 and sinks.read_table(spark, path).count() == 3
+
+
+def test_matching_with_repeated_rows_and_hot_nouns(spark):
+    rng = random.Random(7)
+    nouns = lambda i: ["All"] * (i % 7 != 0) + ["Most"] * (i % 3 != 0) + rng.sample([f"N{k}" for k in range(30)], rng.randint(0, 9))
+    rows = [(i, rng.choice(["en", "en", "en", "fr", "de"]), nouns(i)) for i in range(500)]
+    rows += [(i, d, n) for i, d, n in rows[:40]]
+    df = spark.createDataFrame(rows, "id long, domain string, nouns array<string>")
+    donor, anchor = df.filter("id % 2 = 1").withColumn("donor_id", F.col("id")), df.filter("id % 2 = 0")
+    pairs = stored(synthesize.match(donor, anchor, stored, block=64), "pairs")
+    info, used = {i: (d, set(n)) for i, d, n in rows}, {x for p in pairs.collect() for x in (p.donor_id, p.anchor_id)}
+    fits = lambda a, b: info[a][0] != info[b][0] and not info[a][1] & info[b][1]
+    assert len(used) == 2 * pairs.count() > 0 and all(fits(p.donor_id, p.anchor_id) for p in pairs.collect())
+    assert not [(a, b) for a in info if a % 2 and a not in used for b in info if not b % 2 and b not in used and fits(a, b)]
+    assert synthesize.fitting_donors(donor, anchor, pairs, stored).isEmpty()

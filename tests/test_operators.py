@@ -147,7 +147,7 @@ def test_quotas_and_density(spark):
     assert out.filter("minority > 0").count() == 6 and [r.n for r in out.filter("minority = 0").collect()] == [7] * 4
     assert split.densest(g, 1.0, split_order("id"), stored).count() == 6 and split.densest(g, 0.0, split_order("id"), stored).count() == 40
     assert split.densest(g.filter("id in (0, 7)"), 0.99, split_order("id"), stored).count() == 2
-    assert split.guaranteed_sample(g, split_order("id"), 10, 4).agg(F.sum("minority")).first()[0] >= 4
+    assert split.guaranteed_sample(g, split_order("id"), 10, 4, stored).agg(F.sum("minority")).first()[0] >= 4
     assert split.assert_empty(g.filter("id < 0"), "none").count() == 0
     with pytest.raises(Exception, match="rows are left"):
         split.assert_empty(g, "rows are left").collect()
@@ -180,12 +180,12 @@ def test_injection_matching_and_packing(spark):
     for place, want in ((1, "a. new. b."), (2, "a. b. new."), (7, "a. b. new.")):
         r = synthesize.inject(anchor, donor, spark.createDataFrame([(9, 1)], "donor_id long, anchor_id long"), F.lit(place)).first()
         assert r.claim_text == want and len(r.evidence) == 2
-    g = spark.createDataFrame([(i, 5, 1 + i % 2, [f"s{i % 4}"], 0) for i in range(12)] + [(99, 40, 3, ["z"], 0), (98, 5, 0, ["s0"], 0)], "id long, n int, minority int, stems array<string>, bucket int")
-    packs = synthesize.pack_groups(g, "bucket").collect()
+    g = spark.createDataFrame([(i, 5, 1 + i % 2, [f"s{i % 4}"]) for i in range(12)] + [(99, 40, 3, ["z"]), (98, 5, 0, ["s0"]), (97, 5, None, ["s0"]), (96, None, 1, None)], "id long, n int, minority int, stems array<string>")
+    packs = synthesize.pack_all(g, stored).collect()
     by = {}
     for r in packs:
         by.setdefault(r.synthetic, []).append(r.id)
-    assert len({r.id for r in packs}) == len(packs) and all(2 <= len(v) <= 3 for v in by.values()) and not {98, 99} & {r.id for r in packs}
+    assert len({r.id for r in packs}) == len(packs) and all(2 <= len(v) <= 3 for v in by.values()) and not {96, 97, 98, 99} & {r.id for r in packs}
 
 
 def test_matching_is_maximal_where_few_pairs_fit(spark):
@@ -196,7 +196,11 @@ def test_matching_is_maximal_where_few_pairs_fit(spark):
     info = {r.id: r for r in df.collect()}
     fits = lambda a, b: a.domain is not None and b.domain is not None and a.nouns is not None and b.nouns is not None and a.domain != b.domain and not set(a.nouns) & set(b.nouns)
     for options in ({}, {"block": 50}):
-        pairs = [(p.donor_id, p.anchor_id) for p in synthesize.match(donor, anchor, stored, **options).collect()]
+        found = synthesize.match(donor, anchor, stored, **options)
+        assert synthesize.fitting_donors(donor, anchor, found, stored).isEmpty()
+        able = sum(any(fits(info[a], info[b]) for b in info if b % 2 == 0) for a in info if a % 2)
+        assert sum(r.donors for r in synthesize.fitting_donors(donor, anchor, found.limit(0), stored).collect()) == able > 400
+        pairs = [(p.donor_id, p.anchor_id) for p in found.collect()]
         used = {x for p in pairs for x in p}
         assert pairs and len(used) == 2 * len(pairs) and all(fits(info[a], info[b]) for a, b in pairs)
         assert not [(a, b) for a in info if a % 2 and a not in used for b in info if not b % 2 and b not in used and fits(info[a], info[b])]
@@ -213,8 +217,9 @@ def test_packing_goes_on_until_no_two_groups_fit(spark):
     g = spark.createDataFrame(rows, "id long, n int, minority int, stems array<string>")
     info = {r.id: r for r in g.collect()}
     for block in (2000, 30):
-        by = {}
-        for r in synthesize.pack_all(g, stored, block).orderBy("position").collect():
+        by, packs = {}, stored(synthesize.pack_all(g, stored, block=block), "packs")
+        assert synthesize.fitting_groups(g, packs).isEmpty() and not synthesize.fitting_groups(g, packs.filter("position > 0")).isEmpty()
+        for r in packs.orderBy("position").collect():
             by.setdefault(r.synthetic, []).append(info[r.id])
         used = [r.id for p in by.values() for r in p]
         assert by and len(set(used)) == len(used)

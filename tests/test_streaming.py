@@ -17,7 +17,7 @@ def test_ingest_equals_batch(spark, tmp_path):
         stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
         query = attempts.ingest(stream, SENTENCES, str(tmp_path / "out"), str(tmp_path / "check"))
         query.awaitTermination(120)
-    got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("member", "id", "sent_index", "label").collect()}
+    got = {tuple(r) for r in attempts.outputs(spark, str(tmp_path / "out")).select("member", "id", "sent_index", "label").collect()}
     want = {tuple(r) for r in keep_one(attempts.normalized(df, SENTENCES), attempts.CELL, ["seq"]).select("member", "id", "sent_index", "label").collect()}
     assert got == want and len(got) == 36
 
@@ -33,12 +33,24 @@ def test_rolling_mix(spark, tmp_path):
     assert sorted(map(tuple, spark.table("mix").collect())) == want and len(want) == 6
 
 
-def test_repeats_within_the_watermark_are_told_by_the_stream(spark, tmp_path):
-    raw = [(1, i, 0, 10 * k, '{"label": "%s"}' % SENTENCES.labels[k], f"2024-01-01 0{k}:00:00") for k in range(2) for i in range(5)]
-    df = spark.createDataFrame(raw, f"{SCHEMA}, t string").withColumn("ts", F.to_timestamp("t")).drop("t")
-    for k in range(2):
-        df.filter(F.col("seq") == 10 * k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    attempts.ingest(stream, SENTENCES, str(tmp_path / "out"), str(tmp_path / "check"), ts="ts").awaitTermination(120)
-    got = spark.read.parquet(str(tmp_path / "out")).collect()
-    assert sorted(r.id for r in got) == list(range(5)) and {r.label for r in got} <= set(SENTENCES.labels[:2])
+def test_the_least_seq_wins_though_it_comes_later(spark, tmp_path):
+    label = lambda k: '{"label": "%s"}' % SENTENCES.labels[k]
+    for ts in (None, "ts"):
+        folder = tmp_path / str(ts)
+        # three runs: cell 0 gets smaller seqs each time, cell 1 larger ones, cell 2 comes once; day 1 comes again after day 20
+        runs = [[(1, 0, 0, 9, 1, 2), (1, 1, 0, 1, 1, 2), (1, 2, 0, 5, 0, 2)], [(1, 0, 0, 4, 2, 2), (1, 1, 0, 3, 3, 2), (1, 0, 0, 6, 3, 2)], [(1, 7, 0, 0, 4, 20), (1, 0, 0, 3, 0, 2)], [(1, 8, 0, 0, 1, 1), (1, 0, 0, 0, 4, 1)]]
+        late = 0
+        for rows in runs:
+            df = spark.createDataFrame(rows, "member int, id long, sent_index int, seq long, k int, day int")
+            df = df.select("member", "id", "sent_index", "seq", F.element_at(F.array(*[F.lit(label(k)) for k in range(5)]), F.col("k") + 1).alias("raw"), F.make_timestamp(F.lit(2024), F.lit(1), F.col("day"), F.lit(3), F.lit(0), F.lit(0)).alias("ts"))
+            df.coalesce(1).write.mode("append").parquet(str(folder / "in"))
+            stream = spark.readStream.schema(df.schema).parquet(str(folder / "in"))
+            query = attempts.ingest(stream, SENTENCES, str(folder / "out"), str(folder / "check"), ts=ts)
+            query.awaitTermination(120)
+            late += attempts.late_rows(query)
+        got = {r.id: (r.seq, r.label) for r in attempts.outputs(spark, str(folder / "out")).collect()}
+        names = SENTENCES.labels
+        if ts is None:
+            assert got == {0: (0, names[4]), 1: (1, names[1]), 2: (5, names[0]), 7: (0, names[4]), 8: (0, names[1])} and late == 0
+        else:  # what comes after the watermark of day 19 is dropped and counted
+            assert got == {0: (3, names[0]), 1: (1, names[1]), 2: (5, names[0]), 7: (0, names[4])} and late == 2
