@@ -199,7 +199,7 @@ def test_matching_is_maximal_where_few_pairs_fit(spark):
         found = synthesize.match(donor, anchor, stored, **options)
         assert synthesize.fitting_donors(donor, anchor, found, stored).isEmpty()
         able = sum(any(fits(info[a], info[b]) for b in info if b % 2 == 0) for a in info if a % 2)
-        assert sum(r.donors for r in synthesize.fitting_donors(donor, anchor, found.limit(0), stored).collect()) == able > 400
+        assert sum(r.donors for r in synthesize.fitting_donors(donor, anchor, found.limit(0), stored).collect()) == able == 24
         pairs = [(p.donor_id, p.anchor_id) for p in found.collect()]
         used = {x for p in pairs for x in p}
         assert pairs and len(used) == 2 * len(pairs) and all(fits(info[a], info[b]) for a, b in pairs)
