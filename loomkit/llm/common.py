@@ -7,10 +7,11 @@ import re
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomkit.sources.store import shared_folder, stored
 
-__all__ = ["SEPARATORS", "filesystem", "local_path", "mix", "others", "shared_folder", "stored", "table", "text_bytes"]
+__all__ = ["SEPARATORS", "filesystem", "local_path", "mix", "numbered_columns", "others", "shared_folder", "stored", "table", "text_bytes"]
 
 #: A word is a run of anything but these six ASCII characters.
 SEPARATORS = b" \t\n\x0b\x0c\r"
@@ -45,6 +46,11 @@ def others(df: DataFrame, *taken: str) -> list[str]:
     return [c for c in df.columns if c.lower() not in names]
 
 
+def numbered_columns(df: DataFrame, columns: list[str]) -> DataFrame:
+    """These columns under the names _0, _1 and so on, which Python functions over batches take whatever theirs are."""
+    return df.select(*[F.col("`" + c.replace("`", "``") + "`").alias(f"_{k}") for k, c in enumerate(columns)])
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of unsigned 64-bit integers."""
     x = x ^ (x >> np.uint64(32))

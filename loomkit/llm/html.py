@@ -9,6 +9,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import numbered_columns, others
+
 # Element names by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template svg math iframe object canvas video audio textarea title".split())
@@ -56,11 +58,12 @@ LEVELS = 12
 
 
 class _Node:
-    __slots__ = ("container", "doubtful", "drop", "good", "heading", "kept", "linked", "parent", "score", "tag", "total")
+    __slots__ = ("container", "doubtful", "drop", "form", "good", "heading", "kept", "linked", "parent", "score", "tag", "total")
 
     def __init__(self, tag: str, parent: _Node | None, drop: bool, doubtful: bool, good: bool):
         self.tag, self.parent, self.drop, self.doubtful, self.good = tag, parent, drop, doubtful, good
         self.score, self.total, self.linked, self.kept = 0.0, 0, 0, False
+        self.form = self if tag == "form" else parent.form if parent is not None else None
         self.heading = tag in _HEADING or (parent is not None and parent.heading)
         self.container = parent.container if parent is not None and (tag not in BLOCK or tag in _NO_CONTAINER) else self
 
@@ -119,7 +122,8 @@ class _Page:
 def blocks(text: str) -> tuple[list[_Block], list[_Node]]:
     """The page's blocks of text in order, each with its container, and its elements in order; dropped parts are left out.
 
-    An element whose name alone speaks against it stays if it holds the page's main element or an article's first heading.
+    An element whose name alone speaks against it stays if it holds the page's main element or an article's first heading,
+    a form also if it holds more than half of the page's text, as where one wraps the whole page.
     """
     root = _Node("", None, False, False, False)
     stack, nodes, parts, linked, links, insides, out = [root], [root], [], 0, 0, 0, []
@@ -207,7 +211,8 @@ def blocks(text: str) -> tuple[list[_Block], list[_Node]]:
             flush()
         above, inside = stack[-1], insides > 0
         gone, doubtful, good = _judged(tag, found, inside) if found else (False, False, False)
-        gone = (above.drop or gone or (tag in BOILERPLATE and not (tag == "header" and inside))) and tag != "body"
+        gone = (above.drop or gone or (tag in BOILERPLATE and tag != "form" and not (tag == "header" and inside))) and tag != "body"
+        doubtful = doubtful or tag == "form"
         if slash and tag not in BLOCK:
             continue
         if tag == "main" or (tag == "h1" and nearest(("article", "main"))):
@@ -222,8 +227,14 @@ def blocks(text: str) -> tuple[list[_Block], list[_Node]]:
         links += tag == "a"
         insides += node.good or tag in ("article", "main")
     flush()
+    within: dict[int, int] = {}
+    for b in out:
+        if b.node.form is not None:
+            within[id(b.node.form)] = within.get(id(b.node.form), 0) + len(b.text)
+    whole = sum(len(b.text) for b in out)
     for x in nodes:
         x.kept = False
+        x.doubtful = x.doubtful and 2 * within.get(id(x), 0) <= whole
         x.doubtful = x.doubtful or (x.parent is not None and x.parent.doubtful)
     return [b for b in out if not b.node.doubtful], nodes
 
@@ -263,7 +274,10 @@ def main_text(page: str | None) -> str:
             x.parent.total += x.total
             x.parent.linked += x.linked
     if not scored:
-        best = next((x for b in found for x in _above(b.node) if x.tag in ("article", "main")), None)
+        nearest: dict[int, _Node | None] = {}
+        for x in nodes:  # those above come first
+            nearest[id(x)] = x if x.tag in ("article", "main") else nearest.get(id(x.parent))
+        best = next((nearest[id(b.node)] for b in found if nearest[id(b.node)] is not None), None)
         if best is not None:
             _mark(nodes, {id(best)})
         return "\n".join(b.text for b in found if (best is None or b.node.kept) and b.linked * 2 <= len(b.text))
@@ -272,7 +286,10 @@ def main_text(page: str | None) -> str:
     best = next((x for x in _above(best) if x.tag in ("article", "main")), best)
     top, floor = value(best), 0.2 * value(best)
     chosen = {id(best)}
-    if best.tag not in ("article", "main", "body"):
+    if best.tag == "article":
+        own = lambda x: x.score * (1 - x.linked / max(1, x.total))
+        chosen |= {k for k, x in scored.items() if x.parent is best.parent and x.tag == "article" and own(x) >= 0.2 * own(best) > 0}
+    elif best.tag not in ("main", "body"):
         chosen |= {k for k, x in scored.items() if x.parent is best.parent and x.tag not in ("li", "tr", "td") and value(x) >= floor and top > 0}
     _mark(nodes, chosen)
     whole = [b.node.kept for b in found]
@@ -295,15 +312,16 @@ def _mark(nodes: list[_Node], chosen: set[int]) -> None:
 def extract(pages: DataFrame, html: str = "html", into: str = "text") -> DataFrame:
     """pages with the column `into`, the main text of each page; null, empty or textless pages give "".
 
-    Every row is kept and treated alone, repeated ones too; a column named `into` is replaced.
+    Every row is kept and treated alone, repeated ones too; an empty table gives none. A column named `into`, in any
+    case, is replaced.
     """
-    kept = [c for c in pages.columns if c != into]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name not in (into, html))
+    kept = [c for c in others(pages, into) if c != html]
+    numbered = numbered_columns(pages, [*kept, html])
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in numbered.schema[:-1]), "text string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [main_text(x) for x in batch.column(html).to_pylist()]
-            columns = [batch.column(c) for c in batch.schema.names if c != html]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.string())], names=[*(c for c in batch.schema.names if c != html), into])
+            *columns, found = batch.columns
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([main_text(x) for x in found.to_pylist()], pa.string())], names=[*batch.schema.names[:-1], "text"])
 
-    return pages.select(*kept).mapInArrow(run, f"{schema}, `{into}` string")
+    return numbered.mapInArrow(run, schema).toDF(*kept, into)

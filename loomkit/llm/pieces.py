@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import numbered_columns, others
+
 SPACE = "▁"
 #: Loss of a character without a piece of its own, below the least score of any piece.
 UNKNOWN_LOSS = 10.0
@@ -298,18 +300,18 @@ def pieces(path: str) -> Pieces:
 
 
 def _mapped(df: DataFrame, source: str, into: str, kind: pa.DataType, ddl: str, make) -> DataFrame:
-    kept = [c for c in df.columns if c not in (source, into)]
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema if f.name in kept)
+    kept = [c for c in others(df, into) if c != source]
+    numbered = numbered_columns(df, [*kept, source])
+    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in numbered.schema[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         change = make()
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
-                part = batch.slice(a, 1024)
-                out = [change(x) for x in part.column(source).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(out, kind)], names=[*kept, into])
+                *columns, found = batch.slice(a, 1024).columns
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([change(x) for x in found.to_pylist()], kind)], names=[*batch.schema.names[:-1], "out"])
 
-    return df.select(*kept, source).mapInArrow(run, f"{schema}`{into}` {ddl}")
+    return numbered.mapInArrow(run, f"{schema}out {ddl}").toDF(*kept, into)
 
 
 def encode(docs: DataFrame, model: str, text: str = "text", into: str = "ids") -> DataFrame:
@@ -317,7 +319,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", into: str = "ids") -
 
     The ids are those that the library gives for a unigram or byte-pair model file that leaves texts as they are (its
     own normaliser isn't applied, so texts come back whole); characters without a piece become their bytes. Null and
-    empty texts have no ids; each row is encoded whole and by itself. U+2581 counts as a space.
+    empty texts have no ids; each row is encoded whole and by itself, and a column named `into`, in any case, is replaced. U+2581 counts as a space.
     """
     return _mapped(docs, text, into, pa.binary(), "binary", lambda: lambda x, own=pieces(model): own.ids(x or ""))
 

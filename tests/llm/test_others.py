@@ -269,7 +269,11 @@ def plain_main_text(page):
     best = nodes[max(score, key=value)]
     best = next((x for x in above(best) if x["tag"] in ("article", "main")), best)
     top = value(id(best))
-    if best["tag"] in ("article", "main", "body", ""):
+    if best["tag"] == "article":
+        own = lambda k: score[k] * (1 - linked[k] / max(1, total[k]))
+        beside = [best] + [nodes[k] for k in score if nodes[k]["up"] is best["up"] and nodes[k]["tag"] == "article" and own(k) >= 0.2 * own(id(best)) > 0]
+        return "\n".join(b["text"] for b in found if any(x is y for x in above(b["home"]) for y in beside))
+    if best["tag"] in ("main", "body", ""):
         return "\n".join(b["text"] for b in found if any(x is best for x in above(b["home"])))
     chosen = [best] + [nodes[k] for k in score if nodes[k]["up"] is best["up"] and nodes[k]["tag"] != "li" and value(k) >= 0.2 * top and top > 0]
     frame = best["up"]
@@ -325,3 +329,42 @@ def test_broken_and_very_long_pages():
         began = time.process_time()
         html.main_text(page)
         assert time.process_time() - began < 15  # a second or two; quadratic work would take hours
+
+
+def test_wrapped_and_divided_pages():
+    """Wanted texts are written by hand, whatever the operator's lists are."""
+    import time
+
+    one, two = "The first paragraph, which is prose, goes on for a while and says some things.", "A second paragraph, as long, says other things about the same matter, calmly."
+    form = f"<body><form id='aspnetForm'><div class='content'><h2>Title</h2><p>{one}</p><p>{two}</p></div><div class='footer'>(c) us</div></form></body>"
+    assert html.main_text(form) == f"Title\n{one}\n{two}"
+    assert html.main_text(f"<body><form action='q'>Search the site</form><div><p>{one}</p><p>{two}</p></div></body>") == f"{one}\n{two}"
+    assert html.main_text(f"<body><div><article><p>{one}</p></article><article><p>{two}</p></article><article>Read on</article></div></body>") == f"{one}\n{two}"
+    assert html.main_text("<form>Name Send</form>") == "Name Send" and html.main_text("<form></form>") == html.main_text("<p> </p>") == ""
+    for page in ("<table><tr><td>x" * 60_000, "<div>x" * 150_000, f"<form><div>{one}" * 8_000):
+        began = time.process_time()
+        html.main_text(page)
+        assert time.process_time() - began < 15
+
+
+def test_clashing_names_of_pages_urls_pieces_and_vectors(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from loomkit.llm import neighbours, pieces, urls
+
+    odd = {c: F.lit("x") for c in ("Text", "IDS", "RANK", "Score", "vec_ID", "Verdict", "LISTED", "a`b", "node")}
+    rows = lambda df, names: sorted(map(repr, df.select(*names).collect()))
+    pages = spark.createDataFrame([(1, "http://a.b/c", "<p>one</p>"), (2, None, None), (2, None, None)], "page_id long, url string, html string")
+    for run, df, names in (
+        (html.extract, pages, ["page_id", "text"]),
+        (lambda x: pieces.encode(x, "/opt/tokenizers/piece_bpe_32k.model", "html"), pages, ["page_id", "ids"]),
+        (lambda x: urls.judge(x.withColumnRenamed("page_id", "capture_id").withColumn("fetched", F.lit(3)), spark.createDataFrame([(1, "a.b", 1, "block")], "entry_id long, key string, listed int, action string")), pages, ["capture_id", "verdict"]),
+    ):
+        out = run(df.withColumns({c: x for c, x in odd.items() if c != "a`b" or "verdict" not in names}))
+        assert rows(out, names) == rows(run(df), names) and len({c.lower() for c in out.columns}) == len(out.columns)
+        assert run(df.limit(0)).count() == 0
+    vectors = spark.createDataFrame([(i, [float(i), 1.0, 2.0]) for i in range(9)], "vec_id long, embedding array<float>")
+    own = odd.keys() - {"vec_ID", "a`b"}
+    clash = vectors.withColumns({c: odd[c] for c in own})
+    want = rows(neighbours.nearest(vectors, vectors.filter("vec_id < 3")), ["query_id", "rank", "vec_id"])
+    assert rows(neighbours.nearest(clash, clash.filter("vec_id < 3")), ["query_id", "rank", "vec_id"]) == want
