@@ -51,8 +51,14 @@ def cross_pairs(sets: DataFrame, per_cent: int) -> DataFrame:
     return pairs.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_component", "b_component").agg(F.count("*").alias("shared"))
 
 
-def likeliest(pairs: DataFrame) -> DataFrame:
-    """(a, b): for each node and each other component the pair that shares most."""
-    turned = pairs.select("a", "b", "a_component", "b_component", "shared", F.col("a").alias("node"), F.col("b_component").alias("other"))
-    turned = turned.unionByName(pairs.select("a", "b", "a_component", "b_component", "shared", F.col("b").alias("node"), F.col("a_component").alias("other")))
-    return turned.groupBy("node", "other").agg(F.max_by(F.struct("a", "b"), F.struct("shared", "a", "b")).alias("p")).select("p.*").distinct()
+def likeliest(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """(a, b): the pair that shares most for every two components (keys _a, _b), or for every node and other component (node, _other).
+
+    pairs: a, b, their components _a and _b, shared.
+    """
+    if keys == ["_a", "_b"]:
+        sided = pairs.select("a", "b", "shared", F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b"))
+    else:
+        turn = lambda node, other: pairs.select("a", "b", "shared", F.col(node).alias("node"), F.col(other).alias("_other"))
+        sided = turn("a", "_b").unionByName(turn("b", "_a"))
+    return sided.groupBy(*keys).agg(F.max_by(F.struct("a", "b"), F.struct("shared", "a", "b")).alias("p")).select("p.*").distinct()

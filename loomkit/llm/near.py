@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from loomkit.operators.components import connected_components
 from loomkit.sources.store import forget
 
-from . import crowds as crowds_
+from . import crowds
 from .common import mix, stored, text_bytes
 from .words import shingle_sets, texts_at_a_time
 
@@ -327,28 +327,26 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_confirm, "a long, b long")
 
 
-def _crowds_linked(docs: DataFrame, nodes: DataFrame, placed: DataFrame, links: DataFrame, components: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _crowds_linked(crowded: DataFrame, sets: DataFrame, links: DataFrame, components: DataFrame) -> tuple[DataFrame, DataFrame]:
     """links and components with those that deepened regions may have torn apart, found by rare shingles.
 
-    Only regions with a crowd in which components differ are looked at. Of each node's pairs with another component the
-    likeliest is confirmed first; then all pairs whose ends still differ.
+    crowded: region, node of the regions with a crowd; only those in which components differ are looked at. The likeliest
+    pair of every two components is confirmed first, as parts of a group of copies are joined by that, then of every
+    node and other component, then all pairs whose ends still differ.
     """
-    of = placed.filter("turn = 0").select("region", "node").join(components.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    crowds = placed.filter("crowd").select("region").distinct()
-    torn = of.join(crowds.hint("merge"), "region", "left_semi").groupBy("region").agg((F.min("component") != F.max("component")).alias("torn")).filter("torn").select("region")
-    inside = stored(of.join(torn.hint("merge"), "region", "left_semi").select("node", "component").distinct(), "crowds")
+    of = crowded.join(components.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    torn = of.groupBy("region").agg((F.min("component") != F.max("component")).alias("torn")).filter("torn").select("region")
+    inside = stored(of.join(torn.hint("merge"), "region", "left_semi").select("node", "component").distinct(), "torn")
     if not inside.isEmpty():
-        sets = _full_sets(docs, nodes, inside.select("node"))
-        pairs = stored(crowds_.cross_pairs(sets.join(inside.hint("merge"), "node"), PER_CENT), "pairs")
-        for asked in (crowds_.likeliest(pairs), None):
-            if asked is None:
-                ends = [components.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")).hint("merge") for end in ("a", "b")]
-                apart = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left")
-                asked = apart.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
-            more = stored(links.unionByName(_linked(asked, sets)), "links")
+        pairs = stored(crowds.cross_pairs(sets.join(inside.hint("merge"), "node"), PER_CENT).select("a", "b", "shared"), "pairs")
+        for keys in (["_a", "_b"], ["node", "_other"], None):
+            ends = [components.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")).hint("merge") for end in ("a", "b")]
+            apart = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").withColumns({"_a": F.coalesce("_a", "a"), "_b": F.coalesce("_b", "b")}).filter("_a <> _b")
+            asked = apart if keys is None else crowds.likeliest(apart, keys)
+            more = stored(links.unionByName(_linked(asked.select("a", "b"), sets)), "links")
             forget(links, components)
             links, components = more, connected_components(more)
-        forget(sets, pairs)
+        forget(pairs)
     forget(inside)
     return links, components
 
@@ -391,19 +389,20 @@ def near_duplicates(docs: DataFrame, with_own: bool = False) -> DataFrame:
     forget(shared)
     best = _in_order(placed).mapInArrow(_best, "node long, other long, same int").groupBy("node").agg(F.max_by("other", F.struct("same", "other")).alias("other"))
     pairs = stored(best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "pairs")
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    full = placed.filter("crowd").select("region").distinct()
+    crowded = stored(placed.filter("turn = 0").select("region", "node").join(full.hint("merge"), "region", "left_semi"), "crowded")
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowded.select("node")).distinct()
     sets = _full_sets(docs, nodes, asked)
     links = stored(_linked(pairs, sets), "links")
     components = connected_components(links)
     again = placed.filter("not crowd").join(components.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     opened = stored(_in_order(again).mapInArrow(_open, "meeting long, node long, component long"), "open")
-    forget(pairs, components)
+    forget(placed, pairs, components)
     across = opened.join(sets.hint("merge"), "node").groupBy("meeting").applyInArrow(_across, "a long, b long")
     every = stored(links.unionByName(across), "links")
-    forget(opened, sets, links)
-    components = connected_components(every)
-    every, components = _crowds_linked(docs, nodes, placed, every, components)
-    forget(placed)
+    forget(opened, links)
+    every, components = _crowds_linked(crowded, sets, every, connected_components(every))
+    forget(crowded, sets)
     of = nodes.select("node", "key2", "doc_id").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of = stored(of.join(least, "component").select(F.col("node").alias("key1"), "key2", "component_id"), "members")
