@@ -34,9 +34,12 @@ def assemble(raw: DataFrame, cells: DataFrame, labels: LabelSet, order: str = "s
     raw: id, sent_index, label, conf and an order column; `keys` (as a member) may be prepended to both. Of rows for
     one cell the first counts; a label outside the set and a missing cell become the default, with origin
     invalid or missing. What has no cell is dropped; rejects() lists it.
+
+    raw is dealt by id, which is among the keys of all that follows: the choice of the first, the joins with cells and
+    gold, and groups need no further shuffle of rows.
     """
     on = [*keys, *CELL]
-    first = keep_one(raw, on, [order]).select(*on, F.col("label").alias("_label"), F.col("conf").cast("double").alias("conf"), F.lit(True).alias("_there"))
+    first = keep_one(raw.repartition("id"), on, [order]).select(*on, F.col("label").alias("_label"), F.col("conf").cast("double").alias("conf"), F.lit(True).alias("_there"))
     out = cells.select(*on).join(first, on, "left")
     valid = F.coalesce(F.col("_label").isin(*labels.labels), F.lit(False))
     origin = F.when(F.col("_there").isNull(), "missing").when(~valid, "invalid").otherwise("given")

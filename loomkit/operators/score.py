@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,13 +27,18 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0).cast("double"))
 
 
-def per_label(scored: DataFrame, labels: LabelSet, keys: tuple[str, ...] = ()) -> DataFrame:
-    """tp, fp, fn, precision, recall, f1, support and predicted of every label of the set, also of absent ones."""
-    counts = []
+def _counts(labels: LabelSet) -> dict[str, Column]:
+    """tp, fp and fn of each label, by its place in the set."""
+    out = {}
     for i, name in enumerate(labels.labels):
         true, said = F.col("y_true") == name, F.col("label") == name
-        counts += [F.count_if(true & said).alias(f"tp{i}"), F.count_if(~true & said).alias(f"fp{i}"), F.count_if(true & ~said).alias(f"fn{i}")]
-    wide = scored.groupBy(*keys).agg(*counts)
+        out |= {f"tp{i}": F.count_if(true & said), f"fp{i}": F.count_if(~true & said), f"fn{i}": F.count_if(true & ~said)}
+    return out
+
+
+def per_label(scored: DataFrame, labels: LabelSet, keys: tuple[str, ...] = ()) -> DataFrame:
+    """tp, fp, fn, precision, recall, f1, support and predicted of every label of the set, also of absent ones."""
+    wide = scored.groupBy(*keys).agg(*[c.alias(name) for name, c in _counts(labels).items()])
     rows = F.array(*[F.struct(F.lit(n).alias("label"), F.col(f"tp{i}").alias("tp"), F.col(f"fp{i}").alias("fp"), F.col(f"fn{i}").alias("fn")) for i, n in enumerate(labels.labels)])
     long = wide.select(*keys, F.inline(rows))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
@@ -39,14 +46,18 @@ def per_label(scored: DataFrame, labels: LabelSet, keys: tuple[str, ...] = ()) -
 
 
 def report(scored: DataFrame, labels: LabelSet, keys: tuple[str, ...] = ()) -> DataFrame:
-    """macro_f1, pem (share of groups with all sentences hit), score, sentence_accuracy, num_samples, num_sentences."""
-    macro = per_label(scored, labels, keys).groupBy(*keys).agg(F.avg("f1").alias("macro_f1"))
-    groups = scored.groupBy(*keys, "id").agg(F.every("hit").alias("all"), F.count("*").alias("n"), F.count_if("hit").alias("hits"))
-    rest = groups.groupBy(*keys).agg(
+    """macro_f1, pem (share of groups with all sentences hit), score, sentence_accuracy, num_samples, num_sentences.
+
+    Groups are counted first, then added up, so scored is read once; if it lies by id already, only sums are shuffled.
+    """
+    counts = _counts(labels)
+    groups = scored.groupBy(*keys, "id").agg(F.every("hit").alias("all"), F.count("*").alias("n"), F.count_if("hit").alias("hits"), *[c.alias(name) for name, c in counts.items()])
+    wide = groups.groupBy(*keys).agg(
         F.avg(F.col("all").cast("double")).alias("pem"), (F.sum("hits") / F.sum("n")).alias("sentence_accuracy"),
-        F.count("*").alias("num_samples"), F.sum("n").alias("num_sentences"),
+        F.count("*").alias("num_samples"), F.sum("n").alias("num_sentences"), *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in counts],
     )
-    out = macro.join(rest, list(keys)) if keys else macro.crossJoin(rest)
+    f1 = [_ratio(2 * F.col(f"tp{i}"), 2 * F.col(f"tp{i}") + F.col(f"fp{i}") + F.col(f"fn{i}")) for i in range(len(labels.labels))]
+    out = wide.withColumn("macro_f1", reduce(Column.__add__, f1) / len(f1))
     return out.select(*keys, ((F.col("macro_f1") + F.col("pem")) / 2).alias("score"), "macro_f1", "pem", "sentence_accuracy", "num_samples", "num_sentences")
 
 

@@ -687,3 +687,31 @@ def streamed_mix(spark, d):
     run = lambda: rolling_mix(stream(), kinds).writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out")
     late = sum(map(late_rows, _parts(e, part, f"{path}/in", run)))
     return spark.read.parquet(f"{path}/out").select(F.unix_timestamp("start").alias("start"), "member", "n", "minority", F.lit(late > 0).alias("late"))
+
+
+@query("session_functions", _PRED + """, f AS (SELECT types[1] AS label, count(*) AS n FROM sent GROUP BY ALL),
+t AS (SELECT id, sent_index, arg_min(t, coalesce(n, 0) * 100 + i) AS target FROM (SELECT id, sent_index, unnest(types) AS t, unnest(range(len(types))) AS i FROM sent) LEFT JOIN f ON f.label = t GROUP BY ALL),
+r AS (SELECT member, id, conf, CASE WHEN id % 7 IN (4, 5) THEN 'Supported' ELSE label END AS said, id % 7 NOT IN (4, 5) AS ok, target FROM pred JOIN t USING (id, sent_index)),
+m AS (SELECT member, id, max(-conf) AS m FROM r GROUP BY ALL)
+SELECT member, id, round(any_value(m) + ln(avg(exp(5 * (-conf - m)))) / 5, 6) AS s, count(*) FILTER (WHERE ok) AS parsed, count(*) FILTER (WHERE said = target) AS hits, count(*) FILTER (WHERE said <> 'Supported') AS minority
+FROM r JOIN m USING (member, id) GROUP BY member, id""")
+def session_functions(spark, d):
+    """A query in SQL with the library's functions: for each member and order the soft bottleneck of its losses, texts that parse, labels that are the rarest gold one."""
+    from loomkit.functions.sql import register
+    from loomkit.operators.conflict import primary_counts
+
+    register(spark, SENTENCES)
+    gold = fx.sentences(spark, d).select(*CELL, "types")
+    conf = fx.predictions(spark, d).select("member", *CELL, "conf")
+    said = fx.raw_outputs(spark, d).select("member", *CELL, "raw").join(conf, ["member", *CELL])
+    return spark.sql(
+        """WITH r AS (
+             SELECT member, id, -conf AS loss, single_label(raw) AS said, rarest_label(types, counts) AS target
+             FROM {said} JOIN {gold} USING (id, sent_index) CROSS JOIN (SELECT map_from_entries(collect_list(struct(label, n))) AS counts FROM {frequency})),
+           g AS (
+             SELECT member, id, collect_list(loss) AS losses, count_if(said.parsed_ok) AS parsed, count_if(said.label = target) AS hits, count_if(is_minority(said.label)) AS minority
+             FROM r GROUP BY member, id),
+           s AS (SELECT member, id, soft_bottleneck(losses, 5) AS s, parsed, hits, minority FROM g)
+           SELECT member, id, round(s, 6) AS s, parsed, hits, minority FROM s""",
+        said=said, gold=gold, frequency=primary_counts(gold),
+    )

@@ -241,3 +241,18 @@ def test_matching_with_repeated_rows_and_hot_nouns(spark):
     assert len(used) == 2 * pairs.count() > 0 and all(fits(p.donor_id, p.anchor_id) for p in pairs.collect())
     assert not [(a, b) for a in info if a % 2 and a not in used for b in info if not b % 2 and b not in used and fits(a, b)]
     assert synthesize.fitting_donors(donor, anchor, pairs, stored).isEmpty()
+
+
+def test_session_functions_agree_with_the_columns(spark):
+    from loomkit.functions.sql import register
+    from loomkit.plans import further
+
+    names = register(spark, SENTENCES)
+    assert names == register(spark, SENTENCES)  # again, over the first
+    texts = ['{"label": "Contradiction"}', "so: {\"label\": \"unsupported  entity\"} ok", 'x "label": "Supported"', "the scope overgeneralization, or Contradiction", "nothing", "", None, '{"label": 3}']
+    df = spark.createDataFrame([(t, [UE, SO], {SO: 3, UE: 3}, [0.2, 1.0, 0.25]) for t in texts], "raw string, types array<string>, counts map<string,bigint>, losses array<double>")
+    both = df.select("raw", F.expr("single_label(raw)").alias("a"), N.single_label(F.col("raw"), SENTENCES).alias("b"), F.expr("rarest_label(types, counts)").alias("r"), F.expr("soft_bottleneck(losses, 5)").alias("s"), F.expr("soft_bottleneck(array(), 5)").alias("none"), F.expr("soft_bottleneck(losses, 0)").alias("mean"))
+    for r in both.collect():
+        assert r.a == r.b and r.r == UE and r.s == pytest.approx(0.788474, abs=1e-6) and r.none is None and r.mean == pytest.approx(1.45 / 3), r
+    plan = further.QUERIES["session_functions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
