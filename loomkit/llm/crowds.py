@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
+#: Sets that ask together, and sets that they are held against together.
+ASK, MET = 64, 2048
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each shingle of each set."""
@@ -21,15 +23,50 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(shingles), *repeated, pa.array(np.full(len(shingles), len(shingles), np.int32))], names=["shingle", "node", "component", "n"])
 
 
-def cross_pairs(sets: DataFrame, per_cent: int) -> DataFrame:
-    """(a, b, shared): the pairs of sets of different components that can be alike enough, and the rare shingles that they share.
+def links_between(node: np.ndarray, component: np.ndarray, sets: list[np.ndarray], asks: np.ndarray, per_cent: int) -> pa.Table:
+    """(a, b): links between components among sets held together.
+
+    Each asking set counts what it has in common with all others at once, by their shingles in one sorted array; a link
+    is given out only if its ends aren't joined yet, so there are fewer than sets.
+    """
+    sizes = np.asarray([len(x) for x in sets], np.int64)
+    _, of = np.unique(component, return_inverse=True)
+    out: list[tuple[int, int]] = []
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    every, holder = every[order], np.repeat(np.arange(len(sets)), sizes)[order]
+    parent = list(range(int(of.max(initial=-1)) + 1))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for i in np.flatnonzero(asks).tolist():
+        low, high = np.searchsorted(every, sets[i], "left"), np.searchsorted(every, sets[i], "right")
+        span = high - low
+        at = np.repeat(low - np.cumsum(span) + span, span) + np.arange(span.sum())
+        common = np.bincount(holder[at], minlength=len(sets))
+        for k in np.flatnonzero(100 * common >= per_cent * (sizes + sizes[i] - common)).tolist():
+            x, y = root(of[i]), root(of[k])
+            if x != y:
+                parent[x] = y
+                out.append((node[i].item(), node[k].item()))
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+
+def cross_links(sets: DataFrame, per_cent: int) -> DataFrame:
+    """(a, b): links of at least `per_cent` between sets of different components; enough of them to join what is linked.
 
     sets: node long, component long, shingles binary. Shingles are ordered by how many of the sets hold them, rarest
     first. Of sets of n <= m shingles that are alike, `overlap` = ceil(p * (n + m) / (100 + p)) are common, so their first
     common shingle is among the smaller's first n - ceil(2 p n / (100 + p)) + 1 and the larger's first m - ceil(p m / 100) + 1.
     A template's shingles are frequent and come last: in a crowd below the threshold they aren't among the smaller's.
-    A shingle that only one component holds joins nothing. Where one component holds most of a shingle, as in a group of
-    copies, only the others' sets are paired with all: members of one component never meet.
+
+    Sets that meet at a shingle are grouped by the component that holds most of it, its top: those of other components
+    ask, ASK together, and are held against the sets they may be like, MET together, by counting. So the members of a
+    group of copies never meet each other, and no pairs are rows. A shingle of one component alone joins nothing.
     """
     both = 100 + per_cent
     rows = sets.mapInArrow(_spread, "shingle long, node long, component long, n int")
@@ -39,26 +76,25 @@ def cross_pairs(sets: DataFrame, per_cent: int) -> DataFrame:
     listed = F.transform("s", lambda x, i: F.struct(x["shingle"].alias("shingle"), x["mixed"].alias("mixed"), (F.col("n") - F.size("s") + i).alias("place")))
     small, large = F.col("n") - F.ceil(F.col("n") * (2 * per_cent) / both), F.col("n") - F.ceil(F.col("n") * per_cent / 100)
     first = F.filter(F.slice(listed, 1, F.greatest(large - F.col("n") + F.size("s") + 1, F.lit(0)).cast("int")), lambda x: x["mixed"])
-    dealt = stored(own.select("node", "component", "n", F.explode(first).alias("x"), small.alias("_small")).select("node", "component", "n", "x.shingle", "x.place", (F.col("x.place") <= F.col("_small")).alias("small")), "crowd")
-    most = dealt.groupBy("shingle", "component").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max_by("component", F.struct("k", "component")).alias("top"), F.count("*").alias("_c")).filter("_c > 1")
-    marked = dealt.join(most.drop("_c"), "shingle").withColumn("few", F.col("component") != F.col("top")).drop("top")
-    side = lambda x, df: df.select("shingle", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "component", "n", "place")])
-    met = side("a", marked.filter("small and few")).join(side("b", marked), "shingle").unionByName(side("a", marked.filter("small and not few")).join(side("b", marked.filter("few")), "shingle"))
-    smaller = F.struct("a_n", "a_node") < F.struct("b_n", "b_node")
-    most_common = F.least("a_place", "b_place") + F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
-    possible = (100 * F.col("a_n") >= per_cent * F.col("b_n")) & (both * most_common >= per_cent * (F.col("a_n") + F.col("b_n")))
-    pairs = met.filter(smaller & possible & (F.col("a_component") != F.col("b_component")))
-    return pairs.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_component", "b_component").agg(F.count("*").alias("shared"))
-
-
-def likeliest(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """(a, b): the pair that shares most for every two components (keys _a, _b), or for every node and other component (node, _other).
-
-    pairs: a, b, their components _a and _b, shared.
-    """
-    if keys == ["_a", "_b"]:
-        sided = pairs.select("a", "b", "shared", F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b"))
-    else:
-        turn = lambda node, other: pairs.select("a", "b", "shared", F.col(node).alias("node"), F.col(other).alias("_other"))
-        sided = turn("a", "_b").unionByName(turn("b", "_a"))
-    return sided.groupBy(*keys).agg(F.max_by(F.struct("a", "b"), F.struct("shared", "a", "b")).alias("p")).select("p.*").distinct()
+    dealt = stored(own.select("node", "component", F.explode(first).alias("x"), small.alias("_small")).select("node", "component", "x.shingle", (F.col("x.place") <= F.col("_small")).alias("small")), "crowd")
+    most = dealt.groupBy("shingle", "component").agg(F.count("*").alias("k"), F.max("small").alias("s")).groupBy("shingle").agg(F.max_by("component", F.struct("k", "component")).alias("top"), F.count("*").alias("_c"), F.max("s").alias("_s")).filter("_c > 1 and _s")
+    marked = dealt.join(most.select("shingle", "top"), "shingle").withColumn("few", F.col("component") != F.col("top"))
+    # of two sets that meet one must hold the shingle as a smaller one: the asking set (kind 1) or the one it asks (kind 2)
+    asking = marked.filter("few").select("top", F.when(F.col("small"), 1).otherwise(2).alias("kind"), "node", "component").distinct()
+    kinds = marked.groupBy("shingle").agg(F.max(F.col("few") & F.col("small")).alias("_1"), F.max(F.col("few") & ~F.col("small")).alias("_2"))
+    kind = F.explode(F.array_compact(F.array(F.when(F.col("_1"), 1), F.when(F.col("_2") & F.col("small"), 2))))
+    asked = marked.join(kinds, "shingle").select("top", kind.alias("kind"), "node", "component").distinct()
+    parts = lambda df, name, size: df.groupBy("top", "kind").agg(F.ceil(F.count("*") / size).alias(name))
+    counts = parts(asking, "asks", ASK).join(parts(asked, "met", MET), ["top", "kind"])
+    hashed, numbers = F.xxhash64("node"), lambda n: F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1)
+    groups = [
+        asking.join(counts, ["top", "kind"]).select("top", "kind", F.pmod(hashed, "asks").alias("ask"), F.explode(numbers("met")).alias("part"), "node", "component", F.lit(True).alias("asking")),
+        asked.join(counts, ["top", "kind"]).select("top", "kind", F.explode(numbers("asks")).alias("ask"), F.pmod(hashed, "met").alias("part"), "node", "component", F.lit(False).alias("asking")),
+    ]
+    met = groups[0].unionByName(groups[1]).join(sets.select("node", "shingles"), "node")
+    return met.groupBy("top", "kind", "ask", "part").applyInArrow(lambda t: _asked(t, per_cent), "a long, b long")
+
+
+def _asked(table: pa.Table, per_cent: int) -> pa.Table:
+    sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+    return links_between(table.column("node").to_numpy(), table.column("component").to_numpy(), sets, table.column("asking").to_numpy(), per_cent)

@@ -242,38 +242,11 @@ def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(table: pa.Table) -> pa.Table:
-    """Links between components, by full sets, of the rows of one group.
-
-    Each row outside the group's largest component counts what it has in common with all others at once, by their
-    shingles in one sorted array; a link is given out only if its ends aren't joined yet, so there are fewer than rows.
-    """
-    node, own = table.column("node").to_numpy(), table.column("component").to_numpy()
+    """Links between components, by full sets, of the rows of one group: all but the largest component's ask."""
+    own = table.column("component").to_numpy()
+    _, of, counts = np.unique(own, return_inverse=True, return_counts=True)
     sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
-    sizes = np.asarray([len(x) for x in sets], np.int64)
-    names, of, counts = np.unique(own, return_inverse=True, return_counts=True)
-    out: list[tuple[int, int]] = []
-    every = np.concatenate(sets)
-    order = np.argsort(every, kind="stable")
-    every, holder = every[order], np.repeat(np.arange(len(sets)), sizes)[order]
-    parent = list(range(len(names)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for i in np.flatnonzero(of != counts.argmax()).tolist():
-        low, high = np.searchsorted(every, sets[i], "left"), np.searchsorted(every, sets[i], "right")
-        span = high - low
-        at = np.repeat(low - np.cumsum(span) + span, span) + np.arange(span.sum())
-        common = np.bincount(holder[at], minlength=len(sets))
-        for k in np.flatnonzero(100 * common >= PER_CENT * (sizes + sizes[i] - common)).tolist():
-            x, y = root(of[i]), root(of[k])
-            if x != y:
-                parent[x] = y
-                out.append((node[i].item(), node[k].item()))
-    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+    return crowds.links_between(table.column("node").to_numpy(), own, sets, of != counts.argmax(), PER_CENT)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,23 +303,15 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _crowds_linked(crowded: DataFrame, sets: DataFrame, links: DataFrame, components: DataFrame) -> tuple[DataFrame, DataFrame]:
     """links and components with those that deepened regions may have torn apart, found by rare shingles.
 
-    crowded: region, node of the regions with a crowd; only those in which components differ are looked at. The likeliest
-    pair of every two components is confirmed first, as parts of a group of copies are joined by that, then of every
-    node and other component, then all pairs whose ends still differ.
+    crowded: region, node of the regions with a crowd; only those in which components differ are looked at.
     """
     of = crowded.join(components.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     torn = of.groupBy("region").agg((F.min("component") != F.max("component")).alias("torn")).filter("torn").select("region")
     inside = stored(of.join(torn.hint("merge"), "region", "left_semi").select("node", "component").distinct(), "torn")
     if not inside.isEmpty():
-        pairs = stored(crowds.cross_pairs(sets.join(inside.hint("merge"), "node"), PER_CENT).select("a", "b", "shared"), "pairs")
-        for keys in (["_a", "_b"], ["node", "_other"], None):
-            ends = [components.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")).hint("merge") for end in ("a", "b")]
-            apart = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").withColumns({"_a": F.coalesce("_a", "a"), "_b": F.coalesce("_b", "b")}).filter("_a <> _b")
-            asked = apart if keys is None else crowds.likeliest(apart, keys)
-            more = stored(links.unionByName(_linked(asked.select("a", "b"), sets)), "links")
-            forget(links, components)
-            links, components = more, connected_components(more)
-        forget(pairs)
+        more = stored(links.unionByName(crowds.cross_links(sets.join(inside.hint("merge"), "node"), PER_CENT)), "links")
+        forget(links, components)
+        links, components = more, connected_components(more)
     forget(inside)
     return links, components
 
@@ -369,7 +334,7 @@ def near_duplicates(docs: DataFrame, with_own: bool = False) -> DataFrame:
        their signatures, and each has its best candidate confirmed on full sets.
     2. Rows of the other regions with a candidate in another component meet there again, now all by their full sets.
     3. A pair can be torn apart in all orders of a crowd that is nearly as alike as the pair. So the rows of crowds whose
-       components differ are joined on the shingles that are rarest among them (crowds.cross_pairs), which misses no link.
+       components differ are held against each other where they share a shingle that is rare among them (crowds.cross_links), which misses no link.
 
     Two documents at exactly 0.75 miss each other in all trees with a chance of 2e-5.
 
