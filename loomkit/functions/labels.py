@@ -78,6 +78,15 @@ def captions(item: Column, *fields: str) -> Column:
     return F.coalesce(*[parsed(f) for f in fields], F.lit(""))
 
 
+def variant_caption(item: Column, *fields: str) -> Column:
+    """The first caption field of a variant that isn't empty, as one string: a list's parts joined, anything else as text; "" without one."""
+    def read(name: str) -> Column:
+        parts = F.try_variant_get(item, f"$.{name}", "array<string>")
+        return F.nullif(F.trim(F.coalesce(F.array_join(parts, " "), F.try_variant_get(item, f"$.{name}", "string"))), F.lit(""))
+
+    return F.coalesce(*[read(f) for f in fields], F.lit(""))
+
+
 def length_range(n: Column, bins) -> Column:
     """The name of the bin (low, high) that holds n; null outside all of them."""
     out = F.lit(None).cast("string")

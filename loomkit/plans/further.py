@@ -715,3 +715,33 @@ def session_functions(spark, d):
            SELECT member, id, round(s, 6) AS s, parsed, hits, minority FROM s""",
         said=said, gold=gold, frequency=primary_counts(gold),
     )
+
+
+def _captioned(spark, d) -> DataFrame:
+    """Evidence items of records whose captions are lists, texts, numbers, null or missing, written as JSON lines and read as variants."""
+    path = _folder(spark, "records")
+    docs = fx.read(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang")
+    own = F.concat_ws(" ", "lang", "id")
+    shapes = [
+        ('"image_caption": ["', own, '", "two"]'), ('"image_caption": "', own, ' \\"plain\\""'), ('"image_caption": [], "table_caption": ["', own, '"]'), ('"image_caption": null, "caption": "', own, '"'),
+        ('"note": "', own, '"'), ('"image_caption": ', F.col("id").cast("string"), ', "table_caption": "no"'), ('"image_caption": ["  ', own, ' ", null, 7], "caption": "no"'),
+    ]
+    body = F.element_at(F.array(*[F.concat(F.lit(a), b, F.lit(c)) for a, b, c in shapes]), (F.col("id") % len(shapes) + 1).cast("int"))
+    line = F.concat(F.lit('{"id": "'), F.col("id").cast("string"), F.lit('", "evidence_bundle": [{"type": "image", '), body, F.lit("}, {}]}"))
+    docs.select(line.alias("value")).write.text(path)
+    return records.evidence_items(records.scan(spark, path, records.VARIANT_RECORD), "id")
+
+
+@query("variant_captions", """o AS (SELECT CAST(doc_id AS varchar) AS id, doc_id, lang || ' ' || doc_id AS own FROM documents)
+SELECT id, 0 AS place, CASE doc_id % 7 WHEN 0 THEN own || ' two' WHEN 1 THEN own || ' "plain"' WHEN 2 THEN own WHEN 3 THEN own WHEN 4 THEN '' WHEN 5 THEN id ELSE own || '  7' END AS caption FROM o
+UNION ALL SELECT id, 1, '' FROM o""")
+def variant_captions(spark, d):
+    """Captions of any shape as one text, the first field that holds one."""
+    return _captioned(spark, d).select("id", "place", L.variant_caption(F.col("item"), "image_caption", "table_caption", "caption").alias("caption"))
+
+
+@query("caption_shapes", """o AS (SELECT unnest([CASE doc_id % 7 WHEN 0 THEN 'ARRAY<STRING>' WHEN 1 THEN 'STRING' WHEN 2 THEN 'ARRAY<VOID>' WHEN 3 THEN 'VOID' WHEN 4 THEN NULL WHEN 5 THEN 'BIGINT' ELSE 'ARRAY<VARIANT>' END, NULL]) AS shape FROM documents)
+SELECT shape, count(*) AS n FROM o GROUP BY shape""")
+def caption_shapes(spark, d):
+    """What kinds of image captions the records hold."""
+    return records.caption_shapes(_captioned(spark, d), "image_caption")

@@ -13,6 +13,8 @@ RECORD = (
     "id string, claim_text string, evidence_bundle array<struct<type:string,img_path:string,image_caption:string,table_caption:string,caption:string>>, "
     "sentence_label array<struct<sentence:string,types:array<string>>>"
 )
+#: The same with evidence as it stands, whatever its captions are: read them with variant_caption().
+VARIANT_RECORD = "id string, claim_text string, evidence_bundle variant, sentence_label array<struct<sentence:string,types:array<string>>>"
 PREDICTION = "id string, sent_index int, label string, raw string, logprob double, min_logprob double, sum_logprob double, n_tokens int, parsed_ok boolean"
 SUBMISSION = "id string, labels array<string>"
 ATTEMPT = "record_id string, sent_idx int, k int, try int, attempt int, status string, raw string, ts double, dur_s double"
@@ -23,6 +25,16 @@ def scan(spark: SparkSession, path: str, schema: str, mode: str = "FAILFAST") ->
     return spark.read.schema(schema).option("mode", mode).json(path)
 
 
+def evidence_items(records: DataFrame, *keep: str) -> DataFrame:
+    """(keep, place, item): every evidence item of VARIANT_RECORD rows as a variant; rows without a list of evidence give none."""
+    return records.select(*keep, F.posexplode(F.try_variant_get("evidence_bundle", "$", "array<variant>")).alias("place", "item"))
+
+
+def caption_shapes(items: DataFrame, field: str) -> DataFrame:
+    """(shape, n): what kinds of value the items hold in a caption field, null for none, and how many do."""
+    return items.groupBy(F.schema_of_variant(F.try_variant_get("item", f"$.{field}", "variant")).alias("shape")).agg(F.count("*").alias("n"))
+
+
 def scan_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A log that may have broken lines or not exist yet."""
     jvm = spark._jvm

@@ -25,7 +25,7 @@ def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["member_scores", "pooled_union", "confident_union", "leak_safe_split", "oversampled", "submission_problems", "top_cases", "density_reshaped", "injected_groups", "cleaned_rationales", "judged_entries", "consistent_units", "corrector_corpus", "strict_lines", "last_submissions", "guaranteed_sample", "streamed_outputs", "streamed_by_time", "streamed_mix", "swapped_table", "session_functions", "one_to_one_matches"])
+@pytest.mark.parametrize("name", ["member_scores", "pooled_union", "confident_union", "leak_safe_split", "oversampled", "submission_problems", "top_cases", "density_reshaped", "injected_groups", "cleaned_rationales", "judged_entries", "consistent_units", "corrector_corpus", "strict_lines", "last_submissions", "guaranteed_sample", "streamed_outputs", "streamed_by_time", "streamed_mix", "swapped_table", "session_functions", "one_to_one_matches", "variant_captions", "caption_shapes"])
 def test_queries_against_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
