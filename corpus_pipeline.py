@@ -13,7 +13,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that every quality rule passes."""
+    """Documents that every quality rule passes; null and empty texts fail, rows that repeat each have their own verdict, columns beyond the documents' go."""
     return quality.passing(docs.select(*COLUMNS))
 
 
@@ -24,13 +24,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the strings of 100 bytes that start earlier; characters cut in two go whole."""
+    """Documents without the strings of 100 bytes that start earlier; characters cut in two go whole, and documents of which nothing is left, or that had no text. Of rows repeated whole the first keeps its text; rows without doc_id come first."""
     out = repeats.remove_repeats(docs.select(*COLUMNS), with_text=True)
     return out.filter(F.length("text") > 0).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 1024 ids, with their ids."""
+    """The pieces of all documents in sequences of 1024 ids, with their ids; a null or empty text is its end id alone, rows that repeat are packed each."""
     return packing.pack(docs, public_path("byte_bpe_50k.json"), with_ids=True)
 
 
