@@ -163,9 +163,11 @@ def plain_tail(t):
                 t = head[: -len(arrow)].rstrip(";,. ")
             elif head.endswith("(") and re.fullmatch(r" *\)[ .\"']*", rest):
                 t = head[:-1].rstrip(";,. ")
-        said = re.search(r"[;,. ]*\bverdict *: *[A-Za-z ]{0,35}$", t, re.IGNORECASE)
-        if said:
-            t = t[: said.start()]
+        head, colon, said = t.rpartition(":")
+        head, said = head.rstrip(" "), said.lstrip(" ")
+        spoken = colon and len(said) <= 35 and said.isascii() and (said.replace(" ", "") or "x").isalpha()
+        if spoken and head.lower().endswith("verdict") and not re.search(r"\w$", head[:-7]):
+            t = head[:-7].rstrip(";,. ")
         t = t.strip()
         arrow = next((a for a in ("->", "→", "=>") if t.endswith(a)), None)
         t = (t[: -len(arrow)] if arrow else t).rstrip("([ ")
