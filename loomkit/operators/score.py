@@ -17,7 +17,10 @@ def credited(gold: DataFrame, preds: DataFrame, labels: LabelSet, missing: bool
 
     An unknown label counts as the default; cells without a prediction are left out, or default if `missing` is set.
     """
-    joined = gold.join(preds, CELL, "left" if missing else "inner")
+    return _with_hits(gold.join(preds, CELL, "left" if missing else "inner"), labels)
+
+
+def _with_hits(joined: DataFrame, labels: LabelSet) -> DataFrame:
     label = F.when(F.col("label").isin(*labels.labels), F.col("label")).otherwise(labels.default)
     out = joined.withColumn("label", label).withColumn("hit", F.array_contains("types", F.col("label")))
     return out.withColumn("y_true", F.when(F.col("hit"), F.col("label")).otherwise(F.get("types", F.lit(0))))
@@ -63,7 +66,7 @@ def report(scored: DataFrame, labels: LabelSet, keys: tuple[str, ...] = ()) -> D
 
 def constant(gold: DataFrame, labels: LabelSet) -> DataFrame:
     """gold scored as if every label were the default."""
-    return credited(gold, gold.select(*CELL, F.lit(labels.default).alias("label")), labels)
+    return _with_hits(gold.withColumn("label", F.lit(labels.default)), labels)
 
 
 def confusion(scored: DataFrame, labels: LabelSet, primary: Column) -> DataFrame:

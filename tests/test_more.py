@@ -275,3 +275,11 @@ def test_numbered_lines_hold_no_arrays_of_steps(spark):
     rows = curate.numbered_lines(spark.createDataFrame([(1, text), (2, "1) a\nFINAL: x"), (3, "1) a"), (4, "1) a\n3) b\nFINAL: x|||y")], "id int, text string"), "id", "text")
     assert sorted(map(tuple, rows.collect())) == [(1, 1, " a\t", "x"), (1, 2, "b more", "y")]
     assert "lambda" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_constant_is_scored_without_a_join(spark):
+    from loomkit.operators import score
+
+    got = score.constant(spark.createDataFrame([(1, 0, [SUP]), (1, 1, [UE, SO])], "id long, sent_index int, types array<string>"), SENTENCES)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.label, r.hit, r.y_true) for r in got.orderBy("sent_index").collect()] == [(SUP, True, SUP), (SUP, False, UE)]
