@@ -54,12 +54,12 @@ def dirty_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         row(0, i, k, F.when(_remainder(i, 107) == 0, "unknown").otherwise(F.col("label"))), F.when(_remainder(i + k, 89) == 0, row(1, i, k, F.lit(_CON))),
         F.when(_remainder(i, 101) == 0, row(2, i, k + 1000, F.col("label"))), F.when(_remainder(i, 103) == 0, row(3, -i, k, F.col("label"))),
     )
-    made = predictions(spark, sf_dir).select("member", "conf", F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r"))
+    made = predictions(spark, sf_dir).select("member", "conf", F.explode(rows).alias("r")).filter("r is not null")
     return made.select("member", "r.id", "r.sent_index", "r.label", "conf", "r.seq")
 
 
 def raw_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(member, id, sent_index, raw, label): labels wrapped in seven shapes of model output."""
+    """(member, id, sent_index, raw, label, conf): labels wrapped in seven shapes of model output."""
     p = predictions(spark, sf_dir)
     json = F.concat(F.lit('{"label": "'), F.col("label"), F.lit('"}'))
     shape = _remainder(F.col("id"), 7)
@@ -68,7 +68,7 @@ def raw_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(shape == 3, F.concat(F.lit("the answer is "), F.col("label"))).when(shape == 4, F.lit('{"label": "nonsense"}')).when(shape == 5, F.lit(""))
         .otherwise(F.concat(F.lit("<analysis>w w w</analysis>\n"), json))
     )
-    return p.select("member", "id", "sent_index", raw.alias("raw"), "label")
+    return p.select("member", "id", "sent_index", raw.alias("raw"), "label", "conf")
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,11 +79,18 @@ def last_of(df: DataFrame, keys: list[str], order: str = "line") -> DataFrame:
     return keep_one(df, keys, [order], last=True)
 
 
-def members(spark: SparkSession, glob: str, schema: str, names: dict[str, str] | None = None) -> DataFrame:
-    """Files of many members with the column member, the file's stem or the name that `names` gives it."""
-    stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^./]*)?$", 1)
-    named: Column = F.coalesce(*[F.when(stem == k, F.lit(v)) for k, v in (names or {}).items()], stem)
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(glob).select(named.alias("member"), "*")
+def renamed(member: Column, names: dict[str, str]) -> Column:
+    """Members by the names that `names` gives them, others by their own."""
+    return F.coalesce(*[F.when(member == k, F.lit(v)) for k, v in names.items()], member)
+
+
+def members(spark: SparkSession, glob: str, schema: str, names: dict[str, str] | None = None, stem: str = r"([^/]+?)(\.[^./]*)?$") -> DataFrame:
+    """Files of many members with the column member, the file's stem or the name that `names` gives it.
+
+    stem: a pattern of paths whose first group is the member; with another one a member may have many files.
+    """
+    member = F.regexp_extract(F.col("_metadata.file_path"), stem, 1)
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(glob).select(renamed(member, names or {}).alias("member"), "*")
 
 
 def first_n(df: DataFrame, order: str, n: int) -> DataFrame:

@@ -283,3 +283,19 @@ def test_a_constant_is_scored_without_a_join(spark):
     got = score.constant(spark.createDataFrame([(1, 0, [SUP]), (1, 1, [UE, SO])], "id long, sent_index int, types array<string>"), SENTENCES)
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert [(r.label, r.hit, r.y_true) for r in got.orderBy("sent_index").collect()] == [(SUP, True, SUP), (SUP, False, UE)]
+
+
+def test_a_member_of_many_files(spark, tmp_path):
+    from loomkit.sources import records
+
+    path = str(tmp_path / "raw")
+    sinks.write_jsonl(spark.range(40).selectExpr("cast(id as string) AS id", "0 AS sent_index", "'Supported' AS label", "0.5D AS min_logprob").repartition(4), path)
+    got = records.members(spark, path, records.PREDICTION, stem=r"/part-\d+-([^/]+?)-c\d+(?:\.[^./]*)?$")
+    assert got.count() == 40 and got.select("member").distinct().count() == 1
+
+
+def test_session_functions_read_outputs_once(spark):
+    from loomkit.plans import further
+
+    plan = further.QUERIES["session_functions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 3  # outputs, gold, the labels' counts
