@@ -13,6 +13,10 @@ from loomkit.operators.densify import keep_one
 CELL = ["member", "id", "sent_index"]
 #: Parts of the table, by a hash of the cell.
 BUCKETS = 64
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def normalized(raw: DataFrame, labels: LabelSet) -> DataFrame:
@@ -25,24 +29,25 @@ def ingest(raw: DataFrame, labels: LabelSet, path: str, checkpoint: str, availab
 
     Rows may come in any order and repeat: a batch adds a row if its cell isn't in the table or is there with a larger
     seq, so a later row of smaller seq wins. Each batch writes under a directory of its number, so a repeated batch
-    writes the same rows to the same place. Cells lie in BUCKETS by their hash, and a batch reads those that it meets.
+    writes the same rows to the same place. Cells lie in BUCKETS by their hash, and a batch reads those that it meets; its rows are dealt by bucket once.
 
     With a time column `ts` no batch reads the table: the stream's state keeps the least seq of each cell within each
     `late` of time, gives a cell out again whenever that changes, and forgets it when the watermark has passed. Rows later
-    than the watermark are dropped, and late_rows() counts them.
+    than the watermark are dropped, and late_rows() counts them. That state lies in RocksDB, on the executors' disks.
     """
     bucket = F.pmod(F.xxhash64(*CELL), F.lit(BUCKETS)).cast("int")
     rows = normalized(raw, labels)
 
     def upsert(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = keep_one(batch, CELL, ["seq"]).withColumn("bucket", bucket)
+        dealt = batch.withColumn("bucket", bucket)
+        new = keep_one(dealt.repartition("bucket"), ["bucket", *CELL], ["seq"])
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
         if ts is None and fs.exists(where):
-            met = [r.bucket for r in new.select("bucket").distinct().collect()]  # BUCKETS numbers at most
+            met = [r.bucket for r in dealt.select("bucket").distinct().collect()]  # BUCKETS numbers at most
             old = spark.read.parquet(path).filter((F.col("batch") != number) & F.col("bucket").isin(met))
-            old = old.groupBy("bucket", *CELL).agg(F.min("seq").alias("_seen"))
+            old = old.repartition("bucket").groupBy("bucket", *CELL).agg(F.min("seq").alias("_seen"))
             new = new.join(old, ["bucket", *CELL], "left").filter(F.col("_seen").isNull() | (F.col("seq") < F.col("_seen"))).drop("_seen")
         new.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={number}")
 
@@ -51,7 +56,15 @@ def ingest(raw: DataFrame, labels: LabelSet, path: str, checkpoint: str, availab
         timed = rows.withColumn("_ts", F.col(ts)).withWatermark("_ts", late).groupBy(F.window("_ts", late), *CELL)
         rows = timed.agg(F.min_by(F.struct(*others), F.struct("seq", *[c for c in others if c != "seq"])).alias("_r")).select(*CELL, "_r.*")
     writer = rows.writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    conf = raw.sparkSession.conf
+    before = {k: conf.get(k, None) for k in _STATE}
+    try:  # a query keeps the settings that it starts with
+        for k, v in _STATE.items():
+            conf.set(k, v)
+        return (writer.trigger(availableNow=True) if available_now else writer).start()
+    finally:
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
 
 
 def outputs(spark: SparkSession, path: str) -> DataFrame:

@@ -54,3 +54,19 @@ def test_the_least_seq_wins_though_it_comes_later(spark, tmp_path):
             assert got == {0: (0, names[4]), 1: (1, names[1]), 2: (5, names[0]), 7: (0, names[4]), 8: (0, names[1])} and late == 0
         else:  # what comes after the watermark of day 19 is dropped and counted
             assert got == {0: (3, names[0]), 1: (1, names[1]), 2: (5, names[0]), 7: (0, names[4])} and late == 2
+
+
+def test_state_lies_on_disk_and_settings_come_back(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from loomkit.config import SENTENCES
+    from loomkit.streaming.attempts import ingest
+
+    rows = spark.range(9).select(F.lit(1).alias("member"), "id", F.lit(0).alias("sent_index"), F.lit(0).alias("seq"), F.lit("Supported").alias("raw"), F.lit("2024-01-01 12:00:00").cast("timestamp").alias("ts"))
+    rows.write.parquet(str(tmp_path / "in"))
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    query = ingest(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), SENTENCES, str(tmp_path / "out"), str(tmp_path / "state"), ts="ts")
+    query.awaitTermination()
+    assert any("rocksdb" in k for p in query.recentProgress for s in p["stateOperators"] for k in s["customMetrics"])
+    assert spark.conf.get(key) == before
