@@ -34,8 +34,10 @@ def gate(correlations: DataFrame) -> DataFrame:
 def anchored(metrics: DataFrame, anchors: DataFrame, least: int = 3) -> DataFrame:
     """Members with a known external score joined to their own metrics; fails with fewer than `least`."""
     joined = metrics.join(anchors.filter("external is not null"), "member")
-    enough = joined.agg(F.count("*").alias("_n")).select(F.when(F.col("_n") < least, F.raise_error(F.lit(f"fewer than {least} anchors"))).otherwise(F.col("_n")).alias("anchors"))
-    return joined.crossJoin(F.broadcast(enough))
+    # members are few: one row holds them while they are counted, so metrics are worked out once
+    whole = joined.agg(F.count("*").alias("anchors"), F.collect_list(F.struct(*joined.columns)).alias("_all"))
+    enough = F.when(F.col("anchors") < least, F.raise_error(F.lit(f"fewer than {least} anchors")).cast("boolean")).otherwise(True)
+    return whole.filter(enough).select("anchors", F.inline("_all")).select(*joined.columns, "anchors")
 
 
 def ordered(configs: DataFrame, score: str = "score", tie: str = "member") -> DataFrame:

@@ -6,8 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomkit.config import LabelSet
+from loomkit.operators.densify import place, spread
 
 CELL = ["id", "sent_index"]
 
@@ -26,14 +28,38 @@ def _with_hits(joined: DataFrame, labels: LabelSet) -> DataFrame:
     return out.withColumn("y_true", F.when(F.col("hit"), F.col("label")).otherwise(F.get("types", F.lit(0))))
 
 
+#: The bit of a gold mask that says that the list of labels, or one in it, is null.
+UNKNOWN = 62
+
+
+def masked(gold: DataFrame, labels: LabelSet) -> DataFrame:
+    """(id, sent_index, mask, lead): gold's labels as bits by their place in the set, and the first one's place (-1: none of the set)."""
+    holds = sum((F.when(F.array_contains("types", name), F.lit(1 << i)).otherwise(0) for i, name in enumerate(labels.labels)), F.lit(0)).cast("long")
+    mask = F.when(F.col("types").isNull() | F.exists("types", lambda t: t.isNull()), holds.bitwiseOR(F.lit(1 << UNKNOWN))).otherwise(holds)
+    head = F.get("types", F.lit(0))
+    return gold.select(*CELL, mask.alias("mask"), F.when(head.isNotNull(), place(head, labels)).alias("lead"))
+
+
+def credited_members(gold: DataFrame, raw: DataFrame, labels: LabelSet, members: list, order: str = "seq") -> DataFrame:
+    """(member, id, sent_index, label, hit, y_true): gold credited with each member's assembled labels, which are places in the set.
+
+    The same as credited() after assemble(), with one shuffle of raw; report() and per_label() take either.
+    """
+    rows = spread(raw, masked(gold, labels), labels, members, order, ("mask", "lead"))
+    rows = rows.withColumn("label", F.when(F.col("place") >= 0, F.col("place")).otherwise(labels.labels.index(labels.default)))
+    found, unknown = F.getbit("mask", "label") == 1, F.getbit("mask", F.lit(UNKNOWN)) == 1
+    rows = rows.withColumn("hit", F.when(found, True).when(unknown, None).otherwise(False))
+    return rows.select("member", *CELL, "label", "hit", F.when(F.col("hit"), F.col("label")).otherwise(F.col("lead")).alias("y_true"))
+
+
 def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0).cast("double"))
 
 
-def _counts(labels: LabelSet) -> dict[str, Column]:
+def _counts(labels: LabelSet, scored: DataFrame) -> dict[str, Column]:
     """tp, fp and fn of each label, by its place in the set."""
-    out = {}
-    for i, name in enumerate(labels.labels):
+    out, places = {}, isinstance(scored.schema["label"].dataType, T.IntegerType)
+    for i, name in enumerate(range(len(labels.labels)) if places else labels.labels):
         true, said = F.col("y_true") == name, F.col("label") == name
         out |= {f"tp{i}": F.count_if(true & said), f"fp{i}": F.count_if(~true & said), f"fn{i}": F.count_if(true & ~said)}
     return out
@@ -41,19 +67,24 @@ def _counts(labels: LabelSet) -> dict[str, Column]:
 
 def per_label(scored: DataFrame, labels: LabelSet, keys: tuple[str, ...] = ()) -> DataFrame:
     """tp, fp, fn, precision, recall, f1, support and predicted of every label of the set, also of absent ones."""
-    wide = scored.groupBy(*keys).agg(*[c.alias(name) for name, c in _counts(labels).items()])
+    wide = scored.groupBy(*keys).agg(*[c.alias(name) for name, c in _counts(labels, scored).items()])
     rows = F.array(*[F.struct(F.lit(n).alias("label"), F.col(f"tp{i}").alias("tp"), F.col(f"fp{i}").alias("fp"), F.col(f"fn{i}").alias("fn")) for i, n in enumerate(labels.labels)])
     long = wide.select(*keys, F.inline(rows))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return long.withColumns({"precision": _ratio(tp, tp + fp), "recall": _ratio(tp, tp + fn), "f1": _ratio(2 * tp, 2 * tp + fp + fn), "support": tp + fn, "predicted": tp + fp})
 
 
+def macro_f1(scored: DataFrame, labels: LabelSet, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys and macro_f1 alone, without the groups' counts that report() needs."""
+    return per_label(scored, labels, keys).groupBy(*keys).agg(F.avg("f1").alias("macro_f1"))
+
+
 def report(scored: DataFrame, labels: LabelSet, keys: tuple[str, ...] = ()) -> DataFrame:
     """macro_f1, pem (share of groups with all sentences hit), score, sentence_accuracy, num_samples, num_sentences.
 
     Groups are counted first, then added up, so scored is read once; if it lies by id already, only sums are shuffled.
     """
-    counts = _counts(labels)
+    counts = _counts(labels, scored)
     groups = scored.groupBy(*keys, "id").agg(F.every("hit").alias("all"), F.count("*").alias("n"), F.count_if("hit").alias("hits"), *[c.alias(name) for name, c in counts.items()])
     wide = groups.groupBy(*keys).agg(
         F.avg(F.col("all").cast("double")).alias("pem"), (F.sum("hits") / F.sum("n")).alias("sentence_accuracy"),

@@ -96,8 +96,11 @@ def _cells(spark, d) -> DataFrame:
 
 
 def _dense(spark, d) -> DataFrame:
-    cells = _cells(spark, d).withColumn("member", F.explode(F.sequence(F.lit(1), F.lit(MEMBERS))))
-    return densify.assemble(fx.dirty_predictions(spark, d), cells, SENTENCES, keys=("member",))
+    return densify.named(densify.spread(fx.dirty_predictions(spark, d), _cells(spark, d), SENTENCES, list(range(1, MEMBERS + 1))), SENTENCES)
+
+
+def _dense_scored(spark, d, members: int = MEMBERS) -> DataFrame:
+    return score.credited_members(fx.sentences(spark, d), fx.dirty_predictions(spark, d), SENTENCES, list(range(1, members + 1)))
 
 
 def _scored(spark, d) -> DataFrame:
@@ -122,14 +125,14 @@ gr AS (SELECT member, id, bool_and(hit) AS whole, count(*) AS n, count(*) FILTER
 b AS (SELECT member, avg(CAST(whole AS int)) AS pem, sum(hits) / CAST(sum(n) AS double) AS acc, count(*) AS num_samples, CAST(sum(n) AS bigint) AS num_sentences FROM gr GROUP BY member)
 SELECT member, round((macro_f1 + pem) / 2, 6) AS score, round(macro_f1, 6) AS macro_f1, round(pem, 6) AS pem, round(acc, 6) AS sentence_accuracy, num_samples, num_sentences FROM a JOIN b USING (member)""")
 def member_scores(spark, d):
-    scored = score.credited(fx.sentences(spark, d), _dense(spark, d).select("member", *CELL, "label"), SENTENCES)
+    scored = _dense_scored(spark, d)
     out = score.report(scored, SENTENCES, ("member",))
     return out.select("member", *[_round(c) for c in ("score", "macro_f1", "pem", "sentence_accuracy")], "num_samples", "num_sentences")
 
 
 @query("label_scores", _DENSE_SCORED + " SELECT member, label, tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM f")
 def label_scores(spark, d):
-    scored = score.credited(fx.sentences(spark, d), _dense(spark, d).select("member", *CELL, "label"), SENTENCES)
+    scored = _dense_scored(spark, d)
     return score.per_label(scored, SENTENCES, ("member",)).select("member", "label", "tp", "fp", "fn", _round("precision"), _round("recall"), _round("f1"))
 
 
@@ -148,7 +151,7 @@ def placement_rejects(spark, d):
 @query("uncertainty_bias", _DIRTY + """
 SELECT member, CASE WHEN label <> 'Supported' AND (conf IS NULL OR -conf > 0.5) THEN 'Supported' ELSE label END AS label, count(*) AS n FROM dense GROUP BY ALL""")
 def uncertainty_bias(spark, d):
-    return densify.suppress_uncertain(_dense(spark, d), SENTENCES, 0.5).groupBy("member", "label").agg(F.count("*").alias("n"))
+    return densify.certain_counts(_dense(spark, d), SENTENCES, 0.5, ("member",))
 
 
 def _pooled_sql(k: int, where: str = "") -> str:
@@ -425,8 +428,8 @@ def rank_correlation(spark, d):
 
 @query("member_ranking", _DENSE_SCORED + ", a AS (SELECT member, avg(f1) AS m FROM f GROUP BY member) SELECT member, round(m, 6) AS macro_f1, CAST(row_number() OVER (ORDER BY m DESC, member) AS int) AS place FROM a")
 def member_ranking(spark, d):
-    scored = score.credited(fx.sentences(spark, d), _dense(spark, d).select("member", *CELL, "label"), SENTENCES)
-    return rank.ordered(score.report(scored, SENTENCES, ("member",)), "macro_f1").select("member", _round("macro_f1"), "place")
+    scored = _dense_scored(spark, d)
+    return rank.ordered(score.macro_f1(scored, SENTENCES, ("member",)), "macro_f1").select("member", _round("macro_f1"), "place")
 
 
 @query("soft_bottleneck", _PRED + ", p AS (SELECT id, -conf AS l FROM pred WHERE member = 1 AND conf IS NOT NULL), m AS (SELECT id, max(l) AS m FROM p GROUP BY id) SELECT id, round(any_value(m) + ln(avg(exp(5 * (l - m)))) / 5, 6) AS s FROM p JOIN m USING (id) GROUP BY id")
