@@ -12,14 +12,17 @@ from loomkit.sources.store import stored
 def spearman(df: DataFrame, x: str, y: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Pearson correlation of average ranks for each key; NaN for fewer than two rows or a constant column.
 
-    Rows where x or y is null are left out. Ranks are those of distinct values, by a distributed running total.
+    Rows where x or y is null are left out. Ranks are those of distinct values, by a distributed running total. df is read
+    once: what follows works on its distinct pairs of values. Deviations are from the mean rank, which is half of n + 1.
     """
-    ranked = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
-    for name, c in (("_rx", x), ("_ry", y)):
-        values = stored(ranked.groupBy(*keys, c).agg(F.count("*").alias("_k")), "values")
-        placed = running_total(values, spread_order(values, c), F.col("_k"), stored, keys, ties=(c,))
-        ranked = ranked.join(placed.select(*keys, c, (F.col("before") + (F.col("_k") + 1) / 2).cast("double").alias(name)), [*keys, c])
-    sums = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.var_pop("_rx").alias("_vx"), F.var_pop("_ry").alias("_vy"), F.covar_pop("_rx", "_ry").alias("_c"))
+    pairs = stored(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, x, y).agg(F.count("*").alias("_k")), "pairs")
+    ranked = pairs
+    for name, c in (("_dx", x), ("_dy", y)):
+        values = stored(pairs.groupBy(*keys, c).agg(F.sum("_k").alias("_n")), "values")
+        placed = running_total(values, spread_order(values, c), F.col("_n"), stored, keys, ties=(c,))
+        ranked = ranked.join(placed.select(*keys, c, (F.col("before") + (F.col("_n") - F.col("total")) / 2).cast("double").alias(name)), [*keys, c])
+    k, dx, dy = F.col("_k"), F.col("_dx"), F.col("_dy")
+    sums = ranked.groupBy(*keys).agg(F.sum(k).alias("n"), F.sum(k * dx * dx).alias("_vx"), F.sum(k * dy * dy).alias("_vy"), F.sum(k * dx * dy).alias("_c"))
     rho = F.when((F.col("n") < 2) | (F.col("_vx") == 0) | (F.col("_vy") == 0), F.lit(float("nan"))).otherwise(F.try_divide(F.col("_c"), F.sqrt("_vx") * F.sqrt("_vy")))
     return sums.select(*keys, "n", F.coalesce(rho, F.lit(float("nan"))).alias("rho"))
 

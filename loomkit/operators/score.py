@@ -40,12 +40,14 @@ def masked(gold: DataFrame, labels: LabelSet) -> DataFrame:
     return gold.select(*CELL, mask.alias("mask"), F.when(head.isNotNull(), place(head, labels)).alias("lead"))
 
 
-def credited_members(gold: DataFrame, raw: DataFrame, labels: LabelSet, members: list, order: str = "seq") -> DataFrame:
+def credited_members(gold: DataFrame, raw: DataFrame, labels: LabelSet, members: list, order: str = "seq", missing: bool = True) -> DataFrame:
     """(member, id, sent_index, label, hit, y_true): gold credited with each member's assembled labels, which are places in the set.
 
-    The same as credited() after assemble(), with one shuffle of raw; report() and per_label() take either.
+    The same as credited() after assemble(), with one shuffle of raw; report() and per_label() take either. Cells without a
+    row count as default, or are left out if `missing` isn't set.
     """
     rows = spread(raw, masked(gold, labels), labels, members, order, ("mask", "lead"))
+    rows = rows if missing else rows.filter(F.col("place").isNotNull())
     rows = rows.withColumn("label", F.when(F.col("place") >= 0, F.col("place")).otherwise(labels.labels.index(labels.default)))
     found, unknown = F.getbit("mask", "label") == 1, F.getbit("mask", F.lit(UNKNOWN)) == 1
     rows = rows.withColumn("hit", F.when(found, True).when(unknown, None).otherwise(False))

@@ -422,7 +422,9 @@ c AS (SELECT member, count(*) AS n, corr(rx, ry) AS rho FROM r GROUP BY member)
 SELECT member, n, round(rho, 6) AS rho, CASE WHEN rho >= 0.8 THEN 'trustworthy' WHEN rho >= 0.6 THEN 'coarse' WHEN rho >= 0.5 THEN 'weak' ELSE 'abandon' END AS decision FROM c""")
 def rank_correlation(spark, d):
     """Whether a group's length ranks as its hits do, for each member."""
-    by = _scored(spark, d).groupBy("member", "id").agg(F.count("*").alias("x"), F.count_if("hit").alias("y"))
+    p = fx.predictions(spark, d).withColumn("seq", F.lit(0))
+    scored = score.credited_members(fx.sentences(spark, d), p, SENTENCES, list(range(1, MEMBERS + 1)), missing=False)
+    by = scored.groupBy("member", "id").agg(F.count("*").alias("x"), F.count_if("hit").alias("y"))
     return rank.gate(rank.spearman(by, "x", "y", ("member",))).select("member", "n", _round("rho"), "decision")
 
 

@@ -62,3 +62,16 @@ def test_anchored_fails_without_any_anchor(spark):
     for anchors in (known.filter("member = 1"), known.limit(0)):
         with pytest.raises(Exception, match="fewer than 2 anchors"):
             rank.anchored(metrics, anchors, 2).collect()
+
+
+def test_rank_correlation_reads_its_input_once(spark):
+    text = plan(entry.queries()["rank_correlation"](spark, DATA))
+    assert "lineitem" not in text and "pairs-" in text
+
+
+def test_members_without_a_row_are_left_out(spark):
+    gold, raw = odd(spark)
+    one = raw.filter("seq is not null and not (member = 1 and id = 1 and seq = 1)")
+    plain = score.credited(gold, one, SENTENCES)
+    coded = score.credited_members(gold, one, SENTENCES, [1, 2], missing=False)
+    assert rows(coded.groupBy("member", "id").agg(F.count("*"), F.count_if("hit"))) == rows(plain.filter("member < 3").groupBy("member", "id").agg(F.count("*"), F.count_if("hit")))
