@@ -81,7 +81,7 @@ def named(spread: DataFrame, labels: LabelSet) -> DataFrame:
 
 def to_submission(dense: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """One row for each id: its labels in sentence order."""
-    ordered = F.array_sort(F.collect_list(F.struct("sent_index", "label")))
+    ordered = F.sort_array(F.collect_list(F.struct("sent_index", "label")))
     return dense.groupBy(*keys, "id").agg(F.transform(ordered, lambda x: x["label"]).alias("labels"))
 
 

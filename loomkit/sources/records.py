@@ -47,20 +47,22 @@ def scan_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, value): every line of text files with its number from 0, in file order.
 
-    Lines are numbered within each part of a file and the parts' offsets added, so no task holds a whole file.
+    A part's lines are read one after the other, so their numbers within it are distances from its first one, and the
+    parts' offsets are added; lines are neither shuffled nor sorted, and no task holds a whole file.
     """
     raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("_m"), "value")
-    place = F.row_number().over(Window.partitionBy("file", "block").orderBy("_m")) - 1
-    counts = raw.groupBy("file", "block").agg(F.count("*").alias("n"))
+    parts = raw.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("_m").alias("_f"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return raw.withColumn("_p", place).join(counts.select("file", "block", before.alias("_b")), ["file", "block"]).select("file", (F.col("_b") + F.col("_p")).alias("line"), "value")
+    offsets = parts.select("file", "block", (before - F.col("_f")).alias("_b"))  # a row for each part, which the scan lists on the driver as well
+    return raw.join(F.broadcast(offsets), ["file", "block"]).select("file", (F.col("_m") + F.col("_b")).alias("line"), "value")
 
 
 def scan_strict(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(rows with file and line, broken lines with file and line) of JSON lines."""
     schema = T.StructType.fromDDL(schema)
     lines = numbered_lines(spark, path).filter(F.trim("value") != "")
-    parsed = lines.withColumn("_r", F.from_json("value", T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    read = F.from_json("value", T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    parsed = lines.select("file", "line", "value", F.explode(F.array(read)).alias("_r"))  # as rows, a line is parsed once, not for each field
     good = parsed.filter(F.col("_r._corrupt").isNull()).select("file", "line", *[F.col(f"_r.{f.name}") for f in schema.fields])
     return good, parsed.filter(F.col("_r._corrupt").isNotNull()).select("file", "line", "value")
 

@@ -75,3 +75,41 @@ def test_members_without_a_row_are_left_out(spark):
     plain = score.credited(gold, one, SENTENCES)
     coded = score.credited_members(gold, one, SENTENCES, [1, 2], missing=False)
     assert rows(coded.groupBy("member", "id").agg(F.count("*"), F.count_if("hit"))) == rows(plain.filter("member < 3").groupBy("member", "id").agg(F.count("*"), F.count_if("hit")))
+
+
+def test_lines_are_numbered_without_a_shuffle(spark, tmp_path):
+    from loomkit.sources import records
+
+    for name, n in (("a", 5000), ("b", 1), ("c", 0), ("d", 3000)):
+        (tmp_path / name).write_text("".join(f"{name}{i}\n" for i in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        lines = records.numbered_lines(spark, str(tmp_path))
+        text = plan(lines)
+        got = {(r.file[-1], r.value): r.line for r in lines.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {(name, f"{name}{i}"): i for name, n in (("a", 5000), ("b", 1), ("d", 3000)) for i in range(n)}
+    assert "SortMergeJoin" not in text and text.count("Window") == text.count("windowspecdefinition(file")
+
+
+def test_strict_lines_are_parsed_once(spark, tmp_path):
+    from loomkit.sources import records
+
+    (tmp_path / "a").write_text('{"id": "x", "labels": ["p"]}\n\n{broken\n[]\n{"id": "y"}\n')
+    good, bad = records.scan_strict(spark, str(tmp_path / "a"), records.SUBMISSION)
+    assert plan(good).count("from_json") == 1
+    assert sorted((r.line, r.value) for r in bad.collect()) == [(2, "{broken"), (3, "[]")]
+    assert [(r.line, r.id, r.labels) for r in good.orderBy("line").collect() if r.id] == [(0, "x", ["p"]), (4, "y", None)]
+
+
+def test_members_files_are_written_by_all_tasks(spark):
+    text = entry.queries()["last_submissions"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    files = [f for f in entry.queries()["last_submissions"](spark, DATA).inputFiles()]
+    assert text.count("from_json") == 1 and len({f.rsplit("/", 2)[1] for f in files}) == 5 and all("/name=m" in f for f in files)
+
+
+def test_cases_without_quota_are_not_ranked(spark):
+    text = plan(entry.queries()["top_cases"](spark, DATA))
+    assert "Filter" in text.split("WindowGroupLimit")[-1].split("Exchange")[0]
