@@ -44,7 +44,8 @@ def top_cases(conflict_cells: DataFrame, labels: LabelSet, quotas=(("SUP_vs_one_
     bucket = F.when(F.col("category") == "SUP_vs_one_minority", F.concat_ws(":", "category", F.array_join(F.array_remove("distinct_labels", labels.default), ","))).otherwise(F.col("category"))
     key = F.when(F.col("category") == "SUP_vs_multi_minority", F.col("disagreement")).when(F.col("category") == "minority_only_disagree", F.lit(0)).otherwise(F.col("n_minority"))
     quota = F.coalesce(*[F.when(F.col("category") == c, F.lit(k)) for c, k in quotas], F.lit(0))
-    ranked = conflict_cells.withColumns({"bucket": bucket, "_k": key}).withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("_k"), *CELL)))
+    # a bucket lies within one category, so what has no quota, as nearly all cells, needn't be ranked
+    ranked = conflict_cells.filter(quota > 0).withColumns({"bucket": bucket, "_k": key}).withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("_k"), *CELL)))
     most = max(k for _, k in quotas)  # a fixed bound lets Spark keep the first rows of each bucket only
     return ranked.filter(F.col("rank") <= most).filter(F.col("rank") <= quota).drop("_k").dropDuplicates(CELL)
 
