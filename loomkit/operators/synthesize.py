@@ -308,13 +308,14 @@ def _agreed(packs: DataFrame, salt: int) -> DataFrame:
     return kept.join(whole.select("synthetic"), "synthetic", "left_semi").select("synthetic", "position", "id")
 
 
-def fitting_groups(groups: DataFrame, packed: DataFrame, most: int = 16, figures: int = 4) -> DataFrame:
+def fitting_groups(groups: DataFrame, packed: DataFrame, most: int = 16, figures: int = 4, store=None) -> DataFrame:
     """(key, c, n): shapes of groups in no pack that still fit another such group, by the stems they share; empty after pack_all().
 
     Counted from shapes: of two different ones that fit each is named, of one that fits itself only if two groups have it.
+    With `store` what is in no pack is found once, not for each number of shared stems.
     """
-    left = groups.join(packed, "id", "left_anti").filter((F.col("minority") > 0) & (F.col("n") <= most) & (F.size("stems") <= figures))
-    out = []
+    left = groups.join(packed, "id", "left_anti").filter((F.col("minority") > 0) & (F.col("n") <= most) & (F.size("stems") <= figures)).select("id", "n", "minority", "stems")
+    left, out = store(left, "left") if store else left, []
     for shared in range(figures + 1):
         shapes = _keyed(left, shared).groupBy("key", "c", "n").agg(F.count("*").alias("k"))
         other = shapes.select("key", F.col("c").alias("_c"), F.col("n").alias("_n"))
@@ -344,7 +345,7 @@ def fitting_donors(donor: DataFrame, anchor: DataFrame, pairs: DataFrame, store)
 def joined_records(packed: DataFrame, records: DataFrame) -> DataFrame:
     """The packs as records: sentences in order, claims joined, evidence once for each path (the first)."""
     rows = packed.join(records, "id")
-    by = rows.groupBy("synthetic").agg(F.array_sort(F.collect_list(F.struct("position", "claim_text", "sentences", "evidence"))).alias("_r"))
+    by = rows.groupBy("synthetic").agg(F.sort_array(F.collect_list(F.struct("position", "claim_text", "sentences", "evidence"))).alias("_r"))
     evidence = F.flatten(F.transform("_r", lambda r: r["evidence"]))
     first = F.filter(evidence, lambda e, i: (e["img_path"] != "") & ~F.exists(F.slice(evidence, F.lit(1), i), lambda x: x["img_path"] == e["img_path"]))
     return by.select("synthetic", F.array_join(F.transform("_r", lambda r: r["claim_text"]), " ").alias("claim_text"), F.flatten(F.transform("_r", lambda r: r["sentences"])).alias("sentences"), first.alias("evidence"))

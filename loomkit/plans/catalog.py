@@ -661,7 +661,7 @@ def donor_matches(spark, d):
 def packable(spark, d) -> DataFrame:
     """(id, n, minority, stems): orders with their lines, minority lines and suppliers, all of them, which stand for figures."""
     s = fx.sentences(spark, d)
-    return s.groupBy("id").agg(F.count("*").cast("int").alias("n"), F.count_if(F.get("types", F.lit(0)) != SENTENCES.default).cast("int").alias("minority"), F.array_sort(F.collect_set(F.col("l_suppkey").cast("string"))).alias("stems"))
+    return s.groupBy("id").agg(F.count("*").cast("int").alias("n"), F.count_if(F.get("types", F.lit(0)) != SENTENCES.default).cast("int").alias("minority"), F.sort_array(F.collect_set(F.col("l_suppkey").cast("string"))).alias("stems"))
 
 
 @query("packed_groups")

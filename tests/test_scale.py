@@ -113,3 +113,14 @@ def test_members_files_are_written_by_all_tasks(spark):
 def test_cases_without_quota_are_not_ranked(spark):
     text = plan(entry.queries()["top_cases"](spark, DATA))
     assert "Filter" in text.split("WindowGroupLimit")[-1].split("Exchange")[0]
+
+
+def test_what_is_in_no_pack_is_found_once(spark):
+    from loomkit.operators import synthesize
+    from loomkit.sources.store import stored
+
+    g = spark.createDataFrame([(1, 3, 1, ["a"]), (2, 3, 1, ["a", "b"]), (3, 15, 1, ["a"]), (4, 2, 1, None), (5, 2, 0, ["a"])], "id long, n int, minority int, stems array<string>")
+    none = spark.createDataFrame([], "synthetic string, position int, id long")
+    left = synthesize.fitting_groups(g, none, store=stored)
+    assert rows(left) == rows(synthesize.fitting_groups(g, none)) and not left.isEmpty()
+    assert "left_anti" not in plan(left).lower() and "leftanti" not in plan(left).lower() and "left-" in plan(left)
