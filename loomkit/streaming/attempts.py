@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegralType
 
 from loomkit.config import LabelSet
 from loomkit.functions.normalize import single_label
-from loomkit.operators.densify import keep_one
 
 CELL = ["member", "id", "sent_index"]
-#: Parts of the table, by a hash of the cell.
-BUCKETS = 64
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # a batch's changes are files that a restart copies, not entries that it puts again one by one
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "false",
+    # else every put and removal reads its key once more, only to count keys
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
 }
 
 
@@ -24,38 +25,41 @@ def normalized(raw: DataFrame, labels: LabelSet) -> DataFrame:
     return raw.withColumn("_l", single_label(F.col("raw"), labels)).withColumns({"label": F.col("_l.label"), "parsed_ok": F.col("_l.parsed_ok")}).drop("raw", "_l")
 
 
+def _least(df: DataFrame, keys: list, names: list[str]) -> DataFrame:
+    """Of each group of keys the row of least seq, null first; names: the labels there are.
+
+    Labels go by their hashes: columns of fixed width are aggregated by hash, others sorted.
+    """
+    whole = isinstance(df.schema["seq"].dataType, IntegralType)
+    order = F.coalesce(F.col("seq").cast("long"), F.lit(-(1 << 63))) if whole else F.struct("seq")
+    others = [c for c in df.columns if c not in (*CELL, "_ts")]
+    out = df.withColumn("label", F.xxhash64("label")).groupBy(*keys).agg(*[F.min_by(c, order).alias(f"_{i}") for i, c in enumerate(others)])
+    held = {c: F.col(f"_{i}") for i, c in enumerate(others)}
+    held["label"] = F.coalesce(*[F.when(held["label"] == F.xxhash64(F.lit(x)), x) for x in names], F.lit(None).cast("string"))
+    return out.select(*CELL, *[held[c].alias(c) for c in others])
+
+
 def ingest(raw: DataFrame, labels: LabelSet, path: str, checkpoint: str, available_now: bool = True, ts: str | None = None, late: str = "1 day") -> StreamingQuery:
     """Streams raw outputs into the table at path, of which outputs() gives the row of least seq of each (member, id, sent_index).
 
-    Rows may come in any order and repeat: a batch adds a row if its cell isn't in the table or is there with a larger
-    seq, so a later row of smaller seq wins. Each batch writes under a directory of its number, so a repeated batch
-    writes the same rows to the same place. Cells lie in BUCKETS by their hash, and a batch reads those that it meets; its rows are dealt by bucket once.
+    Rows may come in any order and repeat: a batch appends its rows without a shuffle and without reading the table, and
+    outputs() merges the batches, so the work of a batch is that of its own rows however long the table is. Each batch
+    writes under a directory of its number, so a repeated batch writes the same rows to the same place.
 
-    With a time column `ts` no batch reads the table: the stream's state keeps the least seq of each cell within each
-    `late` of time, gives a cell out again whenever that changes, and forgets it when the watermark has passed. Rows later
-    than the watermark are dropped, and late_rows() counts them. That state lies in RocksDB, on the executors' disks.
+    With a time column `ts` repeats don't come to the table: the stream's state keeps the least seq of each cell within each
+    `late` of time, gives a cell out again with rows of it, and forgets it when the watermark has passed. Rows later
+    than the watermark are dropped, and late_rows() counts them. That state lies in RocksDB, on the executors' disks. It knows labels
+    by their hashes, so a label that is dropped from the set between two runs becomes null in cells given out again.
     """
-    bucket = F.pmod(F.xxhash64(*CELL), F.lit(BUCKETS)).cast("int")
     rows = normalized(raw, labels)
 
-    def upsert(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        dealt = batch.withColumn("bucket", bucket)
-        new = keep_one(dealt.repartition("bucket"), ["bucket", *CELL], ["seq"])
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-        if ts is None and fs.exists(where):
-            met = [r.bucket for r in dealt.select("bucket").distinct().collect()]  # BUCKETS numbers at most
-            old = spark.read.parquet(path).filter((F.col("batch") != number) & F.col("bucket").isin(met))
-            old = old.repartition("bucket").groupBy("bucket", *CELL).agg(F.min("seq").alias("_seen"))
-            new = new.join(old, ["bucket", *CELL], "left").filter(F.col("_seen").isNull() | (F.col("seq") < F.col("_seen"))).drop("_seen")
-        new.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={number}")
+    def append(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     if ts is not None:
-        others = [c for c in rows.columns if c not in CELL]
-        timed = rows.withColumn("_ts", F.col(ts)).withWatermark("_ts", late).groupBy(F.window("_ts", late), *CELL)
-        rows = timed.agg(F.min_by(F.struct(*others), F.struct("seq", *[c for c in others if c != "seq"])).alias("_r")).select(*CELL, "_r.*")
-    writer = rows.writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", checkpoint)
+        names = list(dict.fromkeys([*labels.labels, labels.default]))
+        rows = _least(rows.withColumn("_ts", F.col(ts)).withWatermark("_ts", late), [F.window("_ts", late).alias("_w"), *CELL], names)
+    writer = rows.writeStream.outputMode("update").foreachBatch(append).option("checkpointLocation", checkpoint)
     conf = raw.sparkSession.conf
     before = {k: conf.get(k, None) for k in _STATE}
     try:  # a query keeps the settings that it starts with
@@ -69,7 +73,9 @@ def ingest(raw: DataFrame, labels: LabelSet, path: str, checkpoint: str, availab
 
 def outputs(spark: SparkSession, path: str) -> DataFrame:
     """The table that ingest() keeps: of each cell the row of least seq."""
-    return keep_one(spark.read.parquet(path), CELL, ["seq"]).drop("batch", "bucket")
+    table = spark.read.parquet(path).drop("batch")
+    names = [r.label for r in table.select("label").distinct().collect()]  # of a label set
+    return _least(table, CELL, names)
 
 
 def late_rows(query: StreamingQuery) -> int:

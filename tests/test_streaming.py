@@ -1,5 +1,8 @@
 """A stream gives what a batch gives after all input is read."""
 
+import dataclasses
+from datetime import datetime
+
 from loomkit.config import SENTENCES
 from loomkit.operators.densify import keep_one
 from loomkit.streaming import attempts
@@ -70,3 +73,56 @@ def test_state_lies_on_disk_and_settings_come_back(spark, tmp_path):
     query.awaitTermination()
     assert any("rocksdb" in k for p in query.recentProgress for s in p["stateOperators"] for k in s["customMetrics"])
     assert spark.conf.get(key) == before
+
+
+def _run(spark, folder, rows, schema, **how):
+    """Adds rows to the input below folder and streams them to the end."""
+    df = spark.createDataFrame(rows, schema)
+    df.coalesce(1).write.mode("append").parquet(str(folder / "in"))
+    query = attempts.ingest(spark.readStream.schema(df.schema).parquet(str(folder / "in")), how.pop("labels", SENTENCES), str(folder / "out"), str(folder / "check"), **how)
+    query.awaitTermination(120)
+    return query
+
+
+def test_state_is_aggregated_by_hash(spark, tmp_path):
+    query = _run(spark, tmp_path, [(1, i, 0, i % 3, "Contradiction", datetime(2024, 1, 1)) for i in range(9)], SCHEMA + ", ts timestamp", ts="ts")
+    plan = query._jsq.explainInternal(False)
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    key = "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows"
+    assert not spark.conf.get(key, None) and len(attempts.outputs(spark, str(tmp_path / "out")).collect()) == 9
+
+
+def test_rows_stay_whole_and_null_seq_is_least(spark, tmp_path):
+    schema = "member int, id long, sent_index int, seq long, raw string, note string, _w int, ts timestamp"
+    names, day = SENTENCES.labels, datetime(2024, 1, 1)
+    # cell 0: one seq twice with other contents; 1: null seq; 2: seqs at both ends; 3: null contents; 4: an unreadable text
+    first = [(1, 0, 0, 5, names[1], "a", 1, day), (1, 0, 0, 5, names[2], "b", 2, day), (1, 1, 0, -9, names[1], "a", 1, day), (1, 2, 0, (1 << 63) - 1, names[1], "a", 1, day), (1, 3, 0, 7, None, None, None, day), (1, 4, 0, 0, "?", "a", 1, day)]
+    later = [(1, 1, 0, None, names[3], "c", 3, day), (1, 2, 0, -(1 << 62), names[4], "d", 4, day), (1, 3, 0, 8, names[1], "a", 1, day), (1, 4, 0, 1, names[1], "b", 1, day)]
+    for ts in (None, "ts"):
+        folder = tmp_path / str(ts)
+        for rows in (first, later):
+            _run(spark, folder, rows, schema, ts=ts)
+        got = {r.id: (r.seq, r.label, r.parsed_ok, r.note, r["_w"]) for r in attempts.outputs(spark, str(folder / "out")).collect()}
+        assert got.pop(0) in ((5, names[1], True, "a", 1), (5, names[2], True, "b", 2))
+        assert got == {1: (None, names[3], True, "c", 3), 2: (-(1 << 62), names[4], True, "d", 4), 3: (7, SENTENCES.default, False, None, None), 4: (0, SENTENCES.default, False, "a", 1)}
+
+
+def test_labels_keep_their_names_when_the_set_is_ordered_anew(spark, tmp_path):
+    turned = dataclasses.replace(SENTENCES, labels=(*reversed(SENTENCES.labels), "Other"))
+    day = datetime(2024, 1, 1)
+    rows = [(1, i, 0, 1, x, day) for i, x in enumerate(SENTENCES.labels)]
+    _run(spark, tmp_path, rows, SCHEMA + ", ts timestamp", ts="ts")
+    _run(spark, tmp_path, [(1, i, 0, 2, "Other", day) for i in range(6)], SCHEMA + ", ts timestamp", ts="ts", labels=turned)
+    got = {r.id: r.label for r in attempts.outputs(spark, str(tmp_path / "out")).collect()}
+    assert got == {**dict(enumerate(SENTENCES.labels)), 5: "Other"}
+
+
+def test_a_batch_does_not_read_the_table(spark, tmp_path):
+    _run(spark, tmp_path, [(1, 0, 0, 2, "Contradiction"), (1, 1, 0, 0, "Supported")], SCHEMA)
+    old = {f: f.read_bytes() for f in (tmp_path / "out").rglob("*.parquet")}
+    for f in old:
+        f.write_bytes(b"unreadable")
+    _run(spark, tmp_path, [(1, 0, 0, 1, "Supported"), (1, 1, 0, 3, "Contradiction")], SCHEMA)
+    for f, data in old.items():
+        f.write_bytes(data)
+    assert {r.id: (r.seq, r.label) for r in attempts.outputs(spark, str(tmp_path / "out")).collect()} == {0: (1, "Supported"), 1: (0, "Supported")}
