@@ -25,15 +25,16 @@ def normalized(raw: DataFrame, labels: LabelSet) -> DataFrame:
     return raw.withColumn("_l", single_label(F.col("raw"), labels)).withColumns({"label": F.col("_l.label"), "parsed_ok": F.col("_l.parsed_ok")}).drop("raw", "_l")
 
 
-def _least(df: DataFrame, keys: list, names: list[str]) -> DataFrame:
-    """Of each group of keys the row of least seq, null first; names: the labels there are.
+def _least(df: DataFrame, keys: list, names: list[str], deal: list[str] | None = None) -> DataFrame:
+    """Of each group of keys the row of least seq, null first; names: the labels there are; deal: keys by which rows are dealt first.
 
     Labels go by their hashes: columns of fixed width are aggregated by hash, others sorted.
     """
     whole = isinstance(df.schema["seq"].dataType, IntegralType)
     order = F.coalesce(F.col("seq").cast("long"), F.lit(-(1 << 63))) if whole else F.struct("seq")
     others = [c for c in df.columns if c not in (*CELL, "_ts")]
-    out = df.withColumn("label", F.xxhash64("label")).groupBy(*keys).agg(*[F.min_by(c, order).alias(f"_{i}") for i, c in enumerate(others)])
+    rows = df.withColumn("label", F.xxhash64("label"))
+    out = (rows.repartition(*deal) if deal else rows).groupBy(*keys).agg(*[F.min_by(c, order).alias(f"_{i}") for i, c in enumerate(others)])
     held = {c: F.col(f"_{i}") for i, c in enumerate(others)}
     held["label"] = F.coalesce(*[F.when(held["label"] == F.xxhash64(F.lit(x)), x) for x in names], F.lit(None).cast("string"))
     return out.select(*CELL, *[held[c].alias(c) for c in others])
@@ -72,10 +73,13 @@ def ingest(raw: DataFrame, labels: LabelSet, path: str, checkpoint: str, availab
 
 
 def outputs(spark: SparkSession, path: str) -> DataFrame:
-    """The table that ingest() keeps: of each cell the row of least seq."""
+    """The table that ingest() keeps: of each cell the row of least seq.
+
+    Rows are dealt by id before any are held: a small file of the table has millions, of which hardly two share a cell.
+    """
     table = spark.read.parquet(path).drop("batch")
     names = [r.label for r in table.select("label").distinct().collect()]  # of a label set
-    return _least(table, CELL, names)
+    return _least(table, CELL, names, deal=["id"])
 
 
 def late_rows(query: StreamingQuery) -> int:
